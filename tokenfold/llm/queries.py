@@ -6,11 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenfold.llm import quality_rules
+import public_tokenizers
+
+from tokenfold.llm import decontaminate, quality_rules, token_counts
 from tokenfold.llm.common import table
 from tokenfold.llm.oracles import ORACLES
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and byte_bpe_50k tokens of every document, and whether it exceeds 1024 tokens."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), path)
+    return counts.selectExpr("doc_id", "n_bytes", "n_tokens", "n_tokens > 1024 AS over_limit")
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document that lie in a benchmark window, and the items concerned."""
+    scanned = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.verdicts(scanned).select(
+        "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"
+    )
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measurements, failure bits and the verdict of policy v2 for every document."""
     judged = quality_rules.judge(quality_rules.ledger(table(spark, sf_dir, "documents")), "v2")
