@@ -5,14 +5,27 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tokenfold.llm import decontaminate, quality_rules, token_counts
+from tokenfold.llm import bpe, decontaminate, quality_rules, token_counts
 from tokenfold.llm.common import table
 from tokenfold.llm.oracles import ORACLES
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded with byte_bpe_50k and decoded again: digests of ids and text."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    decoded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    return decoded.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and byte_bpe_50k tokens of every document, and whether it exceeds 1024 tokens."""
     path = public_tokenizers.path("byte_bpe_50k.json")

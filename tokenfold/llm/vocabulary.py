@@ -17,7 +17,7 @@ SETTLED = (
 )
 
 #: White space by Unicode's property, as a character class that every regex engine reads alike.
-SPACES = r"\t-\r \x85\xA0  -     　"
+SPACES = r"\t-\r " + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 #: The byte-level word pattern, with white space spelt out (a fixed value).
 WORDS = (
