@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tokenfold.llm import bpe, decontaminate, quality_rules, token_counts
+from tokenfold.llm import bpe, decontaminate, quality_rules, simhash, token_counts
 from tokenfold.llm.common import table
 from tokenfold.llm.oracles import ORACLES
 
@@ -17,7 +17,7 @@ from tokenfold.llm.oracles import ORACLES
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded with byte_bpe_50k and decoded again: digests of ids and text."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    decoded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    decoded = bpe.encode(table(spark, sf_dir, "documents"), path, decoded=True)
     return decoded.select(
         "doc_id",
         "n_tokens",
@@ -51,6 +51,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and the smallest doc_id of its near-duplicate group."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
