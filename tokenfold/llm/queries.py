@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tokenfold.llm import bpe, decontaminate, quality_rules, simhash, token_counts
+from tokenfold.llm import bpe, decontaminate, quality_rules, simhash, token_counts, toxicity
 from tokenfold.llm.common import table
 from tokenfold.llm.oracles import ORACLES
 
@@ -41,6 +41,18 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document; labels of the held-out third are never read."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        toxicity.is_held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measurements, failure bits and the verdict of policy v2 for every document."""
     judged = quality_rules.judge(quality_rules.ledger(table(spark, sf_dir, "documents")), "v2")
