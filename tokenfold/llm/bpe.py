@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokenfold.llm.common import written
+from tokenfold.llm.common import written_in_buckets
 from tokenfold.llm.vocabulary import SETTLED, WORDS, Vocabulary, java_class
 
 #: Words of texts in one block, apart from a longer single text.
-BLOCK_WORDS = 4_000_000
+BLOCK_WORDS = 6_000_000
 
 #: Words from all blocks that one task of step 2 takes.
 BUCKET_WORDS = 400_000
@@ -78,7 +78,7 @@ def _own_words(tokenizer, text: str) -> list[str]:
     return [text[a:b] for a, b in spans]
 
 
-def _blocks(path: str, names: list[str], id_type: pa.DataType):
+def _blocks(path: str, id_type: pa.DataType):
     """Arrow batches of (id, words or null, text where words are null) to block and document rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,11 +105,11 @@ def _blocks(path: str, names: list[str], id_type: pa.DataType):
                 to = max(at + 1, int(np.searchsorted(ends, done + BLOCK_WORDS, "right")))
                 part = lists.slice(at, to - at)
                 coded = part.flatten().dictionary_encode()
-                codes = coded.indices.to_numpy().astype(np.int64)
+                codes = coded.indices.to_numpy()
                 words = coded.dictionary
                 order = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")  # frequent words first
-                rank = np.empty(len(words), np.int64)
-                rank[order] = np.arange(len(words))
+                rank = np.empty(len(words), np.uint32)
+                rank[order] = np.arange(len(words), dtype=np.uint32)
                 block = (task << 32) | made
                 made += 1
                 yield pa.RecordBatch.from_arrays(
@@ -192,64 +192,82 @@ def gather(flat, sizes, codes):
     """The entries of ``flat`` that belong to ``codes``, in order; entry c of it has sizes[c] values."""
     import numpy as np
 
-    starts = np.cumsum(sizes) - sizes
+    starts = np.cumsum(sizes, dtype=np.int64) - sizes
     own = sizes[codes]
-    shift = starts[codes] - (np.cumsum(own) - own)
-    return flat[np.repeat(shift, own) + np.arange(int(own.sum()))]
+    shift = starts[codes] - (np.cumsum(own, dtype=np.int64) - own)
+    where = np.repeat(shift, own)
+    where += np.arange(len(where))
+    return flat[where]
 
 
-def _put_together(names: list[str], id_type: pa.DataType):
-    def run(docs: pa.Table, parts: pa.Table) -> pa.Table:
+def _decoded(pieces: pa.BinaryArray, ids, bounds: list[int]) -> list[str]:
+    """The texts of consecutive runs of ids: piece by id, joined, read as UTF-8."""
+    import numpy as np
+
+    joined = pieces.take(pa.array(ids.astype(np.int64)))
+    _, ends, data = joined.buffers()
+    ends = np.frombuffer(ends, np.int32)[: len(ids) + 1] if len(ids) else np.zeros(1, np.int32)
+    held = memoryview(data) if data is not None else memoryview(b"")
+    cuts = ends[bounds].tolist()
+    return [str(held[a:b], "utf-8", "replace") for a, b in zip(cuts, cuts[1:])]
+
+
+def _put_together(path: str, schema: pa.Schema):
+    """A block's ids by word number to its documents' ids, and their texts where the schema has them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        out_ids, out_tokens, out_n = [], [], []
-        numbers, sizes, ids = [], [], []
-        for gaps, size, own in zip(parts.column("gaps"), parts.column("sizes"), parts.column("ids")):
-            numbers.append(np.cumsum(unpack(gaps.as_py()).astype(np.int64)))
-            sizes.append(unpack(size.as_py()).astype(np.int64))
-            ids.append(unpack(own.as_py()))
-        if numbers:
-            order = np.argsort(np.concatenate(numbers), kind="stable")
-            all_sizes = np.concatenate(sizes)
-            flat = gather(np.concatenate(ids), all_sizes, order)
-            by_number = all_sizes[order]
-        else:
-            flat, by_number = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        for doc_ids, lengths, data in zip(docs.column("ids"), docs.column("sizes"), docs.column("numbers")):
-            words = unpack(data.as_py()).astype(np.int64)
-            lengths = np.array(lengths.as_py(), np.int64)
-            names_of = doc_ids.as_py()
-            ends = np.cumsum(lengths)
-            at = 0
-            while at < len(lengths):
-                done = int(ends[at - 1]) if at else 0
-                to = max(at + 1, int(np.searchsorted(ends, done + SLICE_WORDS, "right")))
-                own = words[done : int(ends[to - 1])]
-                tokens = gather(flat, by_number, own).astype("<u4")
-                cuts = np.concatenate(([0], np.cumsum(by_number[own])))[ends[at:to] - done]
-                bounds = np.concatenate(([0], cuts)).tolist()
-                data_bytes = tokens.tobytes()
-                out_ids += names_of[at:to]
-                out_tokens += [data_bytes[4 * a : 4 * b] for a, b in zip(bounds, bounds[1:])]
-                out_n += [b - a for a, b in zip(bounds, bounds[1:])]
-                at = to
-        return pa.table(
-            {"doc_id": pa.array(out_ids, id_type), "n_tokens": pa.array(out_n, pa.int64()), "ids": pa.array(out_tokens, pa.binary())}
-        )
+        pieces = pa.array(Vocabulary(path).pieces(), pa.binary()) if "decoded" in schema.names else None
+        for batch in batches:
+            for doc_ids, lengths, data, parts in zip(*(batch.column(i) for i in range(4))):
+                words = unpack(data.as_py())
+                ends = np.cumsum(lengths.values.to_numpy())
+                flat, by_number = _by_number(parts.values) if parts.is_valid else (np.zeros(0, np.uint32),) * 2
+                at = 0
+                while at < len(ends):
+                    done = int(ends[at - 1]) if at else 0
+                    to = max(at + 1, int(np.searchsorted(ends, done + SLICE_WORDS, "right")))
+                    own = words[done : int(ends[to - 1])]
+                    tokens = gather(flat, by_number, own).astype("<u4", copy=False)
+                    cuts = np.concatenate(([0], np.cumsum(by_number[own], dtype=np.int64)))[ends[at:to] - done]
+                    bounds = np.concatenate(([0], cuts)).tolist()
+                    held = memoryview(tokens.tobytes())
+                    columns = [
+                        doc_ids.values.slice(at, to - at),
+                        pa.array([b - a for a, b in zip(bounds, bounds[1:])], pa.int64()),
+                        pa.array([held[4 * a : 4 * b] for a, b in zip(bounds, bounds[1:])], pa.binary()),
+                    ]
+                    if pieces is not None:
+                        columns.append(pa.array(_decoded(pieces, tokens, bounds), pa.string()))
+                    yield pa.RecordBatch.from_arrays(columns, schema=schema)
+                    at = to
 
     return run
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
+def _by_number(parts: pa.StructArray):
+    """The buckets' parts of one block as all ids in order of the word's number, and how many each has."""
+    import numpy as np
+
+    gaps, sizes, ids = ([unpack(x.as_py()) for x in parts.field(k)] for k in ("gaps", "sizes", "ids"))
+    order = np.argsort(np.concatenate([np.cumsum(g) for g in gaps]), kind="stable")
+    all_sizes = np.concatenate(sizes)
+    return gather(np.concatenate(ids), all_sizes, order), all_sizes[order]
+
+
+def encode(docs: DataFrame, path: str, decoded: bool = False) -> DataFrame:
     """One row per document row: doc_id, n_tokens and ids (little-endian unsigned 32-bit, as binary).
 
+    With ``decoded`` also the text that ``decode`` makes of the ids, while they are at hand.
+
     The ids are those of the tokenizers library for the file at ``path`` without added special
     tokens, truncation or padding; special strings inside a text are recognised as by its default.
     Null and empty texts have no ids; repeated rows each get theirs; null ids stay null; further
     columns are ignored. A very long text is a block of its own.
 
     The blocks are written once to the shared folder, since their numbering must not change when
-    a lost task is run again.
+    a lost task is run again, in buckets, so that only the words' ids are shuffled to them.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -272,7 +290,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             T.StructField("n_words", T.LongType()), T.StructField("words", T.BinaryType()),
         ]
     )
-    blocks = written(split.mapInArrow(_blocks(path, docs.columns, id_arrow), schema), "blocks")
+    blocks = written_in_buckets(split.mapInArrow(_blocks(path, id_arrow), schema), "blocks", "block")
     total = blocks.agg(F.sum("n_words")).first()[0] or 0
     buckets = -(-total // BUCKET_WORDS) or 1
     dealt = blocks.select("block", "n_words", "words").mapInArrow(
@@ -284,8 +302,15 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     out = T.StructType(
         [T.StructField("doc_id", id_field), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]
     )
+    arrow = pa.schema([("doc_id", id_arrow), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+    if decoded:
+        out = out.add("decoded", T.StringType())
+        arrow = arrow.append(pa.field("decoded", pa.string()))
+    count = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = coded.repartition(count, "block").groupBy("block").agg(F.collect_list(F.struct("gaps", "sizes", "ids")).alias("parts"))
     own = blocks.select("block", "ids", "sizes", "numbers")
-    return own.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(_put_together(docs.columns, id_arrow), out)
+    whole = own.join(parts.hint("shuffle_hash"), "block", "left")
+    return whole.select("ids", "sizes", "numbers", "parts").mapInArrow(_put_together(path, arrow), out)
 
 
 def _decode(path: str, at: int):
@@ -294,13 +319,10 @@ def _decode(path: str, at: int):
 
         pieces = pa.array(Vocabulary(path).pieces(), pa.binary())
         for batch in batches:
-            texts = []
+            texts: list[str] = []
             for value in batch.column(at):
                 ids = np.frombuffer(value.as_py() or b"", "<u4")
-                joined = pieces.take(pa.array(ids.astype(np.int64)))
-                ends = joined.buffers()[1]
-                size = int(np.frombuffer(ends, np.int32)[len(ids)]) if len(ids) else 0
-                texts.append(joined.buffers()[2].to_pybytes()[:size].decode("utf-8", "replace") if size else "")
+                texts += _decoded(pieces, ids, [0, len(ids)])
             yield batch.append_column("decoded", pa.array(texts, pa.string()))
 
     return run

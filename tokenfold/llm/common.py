@@ -45,6 +45,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_in_buckets(df: DataFrame, name: str, column: str) -> DataFrame:
+    """Like ``written``, in as many buckets by ``column`` as a shuffle has partitions.
+
+    A join on that column then reads the table where it lies and shuffles the other side only.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    catalog_name = f"tokenfold_{path.rpartition('/')[2].replace('-', '_')}"
+    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = df.write.format("parquet").option("path", path).option("compression", "zstd")
+    writer.bucketBy(count, column).saveAsTable(catalog_name)
+    return spark.table(catalog_name)
+
+
 def text_of(docs: DataFrame, column: str = "text") -> Column:
     """The text column with null read as the empty text."""
     return F.coalesce(docs[column].cast("string"), F.lit(""))
