@@ -23,7 +23,7 @@ from tokenfold.llm.common import written_in_buckets
 from tokenfold.llm.vocabulary import SETTLED, WORDS, Vocabulary, java_class
 
 #: Words of texts in one block, apart from a longer single text.
-BLOCK_WORDS = 6_000_000
+BLOCK_WORDS = 2_500_000
 
 #: Words from all blocks that one task of step 2 takes.
 BUCKET_WORDS = 400_000
@@ -122,6 +122,8 @@ def _blocks(path: str, id_type: pa.DataType):
                     schema=schema,
                 )
                 at = to
+                del part, coded, codes, words, order, rank
+                pa.default_memory_pool().release_unused()
 
     return run
 
@@ -242,6 +244,8 @@ def _put_together(path: str, schema: pa.Schema):
                         columns.append(pa.array(_decoded(pieces, tokens, bounds), pa.string()))
                     yield pa.RecordBatch.from_arrays(columns, schema=schema)
                     at = to
+                del words, flat, by_number
+                pa.default_memory_pool().release_unused()
 
     return run
 

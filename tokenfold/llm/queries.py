@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tokenfold.llm import bpe, decontaminate, quality_rules, simhash, token_counts, toxicity
+from tokenfold.llm import bpe, decontaminate, line_dedup, quality_rules, simhash, token_counts, toxicity
 from tokenfold.llm.common import table
 from tokenfold.llm.oracles import ORACLES
 
@@ -26,6 +26,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document that an earlier line of the corpus matches, by their numbers."""
+    found = line_dedup.summary(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.array_join("removed", ",").alias("removed_lines"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and byte_bpe_50k tokens of every document, and whether it exceeds 1024 tokens."""
     path = public_tokenizers.path("byte_bpe_50k.json")
