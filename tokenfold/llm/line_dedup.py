@@ -47,9 +47,8 @@ _CHUNK = 4096
 def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, mark and line_no of every line, with the line; mark tells texts of one id apart."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(
-        "doc_id", F.xxhash64(text).alias("mark"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line")
-    )
+    split = docs.select("doc_id", F.xxhash64(text).alias("mark"), F.split(text, "\n", -1).alias("lines"))
+    return split.select("doc_id", "mark", F.posexplode("lines").alias("line_no", "line"))
 
 
 def _hashes(line: Column) -> Column:
@@ -97,7 +96,9 @@ def _described(docs: DataFrame, similarity: tuple[int, int], min_words: int, cou
     lines = _lines(docs)
     counts = _array_of_counts(lines.select(F.explode(_hashes(F.col("line"))).alias("value")), counters)
     sets = lines.select("doc_id", "mark", "line_no", F.array_distinct(_hashes(F.col("line"))).alias("words"))
-    large = sets.withColumn("n", F.size("words")).filter(F.col("n") >= min_words)
+    # As a row of an exploded array, a set is not made anew for a filter that is pushed below it.
+    chosen = F.when(F.size("words") >= min_words, F.array("words"))
+    large = sets.select("doc_id", "mark", "line_no", F.explode(chosen).alias("words")).withColumn("n", F.size("words"))
 
     def key(word: Column) -> Column:
         level = F.floor(F.log2(F.get(F.col("counts"), _slot(word, counters)) + F.lit(1.0)) * 60).cast("long")
