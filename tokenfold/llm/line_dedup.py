@@ -247,17 +247,19 @@ def removed_lines(
 
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with later matching lines taken out of ``text``, and ``removed``, their numbers.
+    """``docs`` with later matching lines taken out of ``text``.
 
     Every row stays, with all its columns; a text of which every line goes becomes empty. A null
     text stays null.
     """
-    found = removed_lines(docs, **options).withColumnsRenamed({"doc_id": "found_id", "mark": "found_mark"})
-    kept = docs.withColumn("own_mark", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    both = kept.join(found, F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("own_mark") == F.col("found_mark")), "left")
-    left = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col("removed"), i))
-    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    return both.withColumn("text", text).drop("found_id", "found_mark", "own_mark")
+    found = removed_lines(docs, **options).select(
+        F.col("doc_id").alias("_found_id"), F.col("mark").alias("_found_mark"), F.col("removed").alias("_removed")
+    )
+    kept = docs.withColumn("_mark", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    same = F.col("doc_id").eqNullSafe(F.col("_found_id")) & (F.col("_mark") == F.col("_found_mark"))
+    left = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col("_removed"), i))
+    text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    return kept.join(found, same, "left").withColumn("text", text).select(*docs.columns)
 
 
 def summary(docs: DataFrame, **options) -> DataFrame:

@@ -179,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     return Model(tuple(voters), tuple(map(float, weights[:-1])), float(weights[-1]), bias)
 
 
-def _score(model: Model, at: int):
+def _score(model: Model, at: int, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import math
         import re
@@ -192,7 +192,7 @@ def _score(model: Model, at: int):
                 hits = {w for w in _candidates(words_of, (text.as_py() or "").lower()) if w in weight}
                 odds = model.bias + model.count_weight * math.log1p(len(hits)) + sum(map(get, hits))
                 scores.append(1 / (1 + math.exp(-min(30.0, max(-30.0, odds)))))
-            yield batch.append_column("score", pa.array(scores, pa.float64()))
+            yield batch.append_column(name, pa.array(scores, pa.float64()))
 
     return run
 
@@ -206,13 +206,12 @@ def _candidates(words_of, text: str) -> Iterator[str]:
             yield word[:size] + "*"
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``score``, from 0 to 1, of the whole text; a score is of the text alone.
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """``docs`` with a score from 0 to 1 of the whole text in column ``name``; it is of the text alone.
 
     Null and empty texts get the score of a text in which no voter fires. Repeated rows score
-    alike; all columns stay. Nothing is shuffled.
+    alike; all columns stay, but one called ``name`` is replaced. Nothing is shuffled.
     """
-    if "score" in docs.columns:
-        docs = docs.drop("score")
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(_score(model, docs.columns.index("text")), schema)
+    docs = docs.drop(name)
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+    return docs.mapInArrow(_score(model, docs.columns.index("text"), name), schema)
