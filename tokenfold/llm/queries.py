@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tokenfold.llm import bpe, decontaminate, line_dedup, quality_rules, simhash, token_counts, toxicity
+from tokenfold.llm import bpe, decontaminate, line_dedup, quality_rules, simhash, token_counts, toxicity, warc
 from tokenfold.llm.common import table
 from tokenfold.llm.oracles import ORACLES
 
@@ -47,6 +47,11 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record, read back from the archives."""
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document; labels of the held-out third are never read."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
