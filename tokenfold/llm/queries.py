@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tokenfold.llm import bpe, decontaminate, line_dedup, quality_rules, simhash, token_counts, toxicity, warc
+from tokenfold.llm import bpe, decontaminate, importance, line_dedup, quality_rules, simhash, token_counts, toxicity, url_filters, warc
 from tokenfold.llm.common import table
 from tokenfold.llm.oracles import ORACLES
 
@@ -39,6 +39,17 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.selectExpr("doc_id", "n_bytes", "n_tokens", "n_tokens > 1024 AS over_limit")
 
 
+def op4_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance weight of every document, and whether Gumbel top-k keeps it."""
+    drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return drawn.withColumnRenamed("selected", "kept")
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's url, with its template."""
+    return url_filters.judge(table(spark, sf_dir, "pages"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document that lie in a benchmark window, and the items concerned."""
     scanned = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
