@@ -22,8 +22,11 @@ from pyspark.sql import types as T
 from tokenfold.llm.common import written_in_buckets
 from tokenfold.llm.vocabulary import SETTLED, WORDS, Vocabulary, java_class
 
-#: Words of texts in one block, apart from a longer single text.
-BLOCK_WORDS = 2_500_000
+#: Words of texts from which a block is closed.
+BLOCK_WORDS = 3_000_000
+
+#: Documents that Spark hands to a task at a time; a block gathers several such batches.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500"}
 
 #: Words from all blocks that one task of step 2 takes.
 BUCKET_WORDS = 400_000
@@ -79,55 +82,56 @@ def _own_words(tokenizer, text: str) -> list[str]:
 
 
 def _blocks(path: str, id_type: pa.DataType):
-    """Arrow batches of (id, words or null, text where words are null) to block and document rows."""
+    """Arrow batches of (id, words or null, text where words are null) to one row per block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
         from pyspark import TaskContext
 
-        task, made = TaskContext.get().partitionId(), 0
-        schema = pa.schema(
-            [
-                ("block", pa.int64()), ("ids", pa.list_(id_type)), ("sizes", pa.list_(pa.int64())), ("numbers", pa.binary()),
-                ("n_words", pa.int64()), ("words", pa.binary()),
-            ]
-        )
+        task, made, size = TaskContext.get().partitionId(), 0, 0
+        ids: list[pa.Array] = []
+        lists: list[pa.Array] = []
         for batch in batches:
-            lists = batch.column(1)
-            if lists.null_count:
-                tokenizer, plain = Vocabulary(path).tokenizer, lists.to_pylist()
-                texts = batch.column(2).to_pylist()
-                lists = pa.array([_own_words(tokenizer, t) if w is None else w for w, t in zip(plain, texts)], pa.list_(pa.string()))
-            ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
-            at = 0
-            while at < len(lists):
-                done = int(ends[at - 1]) if at else 0
-                to = max(at + 1, int(np.searchsorted(ends, done + BLOCK_WORDS, "right")))
-                part = lists.slice(at, to - at)
-                coded = part.flatten().dictionary_encode()
-                codes = coded.indices.to_numpy()
-                words = coded.dictionary
-                order = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")  # frequent words first
-                rank = np.empty(len(words), np.uint32)
-                rank[order] = np.arange(len(words), dtype=np.uint32)
-                block = (task << 32) | made
-                made += 1
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([block]), pa.array([batch.column(0).slice(at, to - at).to_pylist()], pa.list_(id_type)),
-                        pa.array([part.value_lengths().to_pylist()], pa.list_(pa.int64())), pa.array([pack(rank[codes])], pa.binary()),
-                        pa.array([len(words)]),
-                        pa.array([_shrink(SEPARATOR.join(words.take(pa.array(order)).cast(pa.binary()).to_pylist()))], pa.binary()),
-                    ],
-                    schema=schema,
-                )
-                at = to
-                del part, coded, codes, words, order, rank
-                pa.default_memory_pool().release_unused()
+            words = batch.column(1)
+            if words.null_count:
+                tokenizer, texts = Vocabulary(path).tokenizer, batch.column(2)
+                own = [w.as_py() if w.is_valid else _own_words(tokenizer, t.as_py()) for w, t in zip(words, texts)]
+                words = pa.array(own, pa.list_(pa.string()))
+            ids.append(batch.column(0))
+            lists.append(words)
+            size += len(words.flatten())
+            if size >= BLOCK_WORDS:
+                yield _block((task << 32) | made, ids, lists, id_type)
+                ids, lists, size, made = [], [], 0, made + 1
+        if ids:
+            yield _block((task << 32) | made, ids, lists, id_type)
 
     return run
 
 
+def _block(block: int, ids: list[pa.Array], lists: list[pa.Array], id_type: pa.DataType) -> pa.RecordBatch:
+    """A block's row: its documents, their words by number, and the distinct words, frequent ones first."""
+    import numpy as np
+
+    coded = pa.chunked_array([x.flatten() for x in lists], pa.string()).dictionary_encode().combine_chunks()
+    sizes = [n for x in lists for n in x.value_lengths().to_pylist()]
+    codes, words = coded.indices.to_numpy(), coded.dictionary
+    order = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")
+    rank = np.empty(len(words), np.uint32)
+    rank[order] = np.arange(len(words), dtype=np.uint32)
+    joined = SEPARATOR.join(words.take(pa.array(order)).cast(pa.binary()).to_pylist())
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([block]),
+            pa.array([[i for x in ids for i in x.to_pylist()]], pa.list_(id_type)),
+            pa.array([sizes], pa.list_(pa.int64())),
+            pa.array([pack(rank[codes])], pa.binary()),
+            pa.array([len(words)]),
+            pa.array([_shrink(joined)], pa.binary()),
+        ],
+        ["block", "ids", "sizes", "numbers", "n_words", "words"],
+    )
+
+
 def _deal(buckets: int):
     """A block's word list to its parts by a hash of the word; ``gaps`` are the steps between numbers."""
 
@@ -214,13 +218,13 @@ def _decoded(pieces: pa.BinaryArray, ids, bounds: list[int]) -> list[str]:
     return [str(held[a:b], "utf-8", "replace") for a, b in zip(cuts, cuts[1:])]
 
 
-def _put_together(path: str, schema: pa.Schema):
-    """A block's ids by word number to its documents' ids, and their texts where the schema has them."""
+def _put_together(pieces: list[bytes] | None, schema: pa.Schema):
+    """A block's ids by word number to its documents' ids, and by ``pieces`` to their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        pieces = pa.array(Vocabulary(path).pieces(), pa.binary()) if "decoded" in schema.names else None
+        table = None if pieces is None else pa.array(pieces, pa.binary())
         for batch in batches:
             for doc_ids, lengths, data, parts in zip(*(batch.column(i) for i in range(4))):
                 words = unpack(data.as_py())
@@ -240,8 +244,8 @@ def _put_together(path: str, schema: pa.Schema):
                         pa.array([b - a for a, b in zip(bounds, bounds[1:])], pa.int64()),
                         pa.array([held[4 * a : 4 * b] for a, b in zip(bounds, bounds[1:])], pa.binary()),
                     ]
-                    if pieces is not None:
-                        columns.append(pa.array(_decoded(pieces, tokens, bounds), pa.string()))
+                    if table is not None:
+                        columns.append(pa.array(_decoded(table, tokens, bounds), pa.string()))
                     yield pa.RecordBatch.from_arrays(columns, schema=schema)
                     at = to
                 del words, flat, by_number
@@ -294,7 +298,7 @@ def encode(docs: DataFrame, path: str, decoded: bool = False) -> DataFrame:
             T.StructField("n_words", T.LongType()), T.StructField("words", T.BinaryType()),
         ]
     )
-    blocks = written_in_buckets(split.mapInArrow(_blocks(path, id_arrow), schema), "blocks", "block")
+    blocks = written_in_buckets(split.mapInArrow(_blocks(path, id_arrow), schema), "blocks", "block", BATCH)
     total = blocks.agg(F.sum("n_words")).first()[0] or 0
     buckets = -(-total // BUCKET_WORDS) or 1
     dealt = blocks.select("block", "n_words", "words").mapInArrow(
@@ -314,7 +318,7 @@ def encode(docs: DataFrame, path: str, decoded: bool = False) -> DataFrame:
     parts = coded.repartition(count, "block").groupBy("block").agg(F.collect_list(F.struct("gaps", "sizes", "ids")).alias("parts"))
     own = blocks.select("block", "ids", "sizes", "numbers")
     whole = own.join(parts.hint("shuffle_hash"), "block", "left")
-    return whole.select("ids", "sizes", "numbers", "parts").mapInArrow(_put_together(path, arrow), out)
+    return whole.select("ids", "sizes", "numbers", "parts").mapInArrow(_put_together(vocabulary.pieces() if decoded else None, arrow), out)
 
 
 def _decode(path: str, at: int):

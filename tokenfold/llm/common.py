@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,25 +39,45 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/tokenfold/{name}-{uuid.uuid4().hex}"
 
 
+#: While a table is written: its shuffle files go as soon as it is, since nothing else reads them.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session with other settings for one eager action."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it again."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with settings(spark, _WRITING):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def written_in_buckets(df: DataFrame, name: str, column: str) -> DataFrame:
+def written_in_buckets(df: DataFrame, name: str, column: str, conf: dict[str, str] | None = None) -> DataFrame:
     """Like ``written``, in as many buckets by ``column`` as a shuffle has partitions.
 
     A join on that column then reads the table where it lies and shuffles the other side only.
+    ``conf`` are settings for the writing.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     catalog_name = f"tokenfold_{path.rpartition('/')[2].replace('-', '_')}"
     count = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    writer = df.write.format("parquet").option("path", path).option("compression", "zstd")
-    writer.bucketBy(count, column).saveAsTable(catalog_name)
+    with settings(spark, _WRITING | (conf or {})):
+        writer = df.write.format("parquet").option("path", path).option("compression", "zstd")
+        writer.bucketBy(count, column).saveAsTable(catalog_name)
     return spark.table(catalog_name)
 
 
