@@ -18,6 +18,8 @@ Words are compared by 52 bits of their XXH64 hash, so that a word and its rarity
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -38,7 +40,7 @@ COUNTERS = 1 << 21
 FLAGS = 1 << 20
 
 #: Prefix words that the first pass compares.
-FIRST = 3
+FIRST = 2
 
 _HASH_BITS = 52
 _CHUNK = 4096
@@ -59,13 +61,14 @@ def _hashes(line: Column) -> Column:
 
 
 def _slot(value: Column, size: int) -> Column:
-    return F.pmod(value, F.lit(size)).cast("int")
+    """``size`` is a power of two."""
+    return value.bitwiseAND(F.lit(size - 1)).cast("int")
 
 
-def _array_of_counts(values: DataFrame, size: int) -> Column:
-    """One array of ``size`` counts of the slots of the column ``value``, as a scalar for any plan.
+def _array_of_counts(values: DataFrame, size: int, of: Callable[[Column], Column] = lambda n: n.cast("int")) -> Column:
+    """One array of ``size`` entries, made of the counts of the slots of the column ``value``, as a scalar for any plan.
 
-    It is put together from chunks, and what the driver and each task hold is ``size`` integers.
+    It is put together from chunks, and what the driver and each task hold is ``size`` numbers.
     """
     spark = values.sparkSession
     counted = values.groupBy(_slot(F.col("value"), size).alias("at")).agg(F.count("*").alias("n"))
@@ -73,7 +76,7 @@ def _array_of_counts(values: DataFrame, size: int) -> Column:
     chunk = F.floor(F.col("at") / _CHUNK).cast("int")
     filled = counted.unionByName(every).groupBy("at").agg(F.sum("n").alias("n")).withColumn("chunk", chunk)
     chunks = filled.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("held"))
-    plain = chunks.select("chunk", F.transform("held", lambda x: F.least(x["n"], F.lit(2**31 - 1)).cast("int")).alias("held"))
+    plain = chunks.select("chunk", F.transform("held", lambda x: of(x["n"])).alias("held"))
     one = plain.agg(F.array_sort(F.collect_list(F.struct("chunk", "held"))).alias("all"))
     return written(one.select(F.flatten(F.transform("all", lambda x: x["held"])).alias("counts")), "counts").scalar()
 
@@ -94,18 +97,18 @@ def _described(docs: DataFrame, similarity: tuple[int, int], min_words: int, cou
     ``prefix`` leaves out the leading words that no other line has; ``skipped`` counts them.
     """
     lines = _lines(docs)
-    counts = _array_of_counts(lines.select(F.explode(_hashes(F.col("line"))).alias("value")), counters)
+    words = lines.select(F.explode(_hashes(F.col("line"))).alias("value"))
+    levels = _array_of_counts(words, counters, lambda n: F.shiftleft(F.floor(F.log2(n + F.lit(1.0)) * 60).cast("long"), _HASH_BITS))
     sets = lines.select("doc_id", "mark", "line_no", F.array_distinct(_hashes(F.col("line"))).alias("words"))
     # As a row of an exploded array, a set is not made anew for a filter that is pushed below it.
     chosen = F.when(F.size("words") >= min_words, F.array("words"))
     large = sets.select("doc_id", "mark", "line_no", F.explode(chosen).alias("words")).withColumn("n", F.size("words"))
 
     def key(word: Column) -> Column:
-        level = F.floor(F.log2(F.get(F.col("counts"), _slot(word, counters)) + F.lit(1.0)) * 60).cast("long")
-        return F.shiftleft(level, _HASH_BITS).bitwiseOR(word)
+        return F.get(F.col("levels"), _slot(word, counters)).bitwiseOR(word)
 
     # The analyzer takes no scalar inside a lambda; the optimizer puts it there, as one use is left.
-    held = large.withColumn("counts", counts)
+    held = large.withColumn("levels", levels)
     keyed = held.select("doc_id", "mark", "line_no", "n", F.sort_array(F.transform("words", key)).alias("keys"))
     parity = F.aggregate(
         "keys", F.lit(0).cast("long"), lambda held, k: held.bitwiseXOR(_one_bit(k))
@@ -120,9 +123,8 @@ def _described(docs: DataFrame, similarity: tuple[int, int], min_words: int, cou
 
 
 def _one_bit(key: Column) -> Column:
-    """A long with one bit set, chosen by the word's hash: 2**k for k < 63, the sign bit for 63."""
-    k = F.pmod(F.shiftright(key, 11), F.lit(64)).cast("int")
-    return F.when(k == 63, F.lit(-(2**63))).otherwise(F.pow(F.lit(2.0), k).cast("long"))
+    """A long with one bit set, chosen by the word's hash."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(key, 11).bitwiseAND(F.lit(63)).cast("int"))
 
 
 def _possible(a: str, b: str, similarity: tuple[int, int]) -> Column:
@@ -140,22 +142,24 @@ def _near(parity_a: Column, parity_b: Column, n_a: Column, n_b: Column, similari
     return (bottom + top) * differing <= (bottom - top) * (n_a + n_b)
 
 
+PLACE = ["doc_id", "line_no", "mark"]
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """Of ``pairs`` (first_a, first_b: places of lines) those whose word sets match."""
+    """Of written ``pairs`` (cls, parity, first_a, first_b: places of lines) the cls and parity of those whose word sets match."""
     top, bottom = similarity
-    places = pairs.select(F.col("first_a").alias("place")).unionByName(pairs.select(F.col("first_b").alias("place"))).distinct()
-    marked = written(places.withColumn("hash", F.xxhash64("place")), "places")
-    flags = _array_of_counts(marked.select(F.col("hash").alias("value")), FLAGS)
-    lines = _lines(docs).select(F.struct("doc_id", "line_no", "mark").alias("place"), "line")
-    some = lines.filter(_flagged(flags, F.xxhash64("place")))
-    words = some.join(marked.select("place"), "place", "left_semi").dropDuplicates(["place"])
-    sets = words.select("place", F.array_distinct(_hashes(F.col("line"))).alias("words"))
-    a = sets.select(F.col("place").alias("first_a"), F.col("words").alias("words_a"))
-    b = sets.select(F.col("place").alias("first_b"), F.col("words").alias("words_b"))
-    both = pairs.join(a, "first_a").join(b, "first_b")
-    shared = F.size(F.array_intersect("words_a", "words_b"))
-    union = F.size("words_a") + F.size("words_b") - shared
-    return both.filter(bottom * shared >= top * union).drop("words_a", "words_b")
+    keyed = pairs.select("cls", "parity", "first_a", "first_b", F.xxhash64("first_a", "first_b").alias("pair"))
+    ends = keyed.select("cls", "parity", "pair", F.explode(F.array("first_a", "first_b")).alias("place"))
+    sides = ends.select("cls", "parity", "pair", *[F.col(f"place.{c}").alias(c) for c in PLACE])
+    flags = _array_of_counts(sides.select(F.xxhash64(*PLACE).alias("value")), FLAGS)
+    some = _lines(docs).filter(_flagged(flags, F.xxhash64(*PLACE)))
+    words = some.groupBy(*PLACE).agg(F.first("line").alias("line")).withColumnsRenamed({c: f"own_{c}" for c in PLACE})
+    same = [F.col(c).eqNullSafe(F.col(f"own_{c}")) for c in PLACE]
+    met = sides.join(words, same)
+    both = met.groupBy("cls", "parity", "pair").agg(F.collect_list("line").alias("lines")).filter(F.size("lines") == 2)
+    sets = both.select("cls", "parity", *[F.array_distinct(_hashes(F.get("lines", F.lit(i)))).alias(c) for i, c in enumerate("ab")])
+    shared = F.size(F.array_intersect("a", "b"))
+    return sets.filter(bottom * shared >= top * (F.size("a") + F.size("b") - shared)).select("cls", "parity").distinct()
 
 
 def _first_pass(docs: DataFrame, classes: DataFrame, similarity: tuple[int, int]) -> DataFrame:
@@ -176,7 +180,7 @@ def _first_pass(docs: DataFrame, classes: DataFrame, similarity: tuple[int, int]
         & _near(F.col("parity"), F.col("a_parity"), F.col("n"), F.col("a_n"), similarity)
     )
     pairs = written(near.select("cls", "parity", "first_a", "first_b").distinct(), "pairs")
-    return written(_verified(docs, pairs, similarity).select("cls", "parity").distinct(), "settled")
+    return written(_verified(docs, pairs, similarity), "settled")
 
 
 def _second_pass(docs: DataFrame, classes: DataFrame, settled: DataFrame, similarity: tuple[int, int]) -> DataFrame:
@@ -198,7 +202,7 @@ def _second_pass(docs: DataFrame, classes: DataFrame, settled: DataFrame, simila
     y = entries.select("key", *[F.col(c).alias(f"y_{c}") for c in ("cls", "n", "pos", "open")])
     smaller = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_cls") < F.col("y_cls")))
     met = x.join(y, "key").filter(smaller & (F.col("x_open") | F.col("y_open")) & _possible("x_", "y_", similarity))
-    pairs = met.select("x_cls", "y_cls").distinct()
+    pairs = written(met.select("x_cls", "y_cls").distinct(), "candidates")
     thin = classes.select("cls", "parity", "n", "first")
     a = thin.select(*[F.col(c).alias(f"x_{c}") for c in thin.columns])
     b = thin.select(*[F.col(c).alias(f"y_{c}") for c in thin.columns])
@@ -215,7 +219,7 @@ def _second_pass(docs: DataFrame, classes: DataFrame, settled: DataFrame, simila
         F.greatest("x_first", "y_first").alias("first_b"),
     )
     pairs = written(ordered, "pairs")
-    return _verified(docs, pairs, similarity).select("cls", "parity").distinct()
+    return written(_verified(docs, pairs, similarity), "settled")
 
 
 def removed_lines(
@@ -230,7 +234,7 @@ def removed_lines(
     same id and text are one text, of which no copy is earlier; rows of one id with other texts are
     ordered by the hash of the text. Null ids come first. Null texts have one empty line.
     """
-    lines = written(_described(docs, similarity, min_words, counters), "lines").dropDuplicates(["doc_id", "mark", "line_no"])
+    lines = written(_described(docs, similarity, min_words, counters), "lines")
     place = F.struct("doc_id", "line_no", "mark")
     classes = written(
         lines.groupBy("cls", "parity").agg(
@@ -239,11 +243,11 @@ def removed_lines(
         "classes",
     )
     one = _first_pass(docs, classes, similarity)
-    settled = written(one.unionByName(_second_pass(docs, classes, one, similarity)).distinct(), "settled")
+    settled = one.unionByName(_second_pass(docs, classes, one, similarity)).distinct()
     state = classes.select("cls", "parity", "first").join(settled.withColumn("gone", F.lit(True)), ["cls", "parity"], "left")
     judged = lines.select("doc_id", "mark", "line_no", "cls", "parity").join(state, ["cls", "parity"])
     gone = judged.filter(F.col("gone").isNotNull() | (place != F.col("first")))
-    return gone.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_list("line_no")).alias("removed"))
+    return written(gone.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set("line_no")).alias("removed")), "removed")
 
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
