@@ -32,7 +32,7 @@ BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500"}
 BUCKET_WORDS = 400_000
 
 #: Pieces that a task of step 3 puts together at once.
-SLICE_WORDS = 500_000
+SLICE_WORDS = 100_000
 
 #: Separates words where they are stored together; this byte is never part of UTF-8.
 SEPARATOR = b"\xff"
@@ -238,7 +238,7 @@ def _put_together(pieces: list[bytes] | None, schema: pa.Schema):
                     tokens = gather(flat, by_number, own).astype("<u4", copy=False)
                     cuts = np.concatenate(([0], np.cumsum(by_number[own], dtype=np.int64)))[ends[at:to] - done]
                     bounds = np.concatenate(([0], cuts)).tolist()
-                    held = memoryview(tokens.tobytes())
+                    held = tokens.tobytes()
                     columns = [
                         doc_ids.values.slice(at, to - at),
                         pa.array([b - a for a, b in zip(bounds, bounds[1:])], pa.int64()),
