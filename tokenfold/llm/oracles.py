@@ -42,4 +42,38 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM f
 """
 
-ORACLES = {"op9_quality_rules": OP9}
+_FOLDED = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+OP6 = f"""
+WITH d AS (SELECT doc_id, {_FOLDED} AS w FROM documents),
+b AS (SELECT item_id, {_FOLDED} AS w FROM benchmark),
+bs AS (SELECT item_id, w, least(10, len(w)) AS size, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM b WHERE len(w) > 0),
+win AS (SELECT item_id, size, array_to_string(w[i:i + size - 1], ' ') AS g FROM bs),
+sizes AS (SELECT DISTINCT size FROM win),
+ds AS (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, sizes WHERE len(w) >= size),
+dg AS (SELECT doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') AS g FROM ds),
+hit AS (SELECT doc_id, i, size, item_id FROM dg JOIN win USING (size, g)),
+marked AS (SELECT doc_id, unnest(range(i, i + size)) AS k, item_id FROM hit),
+sums AS (SELECT doc_id, count(DISTINCT k) AS n_hit, count(DISTINCT item_id) AS n_items,
+  array_to_string(list_sort(list(DISTINCT item_id::VARCHAR)), ',') AS ids FROM marked GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN sums USING (doc_id)
+"""
+
+OP7 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+m AS (SELECT h, max(page_id) AS last FROM p GROUP BY 1),
+b AS (SELECT page_id, html, last, array_to_string(list_transform(range(1, 41), lambda i:
+  substr('0000000100100011010001010110011110001001101010111100110111101111', 4 * (strpos('0123456789abcdef', substr(h, i, 1)) - 1) + 1, 4)), '') AS bits
+  FROM p JOIN m USING (h))
+SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1 + 16 * substr(bits, 5 * j + 1, 1)::INT
+    + 8 * substr(bits, 5 * j + 2, 1)::INT + 4 * substr(bits, 5 * j + 3, 1)::INT + 2 * substr(bits, 5 * j + 4, 1)::INT
+    + substr(bits, 5 * j + 5, 1)::INT)::INT, 1)), '') AS payload_digest,
+  CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to
+FROM b
+"""
+
+ORACLES = {"op6_decontamination": OP6, "op7_warc": OP7, "op9_quality_rules": OP9}
