@@ -9,9 +9,10 @@ A line is the set of its words. Two lines match if their sets' Jaccard similarit
   (positional and length filters), and the parities of the words' hashes bound the difference.
 * Survivors are verified on their whole word sets.
 
-A first pass over the rarest words compares each class with the earliest one that shares a word.
-It settles the many variants of one line, whose pairs are never all made; the second pass looks
-for matches of what is left among all classes.
+A first pass over a few words of each prefix compares each class with a few earlier ones that share
+a word. They are the prefix's last words: in a line with many variants these are what the variants
+share, as the words in which they differ are rarer. So it settles such lines, whose pairs are never
+all made; the second pass looks for matches of what is left among all classes.
 
 Words are compared by 52 bits of their XXH64 hash, so that a word and its rarity are one integer.
 """
@@ -39,8 +40,11 @@ COUNTERS = 1 << 21
 #: Flags by which most rows that a small table cannot have are told before a join.
 FLAGS = 1 << 20
 
-#: Prefix words that the first pass compares.
-FIRST = 2
+#: Words at the prefix's end that the first pass compares.
+LAST = 3
+
+#: With which earlier classes that share a word: the first one, and those so many places before.
+BEFORE = (1, 2, 3, 5, 8)
 
 _HASH_BITS = 52
 _CHUNK = 4096
@@ -163,20 +167,22 @@ def _verified(docs: DataFrame, pairs: DataFrame, similarity: tuple[int, int]) ->
 
 
 def _first_pass(docs: DataFrame, classes: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """Classes (cls, parity) that match the earliest class with one of their rarest words."""
-    entries = classes.select(
-        "cls", "parity", "first", "n", "skipped", F.posexplode(F.slice("prefix", 1, FIRST)).alias("i", "key")
-    ).withColumn("pos", F.col("i") + F.col("skipped"))
-    order = Window.partitionBy("key").orderBy("first", "cls").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    against = F.first_value(F.struct("first", "parity", "n", "pos")).over(order)
-    met = entries.withColumn("against", against).select(
-        "cls", "parity", "n", "pos", F.col("first").alias("first_b"),
-        F.col("against.first").alias("first_a"), F.col("against.parity").alias("a_parity"),
-        F.col("against.n").alias("a_n"), F.col("against.pos").alias("a_pos"),
+    """Classes (cls, parity) that match one of a few earlier ones with one of their prefix's last words."""
+    top, bottom = similarity
+    begin = F.greatest(F.lit(1), F.size("prefix") - (LAST - 1))
+    entries = classes.select("cls", "parity", "first", "n", F.explode(F.slice("prefix", begin, F.lit(LAST))).alias("key"))
+    order = Window.partitionBy("key").orderBy("first", "cls")
+    own = F.struct("first", "parity", "n")
+    earlier = [F.first_value(own).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)), *[F.lag(own, k).over(order) for k in BEFORE]]
+    placed = entries.withColumn("earlier", F.array(*earlier))
+    met = placed.select("cls", "parity", "n", F.col("first").alias("first_b"), F.explode("earlier").alias("against")).select(
+        "cls", "parity", "n", "first_b",
+        F.col("against.first").alias("first_a"), F.col("against.parity").alias("a_parity"), F.col("against.n").alias("a_n"),
     )
     near = met.filter(
         (F.col("first_a") < F.col("first_b"))
-        & _possible("a_", "", similarity)
+        & (bottom * F.col("n") >= top * F.col("a_n"))
+        & (bottom * F.col("a_n") >= top * F.col("n"))
         & _near(F.col("parity"), F.col("a_parity"), F.col("n"), F.col("a_n"), similarity)
     )
     pairs = written(near.select("cls", "parity", "first_a", "first_b").distinct(), "pairs")
@@ -189,19 +195,22 @@ def _second_pass(docs: DataFrame, classes: DataFrame, settled: DataFrame, simila
     flags = _array_of_counts(settled.select(F.xxhash64("cls", "parity").alias("value")), FLAGS)
     may = _flagged(flags, F.xxhash64("cls", "parity"))
     known = classes.filter(may).join(settled.withColumn("known", F.lit(True)), ["cls", "parity"], "left")
-    columns = ["cls", "n", "skipped", "prefix"]
+    columns = ["cls", F.col("first.doc_id").alias("doc_id"), "n", "skipped", "prefix"]
     marked = known.select(*columns, F.col("known").isNull().alias("open")).unionByName(
         classes.filter(~may).select(*columns, F.lit(True).alias("open"))
     )
-    entries = marked.select("cls", "n", "skipped", "open", F.posexplode("prefix").alias("i", "key")).select(
-        "key", "cls", "n", (F.col("i") + F.col("skipped")).alias("pos"), "open"
+    entries = marked.select("cls", "doc_id", "n", "skipped", "open", F.posexplode("prefix").alias("i", "key")).select(
+        "key", "cls", "doc_id", "n", (F.col("i") + F.col("skipped")).alias("pos"), "open"
     )
     # Of two matching sets, the smaller one's share of words that must be common is larger.
     short = entries.filter(F.col("pos") <= F.col("n") - F.ceil(2 * top * F.col("n") / (top + bottom)))
-    x = short.select("key", *[F.col(c).alias(f"x_{c}") for c in ("cls", "n", "pos", "open")])
-    y = entries.select("key", *[F.col(c).alias(f"y_{c}") for c in ("cls", "n", "pos", "open")])
+    x = short.select("key", *[F.col(c).alias(f"x_{c}") for c in ("cls", "doc_id", "n", "pos", "open")])
+    y = entries.select("key", *[F.col(c).alias(f"y_{c}") for c in ("cls", "doc_id", "n", "pos", "open")])
     smaller = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_cls") < F.col("y_cls")))
-    met = x.join(y, "key").filter(smaller & (F.col("x_open") | F.col("y_open")) & _possible("x_", "y_", similarity))
+    # The later one must be open; within one document, or without ids, either may be the later.
+    y_last = F.col("y_open") & F.coalesce(F.col("x_doc_id") <= F.col("y_doc_id"), F.lit(True))
+    x_last = F.col("x_open") & F.coalesce(F.col("y_doc_id") <= F.col("x_doc_id"), F.lit(True))
+    met = x.join(y, "key").filter(smaller & (y_last | x_last) & _possible("x_", "y_", similarity))
     pairs = written(met.select("x_cls", "y_cls").distinct(), "candidates")
     thin = classes.select("cls", "parity", "n", "first")
     a = thin.select(*[F.col(c).alias(f"x_{c}") for c in thin.columns])
