@@ -4,8 +4,8 @@ A line is the set of its words. Two lines match if their sets' Jaccard similarit
 ``SIMILARITY``; a line goes if an earlier line matches it. Earlier is by doc_id, then line number.
 
 * Lines with equal sets are one class; only classes are joined.
-* Each class orders its words by rarity. Classes that match share a word among the first of that
-  order (prefix filter). The words' places and the classes' sizes then bound the overlap
+* Each class orders its words by rarity. Classes that match share ``COMMON`` words among the first
+  of that order (prefix filter). The words' places and the classes' sizes then bound the overlap
   (positional and length filters), and the parities of the words' hashes bound the difference.
 * Survivors are verified on their whole word sets.
 
@@ -33,6 +33,10 @@ SIMILARITY = (4, 5)
 #: Lines with fewer distinct words stay.
 MIN_WORDS = 5
 
+#: Words that prefixes must have in common. One more lengthens each prefix by a word, and unrelated
+#: lines rarely share two rare words. Where sets are so small that fewer shared words make a match, it is one.
+COMMON = 2
+
 #: Counters of the words' frequencies, 4 bytes each. Words share counters; any total order of words
 #: gives the same result, so this number only decides how selective the prefixes are.
 COUNTERS = 1 << 21
@@ -57,11 +61,19 @@ def _lines(docs: DataFrame) -> DataFrame:
     return split.select("doc_id", "mark", F.posexplode("lines").alias("line_no", "line"))
 
 
-def _hashes(line: Column) -> Column:
-    """The hashes of a line's words in lower case; words end at spaces, tabs and carriage returns."""
+def _words(line: Column) -> Column:
+    """A line's words in lower case, empty ones among them; words end at spaces, tabs and carriage returns."""
     spaced = F.replace(F.replace(line, F.lit("\t"), F.lit(" ")), F.lit("\r"), F.lit(" "))
-    words = F.array_remove(F.split(F.lower(spaced), " "), "")
-    return F.transform(words, lambda w: F.xxhash64(w).bitwiseAND(F.lit((1 << _HASH_BITS) - 1)))
+    return F.split(F.lower(spaced), " ")
+
+
+def _hash(word: Column) -> Column:
+    return F.xxhash64(word).bitwiseAND(F.lit((1 << _HASH_BITS) - 1))
+
+
+def _hashes(line: Column) -> Column:
+    """The hashes of a line's words."""
+    return F.transform(F.array_remove(_words(line), ""), _hash)
 
 
 def _slot(value: Column, size: int) -> Column:
@@ -89,10 +101,16 @@ def _flagged(flags: Column, value: Column) -> Column:
     return F.get(flags, _slot(value, FLAGS)) > 0
 
 
-def _prefix(n: Column, similarity: tuple[int, int]) -> Column:
-    """How many of a set's rarest words meet those of any set that matches it."""
+def _common(similarity: tuple[int, int], min_words: int) -> int:
+    """``COMMON``, or fewer where sets of ``min_words`` words match with fewer."""
+    top, bottom = similarity
+    return max(1, min(COMMON, -(-top * min_words // bottom)))
+
+
+def _prefix(n: Column, similarity: tuple[int, int], common: int) -> Column:
+    """How many of a set's rarest words hold ``common`` ones of any set that matches it."""
     top, bottom = similarity
-    return n - F.ceil(top * n / bottom) + 1
+    return n - F.ceil(top * n / bottom) + common
 
 
 def _described(docs: DataFrame, similarity: tuple[int, int], min_words: int, counters: int) -> DataFrame:
@@ -101,7 +119,7 @@ def _described(docs: DataFrame, similarity: tuple[int, int], min_words: int, cou
     ``prefix`` leaves out the leading words that no other line has; ``skipped`` counts them.
     """
     lines = _lines(docs)
-    words = lines.select(F.explode(_hashes(F.col("line"))).alias("value"))
+    words = lines.select(F.explode(_words(F.col("line"))).alias("word")).filter("word != ''").select(_hash(F.col("word")).alias("value"))
     levels = _array_of_counts(words, counters, lambda n: F.shiftleft(F.floor(F.log2(n + F.lit(1.0)) * 60).cast("long"), _HASH_BITS))
     sets = lines.select("doc_id", "mark", "line_no", F.array_distinct(_hashes(F.col("line"))).alias("words"))
     # As a row of an exploded array, a set is not made anew for a filter that is pushed below it.
@@ -119,7 +137,7 @@ def _described(docs: DataFrame, similarity: tuple[int, int], min_words: int, cou
     )
     first = keyed.select(
         "doc_id", "mark", "line_no", "n", F.xxhash64("keys").alias("cls"), parity.alias("parity"),
-        F.slice("keys", F.lit(1), _prefix(F.col("n"), similarity).cast("int")).alias("head"),
+        F.slice("keys", F.lit(1), _prefix(F.col("n"), similarity, _common(similarity, min_words)).cast("int")).alias("head"),
     )
     alone = F.lit(60 + 1).cast("long")  # the level of a count of one is 60
     kept = F.filter("head", lambda k: F.shiftright(k, _HASH_BITS) >= alone)
@@ -131,11 +149,14 @@ def _one_bit(key: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(key, 11).bitwiseAND(F.lit(63)).cast("int"))
 
 
-def _possible(a: str, b: str, similarity: tuple[int, int]) -> Column:
-    """Length and positional filters of two prefix entries; the columns are n and pos under two prefixes."""
+def _possible(a: str, b: str, similarity: tuple[int, int], common: int) -> Column:
+    """Length and positional filters of two prefix entries; the columns are n and pos under two prefixes.
+
+    Of matching sets the first ``common`` shared words pass: at most ``common - 1`` precede one of them.
+    """
     top, bottom = similarity
     n_a, n_b, pos_a, pos_b = (F.col(c) for c in (f"{a}n", f"{b}n", f"{a}pos", f"{b}pos"))
-    most = 1 + F.least(n_a - pos_a - 1, n_b - pos_b - 1)
+    most = common + F.least(n_a - pos_a - 1, n_b - pos_b - 1)
     return (bottom * n_a >= top * n_b) & (bottom * n_b >= top * n_a) & ((top + bottom) * most >= top * (n_a + n_b))
 
 
@@ -189,7 +210,7 @@ def _first_pass(docs: DataFrame, classes: DataFrame, similarity: tuple[int, int]
     return written(_verified(docs, pairs, similarity), "settled")
 
 
-def _second_pass(docs: DataFrame, classes: DataFrame, settled: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+def _second_pass(docs: DataFrame, classes: DataFrame, settled: DataFrame, similarity: tuple[int, int], common: int) -> DataFrame:
     """Classes (cls, parity) not settled yet that match any earlier class."""
     top, bottom = similarity
     flags = _array_of_counts(settled.select(F.xxhash64("cls", "parity").alias("value")), FLAGS)
@@ -203,15 +224,16 @@ def _second_pass(docs: DataFrame, classes: DataFrame, settled: DataFrame, simila
         "key", "cls", "doc_id", "n", (F.col("i") + F.col("skipped")).alias("pos"), "open"
     )
     # Of two matching sets, the smaller one's share of words that must be common is larger.
-    short = entries.filter(F.col("pos") <= F.col("n") - F.ceil(2 * top * F.col("n") / (top + bottom)))
+    short = entries.filter(F.col("pos") <= F.col("n") - F.ceil(2 * top * F.col("n") / (top + bottom)) + common - 1)
     x = short.select("key", *[F.col(c).alias(f"x_{c}") for c in ("cls", "doc_id", "n", "pos", "open")])
     y = entries.select("key", *[F.col(c).alias(f"y_{c}") for c in ("cls", "doc_id", "n", "pos", "open")])
     smaller = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_cls") < F.col("y_cls")))
     # The later one must be open; within one document, or without ids, either may be the later.
     y_last = F.col("y_open") & F.coalesce(F.col("x_doc_id") <= F.col("y_doc_id"), F.lit(True))
     x_last = F.col("x_open") & F.coalesce(F.col("y_doc_id") <= F.col("x_doc_id"), F.lit(True))
-    met = x.join(y, "key").filter(smaller & (y_last | x_last) & _possible("x_", "y_", similarity))
-    pairs = written(met.select("x_cls", "y_cls").distinct(), "candidates")
+    met = x.join(y, "key").filter(smaller & (y_last | x_last) & _possible("x_", "y_", similarity, common))
+    often = met.groupBy("x_cls", "y_cls").agg(F.count("*").alias("shared")).filter(F.col("shared") >= common)
+    pairs = written(often.select("x_cls", "y_cls"), "candidates")
     thin = classes.select("cls", "parity", "n", "first")
     a = thin.select(*[F.col(c).alias(f"x_{c}") for c in thin.columns])
     b = thin.select(*[F.col(c).alias(f"y_{c}") for c in thin.columns])
@@ -252,7 +274,7 @@ def removed_lines(
         "classes",
     )
     one = _first_pass(docs, classes, similarity)
-    settled = one.unionByName(_second_pass(docs, classes, one, similarity)).distinct()
+    settled = one.unionByName(_second_pass(docs, classes, one, similarity, _common(similarity, min_words))).distinct()
     state = classes.select("cls", "parity", "first").join(settled.withColumn("gone", F.lit(True)), ["cls", "parity"], "left")
     judged = lines.select("doc_id", "mark", "line_no", "cls", "parity").join(state, ["cls", "parity"])
     gone = judged.filter(F.col("gone").isNotNull() | (place != F.col("first")))
