@@ -65,6 +65,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Written tables that are deleted when the block ends.
+
+    What leaves the block must itself be written, elsewhere: no plan may read these tables afterwards.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self._spark, self._paths = spark, []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        """Like ``written``, for the block."""
+        path = scratch_path(self._spark, name)
+        self._paths.append(path)
+        with settings(self._spark, _WRITING):
+            df.write.option("compression", "zstd").parquet(path)
+        return self._spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        context = self._spark.sparkContext
+        for path in self._paths:
+            held = context._jvm.org.apache.hadoop.fs.Path(path)
+            held.getFileSystem(context._jsc.hadoopConfiguration()).delete(held, True)
+
+
 def written_in_buckets(df: DataFrame, name: str, column: str, conf: dict[str, str] | None = None) -> DataFrame:
     """Like ``written``, in as many buckets by ``column`` as a shuffle has partitions.
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tokenfold.llm.common import written
+from tokenfold.llm.common import Scratch, written
 
 #: Similarity from which a later line goes, as numerator and denominator.
 SIMILARITY = (4, 5)
@@ -187,7 +187,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, similarity: tuple[int, int]) ->
     return sets.filter(bottom * shared >= top * (F.size("a") + F.size("b") - shared)).select("cls", "parity").distinct()
 
 
-def _first_pass(docs: DataFrame, classes: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+def _first_pass(docs: DataFrame, classes: DataFrame, similarity: tuple[int, int], scratch: Scratch) -> DataFrame:
     """Classes (cls, parity) that match one of a few earlier ones with one of their prefix's last words."""
     top, bottom = similarity
     begin = F.greatest(F.lit(1), F.size("prefix") - (LAST - 1))
@@ -206,11 +206,14 @@ def _first_pass(docs: DataFrame, classes: DataFrame, similarity: tuple[int, int]
         & (bottom * F.col("a_n") >= top * F.col("n"))
         & _near(F.col("parity"), F.col("a_parity"), F.col("n"), F.col("a_n"), similarity)
     )
-    pairs = written(near.select("cls", "parity", "first_a", "first_b").distinct(), "pairs")
-    return written(_verified(docs, pairs, similarity), "settled")
+    with Scratch(docs.sparkSession) as own:
+        pairs = own.written(near.select("cls", "parity", "first_a", "first_b").distinct(), "pairs")
+        return scratch.written(_verified(docs, pairs, similarity), "settled")
 
 
-def _second_pass(docs: DataFrame, classes: DataFrame, settled: DataFrame, similarity: tuple[int, int], common: int) -> DataFrame:
+def _second_pass(
+    docs: DataFrame, classes: DataFrame, settled: DataFrame, similarity: tuple[int, int], common: int, scratch: Scratch
+) -> DataFrame:
     """Classes (cls, parity) not settled yet that match any earlier class."""
     top, bottom = similarity
     flags = _array_of_counts(settled.select(F.xxhash64("cls", "parity").alias("value")), FLAGS)
@@ -233,24 +236,25 @@ def _second_pass(docs: DataFrame, classes: DataFrame, settled: DataFrame, simila
     x_last = F.col("x_open") & F.coalesce(F.col("y_doc_id") <= F.col("x_doc_id"), F.lit(True))
     met = x.join(y, "key").filter(smaller & (y_last | x_last) & _possible("x_", "y_", similarity, common))
     often = met.groupBy("x_cls", "y_cls").agg(F.count("*").alias("shared")).filter(F.col("shared") >= common)
-    pairs = written(often.select("x_cls", "y_cls"), "candidates")
-    thin = classes.select("cls", "parity", "n", "first")
-    a = thin.select(*[F.col(c).alias(f"x_{c}") for c in thin.columns])
-    b = thin.select(*[F.col(c).alias(f"y_{c}") for c in thin.columns])
-    near = (
-        pairs.join(a, "x_cls")
-        .join(b, "y_cls")
-        .filter(_near(F.col("x_parity"), F.col("y_parity"), F.col("x_n"), F.col("y_n"), similarity))
-    )
-    x_later = F.col("x_first") > F.col("y_first")
-    ordered = near.select(
-        F.when(x_later, F.col("x_cls")).otherwise(F.col("y_cls")).alias("cls"),
-        F.when(x_later, F.col("x_parity")).otherwise(F.col("y_parity")).alias("parity"),
-        F.least("x_first", "y_first").alias("first_a"),
-        F.greatest("x_first", "y_first").alias("first_b"),
-    )
-    pairs = written(ordered, "pairs")
-    return written(_verified(docs, pairs, similarity), "settled")
+    with Scratch(docs.sparkSession) as own:
+        pairs = own.written(often.select("x_cls", "y_cls"), "candidates")
+        thin = classes.select("cls", "parity", "n", "first")
+        a = thin.select(*[F.col(c).alias(f"x_{c}") for c in thin.columns])
+        b = thin.select(*[F.col(c).alias(f"y_{c}") for c in thin.columns])
+        near = (
+            pairs.join(a, "x_cls")
+            .join(b, "y_cls")
+            .filter(_near(F.col("x_parity"), F.col("y_parity"), F.col("x_n"), F.col("y_n"), similarity))
+        )
+        x_later = F.col("x_first") > F.col("y_first")
+        ordered = near.select(
+            F.when(x_later, F.col("x_cls")).otherwise(F.col("y_cls")).alias("cls"),
+            F.when(x_later, F.col("x_parity")).otherwise(F.col("y_parity")).alias("parity"),
+            F.least("x_first", "y_first").alias("first_a"),
+            F.greatest("x_first", "y_first").alias("first_b"),
+        )
+        pairs = own.written(ordered, "pairs")
+        return scratch.written(_verified(docs, pairs, similarity), "settled")
 
 
 def removed_lines(
@@ -265,20 +269,21 @@ def removed_lines(
     same id and text are one text, of which no copy is earlier; rows of one id with other texts are
     ordered by the hash of the text. Null ids come first. Null texts have one empty line.
     """
-    lines = written(_described(docs, similarity, min_words, counters), "lines")
     place = F.struct("doc_id", "line_no", "mark")
-    classes = written(
-        lines.groupBy("cls", "parity").agg(
-            F.min(place).alias("first"), F.first("n").alias("n"), F.first("skipped").alias("skipped"), F.first("prefix").alias("prefix")
-        ),
-        "classes",
-    )
-    one = _first_pass(docs, classes, similarity)
-    settled = one.unionByName(_second_pass(docs, classes, one, similarity, _common(similarity, min_words))).distinct()
-    state = classes.select("cls", "parity", "first").join(settled.withColumn("gone", F.lit(True)), ["cls", "parity"], "left")
-    judged = lines.select("doc_id", "mark", "line_no", "cls", "parity").join(state, ["cls", "parity"])
-    gone = judged.filter(F.col("gone").isNotNull() | (place != F.col("first")))
-    return written(gone.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set("line_no")).alias("removed")), "removed")
+    with Scratch(docs.sparkSession) as scratch:
+        lines = scratch.written(_described(docs, similarity, min_words, counters), "lines")
+        classes = scratch.written(
+            lines.groupBy("cls", "parity").agg(
+                F.min(place).alias("first"), F.first("n").alias("n"), F.first("skipped").alias("skipped"), F.first("prefix").alias("prefix")
+            ),
+            "classes",
+        )
+        one = _first_pass(docs, classes, similarity, scratch)
+        settled = one.unionByName(_second_pass(docs, classes, one, similarity, _common(similarity, min_words), scratch)).distinct()
+        state = classes.select("cls", "parity", "first").join(settled.withColumn("gone", F.lit(True)), ["cls", "parity"], "left")
+        judged = lines.select("doc_id", "mark", "line_no", "cls", "parity").join(state, ["cls", "parity"])
+        gone = judged.filter(F.col("gone").isNotNull() | (place != F.col("first")))
+        return written(gone.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set("line_no")).alias("removed")), "removed")
 
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
