@@ -215,7 +215,6 @@ def _second_pass(
     docs: DataFrame, classes: DataFrame, settled: DataFrame, similarity: tuple[int, int], common: int, scratch: Scratch
 ) -> DataFrame:
     """Classes (cls, parity) not settled yet that match any earlier class."""
-    top, bottom = similarity
     flags = _array_of_counts(settled.select(F.xxhash64("cls", "parity").alias("value")), FLAGS)
     may = _flagged(flags, F.xxhash64("cls", "parity"))
     known = classes.filter(may).join(settled.withColumn("known", F.lit(True)), ["cls", "parity"], "left")
@@ -226,10 +225,8 @@ def _second_pass(
     entries = marked.select("cls", "doc_id", "n", "skipped", "open", F.posexplode("prefix").alias("i", "key")).select(
         "key", "cls", "doc_id", "n", (F.col("i") + F.col("skipped")).alias("pos"), "open"
     )
-    # Of two matching sets, the smaller one's share of words that must be common is larger.
-    short = entries.filter(F.col("pos") <= F.col("n") - F.ceil(2 * top * F.col("n") / (top + bottom)) + common - 1)
-    x = short.select("key", *[F.col(c).alias(f"x_{c}") for c in ("cls", "doc_id", "n", "pos", "open")])
-    y = entries.select("key", *[F.col(c).alias(f"y_{c}") for c in ("cls", "doc_id", "n", "pos", "open")])
+    # Both sides are the same rows, so that they are shuffled once; the positional filter shortens the prefixes.
+    x, y = (entries.select("key", *[F.col(c).alias(f"{side}_{c}") for c in ("cls", "doc_id", "n", "pos", "open")]) for side in "xy")
     smaller = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_cls") < F.col("y_cls")))
     # The later one must be open; within one document, or without ids, either may be the later.
     y_last = F.col("y_open") & F.coalesce(F.col("x_doc_id") <= F.col("y_doc_id"), F.lit(True))
@@ -271,17 +268,15 @@ def removed_lines(
     """
     place = F.struct("doc_id", "line_no", "mark")
     with Scratch(docs.sparkSession) as scratch:
-        lines = scratch.written(_described(docs, similarity, min_words, counters), "lines")
-        classes = scratch.written(
-            lines.groupBy("cls", "parity").agg(
-                F.min(place).alias("first"), F.first("n").alias("n"), F.first("skipped").alias("skipped"), F.first("prefix").alias("prefix")
-            ),
-            "classes",
-        )
+        with Scratch(docs.sparkSession) as own:
+            described = own.written(_described(docs, similarity, min_words, counters), "described")
+            same = [F.first(c).alias(c) for c in ("n", "skipped", "prefix")]
+            classes = scratch.written(described.groupBy("cls", "parity").agg(F.min(place).alias("first"), *same), "classes")
+            lines = scratch.written(described.select("doc_id", "mark", "line_no", "cls", "parity"), "lines")
         one = _first_pass(docs, classes, similarity, scratch)
         settled = one.unionByName(_second_pass(docs, classes, one, similarity, _common(similarity, min_words), scratch)).distinct()
         state = classes.select("cls", "parity", "first").join(settled.withColumn("gone", F.lit(True)), ["cls", "parity"], "left")
-        judged = lines.select("doc_id", "mark", "line_no", "cls", "parity").join(state, ["cls", "parity"])
+        judged = lines.join(state, ["cls", "parity"])
         gone = judged.filter(F.col("gone").isNotNull() | (place != F.col("first")))
         return written(gone.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set("line_no")).alias("removed")), "removed")
 
