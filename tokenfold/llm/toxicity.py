@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tokenfold.llm.common import SPACE_CLASS, written
+
 #: Insults that vote for "toxic" without any label (fixed values).
 LEXICON = (
     "clown", "coward", "creep", "disgusting", "dumb", "failure", "filth", "fool", "garbage",
@@ -30,6 +32,9 @@ FIT_ROWS = 20_000
 #: of all toxic rows), and their share of the rows that have it.
 VOTERS, SUPPORT, SUPPORT_SHARE, PRECISION = 400, 4, 0.01, 0.8
 
+#: Texts are copies if their smallest hashes of so many words in a row, so many of them, all agree.
+COPY_WORDS, COPY_HASHES = 3, 8
+
 #: Lengths of word beginnings; a whole word is a pattern too.
 PREFIXES = (4, 5, 6)
 
@@ -81,10 +86,12 @@ class Model:
 
 
 def fit_sample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
-    """Up to ``rows`` labelled documents that are not held out: doc_id, toxic, text.
+    """Up to ``rows`` labelled documents that are not held out: doc_id, toxic, text; a written table.
 
-    The sample's ids are at most ``rows``, so that side is broadcast. Of rows whose words have the
-    same smallest hash one stays: copies would make every word of theirs a pattern.
+    The sample's ids are at most ``rows``, so that side is broadcast. Of copies with the same label
+    the one with the smallest id stays: copies would make every word of theirs a pattern. Texts that
+    share a part J of their shingles count as copies with a chance of J to the power of
+    ``COPY_HASHES``; texts with fewer shingles than that, only if all of them are the same.
     """
     usable = (
         labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)")
@@ -94,9 +101,19 @@ def fit_sample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Data
     )
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    words = F.split(F.lower(F.coalesce("text", F.lit(""))), " ")
-    mark = F.array_min(F.transform(words, lambda w: F.xxhash64(w)))
-    return texts.withColumn("mark", mark).dropDuplicates(["mark"]).select("doc_id", "toxic", "text")
+    words = F.array_remove(F.split(F.lower(F.coalesce("text", F.lit(""))), f"{SPACE_CLASS}+"), "")
+    split = texts.withColumn("words", words)
+    hashes = F.when(
+        F.size("words") >= COPY_WORDS,
+        F.transform(
+            F.sequence(F.lit(0), F.size("words") - COPY_WORDS),
+            lambda i: F.xxhash64(F.concat_ws(" ", *[F.get(F.col("words"), i + k) for k in range(COPY_WORDS)])),
+        ),
+    ).otherwise(F.array(F.xxhash64(F.array_join("words", " "))))
+    mark = F.slice(F.sort_array(F.array_distinct(hashes)), 1, COPY_HASHES)
+    marked = split.select(mark.alias("mark"), "toxic", F.struct("doc_id", "text").alias("row"))
+    kept = marked.groupBy("mark", "toxic").agg(F.min("row").alias("row"))
+    return written(kept.select("row.doc_id", "toxic", "row.text"), "fit_sample")
 
 
 def mine_voters(sample: DataFrame) -> list[str]:
