@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tokenfold.llm import toxicity
 
 
@@ -21,3 +22,30 @@ def test_fit_sample_drops_copies_only(spark):
     got = toxicity.fit_sample(docs, labels).collect()
     assert sorted(r.doc_id for r in got) == sorted(first.values()) and len(got) > 60
     assert all(r.text == text_of[r.doc_id] and r.toxic == int(r.doc_id % 7 == 0) for r in got)
+
+
+def test_near_duplicate_stage_finds_copies_at_four_fifths(spark):
+    chance = random.Random(9)
+    vocab = [f"w{k}" for k in range(3000)]
+    rows, copies = [], set()
+    for k in range(40):
+        words = [chance.choice(vocab) for _ in range(200)]
+        other = list(words)
+        for at in (20, 80, 140):  # 15 of 196 shingles differ: Jaccard 181 / 211
+            other[at] = "x"
+        far = list(words)
+        for at in range(10, 200, 20):  # 50 of 196 shingles differ: Jaccard 146 / 246
+            far[at] = "y"
+        rows += [(3 * k, " ".join(words)), (3 * k + 1, " ".join(other)), (3 * k + 2, " ".join(far))]
+        copies.add(3 * k + 1)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {r.doc_id for r in corpus_pipeline.keep_one_of_each(spark, docs, "").collect()}
+    assert left == {i for i, _ in rows} - copies
+
+
+def test_near_duplicate_stage_tells_texts_of_one_id_apart(spark):
+    one, two = (" ".join(f"{c}{k}" for k in range(30)) for c in "ab")
+    rows = [(1, one), (1, two), (1, two), (0, two), (2, ""), (3, None), (None, one)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = corpus_pipeline.keep_one_of_each(spark, docs, "").collect()
+    assert sorted((r.doc_id if r.doc_id is not None else -1, r.text or "") for r in left) == [(-1, one), (0, two), (1, one), (2, "")]

@@ -17,6 +17,7 @@ from string import ascii_lowercase, ascii_uppercase
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tokenfold.llm.common import SPACE_CLASS, written
 
@@ -24,6 +25,16 @@ SHINGLE = 3
 BUDGET = 2
 BITS = 64
 
+#: Of near copies: words of a shingle, and the Jaccard similarity of the shingle sets as numerator and denominator.
+COPY_SHINGLE, SIMILARITY = 5, (4, 5)
+
+#: Min-hashes by which texts become candidates: bands, and rows of a band. A pair at 0.8 shares a
+#: band with a chance of 1 - (1 - 0.8^5)^24, over 0.9999.
+BANDS, ROWS = 24, 5
+
+#: With which earlier texts of a band's bucket a text is compared: the first one, and those so many places before.
+BEFORE = (1, 2, 3)
+
 
 def _words(text: Column) -> Column:
     """The words of a text with A to Z lower-cased."""
@@ -49,6 +60,18 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
 
 
+def _shingles(size: int) -> Column:
+    """The hashes of the shingles of the column ``words``; null without words."""
+    n = F.size("words")
+    return F.when(
+        n >= size,
+        F.transform(
+            F.sequence(F.lit(0), n - size),
+            lambda i: F.xxhash64(F.concat_ws(" ", *[F.get(F.col("words"), i + k) for k in range(size)])),
+        ),
+    ).when(n > 0, F.array(F.xxhash64(F.array_join("words", " "))))
+
+
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """One row per document row: doc_id and fp, its fingerprint as a signed 64-bit integer.
 
@@ -56,20 +79,7 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     shingle are one shingle; null, empty and wordless texts have fingerprint 0.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    split = docs.select("doc_id", _words(F.col("text").cast("string")).alias("words"))
-    counted = split.withColumn("n", F.size("words"))
-    hashed = counted.select(
-        "doc_id",
-        F.when(
-            F.col("n") >= size,
-            F.transform(
-                F.sequence(F.lit(0), F.col("n") - size),
-                lambda i: F.xxhash64(F.concat_ws(" ", *[F.get(F.col("words"), i + k) for k in range(size)])),
-            ),
-        )
-        .when(F.col("n") > 0, F.array(F.xxhash64(F.array_join("words", " "))))
-        .alias("hashes"),
-    )
+    hashed = docs.select("doc_id", _words(F.col("text").cast("string")).alias("words")).select("doc_id", _shingles(size).alias("hashes"))
     return hashed.mapInArrow(_fingerprints, f"doc_id {id_type}, fp long")
 
 
@@ -172,3 +182,65 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, budget: int = BUDGET)
         "fp", F.coalesce("component", "rep").alias("component_id")
     )
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A key per band of each row's shingle hashes; rows without any are left out."""
+    import numpy as np
+
+    draw = np.random.default_rng(7)
+    odd, mask = (draw.integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64) for _ in range(2))
+    odd = 2 * odd + np.uint64(1)
+    mix = 2 * draw.integers(0, 1 << 63, (BANDS, ROWS), np.uint64) + np.uint64(1)
+    for batch in batches:
+        # Left out here, as a filter in the plan would be pushed below the shingles and make them anew.
+        batch, keys = batch.filter(batch.column(1).is_valid()), []
+        for row in batch.column(1):
+            own = row.values.to_numpy(zero_copy_only=False).view(np.uint64)
+            least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+            for k in range(0, len(own), 4096):
+                least = np.minimum(least, ((own[k : k + 4096] ^ mask) * odd).min(1))
+            keys.append((least.reshape(BANDS, ROWS) * mix).sum(1, dtype=np.uint64).view(np.int64))
+        flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
+        at = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(at, flat)], ["node", "keys"])
+
+
+def _similar(texts: DataFrame, pairs: DataFrame, size: int, similarity: tuple[int, int]) -> DataFrame:
+    """Of written ``pairs`` (a, b: nodes of ``texts``) those whose shingle sets match; sets without shingles match each other."""
+    top, bottom = similarity
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    own = F.coalesce(_shingles(size), F.array().cast("array<bigint>"))
+    sets = texts.join(needed, "node").select("node", _words(F.col("text")).alias("words")).select("node", F.array_distinct(own).alias("set"))
+    a, b = (sets.select(F.col("node").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
+    shared = F.size(F.array_intersect("set_a", "set_b"))
+    return pairs.join(a, "a").join(b, "b").filter(bottom * shared >= top * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b")
+
+
+def near_copies(docs: DataFrame, size: int = COPY_SHINGLE, similarity: tuple[int, int] = SIMILARITY, budget: int = BUDGET) -> DataFrame:
+    """(doc_id, mark, component) per different text and id: mark is the text's hash, component the smallest (doc_id, mark) of its group.
+
+    Texts link if the Jaccard similarity of their shingle sets is at least ``similarity``. Candidates
+    are pairs of fingerprints within ``budget`` differing bits, and texts that share a band of
+    min-hashes; of a bucket of many texts not all pairs are made, but each text meets a few earlier ones.
+    Every link is verified on the whole sets. Rows without doc_id are left out.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.filter("doc_id IS NOT NULL").select("doc_id", F.xxhash64(text).alias("mark"), text.alias("text"))
+    own = F.struct("doc_id", "mark")
+    places = written(rows.select("doc_id", "mark").distinct(), "places")
+    texts = written(rows.groupBy("mark").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text")).select(own.alias("node"), "text"), "texts")
+    prints = written(fingerprints(texts.select(F.col("node").alias("doc_id"), "text"), size).select(F.col("doc_id").alias("node"), "fp"), "fingerprints")
+    classes = written(prints.groupBy("fp").agg(F.min("node").alias("rep")), "classes")
+    equal = prints.join(classes, "fp").filter("node > rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    hashed = texts.select("node", _words(F.col("text")).alias("words")).select("node", _shingles(size).alias("hashes"))
+    node_type = texts.schema["node"].dataType.simpleString()
+    entries = hashed.mapInArrow(_bands, f"node {node_type}, keys array<bigint>").select("node", F.posexplode("keys").alias("band", "key"))
+    order = Window.partitionBy("band", "key").orderBy("node")
+    first = F.first_value("node").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    met = entries.select("node", F.array(first, *[F.lag("node", k).over(order) for k in BEFORE]).alias("earlier"))
+    banded = met.select(F.explode("earlier").alias("a"), F.col("node").alias("b")).filter("a < b")
+    pairs = written(linked(classes, budget).unionByName(equal).unionByName(banded).distinct(), "pairs")
+    found = components(_similar(texts, pairs, size, similarity))
+    named = texts.join(found, "node", "left").select(F.col("node.mark").alias("mark"), F.coalesce("component", "node").alias("component"))
+    return places.join(named, "mark").select("doc_id", "mark", "component")
