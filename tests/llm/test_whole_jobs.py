@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tokenfold.llm import toxicity
+from tokenfold.llm import queries, toxicity
 
 
 def test_fit_sample_drops_copies_only(spark):
@@ -49,3 +49,21 @@ def test_near_duplicate_stage_tells_texts_of_one_id_apart(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     left = corpus_pipeline.keep_one_of_each(spark, docs, "").collect()
     assert sorted((r.doc_id if r.doc_id is not None else -1, r.text or "") for r in left) == [(-1, one), (0, two), (1, one), (2, "")]
+
+
+def test_lines_of_few_distinct_words_are_compared(spark, tmp_path):
+    texts = [
+        "Intro\n\nla la la la la\na b c d e", "intro\n\nA b  c d\nla x", "你好世界\nd c b a", "你好世界\n\nla",
+        "a b c\nx y z", "c b a\na b\nx y w\n",
+    ]
+    seen, expected = [], {}
+    for i, text in enumerate(texts):
+        for k, line in enumerate(text.split("\n")):
+            words = set(line.lower().split())
+            if words:
+                if any(5 * len(words & o) >= 4 * len(words | o) for o in seen):
+                    expected.setdefault(i, []).append(str(k))
+                seen.append(words)
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.removed_lines for r in queries.op2_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {i: ",".join(expected.get(i, [])) for i in range(len(texts))} and len(expected) == 4

@@ -33,6 +33,9 @@ SIMILARITY = (4, 5)
 #: Lines with fewer distinct words stay.
 MIN_WORDS = 5
 
+#: As ``min_words``: every line that isn't blank is compared.
+NON_BLANK = 1
+
 #: Words that prefixes must have in common. One more lengthens each prefix by a word, and unrelated
 #: lines rarely share two rare words. Where sets are so small that fewer shared words make a match, it is one.
 COMMON = 2
@@ -101,10 +104,16 @@ def _flagged(flags: Column, value: Column) -> Column:
     return F.get(flags, _slot(value, FLAGS)) > 0
 
 
+def _least_joined(similarity: tuple[int, int], min_words: int) -> int:
+    """Words of the smallest sets that can match other sets than equal ones: with one word less than those."""
+    top, bottom = similarity
+    return max(min_words, -(-top // (bottom - top))) if top < bottom else min_words
+
+
 def _common(similarity: tuple[int, int], min_words: int) -> int:
-    """``COMMON``, or fewer where sets of ``min_words`` words match with fewer."""
+    """``COMMON``, or fewer where sets that are joined match with fewer."""
     top, bottom = similarity
-    return max(1, min(COMMON, -(-top * min_words // bottom)))
+    return max(1, min(COMMON, -(-top * _least_joined(similarity, min_words) // bottom)))
 
 
 def _prefix(n: Column, similarity: tuple[int, int], common: int) -> Column:
@@ -116,7 +125,8 @@ def _prefix(n: Column, similarity: tuple[int, int], common: int) -> Column:
 def _described(docs: DataFrame, similarity: tuple[int, int], min_words: int, counters: int) -> DataFrame:
     """Per line with enough words: its place, n, cls and parity of its set, and its prefix.
 
-    ``prefix`` leaves out the leading words that no other line has; ``skipped`` counts them.
+    ``prefix`` leaves out the leading words that no other line has; ``skipped`` counts them. Sets so
+    small that only equal ones match have no prefix.
     """
     lines = _lines(docs)
     words = lines.select(F.explode(_words(F.col("line"))).alias("word")).filter("word != ''").select(_hash(F.col("word")).alias("value"))
@@ -135,9 +145,10 @@ def _described(docs: DataFrame, similarity: tuple[int, int], min_words: int, cou
     parity = F.aggregate(
         "keys", F.lit(0).cast("long"), lambda held, k: held.bitwiseXOR(_one_bit(k))
     )
+    least, length = _least_joined(similarity, min_words), _prefix(F.col("n"), similarity, _common(similarity, min_words))
     first = keyed.select(
         "doc_id", "mark", "line_no", "n", F.xxhash64("keys").alias("cls"), parity.alias("parity"),
-        F.slice("keys", F.lit(1), _prefix(F.col("n"), similarity, _common(similarity, min_words)).cast("int")).alias("head"),
+        F.slice("keys", F.lit(1), F.when(F.col("n") >= least, length).otherwise(0).cast("int")).alias("head"),
     )
     alone = F.lit(60 + 1).cast("long")  # the level of a count of one is 60
     kept = F.filter("head", lambda k: F.shiftright(k, _HASH_BITS) >= alone)

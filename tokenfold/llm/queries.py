@@ -28,7 +28,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document that an earlier line of the corpus matches, by their numbers."""
-    found = line_dedup.summary(table(spark, sf_dir, "documents"))
+    found = line_dedup.summary(table(spark, sf_dir, "documents"), min_words=line_dedup.NON_BLANK)
     return found.select("doc_id", "n_lines", "n_removed", F.array_join("removed", ",").alias("removed_lines"))
 
 
