@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tokenfold.llm import queries, toxicity
+from tokenfold.llm import queries, toxicity, url_filters
 
 
 def test_fit_sample_drops_copies_only(spark):
@@ -67,3 +67,13 @@ def test_lines_of_few_distinct_words_are_compared(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.removed_lines for r in queries.op2_line_dedup(spark, str(tmp_path)).collect()}
     assert got == {i: ",".join(expected.get(i, [])) for i in range(len(texts))} and len(expected) == 4
+
+
+def test_labels_reach_branches_without_rules(spark):
+    """Rules cover /en only: /de takes its siblings' purity, the odd page its host's; other hosts stay."""
+    rules = (url_filters.Rule("block", "bad", "/en/"), url_filters.Rule("allow", "good", "/en/"))
+    paths = [f"/{c}/{k}{end}" for c in ("en", "de") for k in range(40) for end in ("", ".html")] + ["/odd/page", "/"]
+    urls = [f"http://{host}{path}" for host in ("bad", "good", "other") for path in paths]
+    rows = url_filters.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()
+    assert len(rows) == len(urls)
+    assert {(r.host, r.verdict) for r in rows if r.rule is None} == {("bad", "block"), ("good", "allow"), ("other", "allow")}

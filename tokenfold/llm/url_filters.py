@@ -2,8 +2,10 @@
 
 The urls that a rule judges are the labelled ones. Level by level, a node of a host's path tree
 whose children are many and rare makes them one wildcard. Sibling branches of one shape whose
-labels don't differ statistically are merged. A template is rejected if its smoothed share of
-blocked labels is high; templates without labels keep the prior, which allows.
+labels don't differ statistically are merged, from the deepest level to the first. A template is
+rejected if its smoothed share of blocked labels is high. One without labels takes that of its merged
+siblings, else that of its nearest ancestor in the host with several labelled templates; else it keeps
+the prior, which allows.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tokenfold.llm.common import written
 
@@ -51,6 +54,9 @@ SIMILAR = 1.96
 #: Labels that the prior is worth, the prior's blocked share, and the share from which a template is rejected.
 PRIOR_WEIGHT, PRIOR, REJECT = 4.0, 0.5, 0.8
 
+#: Labelled templates below an ancestor from which it speaks for templates without labels.
+MIN_LABELLED = 2
+
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Host with A to Z lower-cased, and path; both empty for null and urls without ``://``."""
@@ -93,19 +99,32 @@ def _generalised(pages: DataFrame) -> DataFrame:
 def template_verdicts(pages: DataFrame) -> DataFrame:
     """(host, template, merged, purity, rejected) of every template of ``pages`` with host, template and label."""
     bad = F.sum(F.when(F.col("label") == "block", 1).otherwise(0))
-    ok = F.sum(F.when(F.col("label") == "allow", 1).otherwise(0))
-    each = pages.groupBy("host", "template").agg(bad.alias("bad"), ok.alias("ok"))
-    shaped = each.withColumn("shape", F.regexp_replace("template", r"^/[^/*]+", "/{}")).withColumn("labels", F.col("bad") + F.col("ok"))
-    siblings = shaped.groupBy("host", "shape").agg(F.sum("bad").alias("all_bad"), F.sum("labels").alias("all_labels"))
-    both = shaped.join(siblings, ["host", "shape"])
-    share = F.try_divide("all_bad", "all_labels")
-    error = F.sqrt(F.try_divide(share * (1 - share), F.col("labels")))
-    alike = F.abs(F.try_divide("bad", "labels") - share) <= SIMILAR * error + 1e-9  # null without labels
-    merged = both.withColumn("merged", F.when(alike, F.col("shape")).otherwise(F.col("template")))
-    sums = merged.groupBy("host", "merged").agg(F.sum("bad").alias("b"), F.sum("labels").alias("n"))
-    purity = (F.col("b") + PRIOR * PRIOR_WEIGHT) / (F.col("n") + PRIOR_WEIGHT)
-    judged = sums.select("host", "merged", purity.alias("purity"), (purity >= REJECT).alias("rejected"))
-    return merged.select("host", "template", "merged").join(judged, ["host", "merged"])
+    each = pages.groupBy("host", "template").agg(bad.alias("bad"), F.count("label").alias("labels"))
+    state = written(each, "templates").withColumn("merged", F.col("template"))
+    for level in reversed(range(LEVELS + 1)):
+        shaped = state.withColumn("shape", F.regexp_replace("merged", f"^((?:/[^/]*){{{level}}})/[^/*]+", "$1/{}"))
+        branch, siblings = Window.partitionBy("host", "merged"), Window.partitionBy("host", "shape")
+        sums = shaped.select(
+            "*", F.sum("bad").over(branch).alias("b"), F.sum("labels").over(branch).alias("n"),
+            F.try_divide(F.sum("bad").over(siblings), F.sum("labels").over(siblings)).alias("share"),
+        )
+        error = F.sqrt(F.try_divide(F.col("share") * (1 - F.col("share")), F.col("n")))
+        alike = F.abs(F.try_divide("b", "n") - F.col("share")) <= SIMILAR * error + 1e-9  # null without labels
+        joins = alike | ((F.col("n") == 0) & F.col("share").isNotNull())
+        state = sums.withColumn("merged", F.when(joins, F.col("shape")).otherwise(F.col("merged"))).drop("shape", "b", "n", "share")
+    branch = Window.partitionBy("host", "merged")
+    own = state.select("*", F.sum("bad").over(branch).alias("b"), F.sum("labels").over(branch).alias("n"))
+    ancestor = F.lit(None).cast("struct<b:bigint,n:bigint>")
+    for level in range(LEVELS + 1):
+        under = Window.partitionBy("host", F.substring_index("template", "/", level + 1))
+        several = F.sum((F.col("labels") > 0).cast("int")).over(under) >= MIN_LABELLED
+        held = F.struct(F.sum("bad").over(under).alias("b"), F.sum("labels").over(under).alias("n"))
+        own = own.withColumn(f"level{level}", F.when(several, held))
+        ancestor = F.coalesce(F.col(f"level{level}"), ancestor)
+    taken = F.when(F.col("n") > 0, F.struct("b", "n")).otherwise(F.coalesce(ancestor, F.struct("b", "n")))
+    chosen = own.select("host", "template", "merged", taken.alias("taken"))
+    purity = (F.col("taken.b") + PRIOR * PRIOR_WEIGHT) / (F.col("taken.n") + PRIOR_WEIGHT)
+    return chosen.select("host", "merged", "template", purity.alias("purity"), (purity >= REJECT).alias("rejected"))
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
