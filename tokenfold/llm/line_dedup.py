@@ -4,17 +4,20 @@ A line is the set of its words. Two lines match if their sets' Jaccard similarit
 ``SIMILARITY``; a line goes if an earlier line matches it. Earlier is by doc_id, then line number.
 
 * Lines with equal sets are one class; only classes are joined.
-* Each class orders its words by rarity. Classes that match share ``COMMON`` words among the first
-  of that order (prefix filter). The words' places and the classes' sizes then bound the overlap
-  (positional and length filters), and the parities of the words' hashes bound the difference.
-* Survivors are verified on their whole word sets.
-
-A first pass over a few words of each prefix compares each class with a few earlier ones that share
-a word. They are the prefix's last words: in a line with many variants these are what the variants
-share, as the words in which they differ are rarer. So it settles such lines, whose pairs are never
-all made; the second pass looks for matches of what is left among all classes.
-
-Words are compared by 52 bits of their XXH64 hash, so that a word and its rarity are one integer.
+* Each class orders its words by rarity. Of classes that match, the smaller one has one of its first
+  words among the first of the larger one (prefix filter; the smaller one's prefix is the shorter).
+  The words' places and the classes' sizes bound the overlap (positional and length filters), and the
+  parities of the words' hashes bound the difference. The join tests all of this itself, so that what
+  leaves it is hardly more than the matching pairs.
+* Survivors are verified on the words of both lines.
+
+Groups of many variants of one line would still give every pair of the group. Therefore each class
+is first held against a few earlier ones that share the last two words of its prefix, which in such
+a group are the words that the variants have in common. A class with such a likely match is no later
+side of the join. Should none of its likely matches hold, a second, small join takes its turn.
+
+A word's place in the order and 52 bits of its XXH64 hash are one integer. Sets count as equal if a
+64-bit hash of these integers and the 64-bit parity agree.
 """
 
 from __future__ import annotations
@@ -36,31 +39,35 @@ MIN_WORDS = 5
 #: As ``min_words``: every line that isn't blank is compared.
 NON_BLANK = 1
 
-#: Words that prefixes must have in common. One more lengthens each prefix by a word, and unrelated
-#: lines rarely share two rare words. Where sets are so small that fewer shared words make a match, it is one.
-COMMON = 2
-
-#: Counters of the words' frequencies, 4 bytes each. Words share counters; any total order of words
+#: Counters of the words' frequencies, 8 bytes each. Words share counters; any total order of words
 #: gives the same result, so this number only decides how selective the prefixes are.
 COUNTERS = 1 << 21
 
 #: Flags by which most rows that a small table cannot have are told before a join.
 FLAGS = 1 << 20
 
-#: Words at the prefix's end that the first pass compares.
-LAST = 3
-
-#: With which earlier classes that share a word: the first one, and those so many places before.
+#: Earlier classes of a family with which a class is compared: the first one, and those so many places before.
 BEFORE = (1, 2, 3, 5, 8)
 
+#: A family is dealt to this many parts at least, and to more so that a part holds no more than so many lines.
+PARTS, PART_LINES = 8, 2_000_000
+
+#: Classes with more than one of so many lines are joined to the lines by broadcast; they are fewer than this.
+HOT_SHARE = 1000
+
 _HASH_BITS = 52
 _CHUNK = 4096
 
+PLACE = ["doc_id", "line_no", "mark"]
+
+
+def _text() -> Column:
+    return F.coalesce(F.col("text").cast("string"), F.lit(""))
+
 
 def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, mark and line_no of every line, with the line; mark tells texts of one id apart."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    split = docs.select("doc_id", F.xxhash64(text).alias("mark"), F.split(text, "\n", -1).alias("lines"))
+    split = docs.select("doc_id", F.xxhash64(_text()).alias("mark"), F.split(_text(), "\n", -1).alias("lines"))
     return split.select("doc_id", "mark", F.posexplode("lines").alias("line_no", "line"))
 
 
@@ -74,11 +81,6 @@ def _hash(word: Column) -> Column:
     return F.xxhash64(word).bitwiseAND(F.lit((1 << _HASH_BITS) - 1))
 
 
-def _hashes(line: Column) -> Column:
-    """The hashes of a line's words."""
-    return F.transform(F.array_remove(_words(line), ""), _hash)
-
-
 def _slot(value: Column, size: int) -> Column:
     """``size`` is a power of two."""
     return value.bitwiseAND(F.lit(size - 1)).cast("int")
@@ -110,16 +112,16 @@ def _least_joined(similarity: tuple[int, int], min_words: int) -> int:
     return max(min_words, -(-top // (bottom - top))) if top < bottom else min_words
 
 
-def _common(similarity: tuple[int, int], min_words: int) -> int:
-    """``COMMON``, or fewer where sets that are joined match with fewer."""
+def _prefix(n: Column, similarity: tuple[int, int]) -> Column:
+    """How many of a set's rarest words hold one of any set that matches it."""
     top, bottom = similarity
-    return max(1, min(COMMON, -(-top * _least_joined(similarity, min_words) // bottom)))
+    return n - F.ceil(top * n / bottom) + 1
 
 
-def _prefix(n: Column, similarity: tuple[int, int], common: int) -> Column:
-    """How many of a set's rarest words hold ``common`` ones of any set that matches it."""
+def _short_prefix(n: Column, similarity: tuple[int, int]) -> Column:
+    """The same for sets that are no smaller: these have more words in common with it."""
     top, bottom = similarity
-    return n - F.ceil(top * n / bottom) + common
+    return n - F.ceil(2 * top * n / (top + bottom)) + 1
 
 
 def _described(docs: DataFrame, similarity: tuple[int, int], min_words: int, counters: int) -> DataFrame:
@@ -131,25 +133,22 @@ def _described(docs: DataFrame, similarity: tuple[int, int], min_words: int, cou
     lines = _lines(docs)
     words = lines.select(F.explode(_words(F.col("line"))).alias("word")).filter("word != ''").select(_hash(F.col("word")).alias("value"))
     levels = _array_of_counts(words, counters, lambda n: F.shiftleft(F.floor(F.log2(n + F.lit(1.0)) * 60).cast("long"), _HASH_BITS))
-    sets = lines.select("doc_id", "mark", "line_no", F.array_distinct(_hashes(F.col("line"))).alias("words"))
+    hashes = F.transform(F.array_remove(_words(F.col("line")), ""), _hash)
+    sets = lines.select(*PLACE, F.array_distinct(hashes).alias("words"))
     # As a row of an exploded array, a set is not made anew for a filter that is pushed below it.
     chosen = F.when(F.size("words") >= min_words, F.array("words"))
-    large = sets.select("doc_id", "mark", "line_no", F.explode(chosen).alias("words")).withColumn("n", F.size("words"))
+    large = sets.select(*PLACE, F.explode(chosen).alias("words")).withColumn("n", F.size("words"))
 
     def key(word: Column) -> Column:
         return F.get(F.col("levels"), _slot(word, counters)).bitwiseOR(word)
 
     # The analyzer takes no scalar inside a lambda; the optimizer puts it there, as one use is left.
     held = large.withColumn("levels", levels)
-    keyed = held.select("doc_id", "mark", "line_no", "n", F.sort_array(F.transform("words", key)).alias("keys"))
-    parity = F.aggregate(
-        "keys", F.lit(0).cast("long"), lambda held, k: held.bitwiseXOR(_one_bit(k))
-    )
-    least, length = _least_joined(similarity, min_words), _prefix(F.col("n"), similarity, _common(similarity, min_words))
-    first = keyed.select(
-        "doc_id", "mark", "line_no", "n", F.xxhash64("keys").alias("cls"), parity.alias("parity"),
-        F.slice("keys", F.lit(1), F.when(F.col("n") >= least, length).otherwise(0).cast("int")).alias("head"),
-    )
+    keyed = held.select(*PLACE, "n", F.sort_array(F.transform("words", key)).alias("keys"))
+    parity = F.aggregate("keys", F.lit(0).cast("long"), lambda held, k: held.bitwiseXOR(_one_bit(k)))
+    least = _least_joined(similarity, min_words)
+    length = F.when(F.col("n") >= least, _prefix(F.col("n"), similarity)).otherwise(0).cast("int")
+    first = keyed.select(*PLACE, "n", F.xxhash64("keys").alias("cls"), parity.alias("parity"), F.slice("keys", F.lit(1), length).alias("head"))
     alone = F.lit(60 + 1).cast("long")  # the level of a count of one is 60
     kept = F.filter("head", lambda k: F.shiftright(k, _HASH_BITS) >= alone)
     return first.withColumn("prefix", kept).withColumn("skipped", F.size("head") - F.size("prefix")).drop("head")
@@ -160,109 +159,113 @@ def _one_bit(key: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(key, 11).bitwiseAND(F.lit(63)).cast("int"))
 
 
-def _possible(a: str, b: str, similarity: tuple[int, int], common: int) -> Column:
-    """Length and positional filters of two prefix entries; the columns are n and pos under two prefixes.
-
-    Of matching sets the first ``common`` shared words pass: at most ``common - 1`` precede one of them.
-    """
+def _near(a: Callable[[str], Column], b: Callable[[str], Column], similarity: tuple[int, int]) -> Column:
+    """Sizes and parities (n, parity) differ by no more than those of matching sets."""
     top, bottom = similarity
-    n_a, n_b, pos_a, pos_b = (F.col(c) for c in (f"{a}n", f"{b}n", f"{a}pos", f"{b}pos"))
-    most = common + F.least(n_a - pos_a - 1, n_b - pos_b - 1)
-    return (bottom * n_a >= top * n_b) & (bottom * n_b >= top * n_a) & ((top + bottom) * most >= top * (n_a + n_b))
+    differing = F.bit_count(a("parity").bitwiseXOR(b("parity")))
+    return (
+        (bottom * a("n") >= top * b("n"))
+        & (bottom * b("n") >= top * a("n"))
+        & ((bottom + top) * differing <= (bottom - top) * (a("n") + b("n")))
+    )
 
 
-def _near(parity_a: Column, parity_b: Column, n_a: Column, n_b: Column, similarity: tuple[int, int]) -> Column:
-    """Parities differ in no more bits than matching sets differ in words."""
-    top, bottom = similarity
-    differing = F.bit_count(parity_a.bitwiseXOR(parity_b))
-    return (bottom + top) * differing <= (bottom - top) * (n_a + n_b)
+def _classes(described: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Per class: cls, parity, n, skipped, prefix, ``first`` (the place of its first line), copies, and ``likely``.
 
+    That is the place of an earlier class that passes the filters, if there is one among a few that
+    share the last two words of the prefix.
+    """
+    same = [F.first(c).alias(c) for c in ("n", "skipped", "prefix")]
+    classes = described.groupBy("cls", "parity").agg(F.min(F.struct(*PLACE)).alias("first"), F.count("*").alias("copies"), *same)
+    parts = max(PARTS, described.count() // PART_LINES)
+    last = [F.get("prefix", F.size("prefix") - k) for k in (1, 2)]
+    family = F.when(F.size("prefix") > 0, F.xxhash64(*last)).otherwise(F.col("cls"))
+    order = Window.partitionBy("family", F.pmod("cls", F.lit(parts))).orderBy("first")
+    own = F.struct("first", "parity", "n")
+    earlier = {"e0": F.first_value(own).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))}
+    earlier |= {f"e{k}": F.lag(own, k).over(order) for k in BEFORE}
+    placed = classes.withColumn("family", family).withColumns(earlier)
+    met = [
+        F.when((F.col(f"{e}.first") < F.col("first")) & _near(F.col, lambda c, e=e: F.col(f"{e}.{c}"), similarity), F.col(f"{e}.first"))
+        for e in earlier
+    ]
+    return placed.withColumn("likely", F.coalesce(*met)).drop("family", *earlier)
 
-PLACE = ["doc_id", "line_no", "mark"]
 
+def _joined(classes: DataFrame, similarity: tuple[int, int], flags: Column | None = None) -> DataFrame:
+    """Pairs (first_a, first_b) of classes that pass the filters, of which the later one, b, is ``open``.
 
-def _verified(docs: DataFrame, pairs: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """Of written ``pairs`` (cls, parity, first_a, first_b: places of lines) the cls and parity of those whose word sets match."""
-    top, bottom = similarity
-    keyed = pairs.select("cls", "parity", "first_a", "first_b", F.xxhash64("first_a", "first_b").alias("pair"))
-    ends = keyed.select("cls", "parity", "pair", F.explode(F.array("first_a", "first_b")).alias("place"))
-    sides = ends.select("cls", "parity", "pair", *[F.col(f"place.{c}").alias(c) for c in PLACE])
-    flags = _array_of_counts(sides.select(F.xxhash64(*PLACE).alias("value")), FLAGS)
-    some = _lines(docs).filter(_flagged(flags, F.xxhash64(*PLACE)))
-    words = some.groupBy(*PLACE).agg(F.first("line").alias("line")).withColumnsRenamed({c: f"own_{c}" for c in PLACE})
-    same = [F.col(c).eqNullSafe(F.col(f"own_{c}")) for c in PLACE]
-    met = sides.join(words, same)
-    both = met.groupBy("cls", "parity", "pair").agg(F.collect_list("line").alias("lines")).filter(F.size("lines") == 2)
-    sets = both.select("cls", "parity", *[F.array_distinct(_hashes(F.get("lines", F.lit(i)))).alias(c) for i, c in enumerate("ab")])
-    shared = F.size(F.array_intersect("a", "b"))
-    return sets.filter(bottom * shared >= top * (F.size("a") + F.size("b") - shared)).select("cls", "parity").distinct()
-
-
-def _first_pass(docs: DataFrame, classes: DataFrame, similarity: tuple[int, int], scratch: Scratch) -> DataFrame:
-    """Classes (cls, parity) that match one of a few earlier ones with one of their prefix's last words."""
+    With ``flags`` only words that open classes have in their prefix are looked at.
+    """
     top, bottom = similarity
-    begin = F.greatest(F.lit(1), F.size("prefix") - (LAST - 1))
-    entries = classes.select("cls", "parity", "first", "n", F.explode(F.slice("prefix", begin, F.lit(LAST))).alias("key"))
-    order = Window.partitionBy("key").orderBy("first", "cls")
-    own = F.struct("first", "parity", "n")
-    earlier = [F.first_value(own).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)), *[F.lag(own, k).over(order) for k in BEFORE]]
-    placed = entries.withColumn("earlier", F.array(*earlier))
-    met = placed.select("cls", "parity", "n", F.col("first").alias("first_b"), F.explode("earlier").alias("against")).select(
-        "cls", "parity", "n", "first_b",
-        F.col("against.first").alias("first_a"), F.col("against.parity").alias("a_parity"), F.col("against.n").alias("a_n"),
-    )
-    near = met.filter(
-        (F.col("first_a") < F.col("first_b"))
-        & (bottom * F.col("n") >= top * F.col("a_n"))
-        & (bottom * F.col("a_n") >= top * F.col("n"))
-        & _near(F.col("parity"), F.col("a_parity"), F.col("n"), F.col("a_n"), similarity)
+    some = classes.filter("size(prefix) > 0")
+    words = some.select("parity", "n", "skipped", "open", *[F.col(f"first.{c}").alias(c) for c in PLACE], F.posexplode("prefix").alias("i", "key"))
+    entries = words.select("key", "parity", "n", (F.col("i") + F.col("skipped")).alias("pos"), "open", *PLACE)
+    if flags is not None:
+        entries = entries.filter(_flagged(flags, F.xxhash64("key")))
+    y = entries.select("key", *[F.col(c).alias(f"y_{c}") for c in entries.columns[1:]])
+    x = entries.filter(F.col("pos") < _short_prefix(F.col("n"), similarity)).select("key", *[F.col(c).alias(f"x_{c}") for c in entries.columns[1:]])
+    x_place, y_place = (F.struct(*[F.col(f"{side}_{c}").alias(c) for c in PLACE]) for side in "xy")
+    near = _near(lambda c: F.col(f"x_{c}"), lambda c: F.col(f"y_{c}"), similarity)
+    left = F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos"))
+    smaller = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (x_place < y_place))
+    later_open = F.when(x_place < y_place, F.col("y_open")).otherwise(F.col("x_open"))
+    met = y.join(x, "key").filter(
+        (F.col("x_n") <= F.col("y_n")) & near & ((top + bottom) * left >= top * (F.col("x_n") + F.col("y_n"))) & smaller & later_open
     )
-    with Scratch(docs.sparkSession) as own:
-        pairs = own.written(near.select("cls", "parity", "first_a", "first_b").distinct(), "pairs")
-        return scratch.written(_verified(docs, pairs, similarity), "settled")
+    return met.select(F.least(x_place, y_place).alias("first_a"), F.greatest(x_place, y_place).alias("first_b")).distinct()
 
 
-def _second_pass(
-    docs: DataFrame, classes: DataFrame, settled: DataFrame, similarity: tuple[int, int], common: int, scratch: Scratch
-) -> DataFrame:
-    """Classes (cls, parity) not settled yet that match any earlier class."""
-    flags = _array_of_counts(settled.select(F.xxhash64("cls", "parity").alias("value")), FLAGS)
-    may = _flagged(flags, F.xxhash64("cls", "parity"))
-    known = classes.filter(may).join(settled.withColumn("known", F.lit(True)), ["cls", "parity"], "left")
-    columns = ["cls", F.col("first.doc_id").alias("doc_id"), "n", "skipped", "prefix"]
-    marked = known.select(*columns, F.col("known").isNull().alias("open")).unionByName(
-        classes.filter(~may).select(*columns, F.lit(True).alias("open"))
-    )
-    entries = marked.select("cls", "doc_id", "n", "skipped", "open", F.posexplode("prefix").alias("i", "key")).select(
-        "key", "cls", "doc_id", "n", (F.col("i") + F.col("skipped")).alias("pos"), "open"
-    )
-    # Both sides are the same rows, so that they are shuffled once; the positional filter shortens the prefixes.
-    x, y = (entries.select("key", *[F.col(c).alias(f"{side}_{c}") for c in ("cls", "doc_id", "n", "pos", "open")]) for side in "xy")
-    smaller = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_cls") < F.col("y_cls")))
-    # The later one must be open; within one document, or without ids, either may be the later.
-    y_last = F.col("y_open") & F.coalesce(F.col("x_doc_id") <= F.col("y_doc_id"), F.lit(True))
-    x_last = F.col("x_open") & F.coalesce(F.col("y_doc_id") <= F.col("x_doc_id"), F.lit(True))
-    met = x.join(y, "key").filter(smaller & (y_last | x_last) & _possible("x_", "y_", similarity, common))
-    often = met.groupBy("x_cls", "y_cls").agg(F.count("*").alias("shared")).filter(F.col("shared") >= common)
-    with Scratch(docs.sparkSession) as own:
-        pairs = own.written(often.select("x_cls", "y_cls"), "candidates")
-        thin = classes.select("cls", "parity", "n", "first")
-        a = thin.select(*[F.col(c).alias(f"x_{c}") for c in thin.columns])
-        b = thin.select(*[F.col(c).alias(f"y_{c}") for c in thin.columns])
-        near = (
-            pairs.join(a, "x_cls")
-            .join(b, "y_cls")
-            .filter(_near(F.col("x_parity"), F.col("y_parity"), F.col("x_n"), F.col("y_n"), similarity))
-        )
-        x_later = F.col("x_first") > F.col("y_first")
-        ordered = near.select(
-            F.when(x_later, F.col("x_cls")).otherwise(F.col("y_cls")).alias("cls"),
-            F.when(x_later, F.col("x_parity")).otherwise(F.col("y_parity")).alias("parity"),
-            F.least("x_first", "y_first").alias("first_a"),
-            F.greatest("x_first", "y_first").alias("first_b"),
-        )
-        pairs = own.written(ordered, "pairs")
-        return scratch.written(_verified(docs, pairs, similarity), "settled")
+def _verified(docs: DataFrame, pairs: DataFrame, similarity: tuple[int, int]) -> tuple[DataFrame, Column]:
+    """The places first_b of written ``pairs`` (first_a, first_b: places) whose lines match, and flags of all places."""
+    top, bottom = similarity
+    keyed = pairs.withColumn("pair", F.struct("first_a", "first_b"))
+    ends = keyed.select("pair", F.explode(F.array("first_a", "first_b")).alias("place"))
+    sides = ends.select("pair", *[F.col(f"place.{c}").alias(f"own_{c}") for c in PLACE])
+    own = [F.col(f"own_{c}") for c in PLACE]
+    marks = sides.select(F.explode(F.array(F.xxhash64(own[0], own[2]), F.xxhash64(*own))).alias("value"))
+    flags = _array_of_counts(marks, FLAGS)
+    some = _lines(docs.filter(_flagged(flags, F.xxhash64("doc_id", F.xxhash64(_text())))))
+    found = some.filter(_flagged(flags, F.xxhash64(*PLACE))).groupBy(*PLACE).agg(F.first("line").alias("line"))
+    met = sides.join(found, [F.col(c).eqNullSafe(F.col(f"own_{c}")) for c in PLACE])
+    both = met.groupBy("pair").agg(F.collect_list("line").alias("lines")).filter(F.size("lines") == 2)
+    a, b = (F.array_remove(_words(F.get("lines", F.lit(i))), "").alias(c) for i, c in enumerate("ab"))
+    # As a lambda's argument, the words are split once only.
+    alike = F.exists(F.array(F.struct(a, b)), lambda x: bottom * F.size(F.array_intersect(x["a"], x["b"])) >= top * F.size(F.array_union(x["a"], x["b"])))
+    match = both.filter(alike)
+    return match.select("pair.first_b.*").distinct(), flags
+
+
+def _settled(docs: DataFrame, classes: DataFrame, lines: DataFrame, similarity: tuple[int, int], scratch: Scratch) -> DataFrame:
+    """(cls, parity) of classes that an earlier class matches; a written table."""
+    open_ones = classes.select("*", F.col("likely").isNull().alias("open"))
+    likely = classes.filter("likely IS NOT NULL").select(F.col("likely").alias("first_a"), F.col("first").alias("first_b"))
+    pairs = scratch.written(likely.unionByName(_joined(open_ones, similarity)), "pairs")
+    places, flags = _verified(docs, pairs, similarity)
+    settled = scratch.written(_with_class(lines, places, flags), "settled")
+    # Classes whose likely match does not hold are open after all.
+    known = settled.select("cls", "parity")
+    again = scratch.written(classes.filter("likely IS NOT NULL").join(known, ["cls", "parity"], "left_anti"), "again")
+    if again.isEmpty():
+        return settled
+    keys = _array_of_counts(again.select(F.explode("prefix").alias("key")).select(F.xxhash64("key").alias("value")), FLAGS)
+    marks = _array_of_counts(again.select(F.xxhash64("cls", "parity").alias("value")), FLAGS)
+    may = _flagged(marks, F.xxhash64("cls", "parity"))
+    reopened = again.select("cls", "parity", F.lit(True).alias("open"))
+    thin = classes.drop("likely", "copies")
+    marked = thin.filter(may).join(reopened, ["cls", "parity"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
+    every = marked.unionByName(thin.filter(~may).withColumn("open", F.lit(False)))
+    pairs = scratch.written(_joined(every, similarity, keys), "pairs")
+    places, flags = _verified(docs, pairs, similarity)
+    return settled.unionByName(_with_class(lines, places, flags))
+
+
+def _with_class(lines: DataFrame, places: DataFrame, flags: Column) -> DataFrame:
+    """(cls, parity) of the lines at ``places``."""
+    own = places.withColumnsRenamed({c: f"own_{c}" for c in PLACE})
+    met = lines.filter(_flagged(flags, F.xxhash64(*PLACE))).join(own, [F.col(c).eqNullSafe(F.col(f"own_{c}")) for c in PLACE])
+    return met.select("cls", "parity").distinct()
 
 
 def removed_lines(
@@ -277,42 +280,46 @@ def removed_lines(
     same id and text are one text, of which no copy is earlier; rows of one id with other texts are
     ordered by the hash of the text. Null ids come first. Null texts have one empty line.
     """
-    place = F.struct("doc_id", "line_no", "mark")
+    place = F.struct(*PLACE)
     with Scratch(docs.sparkSession) as scratch:
-        with Scratch(docs.sparkSession) as own:
-            described = own.written(_described(docs, similarity, min_words, counters), "described")
-            same = [F.first(c).alias(c) for c in ("n", "skipped", "prefix")]
-            classes = scratch.written(described.groupBy("cls", "parity").agg(F.min(place).alias("first"), *same), "classes")
-            lines = scratch.written(described.select("doc_id", "mark", "line_no", "cls", "parity"), "lines")
-        one = _first_pass(docs, classes, similarity, scratch)
-        settled = one.unionByName(_second_pass(docs, classes, one, similarity, _common(similarity, min_words), scratch)).distinct()
-        state = classes.select("cls", "parity", "first").join(settled.withColumn("gone", F.lit(True)), ["cls", "parity"], "left")
-        judged = lines.join(state, ["cls", "parity"])
-        gone = judged.filter(F.col("gone").isNotNull() | (place != F.col("first")))
-        return written(gone.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set("line_no")).alias("removed")), "removed")
+        described = scratch.written(_described(docs, similarity, min_words, counters), "described")
+        classes = scratch.written(_classes(described, similarity), "classes")
+        lines = described.select(*PLACE, "cls", "parity")
+        settled = _settled(docs, classes, lines, similarity, scratch)
+        repeated = classes.filter("copies > 1").select("cls", "parity", "first", "copies")
+        gone = settled.select("cls", "parity", F.lit(None).cast(repeated.schema["first"].dataType).alias("first"), F.lit(None).cast("long").alias("copies"))
+        state = scratch.written(repeated.unionByName(gone).groupBy("cls", "parity").agg(
+            F.max(F.col("copies").isNull()).alias("gone"), F.max("first").alias("first"), F.max("copies").alias("copies")
+        ), "state")
+        hot = F.col("copies") > described.count() / HOT_SHARE
+        few = F.broadcast(state.filter(hot).select("cls", "parity", F.struct("gone", "first").alias("hot")))
+        met = lines.join(few, ["cls", "parity"], "left")
+        rest = met.filter("hot IS NULL").drop("hot").join(state.filter(~F.coalesce(hot, F.lit(False))).drop("copies"), ["cls", "parity"])
+        judged = met.filter("hot IS NOT NULL").select(*PLACE, "hot.gone", "hot.first").unionByName(rest.select(*PLACE, "gone", "first"))
+        out = judged.filter(F.col("gone") | (place != F.col("first")))
+        return written(out.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set("line_no")).alias("removed")), "removed")
 
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with later matching lines taken out of ``text``.
 
-    Every row stays, with all its columns; a text of which every line goes becomes empty. A null
-    text stays null.
+    Every row stays, with all its columns, whatever their names; a text of which every line goes
+    becomes empty. A null text stays null.
     """
-    found = removed_lines(docs, **options).select(
-        F.col("doc_id").alias("_found_id"), F.col("mark").alias("_found_mark"), F.col("removed").alias("_removed")
-    )
-    kept = docs.withColumn("_mark", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    same = F.col("doc_id").eqNullSafe(F.col("_found_id")) & (F.col("_mark") == F.col("_found_mark"))
-    left = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col("_removed"), i))
-    text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    return kept.join(found, same, "left").withColumn("text", text).select(*docs.columns)
+    found = removed_lines(docs, **options)
+    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.xxhash64(_text()).alias("own_mark"))
+    met = own.join(found, F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("own_mark") == F.col("mark")), "left")
+    lines = F.split("row.text", "\n", -1)
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed"))
+    left = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+    text = F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(left)
+    return met.select(*[(text if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def summary(docs: DataFrame, **options) -> DataFrame:
     """One row per document row: doc_id, its lines, how many go, and their numbers in order."""
     found = removed_lines(docs, **options).withColumnsRenamed({"doc_id": "found_id", "mark": "found_mark"})
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    own = docs.select("doc_id", F.xxhash64(text).alias("mark"), (F.size(F.split(text, "\n", -1))).cast("long").alias("n_lines"))
+    own = docs.select("doc_id", F.xxhash64(_text()).alias("mark"), F.size(F.split(_text(), "\n", -1)).cast("long").alias("n_lines"))
     both = own.join(found, F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("mark") == F.col("found_mark")), "left")
     gone = F.coalesce("removed", F.array().cast("array<int>"))
     return both.select("doc_id", "n_lines", F.size(gone).cast("long").alias("n_removed"), gone.alias("removed"))
