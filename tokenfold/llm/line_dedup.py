@@ -49,8 +49,8 @@ FLAGS = 1 << 20
 #: Earlier classes of a family with which a class is compared: the first one, and those so many places before.
 BEFORE = (1, 2, 3, 5, 8)
 
-#: A family is dealt to this many parts at least, and to more so that a part holds no more than so many lines.
-PARTS, PART_LINES = 8, 2_000_000
+#: A family is dealt to one more part for each so many lines of the corpus.
+PART_LINES = 2_000_000
 
 #: Classes with more than one of so many lines are joined to the lines by broadcast; they are fewer than this.
 HOT_SHARE = 1000
@@ -131,7 +131,7 @@ def _described(docs: DataFrame, similarity: tuple[int, int], min_words: int, cou
     small that only equal ones match have no prefix.
     """
     lines = _lines(docs)
-    words = lines.select(F.explode(_words(F.col("line"))).alias("word")).filter("word != ''").select(_hash(F.col("word")).alias("value"))
+    words = docs.select(F.explode(_words(F.replace(_text(), F.lit("\n"), F.lit(" ")))).alias("word")).select(_hash(F.col("word")).alias("value"))
     levels = _array_of_counts(words, counters, lambda n: F.shiftleft(F.floor(F.log2(n + F.lit(1.0)) * 60).cast("long"), _HASH_BITS))
     hashes = F.transform(F.array_remove(_words(F.col("line")), ""), _hash)
     sets = lines.select(*PLACE, F.array_distinct(hashes).alias("words"))
@@ -171,14 +171,14 @@ def _near(a: Callable[[str], Column], b: Callable[[str], Column], similarity: tu
 
 
 def _classes(described: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """Per class: cls, parity, n, skipped, prefix, ``first`` (the place of its first line), copies, and ``likely``.
+    """Per class: cls, parity, n, skipped, prefix, ``first`` (the place of its first line), copies, a number ``id``, and ``likely``.
 
     That is the place of an earlier class that passes the filters, if there is one among a few that
     share the last two words of the prefix.
     """
     same = [F.first(c).alias(c) for c in ("n", "skipped", "prefix")]
     classes = described.groupBy("cls", "parity").agg(F.min(F.struct(*PLACE)).alias("first"), F.count("*").alias("copies"), *same)
-    parts = max(PARTS, described.count() // PART_LINES)
+    parts = 1 + described.count() // PART_LINES
     last = [F.get("prefix", F.size("prefix") - k) for k in (1, 2)]
     family = F.when(F.size("prefix") > 0, F.xxhash64(*last)).otherwise(F.col("cls"))
     order = Window.partitionBy("family", F.pmod("cls", F.lit(parts))).orderBy("first")
@@ -190,38 +190,57 @@ def _classes(described: DataFrame, similarity: tuple[int, int]) -> DataFrame:
         F.when((F.col(f"{e}.first") < F.col("first")) & _near(F.col, lambda c, e=e: F.col(f"{e}.{c}"), similarity), F.col(f"{e}.first"))
         for e in earlier
     ]
-    return placed.withColumn("likely", F.coalesce(*met)).drop("family", *earlier)
+    return placed.withColumn("likely", F.coalesce(*met)).drop("family", *earlier).withColumn("id", F.monotonically_increasing_id())
 
 
 def _joined(classes: DataFrame, similarity: tuple[int, int], flags: Column | None = None) -> DataFrame:
-    """Pairs (first_a, first_b) of classes that pass the filters, of which the later one, b, is ``open``.
+    """Pairs of classes that pass the filters, of which the later one, b, is ``open``: first_a, first_b, cls and parity of b.
 
-    With ``flags`` only words that open classes have in their prefix are looked at.
+    With ``flags`` only words that open classes have in their prefix are looked at. Words meet by 32
+    bits, and an entry holds n, pos and open in one number, as these rows are most of what is shuffled.
     """
     top, bottom = similarity
     some = classes.filter("size(prefix) > 0")
-    words = some.select("parity", "n", "skipped", "open", *[F.col(f"first.{c}").alias(c) for c in PLACE], F.posexplode("prefix").alias("i", "key"))
-    entries = words.select("key", "parity", "n", (F.col("i") + F.col("skipped")).alias("pos"), "open", *PLACE)
+    words = some.select("id", "parity", "n", "skipped", "open", "first.doc_id", F.posexplode("prefix").alias("i", "word"))
     if flags is not None:
-        entries = entries.filter(_flagged(flags, F.xxhash64("key")))
+        words = words.filter(_flagged(flags, F.xxhash64("word")))
+    pos = F.col("i") + F.col("skipped")
+    shape = (F.col("n").cast("long") * (1 << 32)) + 2 * pos + F.col("open").cast("int")
+    columns = ["parity", shape.alias("shape"), "doc_id", "id"]
+    entries = words.select(F.hash("word").alias("key"), *columns)
+    short = words.filter(pos < _short_prefix(F.col("n"), similarity)).select(F.hash("word").alias("key"), *columns)
     y = entries.select("key", *[F.col(c).alias(f"y_{c}") for c in entries.columns[1:]])
-    x = entries.filter(F.col("pos") < _short_prefix(F.col("n"), similarity)).select("key", *[F.col(c).alias(f"x_{c}") for c in entries.columns[1:]])
-    x_place, y_place = (F.struct(*[F.col(f"{side}_{c}").alias(c) for c in PLACE]) for side in "xy")
-    near = _near(lambda c: F.col(f"x_{c}"), lambda c: F.col(f"y_{c}"), similarity)
-    left = F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos"))
-    smaller = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (x_place < y_place))
-    later_open = F.when(x_place < y_place, F.col("y_open")).otherwise(F.col("x_open"))
-    met = y.join(x, "key").filter(
-        (F.col("x_n") <= F.col("y_n")) & near & ((top + bottom) * left >= top * (F.col("x_n") + F.col("y_n"))) & smaller & later_open
+    x = short.select("key", *[F.col(c).alias(f"x_{c}") for c in entries.columns[1:]])
+
+    def of(side: str) -> dict[str, Column]:
+        held = F.col(f"{side}_shape")
+        low = held.bitwiseAND(F.lit((1 << 32) - 1))
+        return {"n": F.shiftright(held, 32), "pos": F.shiftright(low, 1), "open": low.bitwiseAND(F.lit(1)) == 1, "parity": F.col(f"{side}_parity")}
+
+    own_x, own_y = of("x"), of("y")
+    left = F.least(own_x["n"] - own_x["pos"], own_y["n"] - own_y["pos"])
+    smaller = (own_x["n"] < own_y["n"]) | ((own_x["n"] == own_y["n"]) & (F.col("x_id") < F.col("y_id")))
+    # Within one document, or without ids, either may be the later.
+    later_open = (
+        F.when(F.col("x_doc_id") < F.col("y_doc_id"), own_y["open"])
+        .when(F.col("y_doc_id") < F.col("x_doc_id"), own_x["open"])
+        .otherwise(own_x["open"] | own_y["open"])
     )
-    return met.select(F.least(x_place, y_place).alias("first_a"), F.greatest(x_place, y_place).alias("first_b")).distinct()
-
-
-def _verified(docs: DataFrame, pairs: DataFrame, similarity: tuple[int, int]) -> tuple[DataFrame, Column]:
-    """The places first_b of written ``pairs`` (first_a, first_b: places) whose lines match, and flags of all places."""
+    enough = (top + bottom) * left >= top * (own_x["n"] + own_y["n"])
+    met = y.join(x, "key").filter(smaller & _near(own_x.get, own_y.get, similarity) & enough & later_open)
+    pairs = met.select(F.struct("x_id", "y_id").alias("pair")).distinct()
+    ends = pairs.select("pair", F.explode(F.array("pair.x_id", "pair.y_id")).alias("id"))
+    named = ends.join(classes.select("id", F.struct("first", "cls", "parity", "open").alias("end")), "id")
+    both = named.groupBy("pair").agg(F.sort_array(F.collect_list("end")).alias("ends"))
+    a, b = (F.get("ends", F.lit(i)) for i in range(2))
+    return both.filter(b["open"]).select(a["first"].alias("first_a"), b["first"].alias("first_b"), b["cls"].alias("cls"), b["parity"].alias("parity"))
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Of written ``pairs`` (first_a, first_b: places of lines; cls, parity) the cls and parity of those whose lines match."""
     top, bottom = similarity
-    keyed = pairs.withColumn("pair", F.struct("first_a", "first_b"))
-    ends = keyed.select("pair", F.explode(F.array("first_a", "first_b")).alias("place"))
+    keyed = pairs.select(F.struct("first_a", "first_b", "cls", "parity").alias("pair"))
+    ends = keyed.select("pair", F.explode(F.array("pair.first_a", "pair.first_b")).alias("place"))
     sides = ends.select("pair", *[F.col(f"place.{c}").alias(f"own_{c}") for c in PLACE])
     own = [F.col(f"own_{c}") for c in PLACE]
     marks = sides.select(F.explode(F.array(F.xxhash64(own[0], own[2]), F.xxhash64(*own))).alias("value"))
@@ -233,39 +252,25 @@ def _verified(docs: DataFrame, pairs: DataFrame, similarity: tuple[int, int]) ->
     a, b = (F.array_remove(_words(F.get("lines", F.lit(i))), "").alias(c) for i, c in enumerate("ab"))
     # As a lambda's argument, the words are split once only.
     alike = F.exists(F.array(F.struct(a, b)), lambda x: bottom * F.size(F.array_intersect(x["a"], x["b"])) >= top * F.size(F.array_union(x["a"], x["b"])))
-    match = both.filter(alike)
-    return match.select("pair.first_b.*").distinct(), flags
+    return both.filter(alike).select("pair.cls", "pair.parity").distinct()
 
 
-def _settled(docs: DataFrame, classes: DataFrame, lines: DataFrame, similarity: tuple[int, int], scratch: Scratch) -> DataFrame:
-    """(cls, parity) of classes that an earlier class matches; a written table."""
+def _settled(docs: DataFrame, classes: DataFrame, similarity: tuple[int, int], scratch: Scratch) -> DataFrame:
+    """(cls, parity) of classes that an earlier class matches."""
+    guessed = classes.filter("likely IS NOT NULL")
+    likely = guessed.select(F.col("likely").alias("first_a"), F.col("first").alias("first_b"), "cls", "parity")
     open_ones = classes.select("*", F.col("likely").isNull().alias("open"))
-    likely = classes.filter("likely IS NOT NULL").select(F.col("likely").alias("first_a"), F.col("first").alias("first_b"))
     pairs = scratch.written(likely.unionByName(_joined(open_ones, similarity)), "pairs")
-    places, flags = _verified(docs, pairs, similarity)
-    settled = scratch.written(_with_class(lines, places, flags), "settled")
+    settled = scratch.written(_verified(docs, pairs, similarity), "settled")
     # Classes whose likely match does not hold are open after all.
-    known = settled.select("cls", "parity")
-    again = scratch.written(classes.filter("likely IS NOT NULL").join(known, ["cls", "parity"], "left_anti"), "again")
+    again = scratch.written(guessed.join(settled, ["cls", "parity"], "left_anti").select("id", "prefix"), "again")
     if again.isEmpty():
         return settled
-    keys = _array_of_counts(again.select(F.explode("prefix").alias("key")).select(F.xxhash64("key").alias("value")), FLAGS)
-    marks = _array_of_counts(again.select(F.xxhash64("cls", "parity").alias("value")), FLAGS)
-    may = _flagged(marks, F.xxhash64("cls", "parity"))
-    reopened = again.select("cls", "parity", F.lit(True).alias("open"))
-    thin = classes.drop("likely", "copies")
-    marked = thin.filter(may).join(reopened, ["cls", "parity"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
-    every = marked.unionByName(thin.filter(~may).withColumn("open", F.lit(False)))
-    pairs = scratch.written(_joined(every, similarity, keys), "pairs")
-    places, flags = _verified(docs, pairs, similarity)
-    return settled.unionByName(_with_class(lines, places, flags))
-
-
-def _with_class(lines: DataFrame, places: DataFrame, flags: Column) -> DataFrame:
-    """(cls, parity) of the lines at ``places``."""
-    own = places.withColumnsRenamed({c: f"own_{c}" for c in PLACE})
-    met = lines.filter(_flagged(flags, F.xxhash64(*PLACE))).join(own, [F.col(c).eqNullSafe(F.col(f"own_{c}")) for c in PLACE])
-    return met.select("cls", "parity").distinct()
+    keys = _array_of_counts(again.select(F.explode("prefix").alias("word")).select(F.xxhash64("word").alias("value")), FLAGS)
+    reopened = guessed.join(again.select("id"), "id").withColumn("open", F.lit(True))
+    others = guessed.join(again.select("id"), "id", "left_anti").unionByName(classes.filter("likely IS NULL")).withColumn("open", F.lit(False))
+    pairs = scratch.written(_joined(reopened.unionByName(others), similarity, keys), "pairs")
+    return settled.unionByName(_verified(docs, pairs, similarity))
 
 
 def removed_lines(
@@ -282,19 +287,21 @@ def removed_lines(
     """
     place = F.struct(*PLACE)
     with Scratch(docs.sparkSession) as scratch:
-        described = scratch.written(_described(docs, similarity, min_words, counters), "described")
-        classes = scratch.written(_classes(described, similarity), "classes")
-        lines = described.select(*PLACE, "cls", "parity")
-        settled = _settled(docs, classes, lines, similarity, scratch)
+        with Scratch(docs.sparkSession) as own:
+            described = own.written(_described(docs, similarity, min_words, counters), "described")
+            classes = scratch.written(_classes(described, similarity), "classes")
+            lines = scratch.written(described.select(*PLACE, "cls", "parity"), "lines")
+        settled = _settled(docs, classes, similarity, scratch)
         repeated = classes.filter("copies > 1").select("cls", "parity", "first", "copies")
-        gone = settled.select("cls", "parity", F.lit(None).cast(repeated.schema["first"].dataType).alias("first"), F.lit(None).cast("long").alias("copies"))
-        state = scratch.written(repeated.unionByName(gone).groupBy("cls", "parity").agg(
-            F.max(F.col("copies").isNull()).alias("gone"), F.max("first").alias("first"), F.max("copies").alias("copies")
-        ), "state")
-        hot = F.col("copies") > described.count() / HOT_SHARE
+        nothing = [F.lit(None).cast(repeated.schema[c].dataType).alias(c) for c in ("first", "copies")]
+        merged = repeated.unionByName(settled.select("cls", "parity", *nothing)).groupBy("cls", "parity")
+        gone = F.max(F.col("copies").isNull()).alias("gone")
+        state = scratch.written(merged.agg(gone, F.max("first").alias("first"), F.max("copies").alias("copies")), "state")
+        # A line with very many copies is no hot key of a shuffle.
+        hot = F.coalesce(F.col("copies") > lines.count() / HOT_SHARE, F.lit(False))
         few = F.broadcast(state.filter(hot).select("cls", "parity", F.struct("gone", "first").alias("hot")))
         met = lines.join(few, ["cls", "parity"], "left")
-        rest = met.filter("hot IS NULL").drop("hot").join(state.filter(~F.coalesce(hot, F.lit(False))).drop("copies"), ["cls", "parity"])
+        rest = met.filter("hot IS NULL").drop("hot").join(state.filter(~hot), ["cls", "parity"])
         judged = met.filter("hot IS NOT NULL").select(*PLACE, "hot.gone", "hot.first").unionByName(rest.select(*PLACE, "gone", "first"))
         out = judged.filter(F.col("gone") | (place != F.col("first")))
         return written(out.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set("line_no")).alias("removed")), "removed")
