@@ -12,9 +12,10 @@ A line is the set of its words. Two lines match if their sets' Jaccard similarit
 * Survivors are verified on the words of both lines.
 
 Groups of many variants of one line would still give every pair of the group. Therefore each class
-is first held against a few earlier ones that share the last two words of its prefix, which in such
-a group are the words that the variants have in common. A class with such a likely match is no later
-side of the join. Should none of its likely matches hold, a second, small join takes its turn.
+is first held against a few earlier ones of two families: those with the same smallest and largest
+word hash, and those with the same last two words of the prefix, since the words in which variants
+differ are mostly rarer. A class with such a likely match is no later side of the join. Should its
+likely match not hold, a second, small join takes its turn.
 
 A word's place in the order and 52 bits of its XXH64 hash are one integer. Sets count as equal if a
 64-bit hash of these integers and the 64-bit parity agree.
@@ -125,7 +126,7 @@ def _short_prefix(n: Column, similarity: tuple[int, int]) -> Column:
 
 
 def _described(docs: DataFrame, similarity: tuple[int, int], min_words: int, counters: int) -> DataFrame:
-    """Per line with enough words: its place, n, cls and parity of its set, and its prefix.
+    """Per line with enough words: its place, n, cls and parity of its set, its prefix, and a hash of its extreme word hashes.
 
     ``prefix`` leaves out the leading words that no other line has; ``skipped`` counts them. Sets so
     small that only equal ones match have no prefix.
@@ -137,18 +138,19 @@ def _described(docs: DataFrame, similarity: tuple[int, int], min_words: int, cou
     sets = lines.select(*PLACE, F.array_distinct(hashes).alias("words"))
     # As a row of an exploded array, a set is not made anew for a filter that is pushed below it.
     chosen = F.when(F.size("words") >= min_words, F.array("words"))
-    large = sets.select(*PLACE, F.explode(chosen).alias("words")).withColumn("n", F.size("words"))
+    exploded = sets.select(*PLACE, F.explode(chosen).alias("words"))
+    large = exploded.withColumn("n", F.size("words")).withColumn("ends", F.xxhash64(F.array_min("words"), F.array_max("words")))
 
     def key(word: Column) -> Column:
         return F.get(F.col("levels"), _slot(word, counters)).bitwiseOR(word)
 
     # The analyzer takes no scalar inside a lambda; the optimizer puts it there, as one use is left.
     held = large.withColumn("levels", levels)
-    keyed = held.select(*PLACE, "n", F.sort_array(F.transform("words", key)).alias("keys"))
+    keyed = held.select(*PLACE, "n", "ends", F.sort_array(F.transform("words", key)).alias("keys"))
     parity = F.aggregate("keys", F.lit(0).cast("long"), lambda held, k: held.bitwiseXOR(_one_bit(k)))
     least = _least_joined(similarity, min_words)
     length = F.when(F.col("n") >= least, _prefix(F.col("n"), similarity)).otherwise(0).cast("int")
-    first = keyed.select(*PLACE, "n", F.xxhash64("keys").alias("cls"), parity.alias("parity"), F.slice("keys", F.lit(1), length).alias("head"))
+    first = keyed.select(*PLACE, "n", "ends", F.xxhash64("keys").alias("cls"), parity.alias("parity"), F.slice("keys", F.lit(1), length).alias("head"))
     alone = F.lit(60 + 1).cast("long")  # the level of a count of one is 60
     kept = F.filter("head", lambda k: F.shiftright(k, _HASH_BITS) >= alone)
     return first.withColumn("prefix", kept).withColumn("skipped", F.size("head") - F.size("prefix")).drop("head")
@@ -173,24 +175,31 @@ def _near(a: Callable[[str], Column], b: Callable[[str], Column], similarity: tu
 def _classes(described: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """Per class: cls, parity, n, skipped, prefix, ``first`` (the place of its first line), copies, a number ``id``, and ``likely``.
 
-    That is the place of an earlier class that passes the filters, if there is one among a few that
-    share the last two words of the prefix.
+    That is the place of an earlier class that passes the filters, the one that differs least of a
+    few of the same families, if there is any.
     """
-    same = [F.first(c).alias(c) for c in ("n", "skipped", "prefix")]
-    classes = described.groupBy("cls", "parity").agg(F.min(F.struct(*PLACE)).alias("first"), F.count("*").alias("copies"), *same)
+    same = [F.first(c).alias(c) for c in ("n", "ends", "skipped", "prefix")]
+    state = described.groupBy("cls", "parity").agg(F.min(F.struct(*PLACE)).alias("first"), F.count("*").alias("copies"), *same)
     parts = 1 + described.count() // PART_LINES
-    last = [F.get("prefix", F.size("prefix") - k) for k in (1, 2)]
-    family = F.when(F.size("prefix") > 0, F.xxhash64(*last)).otherwise(F.col("cls"))
-    order = Window.partitionBy("family", F.pmod("cls", F.lit(parts))).orderBy("first")
-    own = F.struct("first", "parity", "n")
-    earlier = {"e0": F.first_value(own).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))}
-    earlier |= {f"e{k}": F.lag(own, k).over(order) for k in BEFORE}
-    placed = classes.withColumn("family", family).withColumns(earlier)
-    met = [
-        F.when((F.col(f"{e}.first") < F.col("first")) & _near(F.col, lambda c, e=e: F.col(f"{e}.{c}"), similarity), F.col(f"{e}.first"))
-        for e in earlier
-    ]
-    return placed.withColumn("likely", F.coalesce(*met)).drop("family", *earlier).withColumn("id", F.monotonically_increasing_id())
+    last = F.xxhash64(*[F.get("prefix", F.size("prefix") - k) for k in (1, 2)])
+    own, found = F.struct("first", "parity", "n"), []
+    for family, key in (("by_ends", F.col("ends")), ("by_last", last)):
+        # Sets without a prefix match equal ones only.
+        state = state.withColumn(family, F.when(F.size("prefix") > 0, key).otherwise(F.col("cls")))
+        order = Window.partitionBy(family, F.pmod("cls", F.lit(parts))).orderBy("first")
+        earlier = {"e0": F.first_value(own).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))}
+        earlier |= {f"e{k}": F.lag(own, k).over(order) for k in BEFORE}
+        met = [
+            F.when(
+                (F.col(f"{e}.first") < F.col("first")) & _near(F.col, lambda c, e=e: F.col(f"{e}.{c}"), similarity),
+                F.struct(F.bit_count(F.col("parity").bitwiseXOR(F.col(f"{e}.parity"))).alias("differing"), F.col(f"{e}.first")),
+            )
+            for e in earlier
+        ]
+        state = state.withColumns(earlier).withColumn(family, F.least(*met)).drop(*earlier)
+        found.append(family)
+    likely = F.least(*found)["first"].alias("likely")
+    return state.select("cls", "parity", "n", "skipped", "prefix", "first", "copies", likely, F.monotonically_increasing_id().alias("id"))
 
 
 def _joined(classes: DataFrame, similarity: tuple[int, int], flags: Column | None = None) -> DataFrame:
