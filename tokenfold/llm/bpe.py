@@ -3,11 +3,12 @@
 1. Spark splits every text into words. A block of documents (an Arrow batch) is stored as its own
    list of distinct words and, per document, the words' numbers in that list by position.
 2. The blocks' word lists meet by a hash of the word: each distinct word is encoded once, however
-   many blocks have it, and every block gets the ids of its words back.
+   many of ``GROUP_BLOCKS`` blocks (8 billion words) have it, and every block gets the ids of its words back.
 3. Each block's ids are joined to its documents by position.
 
 Texts cross the shuffle only as compressed word numbers; a word is shuffled once per block that
-has it, so a frequent word is no hot key.
+has it. Beyond ``GROUP_BLOCKS`` blocks further groups of blocks have word tables of their own, so
+that what one task holds does not grow with the corpus.
 """
 
 from __future__ import annotations
@@ -19,11 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokenfold.llm.common import written_in_buckets
+from tokenfold.llm.common import releasing, written_in_buckets
 from tokenfold.llm.vocabulary import SETTLED, WORDS, Vocabulary, java_class
 
 #: Words of texts from which a block is closed.
-BLOCK_WORDS = 3_000_000
+BLOCK_WORDS = 2_000_000
+
+#: Blocks whose words meet. A word that every block has comes so many times to one task at most.
+GROUP_BLOCKS = 4096
 
 #: Documents that Spark hands to a task at a time; a block gathers several such batches.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500"}
@@ -132,7 +136,7 @@ def _block(block: int, ids: list[pa.Array], lists: list[pa.Array], id_type: pa.D
     )
 
 
-def _deal(buckets: int):
+def _deal(buckets: int, groups: int):
     """A block's word list to its parts by a hash of the word; ``gaps`` are the steps between numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +157,7 @@ def _deal(buckets: int):
                     rows.append((int(bucket[own[0]]), pack(np.diff(own, prepend=0)), _shrink(SEPARATOR.join(words[own]))))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([r[0] for r in rows]), pa.array([block.as_py()] * len(rows)),
+                        pa.array([r[0] * groups + xxhash.xxh3_64_intdigest(str(block)) % groups for r in rows]), pa.array([block.as_py()] * len(rows)),
                         pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary()),
                     ],
                     ["bucket", "block", "gaps", "words"],
@@ -298,11 +302,12 @@ def encode(docs: DataFrame, path: str, decoded: bool = False) -> DataFrame:
             T.StructField("n_words", T.LongType()), T.StructField("words", T.BinaryType()),
         ]
     )
-    blocks = written_in_buckets(split.mapInArrow(_blocks(path, id_arrow), schema), "blocks", "block", BATCH)
-    total = blocks.agg(F.sum("n_words")).first()[0] or 0
-    buckets = -(-total // BUCKET_WORDS) or 1
+    blocks = written_in_buckets(split.mapInArrow(releasing(_blocks(path, id_arrow)), schema), "blocks", "block", BATCH)
+    count, total = blocks.agg(F.count("*"), F.coalesce(F.sum("n_words"), F.lit(0))).first()
+    groups = -(-count // GROUP_BLOCKS) or 1
+    buckets = -(-total // (BUCKET_WORDS * groups)) or 1
     dealt = blocks.select("block", "n_words", "words").mapInArrow(
-        _deal(buckets), "bucket long, block long, gaps binary, words binary"
+        releasing(_deal(buckets, groups)), "bucket long, block long, gaps binary, words binary"
     )
     coded = dealt.groupBy("bucket").applyInArrow(
         _encode_bucket(path), "block long, gaps binary, sizes binary, ids binary"
@@ -318,7 +323,7 @@ def encode(docs: DataFrame, path: str, decoded: bool = False) -> DataFrame:
     parts = coded.repartition(count, "block").groupBy("block").agg(F.collect_list(F.struct("gaps", "sizes", "ids")).alias("parts"))
     own = blocks.select("block", "ids", "sizes", "numbers")
     whole = own.join(parts.hint("shuffle_hash"), "block", "left")
-    return whole.select("ids", "sizes", "numbers", "parts").mapInArrow(_put_together(vocabulary.pieces() if decoded else None, arrow), out)
+    return whole.select("ids", "sizes", "numbers", "parts").mapInArrow(releasing(_put_together(vocabulary.pieces() if decoded else None, arrow)), out)
 
 
 def _decode(path: str, at: int):
@@ -344,4 +349,4 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     become replacement characters, as the library has it. Null or no ids give the empty text.
     """
     schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())])
-    return encoded.mapInArrow(_decode(path, encoded.columns.index("ids")), schema)
+    return encoded.mapInArrow(releasing(_decode(path, encoded.columns.index("ids"))), schema)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
+import functools
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,17 +23,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset (local tests) a
-    folder of this machine is made and set as checkpoint directory.
+    Where that is unset, a session on one machine takes its warehouse's folder, which is made and set
+    as checkpoint directory; a cluster must name a folder.
     """
-    held = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    held = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not held:
-        held = tempfile.mkdtemp(prefix="tokenfold-")
-        spark.sparkContext.setCheckpointDir(held)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(held)
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        held = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tokenfold-shared"
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(held)
     return held
 
 
@@ -108,6 +113,28 @@ def written_in_buckets(df: DataFrame, name: str, column: str, conf: dict[str, st
     return spark.table(catalog_name)
 
 
+def release() -> None:
+    """Give freed memory back to the system, as Python workers are used again by later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """A function for ``mapInArrow`` that releases memory when its task ends."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
 def text_of(docs: DataFrame, column: str = "text") -> Column:
     """The text column with null read as the empty text."""
     return F.coalesce(docs[column].cast("string"), F.lit(""))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokenfold.llm.common import written
+from tokenfold.llm.common import releasing, written
 
 #: Words in a window.
 WINDOW = 10
@@ -50,7 +50,7 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def item_windows(benchmark: DataFrame) -> DataFrame:
     """Distinct windows of the benchmark with the ids of their items (null ids: none)."""
     items = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("binary"))
-    rows = items.mapInArrow(_item_windows, "window binary, item string")
+    rows = items.mapInArrow(releasing(_item_windows), "window binary, item string")
     return rows.groupBy("window").agg(F.collect_set("item").alias("items"))
 
 
@@ -128,7 +128,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, windows_per_pass: int = WINDOWS_
         part = windows.filter(F.pmod(F.xxhash64("window"), F.lit(passes)) == k)
         held = [(bytes(r.window), list(r["items"])) for r in part.collect()]
         if held or not k:
-            state = state.mapInArrow(_scan(held), schema) if held else _uncounted(state, schema)
+            state = state.mapInArrow(releasing(_scan(held)), schema) if held else _uncounted(state, schema)
             state = written(state, "scanned") if k + 1 < passes else state
     return state.withColumn("text", F.col("text").cast("string"))
 
@@ -143,7 +143,7 @@ def _uncounted(state: DataFrame, schema: T.StructType) -> DataFrame:
             counts = pa.array([len((t.as_py() or b"").translate(FOLD).split()) for t in texts], pa.int64())
             yield batch.set_column(at, "n_words", counts)
 
-    return state.mapInArrow(run, schema)
+    return state.mapInArrow(releasing(run), schema)
 
 
 def verdicts(scanned: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokenfold.llm.common import SPACE_CLASS, written
+from tokenfold.llm.common import SPACE_CLASS, releasing, written
 
 #: Hash buckets of words and of word pairs together.
 BUCKETS = 1 << 15
@@ -98,7 +98,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[list[
     share = chosen.agg(F.avg("quality")).first()[0]
     good = chosen.filter("quality = 1").select("doc_id", F.lit(True).alias("good"))
     marked = docs.select("doc_id", "text").join(F.broadcast(good), "doc_id", "left")
-    counts = _hashed(marked, F.coalesce("good", F.lit(False)).alias("good")).mapInArrow(_count, "bucket long, raw long, target long")
+    counts = _hashed(marked, F.coalesce("good", F.lit(False)).alias("good")).mapInArrow(releasing(_count), "bucket long, raw long, target long")
     held = counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
     if share is None or not sum(r.target for r in held):
         return [0.0] * BUCKETS, 1.0
@@ -120,7 +120,7 @@ def weights(docs: DataFrame, ratios: list[float], seed: int = SEED) -> DataFrame
     schema = T.StructType(
         [T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_words", T.LongType()), T.StructField("log_weight", T.DoubleType())]
     )
-    weighed = _hashed(docs, "doc_id").mapInArrow(_weigh(ratios), schema)
+    weighed = _hashed(docs, "doc_id").mapInArrow(releasing(_weigh(ratios)), schema)
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")), 11) + F.lit(0.5)) / F.lit(2.0**53)
     return weighed.withColumn("key", F.col("log_weight") - F.log(-F.log(uniform)))
 

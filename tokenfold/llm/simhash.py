@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tokenfold.llm.common import SPACE_CLASS, written
+from tokenfold.llm.common import SPACE_CLASS, releasing, written
 
 SHINGLE = 3
 BUDGET = 2
@@ -80,7 +80,7 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
     hashed = docs.select("doc_id", _words(F.col("text").cast("string")).alias("words")).select("doc_id", _shingles(size).alias("hashes"))
-    return hashed.mapInArrow(_fingerprints, f"doc_id {id_type}, fp long")
+    return hashed.mapInArrow(releasing(_fingerprints), f"doc_id {id_type}, fp long")
 
 
 def _segments(budget: int) -> list[tuple[int, int]]:
@@ -235,7 +235,7 @@ def near_copies(docs: DataFrame, size: int = COPY_SHINGLE, similarity: tuple[int
     equal = prints.join(classes, "fp").filter("node > rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
     hashed = texts.select("node", _words(F.col("text")).alias("words")).select("node", _shingles(size).alias("hashes"))
     node_type = texts.schema["node"].dataType.simpleString()
-    entries = hashed.mapInArrow(_bands, f"node {node_type}, keys array<bigint>").select("node", F.posexplode("keys").alias("band", "key"))
+    entries = hashed.mapInArrow(releasing(_bands), f"node {node_type}, keys array<bigint>").select("node", F.posexplode("keys").alias("band", "key"))
     order = Window.partitionBy("band", "key").orderBy("node")
     first = F.first_value("node").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     met = entries.select("node", F.array(first, *[F.lag("node", k).over(order) for k in BEFORE]).alias("earlier"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tokenfold.llm.common import written
+from tokenfold.llm.common import releasing, written
 from tokenfold.llm.vocabulary import Vocabulary
 
 CHUNK = 32_768
@@ -103,8 +103,7 @@ def _encode_chunks(path: str, chunk: int, overlap: int):
 def _splice(summaries: DataFrame) -> DataFrame:
     """(sha, n_tokens) per long text; n_tokens is null if two neighbours have no common boundary."""
     order = Window.partitionBy("sha").orderBy("start")
-    single = summaries.dropDuplicates(["sha", "start"])
-    pairs = single.withColumn("next", F.lead("head").over(order))
+    pairs = summaries.withColumn("next", F.lead("head").over(order))
     common = F.array_intersect(F.transform("tail", lambda x: x["at"]), F.transform("next", lambda x: x["at"]))
     met = pairs.withColumn("meet", F.array_min(common))
     left = F.get(F.filter("tail", lambda x: x["at"] == F.col("meet")), F.lit(0))["n"]
@@ -124,8 +123,7 @@ def count_tokens(docs: DataFrame, path: str, chunk: int = CHUNK, overlap: int =
     ignored. ``path`` is a tokenizers JSON file; its special strings count as the library's
     default has it, and nothing is added, cut or padded.
 
-    Only long texts are shuffled, in chunks, so one document's chunks are spread over tasks; equal
-    long texts are spliced once. A round of widening runs only while a splice fails.
+    Only long texts are shuffled, each different one once, and its chunks are spread over tasks. A round of widening runs only while a splice fails.
     """
     if overlap > chunk:
         raise ValueError("the overlap may not exceed the chunk")
@@ -133,17 +131,19 @@ def count_tokens(docs: DataFrame, path: str, chunk: int = CHUNK, overlap: int =
     sized = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     short = sized.filter(F.char_length("text") <= chunk).mapInArrow(
-        _count_whole(path), f"doc_id {id_type}, n_bytes long, n_tokens long"
+        releasing(_count_whole(path)), f"doc_id {id_type}, n_bytes long, n_tokens long"
     )
     long = sized.filter(F.char_length("text") > chunk)
     keyed = long.select("doc_id", "n_bytes", F.sha2("text", 256).alias("sha"))
-    texts = long.select(F.sha2("text", 256).alias("sha"), "text")
+    # Copies of a text are merged, and their number leaves each task already as one.
+    texts = written(long.groupBy(F.sha2("text", 256).alias("sha")).agg(F.first("text").alias("text")), "long_texts")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counted: DataFrame | None = None
     left = texts
     while True:
-        parts = left.mapInArrow(_cut(chunk, overlap), "sha string, start long, last boolean, part string")
-        spread = parts.repartition(F.col("sha"), F.col("start"))
-        spliced = written(_splice(spread.mapInArrow(_encode_chunks(path, chunk, overlap), _SUMMARY)), "spliced")
+        parts = left.mapInArrow(releasing(_cut(chunk, overlap)), "sha string, start long, last boolean, part string")
+        spread = parts.repartition(tasks, "sha", "start")
+        spliced = written(_splice(spread.mapInArrow(releasing(_encode_chunks(path, chunk, overlap)), _SUMMARY)), "spliced")
         good = spliced.filter("n_tokens IS NOT NULL")
         counted = good if counted is None else counted.unionByName(good)
         failed = spliced.filter("n_tokens IS NULL").select("sha")

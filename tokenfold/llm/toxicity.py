@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokenfold.llm.common import SPACE_CLASS, written
+from tokenfold.llm.common import SPACE_CLASS, releasing, written
 
 #: Insults that vote for "toxic" without any label (fixed values).
 LEXICON = (
@@ -121,7 +121,7 @@ def mine_voters(sample: DataFrame) -> list[str]:
     toxic = sample.agg(F.sum("toxic")).first()[0] or 0
     least = max(SUPPORT, round(SUPPORT_SHARE * toxic))
     counts = (
-        sample.mapInArrow(_mine, "pattern string, toxic int")
+        sample.mapInArrow(releasing(_mine), "pattern string, toxic int")
         .groupBy("pattern")
         .agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"))
         .filter((F.col("bad") >= least) & ((F.col("bad") + 0.5) / (F.col("n") + 1) >= PRECISION))
@@ -183,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
 
     sample = fit_sample(docs, labels, rows)
     voters = mine_voters(sample)
-    held = sample.mapInArrow(_vote(voters), "toxic int, fired array<int>").collect()
+    held = sample.mapInArrow(releasing(_vote(voters)), "toxic int, fired array<int>").collect()
     toxic = np.array([r.toxic for r in held], float)
     if not len(held) or toxic.min() == toxic.max():
         return Model(tuple(voters), (0.0,) * len(voters), 4.0, -2.0)
@@ -231,4 +231,4 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """
     docs = docs.drop(name)
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
-    return docs.mapInArrow(_score(model, docs.columns.index("text"), name), schema)
+    return docs.mapInArrow(releasing(_score(model, docs.columns.index("text"), name)), schema)

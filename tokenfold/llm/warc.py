@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenfold.llm.common import scratch_path, written
+from tokenfold.llm.common import releasing, scratch_path, written
 
 #: Bytes of an archive after which the next one is begun.
 ARCHIVE_BYTES = 256 << 20
@@ -25,6 +25,9 @@ ARCHIVE_BYTES = 256 << 20
 #: Bytes of one reading task.
 RANGE_BYTES = 8 << 20
 
+#: Reading tasks, at most; beyond, a task reads several ranges one after another.
+MOST_TASKS = 100_000
+
 #: Bytes read at a time while looking for a record's start or its end.
 STEP = 1 << 20
 
@@ -128,12 +131,13 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), payload.alias("payload"))
     known = rows.withColumn("sha", F.sha1("payload"))
-    last = known.groupBy("sha").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).filter("n > 1")
-    joined = known.join(last, "sha", "left")
-    refers_to = F.when(F.col("page_id") < F.col("last"), F.col("last"))
-    sha1 = F.unhex("sha")
-    chosen = joined.select("page_id", "url", "payload", sha1.alias("sha1"), refers_to.alias("refers_to"))
-    archives = chosen.mapInArrow(_with_digest(folder), "path string, size long, records long")
+    # Only digests and ids meet by digest, of which one may be a third of all rows; payloads are dealt by page.
+    thin = known.select("page_id", "sha")
+    last = thin.groupBy("sha").agg(F.max("page_id").alias("last"))
+    older = thin.join(last, "sha").filter("page_id < last").select("page_id", "sha", F.col("last").alias("refers_to")).distinct()
+    joined = known.join(older, ["page_id", "sha"], "left")
+    chosen = joined.select("page_id", "url", "payload", F.unhex("sha").alias("sha1"), "refers_to")
+    archives = chosen.mapInArrow(releasing(_with_digest(folder)), "path string, size long, records long")
     return written(archives, "archives")
 
 
@@ -244,8 +248,9 @@ def read(spark: SparkSession, archives: DataFrame, range_bytes: int = RANGE_BYTE
     ranges = archives.select("path", "size", F.explode(starts).alias("start")).select(
         "path", "start", F.least(F.col("start") + range_bytes, F.col("size")).alias("end"), "size"
     )
-    spread = ranges.repartition(F.col("path"), F.col("start"))
-    return spread.mapInArrow(_read(payload), _RECORD + (", payload binary" if payload else ""))
+    # An explicit number, as the rows are so small that they would all be put into one partition.
+    spread = ranges.repartition(max(1, min(ranges.count(), MOST_TASKS)), "path", "start")
+    return spread.mapInArrow(releasing(_read(payload)), _RECORD + (", payload binary" if payload else ""))
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
