@@ -182,5 +182,43 @@ def test_custom_strategy(spark):
     assert kept_texts(builder.build(keys)) == ["c", "b", "c"]
     greedy = Builder(30, FixedCounter(10)).add_block("own", Custom(lambda rows, tokens, limit: rows.head(2)), three, max_tokens=10)
     status = greedy.build(keys).status.first()
-    assert (status.error_code, status.error_block) == ("STRATEGY_EXCEEDED_BUDGET", "own")
+    assert (status.error_code, status.error_block, status.total_tokens) == ("STRATEGY_EXCEEDED_BUDGET", "own", 0)
+    assert greedy.build(keys).messages.count() == 0 and greedy.build(keys).kept.count() == 0
     assert not calls
+
+
+def test_failures_are_rows_of_status(spark):
+    keys = spark.createDataFrame([(0,), (1,)], "build_id long")
+    two = [text_message("user", t) for t in "ab"]
+
+    def failing(rows, tokens, limit):
+        raise KeyError("no")
+
+    def refusing(rows, tokens, limit):
+        raise ContextError("BLOCK_TOO_LARGE")
+
+    class Weights(FixedCounter):
+        def weight(self, message):
+            return F.when(message["Content"][0]["text"] == "b", F.lit(self.bad).cast("long")).otherwise(F.lit(5).cast("long"))
+
+    def outcome(builder):
+        made = builder.build(keys)
+        assert made.messages.count() == 0
+        return {(r.error_code, r.error_block, r.total_tokens) for r in made.status.collect()}
+
+    assert outcome(Builder(10, FixedCounter(10)).add_block("own", Custom(failing), two)) == {("STRATEGY_FAILED", "own", 0)}
+    assert outcome(Builder(10, FixedCounter(10)).add_block("own", Custom(refusing), two)) == {("BLOCK_TOO_LARGE", "own", 0)}
+    for bad in (None, -5):
+        counter = Weights(1)
+        object.__setattr__(counter, "bad", bad)
+        for strategy in (DropHead(), Strict(), Custom(failing)):
+            assert outcome(Builder(100, counter).add_block("own", strategy, two)) == {("TOKEN_COUNT_FAILED", "own", 0)}
+    with pytest.raises(ValueError):
+        Builder(1, FixedCounter(1)).add_block("", Strict(), two)
+
+
+def test_summarizer_is_called_for_overfull_blocks_only(spark):
+    two = [text_message("user", t) for t in "ab"]
+    only = Summarize(lambda m: F.when(F.size(m) > 0, F.raise_error(F.lit("called")).cast(MESSAGE)))
+    made = Builder(20, FixedCounter(10)).add_block("s", only, two).build(spark.range(2).withColumnRenamed("id", "build_id"))
+    assert kept_texts(made) == ["a", "b"] * 2

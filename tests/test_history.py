@@ -2,15 +2,16 @@
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tests.test_assembly import frame, message
 from tokenfold.errors import Cancelled, ContextError, classify
 from tokenfold.functions.counters import FixedCounter
-from tokenfold.functions.messages import canonical_json, from_payload, image_part, messages_equal, multipart_message, text_message
+from tokenfold.functions.messages import MESSAGE, canonical_json, from_payload, image_part, messages_equal, multipart_message, text_message
 from tokenfold.operators.builder import Builder
 from tokenfold.operators.strategies import Drop, DropHead, Strict
-from tokenfold.operators.thread import sync
-from tokenfold.sources.history import OPS, FileHistoryStore, ResilientStore, replay, sync_thread, valid_table_name
+from tokenfold.operators.thread import build_context, sync
+from tokenfold.sources.history import OPS, FileHistoryStore, ResilientStore, replay, sync_thread
 from tokenfold.streaming.replay import replay_stream
 
 
@@ -134,11 +135,58 @@ def test_equality(spark):
     assert list(row) == [True, False, True, False]
 
 
-def test_table_names():
-    assert valid_table_name("s.history_1") == "s.history_1"
-    for bad in ("", "1a", "a.b.c", "a;b"):
-        with pytest.raises(ValueError):
-            valid_table_name(bad)
+def test_no_update_is_lost_between_two_writers(spark, tmp_path):
+    """A claims first and is slow: B's commit is judged only once A's is settled, by its coming or as void."""
+    def one(text):
+        return [message("user", text)]
+
+    slow = FileHistoryStore(spark, str(tmp_path / "store"), patience=0.5)
+    number = slow._claim()
+    staged = str(tmp_path / "late")
+    row = ("t", 0, "append", 0, [spark.createDataFrame([(one("late")[0],)], T.StructType([T.StructField("m", MESSAGE)])).select(F.to_json("m")).first()[0]])
+    spark.createDataFrame([row], OPS).withColumn("ts", F.current_timestamp()).write.parquet(staged)
+    assert slow.load("t") == ([], 0)
+    slow.append("t", 0, one("quick"))
+    with pytest.raises(ContextError) as error:
+        slow._move(staged, number)
+    assert error.value.code == "UNAVAILABLE"
+    rows, version = slow.load("t")
+    assert ([r.Content[0].text for r in rows], version) == (["quick"], 1)
+
+
+def test_file_store_forgets_after_its_time_to_live(spark, tmp_path):
+    store = FileHistoryStore(spark, str(tmp_path / "store"), ttl_seconds=3600)
+    store.append("t", 0, [message("user", "a")])
+    assert store.load("t")[1] == 1
+    old = spark.createDataFrame([("u", 0, "append", 0, ["{}"])], OPS).withColumn("ts", F.current_timestamp() - F.expr("INTERVAL 2 HOURS"))
+    store.commit(old)
+    assert store.load("u") == ([], 0)
+
+
+def test_build_context_on_a_store(spark, tmp_path):
+    """Another writer comes between: the thread is loaded and built again, and nothing is lost."""
+    inner = FileHistoryStore(spark, str(tmp_path / "store"))
+    inner.append("t", 0, [message("user", "old")])
+
+    class Crossed:
+        tries = 0
+
+        def load(self, thread_id):
+            return inner.load(thread_id)
+
+        def append(self, thread_id, version, messages):
+            self.tries += 1
+            if self.tries == 1:
+                inner.append(thread_id, version, [message("user", "other")])
+            inner.append(thread_id, version, messages)
+
+    store = Crossed()
+    builder = Builder(100, FixedCounter(10)).add_block("system", Strict(), [text_message("system", "hi")]).add_block("history", DropHead(), [])
+    made = build_context(spark, store, builder, "history", "t", [message("user", "new")])
+    assert [m.Content[0].text for m in made] == ["hi", "old", "other", "new"] and store.tries == 2
+    assert [m.Content[0].text for m in inner.load("t")[0]] == ["old", "other", "new"]
+    with pytest.raises(ContextError):
+        build_context(spark, store, builder, "nowhere", "t", [])
 
 
 def test_replay_stream(spark, tmp_path):

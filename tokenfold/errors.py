@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import socket
 
-#: Status values in order of declaration (fixed values of the public behaviour).
+#: Status values in order of declaration (fixed values of the public behaviour); the last one is for
+#: strategies in Python that raise something else than a ``ContextError``.
 CODES = (
     "BUDGET_EXCEEDED", "INVALID_CONFIG", "TOKEN_COUNT_FAILED", "INVALID_CHARS_PER_TOKEN", "NIL_STRATEGY",
     "STRATEGY_EXCEEDED_BUDGET", "FORMATTER_EXCEEDED_BUDGET", "BLOCK_TOO_LARGE", "BLOCK_NOT_FOUND",
     "INVALID_THREAD_CONFIG", "HISTORY_VERSION_CONFLICT", "UNAVAILABLE",
+    "STRATEGY_FAILED",
 )
 
 

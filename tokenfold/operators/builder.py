@@ -58,6 +58,8 @@ class Builder:
     formatter: Callable[[DataFrame], DataFrame] = DefaultFormatter()
 
     def add_block(self, name: str, strategy: Strategy | None, messages: DataFrame | list[Column], max_tokens: int = 0) -> Builder:
+        if not name:
+            raise ValueError("a block needs a name")
         held = messages if isinstance(messages, DataFrame) else tuple(messages)
         return replace(self, blocks=(*self.blocks, Block(name, strategy, held, max_tokens)))
 
@@ -97,22 +99,25 @@ class Builder:
         if not kept:
             empty = ids.sparkSession.createDataFrame([], T.StructType([ids.schema["build_id"], *_KEPT]))
             kept, figures = [empty], []
-        alive = _union(kept)
-        if len(kept) > 1:  # a stage leaves out the builds that failed in it; a later one may fail too
-            alive = alive.join(state.filter("error_code IS NULL").select("build_id"), "build_id", "left_semi")
+        # Nothing of a failed build is left, in whichever stage it failed.
+        alive = _union(kept).join(state.filter("error_code IS NULL").select("build_id"), "build_id", "left_semi")
         formatted = self.formatter(alive)
         counted = formatted.withColumn("w", self.counter.weight(F.col("message")))
-        totals = counted.groupBy("build_id").agg(F.sum("w").alias("total"))
+        totals = counted.groupBy("build_id").agg(F.sum("w").alias("total"), F.max(_bad(F.col("w"))).alias("bad"))
         total = F.coalesce("total", F.lit(0)).cast("long")
-        over = F.col("error_code").isNull() & (total > self.max_tokens)
+        fine = F.col("error_code").isNull()
         status = state.join(totals, "build_id", "left").select(
             "build_id",
-            F.when(over, "FORMATTER_EXCEEDED_BUDGET").otherwise(F.col("error_code")).alias("error_code"),
+            F.when(fine & F.col("bad"), "TOKEN_COUNT_FAILED")
+            .when(fine & (total > self.max_tokens), "FORMATTER_EXCEEDED_BUDGET")
+            .otherwise(F.col("error_code"))
+            .alias("error_code"),
             "error_block",
-            total.alias("total_tokens"),
+            F.when(fine & F.col("bad"), F.lit(0).cast("long")).otherwise(total).alias("total_tokens"),
         )
-        whole = F.sum("w").over(Window.partitionBy("build_id"))
-        messages = counted.withColumn("_total", whole).filter(F.col("_total") <= self.max_tokens).drop("_total")
+        build = Window.partitionBy("build_id")
+        checked = counted.withColumns({"_total": F.sum("w").over(build), "_bad": F.max(_bad(F.col("w"))).over(build)})
+        messages = checked.filter((F.col("_total") <= self.max_tokens) & ~F.col("_bad")).drop("_total", "_bad")
         return BuildFrames(messages, _union(figures) if figures else None, alive, status)
 
     def build_or_raise(self, keys: DataFrame) -> BuildFrames:
@@ -131,6 +136,11 @@ _KEPT = [
 _RESULT = "array<struct<block_ord:int,budget:bigint,used:bigint,n_kept:bigint,mode:string>>"
 
 
+def _bad(w: Column) -> Column:
+    """A weight that no counter may give."""
+    return w.isNull() | (w < 0)
+
+
 def _no_error() -> list[Column]:
     return [F.lit(None).cast("string").alias("error_code"), F.lit(None).cast("string").alias("error_block")]
 
@@ -143,11 +153,12 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 def _stages(blocks: tuple[Block, ...]) -> list[list[tuple[int, Block]]]:
-    """Runs of blocks that one fold can serve; a strategy in Python is a stage of its own."""
+    """Runs of blocks that one fold can serve. A strategy in Python is a stage of its own, and so is a
+    summarizer, which is called for overfull blocks only and so must know its budget."""
     out: list[list[tuple[int, Block]]] = []
     for k, block in enumerate(blocks):
-        alone = isinstance(block.strategy, Custom)
-        if not out or alone or isinstance(out[-1][0][1].strategy, Custom):
+        alone = isinstance(block.strategy, (Custom, Summarize))
+        if not out or alone or isinstance(out[-1][0][1].strategy, (Custom, Summarize)):
             out.append([])
         out[-1].append((k, block))
     return out
@@ -183,23 +194,27 @@ def _needs(group: list[tuple[int, Block]], rows: DataFrame) -> DataFrame:
 
 def _native_stage(group, rows: DataFrame, state: DataFrame, counter: TokenCounter) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = _needs(group, rows)
-    summaries = [(k, b) for k, b in group if isinstance(b.strategy, Summarize)]
+    summarizer = group[0][1].strategy if isinstance(group[0][1].strategy, Summarize) else None
     facts = [
         F.max("total").alias("total"),
         F.count("*").alias("n"),
+        F.max(_bad(F.col("w"))).alias("bad"),
         F.array_sort(F.collect_list(F.struct(F.col("need").cast("long").alias("need"), F.col("w").alias("w")))).alias("needs"),
     ]
-    if summaries:
-        ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "message"))), lambda x: x["message"])
-        facts.append(F.first("block_ord").alias("at"))
-        facts.append(F.when(F.first("block_ord").isin(*[k for k, _ in summaries]), ordered).alias("list"))
-    records = rows.groupBy(*BLOCK).agg(*facts)
-    none = F.lit(None).cast(MESSAGE)
-    made = none
-    for k, block in summaries:
-        made = F.when(F.col("at") == k, block.strategy.summarizer(F.col("list")).cast(MESSAGE)).otherwise(made)
-    records = records.withColumn("summary", made).drop("list", "at") if summaries else records.withColumn("summary", none)
-    records = records.withColumn("summary_w", F.when(F.col("summary").isNotNull(), counter.weight(F.col("summary"))))
+    none = F.lit(None).cast(MESSAGE).alias("summary")
+    if summarizer is None:
+        records = rows.groupBy(*BLOCK).agg(*facts).select("*", none)
+    else:
+        facts.append(F.transform(F.array_sort(F.collect_list(F.struct("pos", "message"))), lambda x: x["message"]).alias("list"))
+        cap = group[0][1].max_tokens
+        limit = F.least(F.col("remaining"), F.lit(cap)) if cap > 0 else F.col("remaining")
+        due = rows.groupBy(*BLOCK).agg(*facts).join(state.filter("error_code IS NULL").select("build_id", limit.alias("limit")), "build_id")
+        over = ~F.col("bad") & (F.col("total") > F.col("limit"))
+        short = due.filter(over).withColumn("summary", summarizer.summarizer(F.col("list")).cast(MESSAGE))
+        records = short.unionByName(due.filter(~over).select("*", none)).drop("list", "limit")
+    weight = F.when(F.col("summary").isNotNull(), counter.weight(F.col("summary")))
+    records = records.withColumn("summary_w", weight)
+    records = records.withColumn("bad", F.col("bad") | (F.col("summary").isNotNull() & _bad(F.col("summary_w"))))
 
     def constant(of: Callable[[Block], object], kind: str) -> Column:
         out = F.lit(None).cast(kind)
@@ -215,7 +230,7 @@ def _native_stage(group, rows: DataFrame, state: DataFrame, counter: TokenCounte
         constant(lambda b: b.strategy.on_empty if b.strategy else "NIL_STRATEGY", "string").alias("failure"),
         constant(lambda b: b.strategy is None, "boolean").alias("bare"),
     )
-    record = F.struct("block_ord", "name", "total", "n", "cap", "least", "failure", "bare", "needs", F.col("summary_w").alias("sw"))
+    record = F.struct("block_ord", "name", "total", "n", "cap", "least", "failure", "bare", "bad", "needs", F.col("summary_w").alias("sw"))
     gathered = state.join(known.groupBy("build_id").agg(F.array_sort(F.collect_list(record)).alias("records")), "build_id", "left")
     start = F.struct(
         F.col("remaining").cast("long").alias("remaining"), F.col("error_code").alias("error_code"), F.col("error_block").alias("error_block"),
@@ -230,7 +245,7 @@ def _native_stage(group, rows: DataFrame, state: DataFrame, counter: TokenCounte
         (F.col("mode") == "all") | ((F.col("mode") == "trim") & (F.col("need") <= F.col("budget")))
     )
     kept = kept.select("build_id", "block_ord", "block_name", "pos", "message", "w")
-    if summaries:
+    if summarizer is not None:
         short = fine.filter("mode = 'summary'").join(sizes, BLOCK).select(
             "build_id", "block_ord", "block_name", F.lit(0).cast("long").alias("pos"), "summary", F.col("used").alias("w")
         )
@@ -254,7 +269,7 @@ def _serve(at: Column, block: Column) -> Column:
     short = block["sw"].isNotNull() & (block["sw"] <= budget)
     mode = (
         F.when(at["error_code"].isNotNull(), "none")
-        .when(block["bare"], "none")
+        .when(block["bare"] | block["bad"], "none")
         .when(fits, "all")
         .when(short, "summary")
         .when(enough, "trim")
@@ -262,13 +277,14 @@ def _serve(at: Column, block: Column) -> Column:
     )
     used = F.when(mode == "all", block["total"]).when(mode == "summary", block["sw"]).when(mode == "trim", trimmed).otherwise(F.lit(0).cast("long"))
     kept = F.when(mode == "all", block["n"]).when(mode == "summary", F.lit(1).cast("long")).when(mode == "trim", F.size(staying).cast("long")).otherwise(F.lit(0).cast("long"))
-    failed = at["error_code"].isNull() & (mode == "none") & block["failure"].isNotNull()
+    failure = F.when(block["bad"] & ~block["bare"], "TOKEN_COUNT_FAILED").otherwise(block["failure"])
+    failed = at["error_code"].isNull() & (mode == "none") & failure.isNotNull()
     result = F.struct(
         block["block_ord"].alias("block_ord"), budget.cast("long").alias("budget"), used.cast("long").alias("used"), kept.cast("long").alias("n_kept"), mode.alias("mode")
     )
     return F.struct(
         (at["remaining"] - used).cast("long").alias("remaining"),
-        F.when(failed, block["failure"]).otherwise(at["error_code"]).alias("error_code"),
+        F.when(failed, failure).otherwise(at["error_code"]).alias("error_code"),
         F.when(failed, block["name"]).otherwise(at["error_block"]).alias("error_block"),
         F.when(at["error_code"].isNull(), F.concat(at["done"], F.array(result))).otherwise(at["done"]).alias("done"),
     )
@@ -279,34 +295,55 @@ def _custom_stage(entry: tuple[int, Block], rows: DataFrame, state: DataFrame, c
     k, block = entry
     cap = block.max_tokens
     limit = F.least(F.col("remaining"), F.lit(cap)) if cap > 0 else F.col("remaining")
-    sums = rows.groupBy("build_id").agg(F.sum("w").alias("tokens_in"), F.count("*").alias("n_in"))
+    sums = rows.groupBy("build_id").agg(F.sum("w").alias("tokens_in"), F.count("*").alias("n_in"), F.max(_bad(F.col("w"))).alias("bad_in"))
     plan = state.join(sums, "build_id").withColumn("budget", limit).filter("error_code IS NULL")
-    joined = rows.join(plan.select("build_id", "tokens_in", "budget"), "build_id")
-    fitting = joined.filter("tokens_in <= budget").select(*rows.columns)
+    joined = rows.join(plan.filter("NOT bad_in").select("build_id", "tokens_in", "budget"), "build_id")
+    fitting = joined.filter("tokens_in <= budget").select(*rows.columns, F.lit(None).cast("string").alias("failure"))
     apply = block.strategy.apply
 
     def trim(key, frame):
+        """The strategy's messages; if it raises, one row with the code of the failure."""
+        import pandas as pd
+
         ordered = frame.sort_values("pos")
-        out = apply(ordered[["pos", "message", "w"]], int(ordered["tokens_in"].iloc[0]), int(ordered["budget"].iloc[0]))
-        out = out[["pos", "message"]].copy()
+        try:
+            out = apply(ordered[["pos", "message", "w"]], int(ordered["tokens_in"].iloc[0]), int(ordered["budget"].iloc[0]))
+            out = out[["pos", "message"]].assign(failure=None)
+        except ContextError as error:
+            out = pd.DataFrame({"pos": [0], "message": [None], "failure": [error.code]})
+        except Exception:
+            out = pd.DataFrame({"pos": [0], "message": [None], "failure": ["STRATEGY_FAILED"]})
         out.insert(0, "build_id", key[0])
         return out
 
-    schema = T.StructType([rows.schema["build_id"], T.StructField("pos", T.LongType()), T.StructField("message", MESSAGE)])
+    schema = T.StructType(
+        [rows.schema["build_id"], T.StructField("pos", T.LongType()), T.StructField("message", MESSAGE), T.StructField("failure", T.StringType())]
+    )
     trimmed = joined.filter("tokens_in > budget").groupBy("build_id").applyInPandas(trim, schema)
-    again = trimmed.select("build_id", F.lit(k).alias("block_ord"), F.lit(block.name).alias("block_name"), "pos", "message", counter.weight(F.col("message")).alias("w"))
+    weight = F.when(F.col("failure").isNull(), counter.weight(F.col("message"))).alias("w")
+    again = trimmed.select("build_id", F.lit(k).alias("block_ord"), F.lit(block.name).alias("block_name"), "pos", "message", weight, "failure")
     out = fitting.unionByName(again)
-    used = out.groupBy("build_id").agg(F.sum("w").alias("used"), F.count("*").alias("n_kept"))
+    used = out.groupBy("build_id").agg(
+        F.sum("w").alias("used"), F.count("*").alias("n_kept"), F.max("failure").alias("failure"),
+        F.max(F.col("failure").isNull() & _bad(F.col("w"))).alias("bad_out"),
+    )
     done = plan.join(used, "build_id", "left").withColumn("used", F.coalesce("used", F.lit(0).cast("long")))
-    figures = done.select(
-        "build_id", F.lit(k).alias("block_ord"), F.lit(block.name).alias("block_name"), "tokens_in", "budget", "used", "n_in", F.coalesce("n_kept", F.lit(0).cast("long")).alias("n_kept")
+    code = (
+        F.when(F.col("bad_in"), "TOKEN_COUNT_FAILED")
+        .when(F.col("failure").isNotNull(), F.col("failure"))
+        .when(F.col("bad_out"), "TOKEN_COUNT_FAILED")
+        .when(F.col("used") > F.col("budget"), "STRATEGY_EXCEEDED_BUDGET")
     )
-    over = F.col("used") > F.col("budget")
-    spent = done.select("build_id", "used", over.alias("over"))
-    after = state.join(spent, "build_id", "left").select(
+    judged = done.withColumn("code", code)
+    figures = judged.select(
+        "build_id", F.lit(k).alias("block_ord"), F.lit(block.name).alias("block_name"), "tokens_in", "budget",
+        F.when(F.col("code").isNull(), F.col("used")).otherwise(F.lit(0).cast("long")).alias("used"), "n_in",
+        F.when(F.col("code").isNull(), F.coalesce("n_kept", F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long")).alias("n_kept"),
+    )
+    after = state.join(judged.select("build_id", "used", "code"), "build_id", "left").select(
         "build_id",
-        (F.col("remaining") - F.coalesce("used", F.lit(0).cast("long"))).alias("remaining"),
-        F.when(F.col("over"), "STRATEGY_EXCEEDED_BUDGET").otherwise(F.col("error_code")).alias("error_code"),
-        F.when(F.col("over"), block.name).otherwise(F.col("error_block")).alias("error_block"),
+        (F.col("remaining") - F.when(F.col("code").isNull(), F.coalesce("used", F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long"))).alias("remaining"),
+        F.coalesce("error_code", "code").alias("error_code"),
+        F.when(F.col("error_code").isNull() & F.col("code").isNotNull(), block.name).otherwise(F.col("error_block")).alias("error_block"),
     )
-    return out, figures, after
+    return out.filter("failure IS NULL").drop("failure"), figures, after

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tokenfold.errors import ContextError
-from tokenfold.functions.messages import histories_equal
+from tokenfold.functions.messages import MESSAGE, histories_equal
 from tokenfold.operators.builder import Builder, BuildFrames
+from tokenfold.sources.history import sync_thread
 
 
 @dataclass(frozen=True)
@@ -73,3 +75,26 @@ def write_ops(writes: DataFrame) -> DataFrame:
         "expected_version",
         payloads.alias("payloads"),
     )
+
+
+def build_context(spark: SparkSession, store, builder: Builder, history_block: str, thread_id: str, new: list) -> list:
+    """One thread from end to end: load it from ``store``, build with the ``new`` messages, write what changed.
+
+    A conflicting write of another writer makes it start again from what is stored then. Returns the
+    context's messages; a build that fails raises its error and writes nothing.
+    """
+    if not history_block or history_block not in [b.name for b in builder.blocks]:
+        raise ContextError("INVALID_THREAD_CONFIG")
+    schema = T.StructType([T.StructField("build_id", T.LongType()), T.StructField("pos", T.LongType()), T.StructField("message", MESSAGE)])
+    later = spark.createDataFrame([(0, k, m) for k, m in enumerate(new)], schema)
+
+    def build(stored: list) -> tuple[list, str, list]:
+        old = spark.createDataFrame([(0, k, m) for k, m in enumerate(stored)], schema)
+        done = sync(builder, history_block, old, later, spark.createDataFrame([(0, 0)], "build_id long, version long"))
+        status, write = done.built.status.first(), done.writes.first()
+        if status.error_code:
+            raise ContextError(status.error_code, f"thread {thread_id}", status.error_block)
+        context = [r.message for r in done.built.messages.orderBy("ordinal").select("message").collect()]
+        return context, write.action, list(write.messages or [])
+
+    return sync_thread(store, thread_id, build)

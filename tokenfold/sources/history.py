@@ -6,7 +6,6 @@ a row only if that version is still the thread's; other rows are conflicts and c
 
 from __future__ import annotations
 
-import re
 import time
 import uuid
 from collections.abc import Callable
@@ -30,16 +29,6 @@ OPS = T.StructType(
 #: forgotten, and its version is 0 again.
 FLAVOURS = ("monotonic", "reset")
 
-_TABLE_NAME = re.compile(r"^[A-Za-z_]\w*(\.[A-Za-z_]\w*)?$")
-
-
-def valid_table_name(name: str) -> str:
-    """``[schema.]table``, checked at once; its companion for versions is ``{name}_meta``."""
-    if not _TABLE_NAME.match(name):
-        raise ValueError(f"invalid table name {name!r}")
-    return name
-
-
 def _step(flavour: str, ttl_seconds: int):
     def apply(at: Column, op: Column) -> Column:
         expired = F.lit(False)
@@ -100,56 +89,105 @@ def loaded(replayed: DataFrame) -> DataFrame:
     return rows.select("thread_id", "version", F.col("pos").cast("long").alias("pos"), from_payload(F.col("payload")).alias("message"))
 
 
+#: What a store keeps of each op: when it was written is what a time to live counts from.
+LOGGED = T.StructType([*OPS.fields, T.StructField("ts", T.TimestampType())])
+
+
 @dataclass(frozen=True)
 class FileHistoryStore:
     """An op log in a folder of any file system that Spark reads.
 
     A commit is a folder of Parquet files. Its number is claimed by creating a file that must not
-    exist; the claimant then moves its folder into the log. Readers see moved folders only.
+    exist; the claimant then moves its folder into the log. A commit counts once every lower number
+    is settled, so no commit can appear before one that was already judged. A claim that stays
+    unsettled for ``patience`` seconds is voided by whoever waits for it: a folder that says so is
+    moved to its place, and a claimant who comes later finds it there and fails as UNAVAILABLE.
     """
 
     spark: SparkSession
     root: str
     flavour: str = "monotonic"
+    ttl_seconds: int = 0
+    patience: float = 10.0
 
     def _fs(self):
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.root)
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
-    def _commits(self) -> list[int]:
+    def _settled(self) -> int:
+        """The number up to which every claim has its place in the log."""
         fs, path = self._fs()
         folder = path(f"{self.root}/log")
-        return sorted(int(s.getPath().getName()) for s in fs.listStatus(folder)) if fs.exists(folder) else []
+        known = {int(s.getPath().getName()) for s in fs.listStatus(folder)} if fs.exists(folder) else set()
+        last = 0
+        while last + 1 in known:
+            last += 1
+        return last
+
+    def _void(self, number: int) -> None:
+        """Settle a claim as void, unless its folder has come meanwhile."""
+        fs, path = self._fs()
+        staged = path(f"{self.root}/staged/{uuid.uuid4().hex}")
+        fs.mkdirs(staged)
+        fs.createNewFile(path(staged, "_VOID"))
+        if not fs.exists(path(f"{self.root}/log/{number}")):
+            fs.rename(staged, path(f"{self.root}/log/{number}"))
+
+    def _is_void(self, number: int) -> bool:
+        fs, path = self._fs()
+        return fs.exists(path(f"{self.root}/log/{number}/_VOID"))
 
     def commit(self, ops: DataFrame) -> int:
         """Add a batch of ops to the log; whether each is accepted follows from its version."""
         fs, path = self._fs()
         staged = f"{self.root}/staged/{uuid.uuid4().hex}"
-        ops.select(*OPS.fieldNames()).write.parquet(staged)
-        number = (self._commits() or [0])[-1] + 1
+        stamped = ops if "ts" in ops.columns else ops.withColumn("ts", F.current_timestamp())
+        stamped.select(*LOGGED.fieldNames()).write.parquet(staged)
+        number = self._claim()
+        self._move(staged, number)
+        deadline = time.monotonic() + self.patience
+        while (last := self._settled()) < number:
+            if time.monotonic() > deadline:
+                self._void(last + 1)
+            else:
+                time.sleep(0.05)
+        return number
+
+    def _claim(self) -> int:
+        fs, path = self._fs()
         fs.mkdirs(path(f"{self.root}/claims"))
         fs.mkdirs(path(f"{self.root}/log"))
+        number = self._settled() + 1
         while not fs.createNewFile(path(f"{self.root}/claims/{number}")):
             number += 1
-        if not fs.rename(path(staged), path(f"{self.root}/log/{number}")):
-            raise ContextError("UNAVAILABLE", "the commit could not be moved")
         return number
 
+    def _move(self, staged: str, number: int) -> None:
+        fs, path = self._fs()
+        if not fs.rename(path(staged), path(f"{self.root}/log/{number}")) or self._is_void(number):
+            raise ContextError("UNAVAILABLE", f"commit {number} was voided or could not be moved")
+
     def ops(self) -> DataFrame:
-        """All committed ops, with ``seq`` in order of commits."""
-        frames = None
-        for number in self._commits():
-            one = self.spark.read.schema(OPS).parquet(f"{self.root}/log/{number}").withColumn("seq", F.lit(number).cast("long") * (1 << 32) + F.col("seq"))
-            frames = one if frames is None else frames.unionByName(one)
-        return frames if frames is not None else self.spark.createDataFrame([], OPS)
+        """All commits that count, in one scan, with ``seq`` in order of commits."""
+        paths = [f"{self.root}/log/{k}" for k in range(1, self._settled() + 1) if not self._is_void(k)]
+        if not paths:
+            return self.spark.createDataFrame([], LOGGED)
+        rows = self.spark.read.schema(LOGGED).parquet(*paths)
+        number = F.regexp_extract(F.col("_metadata.file_path"), r"/log/(\d+)/[^/]*$", 1).cast("long")
+        return rows.withColumn("seq", number * (1 << 32) + F.col("seq"))
 
     def state(self) -> DataFrame:
-        return replay(self.ops(), self.flavour)
+        return replay(self.ops(), self.flavour, self.ttl_seconds)
+
+    def _thread(self, thread_id: str) -> DataFrame:
+        return replay(self.ops().filter(F.col("thread_id") == thread_id), self.flavour, self.ttl_seconds)
 
     def load(self, thread_id: str) -> tuple[list, int]:
-        """A thread's messages and version; none and 0 if it was never written."""
-        own = replay(self.ops().filter(F.col("thread_id") == thread_id), self.flavour)
+        """A thread's messages and version; none and 0 if it was never written or has expired."""
+        own = self._thread(thread_id)
+        if self.ttl_seconds:
+            own = own.filter(F.col("written") + F.expr(f"INTERVAL {self.ttl_seconds} SECONDS") > F.current_timestamp())
         head = own.select("version").first()
         rows = loaded(own).orderBy("pos").select("message").collect()
         return [r.message for r in rows], head.version if head else 0
@@ -161,7 +199,7 @@ class FileHistoryStore:
         payloads = [r[0] for r in frame.select(F.to_json("message")).collect()] if messages else []
         number = self.commit(self.spark.createDataFrame([(thread_id, 0, op, expected, payloads)], OPS))
         seq = number * (1 << 32)
-        outcome = replay(self.ops().filter(F.col("thread_id") == thread_id), self.flavour).select(F.inline("outcomes")).filter(F.col("seq") == seq).first()
+        outcome = self._thread(thread_id).select(F.inline("outcomes")).filter(F.col("seq") == seq).first()
         if not outcome.accepted:
             raise ContextError("HISTORY_VERSION_CONFLICT", thread_id)
 
