@@ -14,8 +14,9 @@ A line is the set of its words. Two lines match if their sets' Jaccard similarit
 Groups of many variants of one line would still give every pair of the group. Therefore each class
 is first held against a few earlier ones of two families: those with the same smallest and largest
 word hash, and those with the same last two words of the prefix, since the words in which variants
-differ are mostly rarer. A class with such a likely match is no later side of the join. Should its
-likely match not hold, a second, small join takes its turn.
+differ are mostly rarer. A class with such a likely match is no later side of the join, and of the
+others the join keeps the nearest partner only. So there is one guess a class to verify. For classes
+whose guess does not hold, a second, small join under a sharper bound gives all partners.
 
 A word's place in the order and 52 bits of its XXH64 hash are one integer. Sets count as equal if a
 64-bit hash of these integers and the 64-bit parity agree.
@@ -59,7 +60,11 @@ HOT_SHARE = 1000
 _HASH_BITS = 52
 _CHUNK = 4096
 
+#: How many bits the number of a class may have, in a number that its distance precedes.
+ID_BITS = 56
+
 PLACE = ["doc_id", "line_no", "mark"]
+PARITIES = ("parity", "other")
 
 
 def _text() -> Column:
@@ -147,29 +152,32 @@ def _described(docs: DataFrame, similarity: tuple[int, int], min_words: int, cou
     # The analyzer takes no scalar inside a lambda; the optimizer puts it there, as one use is left.
     held = large.withColumn("levels", levels)
     keyed = held.select(*PLACE, "n", "ends", F.sort_array(F.transform("words", key)).alias("keys"))
-    parity = F.aggregate("keys", F.lit(0).cast("long"), lambda held, k: held.bitwiseXOR(_one_bit(k)))
+    parity, other = _parity(11), _parity(31)
     least = _least_joined(similarity, min_words)
     length = F.when(F.col("n") >= least, _prefix(F.col("n"), similarity)).otherwise(0).cast("int")
-    first = keyed.select(*PLACE, "n", "ends", F.xxhash64("keys").alias("cls"), parity.alias("parity"), F.slice("keys", F.lit(1), length).alias("head"))
+    first = keyed.select(*PLACE, "n", "ends", F.xxhash64("keys").alias("cls"), parity.alias("parity"), other.alias("other"), F.slice("keys", F.lit(1), length).alias("head"))
     alone = F.lit(60 + 1).cast("long")  # the level of a count of one is 60
     kept = F.filter("head", lambda k: F.shiftright(k, _HASH_BITS) >= alone)
     return first.withColumn("prefix", kept).withColumn("skipped", F.size("head") - F.size("prefix")).drop("head")
 
 
-def _one_bit(key: Column) -> Column:
-    """A long with one bit set, chosen by the word's hash."""
-    return F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(key, 11).bitwiseAND(F.lit(63)).cast("int"))
+def _parity(shift: int) -> Column:
+    """The bits that an odd number of the set's words choose, each by six bits of its hash."""
+    return F.aggregate("keys", F.lit(0).cast("long"), lambda held, k: held.bitwiseXOR(_one_bit(k, shift)))
+
 
+def _one_bit(key: Column, shift: int) -> Column:
+    """A long with one bit set, chosen by six bits of the word's hash."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(key, shift).bitwiseAND(F.lit(63)).cast("int"))
 
-def _near(a: Callable[[str], Column], b: Callable[[str], Column], similarity: tuple[int, int]) -> Column:
-    """Sizes and parities (n, parity) differ by no more than those of matching sets."""
+
+def _near(a: Callable[[str], Column], b: Callable[[str], Column], similarity: tuple[int, int], parities: tuple[str, ...]) -> Column:
+    """Sizes (n) and parities of two sets differ by no more than those of matching sets."""
     top, bottom = similarity
-    differing = F.bit_count(a("parity").bitwiseXOR(b("parity")))
-    return (
-        (bottom * a("n") >= top * b("n"))
-        & (bottom * b("n") >= top * a("n"))
-        & ((bottom + top) * differing <= (bottom - top) * (a("n") + b("n")))
-    )
+    near = (bottom * a("n") >= top * b("n")) & (bottom * b("n") >= top * a("n"))
+    for c in parities:
+        near = near & ((bottom + top) * F.bit_count(a(c).bitwiseXOR(b(c))) <= (bottom - top) * (a("n") + b("n")))
+    return near
 
 
 def _classes(described: DataFrame, similarity: tuple[int, int]) -> DataFrame:
@@ -178,11 +186,11 @@ def _classes(described: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     That is the place of an earlier class that passes the filters, the one that differs least of a
     few of the same families, if there is any.
     """
-    same = [F.first(c).alias(c) for c in ("n", "ends", "skipped", "prefix")]
+    same = [F.first(c).alias(c) for c in ("n", "ends", "other", "skipped", "prefix")]
     state = described.groupBy("cls", "parity").agg(F.min(F.struct(*PLACE)).alias("first"), F.count("*").alias("copies"), *same)
     parts = 1 + described.count() // PART_LINES
     last = F.xxhash64(*[F.get("prefix", F.size("prefix") - k) for k in (1, 2)])
-    own, found = F.struct("first", "parity", "n"), []
+    own, found = F.struct("first", "parity", "other", "n"), []
     for family, key in (("by_ends", F.col("ends")), ("by_last", last)):
         # Sets without a prefix match equal ones only.
         state = state.withColumn(family, F.when(F.size("prefix") > 0, key).otherwise(F.col("cls")))
@@ -191,7 +199,7 @@ def _classes(described: DataFrame, similarity: tuple[int, int]) -> DataFrame:
         earlier |= {f"e{k}": F.lag(own, k).over(order) for k in BEFORE}
         met = [
             F.when(
-                (F.col(f"{e}.first") < F.col("first")) & _near(F.col, lambda c, e=e: F.col(f"{e}.{c}"), similarity),
+                (F.col(f"{e}.first") < F.col("first")) & _near(F.col, lambda c, e=e: F.col(f"{e}.{c}"), similarity, PARITIES),
                 F.struct(F.bit_count(F.col("parity").bitwiseXOR(F.col(f"{e}.parity"))).alias("differing"), F.col(f"{e}.first")),
             )
             for e in earlier
@@ -199,23 +207,24 @@ def _classes(described: DataFrame, similarity: tuple[int, int]) -> DataFrame:
         state = state.withColumns(earlier).withColumn(family, F.least(*met)).drop(*earlier)
         found.append(family)
     likely = F.least(*found)["first"].alias("likely")
-    return state.select("cls", "parity", "n", "skipped", "prefix", "first", "copies", likely, F.monotonically_increasing_id().alias("id"))
+    return state.select("cls", "parity", "other", "n", "skipped", "prefix", "first", "copies", likely, F.monotonically_increasing_id().alias("id"))
 
 
-def _joined(classes: DataFrame, similarity: tuple[int, int], flags: Column | None = None) -> DataFrame:
-    """Pairs of classes that pass the filters, of which the later one, b, is ``open``: first_a, first_b, cls and parity of b.
+def _joined(classes: DataFrame, similarity: tuple[int, int], parities: tuple[str, ...], flags: Column | None = None) -> DataFrame:
+    """Pairs of classes that pass the filters: the ids b and a, and the bits in which their parities differ.
 
-    With ``flags`` only words that open classes have in their prefix are looked at. Words meet by 32
-    bits, and an entry holds n, pos and open in one number, as these rows are most of what is shuffled.
+    b is ``open`` and the later one, or of the same doc_id. With ``flags`` only words that open
+    classes have in their prefix are looked at. Words meet by 32 bits, and an entry holds n, pos and
+    open in one number, as these rows are most of what is shuffled.
     """
     top, bottom = similarity
     some = classes.filter("size(prefix) > 0")
-    words = some.select("id", "parity", "n", "skipped", "open", "first.doc_id", F.posexplode("prefix").alias("i", "word"))
+    words = some.select("id", *parities, "n", "skipped", "open", "first.doc_id", F.posexplode("prefix").alias("i", "word"))
     if flags is not None:
         words = words.filter(_flagged(flags, F.xxhash64("word")))
     pos = F.col("i") + F.col("skipped")
     shape = (F.col("n").cast("long") * (1 << 32)) + 2 * pos + F.col("open").cast("int")
-    columns = ["parity", shape.alias("shape"), "doc_id", "id"]
+    columns = [*parities, shape.alias("shape"), "doc_id", "id"]
     entries = words.select(F.hash("word").alias("key"), *columns)
     short = words.filter(pos < _short_prefix(F.col("n"), similarity)).select(F.hash("word").alias("key"), *columns)
     y = entries.select("key", *[F.col(c).alias(f"y_{c}") for c in entries.columns[1:]])
@@ -224,25 +233,32 @@ def _joined(classes: DataFrame, similarity: tuple[int, int], flags: Column | Non
     def of(side: str) -> dict[str, Column]:
         held = F.col(f"{side}_shape")
         low = held.bitwiseAND(F.lit((1 << 32) - 1))
-        return {"n": F.shiftright(held, 32), "pos": F.shiftright(low, 1), "open": low.bitwiseAND(F.lit(1)) == 1, "parity": F.col(f"{side}_parity")}
+        own = {"n": F.shiftright(held, 32), "pos": F.shiftright(low, 1), "open": low.bitwiseAND(F.lit(1)) == 1}
+        return own | {c: F.col(f"{side}_{c}") for c in parities}
 
     own_x, own_y = of("x"), of("y")
     left = F.least(own_x["n"] - own_x["pos"], own_y["n"] - own_y["pos"])
     smaller = (own_x["n"] < own_y["n"]) | ((own_x["n"] == own_y["n"]) & (F.col("x_id") < F.col("y_id")))
     # Within one document, or without ids, either may be the later.
-    later_open = (
-        F.when(F.col("x_doc_id") < F.col("y_doc_id"), own_y["open"])
-        .when(F.col("y_doc_id") < F.col("x_doc_id"), own_x["open"])
-        .otherwise(own_x["open"] | own_y["open"])
-    )
+    x_first, y_first = (F.coalesce(F.col(f"{one}_doc_id") < F.col(f"{two}_doc_id"), F.lit(False)) for one, two in ("xy", "yx"))
+    y_later, x_later = own_y["open"] & ~y_first, own_x["open"] & ~x_first
     enough = (top + bottom) * left >= top * (own_x["n"] + own_y["n"])
-    met = y.join(x, "key").filter(smaller & _near(own_x.get, own_y.get, similarity) & enough & later_open)
-    pairs = met.select(F.struct("x_id", "y_id").alias("pair")).distinct()
-    ends = pairs.select("pair", F.explode(F.array("pair.x_id", "pair.y_id")).alias("id"))
-    named = ends.join(classes.select("id", F.struct("first", "cls", "parity", "open").alias("end")), "id")
-    both = named.groupBy("pair").agg(F.sort_array(F.collect_list("end")).alias("ends"))
-    a, b = (F.get("ends", F.lit(i)) for i in range(2))
-    return both.filter(b["open"]).select(a["first"].alias("first_a"), b["first"].alias("first_b"), b["cls"].alias("cls"), b["parity"].alias("parity"))
+    met = y.join(x, "key").filter(smaller & _near(own_x.get, own_y.get, similarity, parities) & enough & (y_later | x_later))
+    apart = sum((F.bit_count(own_x[c].bitwiseXOR(own_y[c])) for c in parities), F.lit(0)).alias("apart")
+    ways = F.filter(
+        F.array(
+            F.struct(y_later.alias("good"), F.col("y_id").alias("b"), F.col("x_id").alias("a")),
+            F.struct(x_later.alias("good"), F.col("x_id").alias("b"), F.col("y_id").alias("a")),
+        ),
+        lambda way: way["good"],
+    )
+    return met.select(F.explode(ways).alias("way"), apart).select("way.b", "way.a", "apart")
+
+
+def _named(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs of ids (b, a) as first_a and first_b, the places of their first lines, with cls and parity of b."""
+    later = classes.select(F.col("id").alias("b"), F.col("first").alias("first_b"), "cls", "parity")
+    return pairs.join(later, "b").join(classes.select(F.col("id").alias("a"), F.col("first").alias("first_a")), "a").drop("a", "b")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, similarity: tuple[int, int]) -> DataFrame:
@@ -268,18 +284,25 @@ def _settled(docs: DataFrame, classes: DataFrame, similarity: tuple[int, int], s
     """(cls, parity) of classes that an earlier class matches."""
     guessed = classes.filter("likely IS NOT NULL")
     likely = guessed.select(F.col("likely").alias("first_a"), F.col("first").alias("first_b"), "cls", "parity")
-    open_ones = classes.select("*", F.col("likely").isNull().alias("open"))
-    pairs = scratch.written(likely.unionByName(_joined(open_ones, similarity)), "pairs")
-    settled = scratch.written(_verified(docs, pairs, similarity), "settled")
-    # Classes whose likely match does not hold are open after all.
-    again = scratch.written(guessed.join(settled, ["cls", "parity"], "left_anti").select("id", "prefix"), "again")
+    met = _joined(classes.select("*", F.col("likely").isNull().alias("open")), similarity, PARITIES[:1])
+    nearest = met.groupBy("b").agg(F.min(F.col("apart").cast("long") * (1 << ID_BITS) + F.col("a")).alias("least"))
+    best = nearest.select("b", F.col("least").bitwiseAND(F.lit((1 << ID_BITS) - 1)).alias("a"))
+    guesses = scratch.written(likely.unionByName(_named(classes, best)), "guesses")
+    settled = scratch.written(_verified(docs, guesses.filter("first_a < first_b"), similarity), "settled")
+    # Classes whose guess does not hold take all their partners.
+    failed = guesses.select("cls", "parity").join(settled, ["cls", "parity"], "left_anti")
+    again = scratch.written(failed, "failed")
     if again.isEmpty():
         return settled
-    keys = _array_of_counts(again.select(F.explode("prefix").alias("word")).select(F.xxhash64("word").alias("value")), FLAGS)
-    reopened = guessed.join(again.select("id"), "id").withColumn("open", F.lit(True))
-    others = guessed.join(again.select("id"), "id", "left_anti").unionByName(classes.filter("likely IS NULL")).withColumn("open", F.lit(False))
-    pairs = scratch.written(_joined(reopened.unionByName(others), similarity, keys), "pairs")
-    return settled.unionByName(_verified(docs, pairs, similarity))
+    flags = _array_of_counts(again.select(F.xxhash64("cls", "parity").alias("value")), FLAGS)
+    may = _flagged(flags, F.xxhash64("cls", "parity"))
+    marked = classes.filter(may).join(again.withColumn("open", F.lit(True)), ["cls", "parity"], "left")
+    some = scratch.written(marked.filter("open").select("prefix"), "prefixes")
+    words = _array_of_counts(some.select(F.explode("prefix").alias("word")).select(F.xxhash64("word").alias("value")), FLAGS)
+    every = marked.withColumn("open", F.coalesce("open", F.lit(False))).unionByName(classes.filter(~may).withColumn("open", F.lit(False)))
+    pairs = _joined(every, similarity, PARITIES, words).select("b", "a").distinct()
+    rest = scratch.written(_named(classes, pairs).filter("first_a < first_b"), "pairs")
+    return settled.unionByName(_verified(docs, rest, similarity))
 
 
 def removed_lines(
