@@ -71,12 +71,13 @@ def _weigh(ratios: list[float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        ratio = np.array(ratios)
+        # In whole steps of 2**-32, so that a text's weight does not depend on the rows beside it.
+        ratio = np.rint(np.array(ratios) * 2.0**32).astype(np.int64)
         for batch in batches:
             single, double, paired, sizes, ends = _features(batch, 1)
-            each = ratio[single] + np.where(paired, ratio[double], 0.0)
-            total = np.concatenate(([0.0], np.cumsum(each)))
-            weights = total[ends] - total[ends - sizes]
+            each = ratio[single] + np.where(paired, ratio[double], 0)
+            total = np.concatenate(([0], np.cumsum(each)))
+            weights = (total[ends] - total[ends - sizes]) / 2.0**32
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(weights)], ["doc_id", "n_words", "log_weight"])
 
     return run
