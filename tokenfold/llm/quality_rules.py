@@ -164,7 +164,6 @@ def ablations(ledger_df: DataFrame, version: str, rules: tuple[Rule, ...] = RULE
     shuffle); every figure comes from those counts by bitwise tests. Empty ledgers give zeros.
     """
     mask = policy_mask(version, rules)
-    spark = ledger_df.sparkSession
     counts = ledger_df.groupBy(F.col("failures").bitwiseAND(F.lit(mask)).alias("bits")).agg(F.count("*").alias("n"))
     chosen = [r for r in rules if r.mask & mask]
     sums = []
@@ -186,5 +185,4 @@ def ablations(ledger_df: DataFrame, version: str, rules: tuple[Rule, ...] = RULE
             ]
         ).alias("rows")
     )
-    del spark
     return one.select(F.inline("rows"))
