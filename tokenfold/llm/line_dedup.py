@@ -12,10 +12,11 @@ A line is the set of its words. Two lines match if their sets' Jaccard similarit
 * Survivors are verified on the words of both lines.
 
 Groups of many variants of one line would still give every pair of the group. Therefore each class
-is first held against a few earlier ones of two families: those with the same smallest and largest
-word hash, and those with the same last two words of the prefix, since the words in which variants
-differ are mostly rarer. A class with such a likely match is no later side of the join. Should its
-likely match not hold, a second, small join takes its turn.
+is first held against a few earlier ones of three families: those with the same smallest and largest
+word hash, once for the hashes as they are and once for other ones, and those with the same last two
+words of the prefix, since the words in which variants differ are mostly rarer. The nearest one of
+each family is a likely match, and a class with one is no later side of the join. Should none of its
+likely matches hold, a second, small join takes its turn.
 
 A word's place in the order and 52 bits of its XXH64 hash are one integer. Sets count as equal if a
 64-bit hash of these integers and the 64-bit parity agree.
@@ -56,6 +57,9 @@ PART_LINES = 2_000_000
 #: Classes with more than one of so many lines are joined to the lines by broadcast; they are fewer than this.
 HOT_SHARE = 1000
 
+#: Turns word hashes into other ones, whose smallest and largest are other words.
+OTHER_HASHES = 0x5A5A5A5A5A5A5
+
 _HASH_BITS = 52
 _CHUNK = 4096
 
@@ -126,7 +130,7 @@ def _short_prefix(n: Column, similarity: tuple[int, int]) -> Column:
 
 
 def _described(docs: DataFrame, similarity: tuple[int, int], min_words: int, counters: int) -> DataFrame:
-    """Per line with enough words: its place, n, cls and parity of its set, its prefix, and a hash of its extreme word hashes.
+    """Per line with enough words: its place, n, cls and parity of its set, its prefix, and two hashes of its extreme word hashes.
 
     ``prefix`` leaves out the leading words that no other line has; ``skipped`` counts them. Sets so
     small that only equal ones match have no prefix.
@@ -139,18 +143,22 @@ def _described(docs: DataFrame, similarity: tuple[int, int], min_words: int, cou
     # As a row of an exploded array, a set is not made anew for a filter that is pushed below it.
     chosen = F.when(F.size("words") >= min_words, F.array("words"))
     exploded = sets.select(*PLACE, F.explode(chosen).alias("words"))
-    large = exploded.withColumn("n", F.size("words")).withColumn("ends", F.xxhash64(F.array_min("words"), F.array_max("words")))
+    other = F.transform("words", lambda w: w.bitwiseXOR(F.lit(OTHER_HASHES)))
+    large = exploded.select(
+        *PLACE, "words", F.size("words").alias("n"), F.xxhash64(F.array_min("words"), F.array_max("words")).alias("ends"),
+        F.xxhash64(F.array_min(other), F.array_max(other)).alias("others"),
+    )
 
     def key(word: Column) -> Column:
         return F.get(F.col("levels"), _slot(word, counters)).bitwiseOR(word)
 
     # The analyzer takes no scalar inside a lambda; the optimizer puts it there, as one use is left.
     held = large.withColumn("levels", levels)
-    keyed = held.select(*PLACE, "n", "ends", F.sort_array(F.transform("words", key)).alias("keys"))
+    keyed = held.select(*PLACE, "n", "ends", "others", F.sort_array(F.transform("words", key)).alias("keys"))
     parity = F.aggregate("keys", F.lit(0).cast("long"), lambda held, k: held.bitwiseXOR(_one_bit(k)))
     least = _least_joined(similarity, min_words)
     length = F.when(F.col("n") >= least, _prefix(F.col("n"), similarity)).otherwise(0).cast("int")
-    first = keyed.select(*PLACE, "n", "ends", F.xxhash64("keys").alias("cls"), parity.alias("parity"), F.slice("keys", F.lit(1), length).alias("head"))
+    first = keyed.select(*PLACE, "n", "ends", "others", F.xxhash64("keys").alias("cls"), parity.alias("parity"), F.slice("keys", F.lit(1), length).alias("head"))
     alone = F.lit(60 + 1).cast("long")  # the level of a count of one is 60
     kept = F.filter("head", lambda k: F.shiftright(k, _HASH_BITS) >= alone)
     return first.withColumn("prefix", kept).withColumn("skipped", F.size("head") - F.size("prefix")).drop("head")
@@ -175,15 +183,14 @@ def _near(a: Callable[[str], Column], b: Callable[[str], Column], similarity: tu
 def _classes(described: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """Per class: cls, parity, n, skipped, prefix, ``first`` (the place of its first line), copies, a number ``id``, and ``likely``.
 
-    That is the place of an earlier class that passes the filters, the one that differs least of a
-    few of the same families, if there is any.
+    Those are the places of earlier classes that pass the filters: of a few of each family, the one that differs least.
     """
-    same = [F.first(c).alias(c) for c in ("n", "ends", "skipped", "prefix")]
+    same = [F.first(c).alias(c) for c in ("n", "ends", "others", "skipped", "prefix")]
     state = described.groupBy("cls", "parity").agg(F.min(F.struct(*PLACE)).alias("first"), F.count("*").alias("copies"), *same)
     parts = 1 + described.count() // PART_LINES
     last = F.xxhash64(*[F.get("prefix", F.size("prefix") - k) for k in (1, 2)])
     own, found = F.struct("first", "parity", "n"), []
-    for family, key in (("by_ends", F.col("ends")), ("by_last", last)):
+    for family, key in (("by_ends", F.col("ends")), ("by_others", F.col("others")), ("by_last", last)):
         # Sets without a prefix match equal ones only.
         state = state.withColumn(family, F.when(F.size("prefix") > 0, key).otherwise(F.col("cls")))
         order = Window.partitionBy(family, F.pmod("cls", F.lit(parts))).orderBy("first")
@@ -198,7 +205,7 @@ def _classes(described: DataFrame, similarity: tuple[int, int]) -> DataFrame:
         ]
         state = state.withColumns(earlier).withColumn(family, F.least(*met)).drop(*earlier)
         found.append(family)
-    likely = F.least(*found)["first"].alias("likely")
+    likely = F.array_distinct(F.array_compact(F.array(*[F.col(f)["first"] for f in found]))).alias("likely")
     return state.select("cls", "parity", "n", "skipped", "prefix", "first", "copies", likely, F.monotonically_increasing_id().alias("id"))
 
 
@@ -266,18 +273,18 @@ def _verified(docs: DataFrame, pairs: DataFrame, similarity: tuple[int, int]) ->
 
 def _settled(docs: DataFrame, classes: DataFrame, similarity: tuple[int, int], scratch: Scratch) -> DataFrame:
     """(cls, parity) of classes that an earlier class matches."""
-    guessed = classes.filter("likely IS NOT NULL")
-    likely = guessed.select(F.col("likely").alias("first_a"), F.col("first").alias("first_b"), "cls", "parity")
-    open_ones = classes.select("*", F.col("likely").isNull().alias("open"))
+    guessed = classes.filter("size(likely) > 0")
+    likely = guessed.select(F.explode("likely").alias("first_a"), F.col("first").alias("first_b"), "cls", "parity")
+    open_ones = classes.select("*", (F.size("likely") == 0).alias("open"))
     pairs = scratch.written(likely.unionByName(_joined(open_ones, similarity)), "pairs")
     settled = scratch.written(_verified(docs, pairs, similarity), "settled")
-    # Classes whose likely match does not hold are open after all.
+    # Classes of which no likely match holds are open after all.
     again = scratch.written(guessed.join(settled, ["cls", "parity"], "left_anti").select("id", "prefix"), "again")
     if again.isEmpty():
         return settled
     keys = _array_of_counts(again.select(F.explode("prefix").alias("word")).select(F.xxhash64("word").alias("value")), FLAGS)
     reopened = guessed.join(again.select("id"), "id").withColumn("open", F.lit(True))
-    others = guessed.join(again.select("id"), "id", "left_anti").unionByName(classes.filter("likely IS NULL")).withColumn("open", F.lit(False))
+    others = guessed.join(again.select("id"), "id", "left_anti").unionByName(classes.filter("size(likely) = 0")).withColumn("open", F.lit(False))
     pairs = scratch.written(_joined(reopened.unionByName(others), similarity, keys), "pairs")
     return settled.unionByName(_verified(docs, pairs, similarity))
 
