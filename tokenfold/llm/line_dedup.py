@@ -180,33 +180,36 @@ def _near(a: Callable[[str], Column], b: Callable[[str], Column], similarity: tu
     )
 
 
-def _classes(described: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+def _classes(described: DataFrame, similarity: tuple[int, int], scratch: Scratch) -> DataFrame:
     """Per class: cls, parity, n, skipped, prefix, ``first`` (the place of its first line), copies, a number ``id``, and ``likely``.
 
     Those are the places of earlier classes that pass the filters: of a few of each family, the one that differs least.
+    The families are dealt without the prefixes, and hardly any class has a likely match, so little of this is shuffled.
     """
     same = [F.first(c).alias(c) for c in ("n", "ends", "others", "skipped", "prefix")]
-    state = described.groupBy("cls", "parity").agg(F.min(F.struct(*PLACE)).alias("first"), F.count("*").alias("copies"), *same)
+    grouped = described.groupBy("cls", "parity").agg(F.min(F.struct(*PLACE)).alias("first"), F.count("*").alias("copies"), *same)
+    state = scratch.written(grouped.withColumn("id", F.monotonically_increasing_id()), "state")
     parts = 1 + described.count() // PART_LINES
     last = F.xxhash64(*[F.get("prefix", F.size("prefix") - k) for k in (1, 2)])
-    own, found = F.struct("first", "parity", "n"), []
-    for family, key in (("by_ends", F.col("ends")), ("by_others", F.col("others")), ("by_last", last)):
-        # Sets without a prefix match equal ones only.
-        state = state.withColumn(family, F.when(F.size("prefix") > 0, key).otherwise(F.col("cls")))
-        order = Window.partitionBy(family, F.pmod("cls", F.lit(parts))).orderBy("first")
-        earlier = {"e0": F.first_value(own).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))}
-        earlier |= {f"e{k}": F.lag(own, k).over(order) for k in BEFORE}
-        met = [
-            F.when(
-                (F.col(f"{e}.first") < F.col("first")) & _near(F.col, lambda c, e=e: F.col(f"{e}.{c}"), similarity),
-                F.struct(F.bit_count(F.col("parity").bitwiseXOR(F.col(f"{e}.parity"))).alias("differing"), F.col(f"{e}.first")),
-            )
-            for e in earlier
-        ]
-        state = state.withColumns(earlier).withColumn(family, F.least(*met)).drop(*earlier)
-        found.append(family)
-    likely = F.array_distinct(F.array_compact(F.array(*[F.col(f)["first"] for f in found]))).alias("likely")
-    return state.select("cls", "parity", "n", "skipped", "prefix", "first", "copies", likely, F.monotonically_increasing_id().alias("id"))
+    # Sets without a prefix match equal ones only.
+    some = state.filter("size(prefix) > 0").withColumn("part", F.pmod("cls", F.lit(parts)))
+    thin = some.select("id", "first", "parity", "n", "part", F.posexplode(F.array("ends", "others", last)).alias("family", "key"))
+    order = Window.partitionBy("family", "key", "part").orderBy("first")
+    own = F.struct("first", "parity", "n")
+    earlier = {"e0": F.first_value(own).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))}
+    earlier |= {f"e{k}": F.lag(own, k).over(order) for k in BEFORE}
+    met = [
+        F.when(
+            (F.col(f"{e}.first") < F.col("first")) & _near(F.col, lambda c, e=e: F.col(f"{e}.{c}"), similarity),
+            F.struct(F.bit_count(F.col("parity").bitwiseXOR(F.col(f"{e}.parity"))).alias("differing"), F.col(f"{e}.first")),
+        )
+        for e in earlier
+    ]
+    found = thin.withColumns(earlier).select("id", F.least(*met)["first"].alias("likely")).filter("likely IS NOT NULL")
+    likely = scratch.written(found.groupBy("id").agg(F.collect_set("likely").alias("likely")), "likely")
+    none = F.array().cast(likely.schema["likely"].dataType)
+    held = state.select("cls", "parity", "n", "skipped", "prefix", "first", "copies", "id").join(likely, "id", "left")
+    return held.withColumn("likely", F.coalesce("likely", none))
 
 
 def _joined(classes: DataFrame, similarity: tuple[int, int], flags: Column | None = None) -> DataFrame:
@@ -305,7 +308,7 @@ def removed_lines(
     with Scratch(docs.sparkSession) as scratch:
         with Scratch(docs.sparkSession) as own:
             described = own.written(_described(docs, similarity, min_words, counters), "described")
-            classes = scratch.written(_classes(described, similarity), "classes")
+            classes = scratch.written(_classes(described, similarity, own), "classes")
             lines = scratch.written(described.select(*PLACE, "cls", "parity"), "lines")
         settled = _settled(docs, classes, similarity, scratch)
         repeated = classes.filter("copies > 1").select("cls", "parity", "first", "copies")
