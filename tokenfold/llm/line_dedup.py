@@ -16,7 +16,8 @@ is first held against a few earlier ones of three families: those with the same
 word hash, once for the hashes as they are and once for other ones, and those with the same last two
 words of the prefix, since the words in which variants differ are mostly rarer. The nearest one of
 each family is a likely match, and a class with one is no later side of the join. Should none of its
-likely matches hold, a second, small join takes its turn.
+likely matches hold, a second, small join takes its turn. Of a class's candidates the nearest one is
+verified first, and all its others only if that one fails.
 
 A word's place in the order and 52 bits of its XXH64 hash are one integer. Sets count as equal if a
 64-bit hash of these integers and the 64-bit parity agree.
@@ -183,7 +184,7 @@ def _near(a: Callable[[str], Column], b: Callable[[str], Column], similarity: tu
 def _classes(described: DataFrame, similarity: tuple[int, int], scratch: Scratch) -> DataFrame:
     """Per class: cls, parity, n, skipped, prefix, ``first`` (the place of its first line), copies, a number ``id``, and ``likely``.
 
-    Those are the places of earlier classes that pass the filters: of a few of each family, the one that differs least.
+    Those are earlier classes that pass the filters, with the bits in which they differ: of a few of each family, the nearest.
     The families are dealt without the prefixes, and hardly any class has a likely match, so little of this is shuffled.
     """
     same = [F.first(c).alias(c) for c in ("n", "ends", "others", "skipped", "prefix")]
@@ -205,7 +206,7 @@ def _classes(described: DataFrame, similarity: tuple[int, int], scratch: Scratch
         )
         for e in earlier
     ]
-    found = thin.withColumns(earlier).select("id", F.least(*met)["first"].alias("likely")).filter("likely IS NOT NULL")
+    found = thin.withColumns(earlier).select("id", F.least(*met).alias("likely")).filter("likely IS NOT NULL")
     likely = scratch.written(found.groupBy("id").agg(F.collect_set("likely").alias("likely")), "likely")
     none = F.array().cast(likely.schema["likely"].dataType)
     held = state.select("cls", "parity", "n", "skipped", "prefix", "first", "copies", "id").join(likely, "id", "left")
@@ -213,7 +214,7 @@ def _classes(described: DataFrame, similarity: tuple[int, int], scratch: Scratch
 
 
 def _joined(classes: DataFrame, similarity: tuple[int, int], flags: Column | None = None) -> DataFrame:
-    """Pairs of classes that pass the filters, of which the later one, b, is ``open``: first_a, first_b, cls and parity of b.
+    """Pairs of classes that pass the filters, of which the later one, b, is ``open``: first_a, first_b, cls and parity of b, differing.
 
     With ``flags`` only words that open classes have in their prefix are looked at. Words meet by 32
     bits, and an entry holds n, pos and open in one number, as these rows are most of what is shuffled.
@@ -252,7 +253,10 @@ def _joined(classes: DataFrame, similarity: tuple[int, int], flags: Column | Non
     named = ends.join(classes.select("id", F.struct("first", "cls", "parity", "open").alias("end")), "id")
     both = named.groupBy("pair").agg(F.sort_array(F.collect_list("end")).alias("ends"))
     a, b = (F.get("ends", F.lit(i)) for i in range(2))
-    return both.filter(b["open"]).select(a["first"].alias("first_a"), b["first"].alias("first_b"), b["cls"].alias("cls"), b["parity"].alias("parity"))
+    differing = F.bit_count(a["parity"].bitwiseXOR(b["parity"])).alias("differing")
+    return both.filter(b["open"]).select(
+        a["first"].alias("first_a"), b["first"].alias("first_b"), b["cls"].alias("cls"), b["parity"].alias("parity"), differing
+    )
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, similarity: tuple[int, int]) -> DataFrame:
@@ -274,13 +278,31 @@ def _verified(docs: DataFrame, pairs: DataFrame, similarity: tuple[int, int]) ->
     return both.filter(alike).select("pair.cls", "pair.parity").distinct()
 
 
+def _matching(docs: DataFrame, candidates: DataFrame, similarity: tuple[int, int], scratch: Scratch) -> DataFrame:
+    """(cls, parity) of classes of which one of the written ``candidates`` holds.
+
+    One match settles a class, so its nearest candidate is verified first, and all its others only if that one fails.
+    """
+    own = ["cls", "parity"]
+    near = candidates.groupBy(*own).agg(F.min(F.struct("differing", "first_a", "first_b")).alias("near"))
+    nearest = scratch.written(near.select(*own, "near.first_a", "near.first_b"), "nearest")
+    settled = scratch.written(_verified(docs, nearest, similarity), "settled")
+    failed = nearest.join(settled, own, "left_anti").select(*own, F.col("first_a").alias("tried"))
+    rest = candidates.join(failed, own).filter(F.col("first_a") != F.col("tried")).select("first_a", "first_b", *own)
+    rest = scratch.written(rest, "rest")
+    if rest.isEmpty():
+        return settled
+    return settled.unionByName(scratch.written(_verified(docs, rest, similarity), "settled"))
+
+
 def _settled(docs: DataFrame, classes: DataFrame, similarity: tuple[int, int], scratch: Scratch) -> DataFrame:
     """(cls, parity) of classes that an earlier class matches."""
     guessed = classes.filter("size(likely) > 0")
-    likely = guessed.select(F.explode("likely").alias("first_a"), F.col("first").alias("first_b"), "cls", "parity")
+    exploded = guessed.select(F.explode("likely").alias("near"), F.col("first").alias("first_b"), "cls", "parity")
+    likely = exploded.select(F.col("near.first").alias("first_a"), "first_b", "cls", "parity", "near.differing")
     open_ones = classes.select("*", (F.size("likely") == 0).alias("open"))
     pairs = scratch.written(likely.unionByName(_joined(open_ones, similarity)), "pairs")
-    settled = scratch.written(_verified(docs, pairs, similarity), "settled")
+    settled = _matching(docs, pairs, similarity, scratch)
     # Classes of which no likely match holds are open after all.
     again = scratch.written(guessed.join(settled, ["cls", "parity"], "left_anti").select("id", "prefix"), "again")
     if again.isEmpty():
@@ -289,7 +311,7 @@ def _settled(docs: DataFrame, classes: DataFrame, similarity: tuple[int, int], s
     reopened = guessed.join(again.select("id"), "id").withColumn("open", F.lit(True))
     others = guessed.join(again.select("id"), "id", "left_anti").unionByName(classes.filter("size(likely) = 0")).withColumn("open", F.lit(False))
     pairs = scratch.written(_joined(reopened.unionByName(others), similarity, keys), "pairs")
-    return settled.unionByName(_verified(docs, pairs, similarity))
+    return settled.unionByName(_matching(docs, pairs, similarity, scratch))
 
 
 def removed_lines(
