@@ -99,3 +99,21 @@ def test_toxicity_does_not_depend_on_partitions(spark, tmp_path):
     _tables(spark, tmp_path)
     docs, labels = (spark.read.parquet(f"{tmp_path}/{t}.parquet") for t in ("documents", "labels"))
     assert toxicity.fit(docs, labels) == toxicity.fit(docs.repartition(7), labels.repartition(3))
+
+
+def test_stages_keep_columns_with_the_names_they_use(spark, tmp_path):
+    _tables(spark, tmp_path)
+    names = ["toxicity", "_toxicity", "mark", "_mark", "many", "component", "node", "row"]
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    docs = docs.withColumns({n: F.concat(F.lit(f"{n} "), F.coalesce("doc_id", F.lit(-1))) for n in names})
+    few = docs.filter("doc_id < 5 OR doc_id IN (20, 62) OR doc_id IS NULL")
+    ids = {r.doc_id for r in docs.collect()}
+    for stage, given, kept in (
+        (corpus_pipeline.drop_toxic, docs, ids - set(TOXIC)),
+        (corpus_pipeline.keep_one_of_each, few, {0, 1, 2, 3, 4, 20, 62, None}),
+    ):
+        left = stage(spark, given, str(tmp_path))
+        assert left.columns == docs.columns
+        made = left.collect()
+        assert {r.doc_id for r in made} == kept
+        assert all(r[n] == f"{n} {-1 if r.doc_id is None else r.doc_id}" for r in made for n in names)
