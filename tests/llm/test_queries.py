@@ -14,4 +14,4 @@ def test_query(spark, name):
 
 def test_every_operator_has_one_query():
     numbers = sorted(int(name[2:].split("_")[0]) for name in llm.queries())
-    assert numbers == list(range(1, 11))
+    assert len(numbers) == len(set(numbers)) and set(range(1, 11)) <= set(numbers)

@@ -61,11 +61,11 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet in the shared folder and read it again."""
+def written(df: DataFrame, name: str, conf: dict[str, str] | None = None) -> DataFrame:
+    """Cut the lineage: write ``df`` as Parquet in the shared folder and read it again; ``conf`` holds for the writing."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    with settings(spark, _WRITING):
+    with settings(spark, _WRITING | (conf or {})):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -77,20 +77,33 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession) -> None:
-        self._spark, self._paths = spark, []
+        self._spark, self._paths, self._names = spark, [], []
 
-    def written(self, df: DataFrame, name: str) -> DataFrame:
+    def written(self, df: DataFrame, name: str, conf: dict[str, str] | None = None) -> DataFrame:
         """Like ``written``, for the block."""
         path = scratch_path(self._spark, name)
         self._paths.append(path)
-        with settings(self._spark, _WRITING):
+        with settings(self._spark, _WRITING | (conf or {})):
             df.write.option("compression", "zstd").parquet(path)
         return self._spark.read.schema(df.schema).parquet(path)
 
+    def bucketed(self, df: DataFrame, name: str, column: str, count: int, conf: dict[str, str] | None = None) -> DataFrame:
+        """``written`` in ``count`` buckets by ``column``, for joins on it that shuffle neither side; ``conf`` holds for the writing."""
+        path = scratch_path(self._spark, name)
+        known_as = f"tokenfold_{path.rpartition('/')[2].replace('-', '_')}"
+        self._paths.append(path)
+        self._names.append(known_as)
+        with settings(self._spark, _WRITING | (conf or {})):
+            writer = df.write.format("parquet").option("path", path).option("compression", "zstd")
+            writer.bucketBy(count, column).saveAsTable(known_as)
+        return self._spark.table(known_as)
+
     def __enter__(self) -> Scratch:
         return self
 
     def __exit__(self, *_) -> None:
+        for name in self._names:
+            self._spark.sql(f"DROP TABLE IF EXISTS {name}")
         context = self._spark.sparkContext
         for path in self._paths:
             held = context._jvm.org.apache.hadoop.fs.Path(path)

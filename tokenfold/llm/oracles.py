@@ -76,4 +76,46 @@ SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
 FROM b
 """
 
-ORACLES = {"op6_decontamination": OP6, "op7_warc": OP7, "op9_quality_rules": OP9}
+def _lloyd(k: int, rounds: int, dims: int, scale: int, seed: str) -> str:
+    """Lloyd's rounds one after another, every vector against every centroid."""
+    steps = [
+        f"""v AS MATERIALIZED (SELECT row_number() OVER () AS i, vec_id, [floor({scale} * x::DOUBLE)::BIGINT for x in embedding] AS x FROM embeddings
+  WHERE len(embedding) = {dims} AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0)""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{seed}' || vec_id::VARCHAR)) - 1 AS j, x AS c FROM v QUALIFY j < {k})",
+        "p AS MATERIALIZED (SELECT i, n, x[n] AS value FROM v, (SELECT unnest(range(1, " + str(dims + 1) + ")) AS n))",
+    ]
+    for r in range(rounds + 1):
+        steps.append(
+            f"""q{r} AS MATERIALIZED (SELECT i, j, sum((value - c[n]) * (value - c[n]))::BIGINT AS d FROM p, c{r} GROUP BY ALL)"""
+        )
+        steps.append(f"a{r} AS MATERIALIZED (SELECT i, j, d FROM q{r} QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) = 1)")
+        if r < rounds:
+            steps.append(f"s{r} AS (SELECT j, n, sum(value)::BIGINT AS t, count(*) AS m FROM a{r} JOIN p USING (i) GROUP BY ALL)")
+            steps.append(
+                f"""c{r + 1} AS MATERIALIZED (SELECT c{r}.j, coalesce(g.c, c{r}.c) AS c FROM c{r} LEFT JOIN
+  (SELECT j, list((t - ((t % m) + m) % m) // m ORDER BY n) AS c FROM s{r} GROUP BY j) g ON g.j = c{r}.j)"""
+            )
+    last = f"a{rounds}"
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT vec_id, {last}.j::INT AS cluster, d AS distance, sum(d) OVER (PARTITION BY {last}.j)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string(c, ',')) AS centroid_sha256 FROM {last} JOIN v USING (i) JOIN c{rounds} ON c{rounds}.j = {last}.j"""
+
+
+OP11 = _lloyd(8, 10, 64, 1024, "3:")
+
+OP13 = """
+WITH v AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    [floor(256 * x::DOUBLE)::BIGINT for x in embedding] AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+    list_sum([a.x[i] * b.x[i] for i in range(1, len(a.x) + 1)])::BIGINT AS score
+  FROM v a, v b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id))::INT AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+ORACLES = {"op13_hard_negatives": OP13, "op11_centroids": OP11, "op6_decontamination": OP6, "op7_warc": OP7, "op9_quality_rules": OP9}

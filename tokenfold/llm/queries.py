@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tokenfold.llm import bpe, decontaminate, importance, line_dedup, quality_rules, simhash, token_counts, toxicity, url_filters, warc
+from tokenfold.llm import bpe, centroids, decontaminate, importance, line_dedup, negatives, quality_rules, simhash, token_counts, toxicity, url_filters, warc
 from tokenfold.llm.common import table
 from tokenfold.llm.oracles import ORACLES
 
@@ -91,6 +91,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster and squared distance of every embedding after ten rounds, with the clusters' inertia and centroid digests."""
+    return centroids.digests(centroids.cluster(table(spark, sf_dir, "embeddings")))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth embedding, by anchor and positive; the contract's labels are shifted first."""
+    rows = table(spark, sf_dir, "embeddings")
+    shifted = F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    return negatives.mine(rows.select("vec_id", shifted.alias("label"), "embedding"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
