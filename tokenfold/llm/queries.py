@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tokenfold.llm import bpe, centroids, decontaminate, importance, line_dedup, negatives, quality_rules, simhash, token_counts, toxicity, url_filters, warc
+from tokenfold.llm import bpe, centroids, decontaminate, html_text, importance, line_dedup, negatives, quality_rules, simhash, token_counts, toxicity, url_filters, warc
 from tokenfold.llm.common import table
 from tokenfold.llm.oracles import ORACLES
 
@@ -96,6 +96,12 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.digests(centroids.cluster(table(spark, sf_dir, "embeddings")))
 
 
+def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page: its blocks joined by line feeds."""
+    blocks = html_text.extract(table(spark, sf_dir, "pages"))
+    return blocks.select("page_id", "url", F.array_join("blocks", "\n").alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of every hundredth embedding, by anchor and positive; the contract's labels are shifted first."""
     rows = table(spark, sf_dir, "embeddings")
