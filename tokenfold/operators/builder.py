@@ -20,6 +20,7 @@ from tokenfold.functions.counters import TokenCounter
 from tokenfold.functions.messages import MESSAGE
 from tokenfold.operators.formatter import DefaultFormatter
 from tokenfold.operators.strategies import BLOCK, Custom, Strategy, Summarize
+from tokenfold.sources.shared import written
 
 
 @dataclass(frozen=True)
@@ -88,19 +89,23 @@ class Builder:
         ids = keys.select("build_id").distinct()
         state = ids.select("build_id", F.lit(self.max_tokens).cast("long").alias("remaining"), *_no_error())
         kept, figures = [], []
-        for group in _stages(self.blocks):
+        stages = _stages(self.blocks)
+        for group in stages:
+            # Written once: what follows reads the columns it needs, and the messages only where they are returned.
             rows = _weighed(group, ids, self.counter)
             if isinstance(group[0][1].strategy, Custom):
-                out, made, state = _custom_stage(group[0], rows, state, self.counter)
+                out, made, state = _custom_stage(group[0], written(rows, "weighed"), state, self.counter)
             else:
-                out, made, state = _native_stage(group, rows, state, self.counter)
+                out, made, state = _native_stage(group, written(_needs(group, rows), "weighed"), state, self.counter)
             kept.append(out)
             figures.append(made)
         if not kept:
             empty = ids.sparkSession.createDataFrame([], T.StructType([ids.schema["build_id"], *_KEPT]))
             kept, figures = [empty], []
-        # Nothing of a failed build is left, in whichever stage it failed.
-        alive = _union(kept).join(state.filter("error_code IS NULL").select("build_id"), "build_id", "left_semi")
+        # A stage leaves nothing of a build that failed in it or before; of one that fails in a later stage nothing is left either.
+        alive = _union(kept)
+        if len(stages) > 1:
+            alive = alive.join(state.filter("error_code IS NULL").select("build_id"), "build_id", "left_semi")
         formatted = self.formatter(alive)
         counted = formatted.withColumn("w", self.counter.weight(F.col("message")))
         totals = counted.groupBy("build_id").agg(F.sum("w").alias("total"), F.max(_bad(F.col("w"))).alias("bad"))
@@ -179,21 +184,27 @@ def _weighed(group: list[tuple[int, Block]], ids: DataFrame, counter: TokenCount
 
 
 def _needs(group: list[tuple[int, Block]], rows: DataFrame) -> DataFrame:
-    """``rows`` with total and need; blocks of one strategy share a plan."""
+    """``rows`` with total and need. Strategies whose need is a window over the block share one shuffle; the others have a plan each."""
     whole = Window.partitionBy(*BLOCK)
     summed = rows.withColumn("role", F.col("message.Role")).withColumn("total", F.sum("w").over(whole))
     by_strategy: dict[Strategy | None, list[int]] = {}
     for k, block in group:
         by_strategy.setdefault(block.strategy, []).append(k)
     parts = []
+    shared, need = [], F.lit(0).cast("long")
     for strategy, at in by_strategy.items():
-        own = summed.filter(F.col("block_ord").isin(*at)) if len(by_strategy) > 1 else summed
-        parts.append(own.withColumn("need", F.lit(0).cast("long")) if strategy is None else strategy.with_need(own))
+        own = F.lit(0) if strategy is None else strategy.need()
+        if own is None:
+            parts.append(strategy.with_need(summed.filter(F.col("block_ord").isin(*at)) if len(by_strategy) > 1 else summed))
+        else:
+            shared += at
+            need = F.when(F.col("block_ord").isin(*at), own.cast("long")).otherwise(need)
+    if shared:
+        parts.append((summed.filter(F.col("block_ord").isin(*shared)) if parts else summed).withColumn("need", need))
     return _union(parts).drop("role")
 
 
 def _native_stage(group, rows: DataFrame, state: DataFrame, counter: TokenCounter) -> tuple[DataFrame, DataFrame, DataFrame]:
-    rows = _needs(group, rows)
     summarizer = group[0][1].strategy if isinstance(group[0][1].strategy, Summarize) else None
     facts = [
         F.max("total").alias("total"),
@@ -237,6 +248,7 @@ def _native_stage(group, rows: DataFrame, state: DataFrame, counter: TokenCounte
         F.array().cast(_RESULT).alias("done"),
     )
     folded = gathered.select("build_id", F.aggregate(F.coalesce("records", F.array().cast(_record_type(gathered))), start, _serve).alias("end"))
+    folded = written(folded, "served")
     results = folded.select("build_id", F.inline("end.done"))
     fine = folded.filter("end.error_code IS NULL").select("build_id", F.inline("end.done"))
     sizes = known.select("build_id", "block_ord", F.col("name").alias("block_name"), F.col("total").alias("tokens_in"), F.col("n").alias("n_in"), "summary")
@@ -346,4 +358,5 @@ def _custom_stage(entry: tuple[int, Block], rows: DataFrame, state: DataFrame, c
         F.coalesce("error_code", "code").alias("error_code"),
         F.when(F.col("error_code").isNull() & F.col("code").isNotNull(), block.name).otherwise(F.col("error_block")).alias("error_block"),
     )
+    after = written(after, "served")
     return out.filter("failure IS NULL").drop("failure"), figures, after

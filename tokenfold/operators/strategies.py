@@ -27,8 +27,12 @@ class Strategy:
     on_empty = None
     min_messages = 0
 
+    def need(self) -> Column | None:
+        """``need`` over rows (build_id, block_ord, pos, role, message, w, total), by windows over the block; None if it takes more."""
+        return F.lit(NEVER)
+
     def with_need(self, rows: DataFrame) -> DataFrame:
-        """``rows`` (build_id, block_ord, pos, role, message, w, total) with ``need``."""
+        """``rows`` with ``need``, where ``need()`` is None."""
         raise NotImplementedError
 
 
@@ -38,17 +42,11 @@ class Strict(Strategy):
 
     on_empty = "BUDGET_EXCEEDED"
 
-    def with_need(self, rows: DataFrame) -> DataFrame:
-        return rows.withColumn("need", F.lit(NEVER))
-
 
 @dataclass(frozen=True)
 class Drop(Strategy):
     """An overfull block is left out."""
 
-    def with_need(self, rows: DataFrame) -> DataFrame:
-        return rows.withColumn("need", F.lit(NEVER))
-
 
 @dataclass(frozen=True)
 class DropTail(Strategy):
@@ -56,9 +54,8 @@ class DropTail(Strategy):
 
     on_empty = "BLOCK_TOO_LARGE"
 
-    def with_need(self, rows: DataFrame) -> DataFrame:
-        order = Window.partitionBy(*BLOCK).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return rows.withColumn("need", F.sum("w").over(order))
+    def need(self) -> Column:
+        return F.sum("w").over(Window.partitionBy(*BLOCK).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))
 
 
 @dataclass(frozen=True)
@@ -117,6 +114,15 @@ class DropHead(Strategy):
         unit = F.when(inside, F.col("head")).when(~held, F.col("pos"))
         return closed.withColumn("unit", unit).select(*rows.columns, "unit")
 
+    def need(self) -> Column | None:
+        if self.atomic_turns:
+            return None
+        held = F.coalesce(F.col("role").isin(*self.protected), F.lit(False)) if self.protected else F.lit(False)
+        before = Window.partitionBy(*BLOCK).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+        gone = F.coalesce(F.sum(F.when(~held, F.col("w"))).over(before), F.lit(0))
+        floor = F.sum(F.when(held, F.col("w")).otherwise(0)).over(Window.partitionBy(*BLOCK))
+        return F.when(held, floor).otherwise(F.col("total") - gone)
+
     def with_need(self, rows: DataFrame) -> DataFrame:
         units = self._units(rows)
         kind = units.withColumn("fixed", F.col("unit").isNull())
@@ -140,9 +146,6 @@ class Summarize(Strategy):
         if self.summarizer is None:
             raise ValueError("a summarizer is needed")
 
-    def with_need(self, rows: DataFrame) -> DataFrame:
-        return rows.withColumn("need", F.lit(NEVER))
-
 
 @dataclass(frozen=True)
 class Custom(Strategy):

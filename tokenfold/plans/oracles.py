@@ -52,12 +52,16 @@ _OPS = """o AS (SELECT user_id::VARCHAR AS thread_id, event_id AS seq, ts,
   row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events)"""
 
 
-def _replay(reset: bool, ttl: bool = False) -> str:
+_HOT = """o AS (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY seq) AS i FROM (SELECT seq, ts, op, size,
+  CASE WHEN seq % 3 = 0 THEN 'hot' ELSE thread_id END AS thread_id, CASE WHEN seq % 3 = 0 THEN seq // 6 ELSE expected END AS expected FROM e))"""
+
+
+def _replay(reset: bool, ttl: bool = False, ops: str = _OPS) -> str:
     version = "CASE WHEN o.op = 'append' AND size = 0 THEN v.version WHEN o.expected = v.version THEN {} ELSE v.version END"
     bump = "CASE WHEN o.op = 'clear' OR (o.op = 'save' AND size = 0) THEN 0 ELSE v.version + 1 END" if reset else "v.version + 1"
     old = "(s.written IS NOT NULL AND s.written + INTERVAL 86400 SECONDS <= o.ts)" if ttl else "false"
     return f"""
-WITH RECURSIVE {_OPS}, s AS (
+WITH RECURSIVE {ops}, s AS (
   SELECT thread_id, 0::BIGINT AS i, 0::BIGINT AS version, 0::BIGINT AS n, 0::BIGINT AS accepted, NULL::TIMESTAMP AS written FROM o WHERE i = 1
   UNION ALL
   SELECT o.thread_id, o.i, {version.format(bump)},
@@ -139,6 +143,7 @@ SELECT build_id, error_code, CASE error_code WHEN 'BUDGET_EXCEEDED' THEN 'openin
   WHERE (action = 'append' AND s.newest) OR (action = 'save' AND suf <= 397))
 SELECT build_id::VARCHAR AS thread_id, 1::BIGINT AS version, (row_number() OVER (PARTITION BY build_id ORDER BY pos) - 1)::BIGINT AS pos, text FROM w""",
     "q25_ttl": _replay(False, True),
+    "q28_replay_hot_thread": _replay(False, ops=_OPS.replace("o AS", "e AS", 1) + ", " + _HOT),
     "q26_other_profile": _assembly("SELECT build_id, 0 AS pos, 5 AS w FROM k", "SELECT build_id, block_name, pos, w::BIGINT AS w FROM m"),
     "q27_middleware": f"""WITH {_T}, s AS (SELECT *, sum(w) OVER (PARTITION BY build_id ORDER BY pos DESC) AS suf FROM t),
 x AS (SELECT * FROM s WHERE suf <= 300)

@@ -28,7 +28,7 @@ from tokenfold.operators.builder import Builder, BuildFrames
 from tokenfold.operators.formatter import DefaultFormatter, with_layers
 from tokenfold.operators.strategies import Drop, DropHead, DropTail, Strict, Summarize
 from tokenfold.operators.thread import sync, write_ops
-from tokenfold.sources.history import loaded, replay
+from tokenfold.sources import chains
 
 LIMIT = 300
 CHARS = CharCounter(4)
@@ -201,9 +201,7 @@ def _ops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _replayed(spark: SparkSession, sf_dir: str, flavour: str, ttl_seconds: int = 0) -> DataFrame:
-    done = replay(_ops(spark, sf_dir), flavour, ttl_seconds)
-    accepted = F.size(F.filter("outcomes", lambda x: x["accepted"])).cast("long")
-    return done.select("thread_id", "version", F.size("messages").cast("long").alias("n_messages"), accepted.alias("n_accepted"), F.size("outcomes").cast("long").alias("n_ops"))
+    return chains.heads(chains.outcomes(_ops(spark, sf_dir), flavour, ttl_seconds))
 
 
 def q17_replay_monotonic(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,7 +268,7 @@ def q23_error_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q24_history_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Histories written as payloads, loaded in order with their version."""
     ops = write_ops(_synced(spark, sf_dir).writes.withColumn("expected_version", F.lit(0).cast("long")))
-    rows = loaded(replay(ops))
+    rows = chains.loaded(chains.outcomes(ops))
     return rows.select("thread_id", "version", "pos", first_text(F.col("message")).alias("text"))
 
 
@@ -300,5 +298,13 @@ def q27_middleware(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("build_id").agg(F.max("n_before").alias("n_before"), F.count("*").alias("n_after"), F.sum("w").alias("tokens"))
 
 
+def q28_replay_hot_thread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of all operations are one thread's, half of which are accepted."""
+    ops = _ops(spark, sf_dir)
+    hot = F.col("seq") % 3 == 0
+    expected = F.when(hot, F.floor(F.col("seq") / 6).cast("long")).otherwise(F.col("expected_version"))
+    return chains.heads(chains.outcomes(ops.withColumns({"thread_id": F.when(hot, "hot").otherwise(F.col("thread_id")), "expected_version": expected})))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "q" and name[1:3].isdigit()}

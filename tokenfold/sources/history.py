@@ -89,6 +89,9 @@ def loaded(replayed: DataFrame) -> DataFrame:
     return rows.select("thread_id", "version", F.col("pos").cast("long").alias("pos"), from_payload(F.col("payload")).alias("message"))
 
 
+#: Operations of a commit are numbered from the commit's number times this.
+COMMIT = 1 << 32
+
 #: What a store keeps of each op: when it was written is what a time to live counts from.
 LOGGED = T.StructType([*OPS.fields, T.StructField("ts", T.TimestampType())])
 
@@ -115,28 +118,34 @@ class FileHistoryStore:
         path = jvm.org.apache.hadoop.fs.Path(self.root)
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
+    def _numbers(self, name: str) -> set[int]:
+        fs, path = self._fs()
+        folder = path(f"{self.root}/{name}")
+        return {int(s.getPath().getName().rpartition("=")[2]) for s in fs.listStatus(folder)} if fs.exists(folder) else set()
+
     def _settled(self) -> int:
         """The number up to which every claim has its place in the log."""
-        fs, path = self._fs()
-        folder = path(f"{self.root}/log")
-        known = {int(s.getPath().getName()) for s in fs.listStatus(folder)} if fs.exists(folder) else set()
-        last = 0
+        known, last = self._numbers("log"), self.base()
         while last + 1 in known:
             last += 1
         return last
 
+    def base(self) -> int:
+        """The number up to which commits aren't read from the log any more."""
+        return 0
+
     def _void(self, number: int) -> None:
         """Settle a claim as void, unless its folder has come meanwhile."""
         fs, path = self._fs()
         staged = path(f"{self.root}/staged/{uuid.uuid4().hex}")
         fs.mkdirs(staged)
         fs.createNewFile(path(staged, "_VOID"))
-        if not fs.exists(path(f"{self.root}/log/{number}")):
-            fs.rename(staged, path(f"{self.root}/log/{number}"))
+        if not fs.exists(path(f"{self.root}/log/commit={number}")):
+            fs.rename(staged, path(f"{self.root}/log/commit={number}"))
 
     def _is_void(self, number: int) -> bool:
         fs, path = self._fs()
-        return fs.exists(path(f"{self.root}/log/{number}/_VOID"))
+        return fs.exists(path(f"{self.root}/log/commit={number}/_VOID"))
 
     def commit(self, ops: DataFrame) -> int:
         """Add a batch of ops to the log; whether each is accepted follows from its version."""
@@ -165,17 +174,17 @@ class FileHistoryStore:
 
     def _move(self, staged: str, number: int) -> None:
         fs, path = self._fs()
-        if not fs.rename(path(staged), path(f"{self.root}/log/{number}")) or self._is_void(number):
+        if not fs.rename(path(staged), path(f"{self.root}/log/commit={number}")) or self._is_void(number):
             raise ContextError("UNAVAILABLE", f"commit {number} was voided or could not be moved")
 
     def ops(self) -> DataFrame:
-        """All commits that count, in one scan, with ``seq`` in order of commits."""
-        paths = [f"{self.root}/log/{k}" for k in range(1, self._settled() + 1) if not self._is_void(k)]
-        if not paths:
+        """All commits that count after ``base``, in one scan of their folders, with ``seq`` in order of commits; void ones have no rows."""
+        first, last = self.base(), self._settled()
+        if first == last:
             return self.spark.createDataFrame([], LOGGED)
-        rows = self.spark.read.schema(LOGGED).parquet(*paths)
-        number = F.regexp_extract(F.col("_metadata.file_path"), r"/log/(\d+)/[^/]*$", 1).cast("long")
-        return rows.withColumn("seq", number * (1 << 32) + F.col("seq"))
+        rows = self.spark.read.schema(T.StructType([*LOGGED.fields, T.StructField("commit", T.LongType())])).parquet(f"{self.root}/log")
+        counted = rows.filter((F.col("commit") > first) & (F.col("commit") <= last))
+        return counted.withColumn("seq", F.col("commit") * COMMIT + F.col("seq")).drop("commit")
 
     def state(self) -> DataFrame:
         return replay(self.ops(), self.flavour, self.ttl_seconds)
@@ -198,11 +207,13 @@ class FileHistoryStore:
         frame = self.spark.createDataFrame([(m,) for m in messages], T.StructType([T.StructField("message", MESSAGE)]))
         payloads = [r[0] for r in frame.select(F.to_json("message")).collect()] if messages else []
         number = self.commit(self.spark.createDataFrame([(thread_id, 0, op, expected, payloads)], OPS))
-        seq = number * (1 << 32)
-        outcome = self._thread(thread_id).select(F.inline("outcomes")).filter(F.col("seq") == seq).first()
-        if not outcome.accepted:
+        seq = number * COMMIT
+        if not self._accepts(thread_id, seq):
             raise ContextError("HISTORY_VERSION_CONFLICT", thread_id)
 
+    def _accepts(self, thread_id: str, seq: int) -> bool:
+        return self._thread(thread_id).select(F.inline("outcomes")).filter(F.col("seq") == seq).first().accepted
+
     def append(self, thread_id: str, expected: int, messages: list) -> None:
         self._write("append", thread_id, expected, messages)
 
