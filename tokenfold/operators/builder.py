@@ -102,9 +102,9 @@ class Builder:
         if not kept:
             empty = ids.sparkSession.createDataFrame([], T.StructType([ids.schema["build_id"], *_KEPT]))
             kept, figures = [empty], []
-        # A stage leaves nothing of a build that failed in it or before; of one that fails in a later stage nothing is left either.
+        # A stage's fold leaves nothing of a build that failed by then; what failed later, or in Python, goes here.
         alive = _union(kept)
-        if len(stages) > 1:
+        if len(stages) > 1 or any(isinstance(g[0][1].strategy, Custom) for g in stages):
             alive = alive.join(state.filter("error_code IS NULL").select("build_id"), "build_id", "left_semi")
         formatted = self.formatter(alive)
         counted = formatted.withColumn("w", self.counter.weight(F.col("message")))
