@@ -124,6 +124,14 @@ class CompactedHistoryStore(FileHistoryStore):
         judged = self._judged(heads, tail, False)
         return judged.filter(F.col("seq").between(number * COMMIT, (number + 1) * COMMIT - 1)).select("thread_id", F.col("seq") - number * COMMIT, "accepted").toDF("thread_id", "seq", "accepted")
 
+    def fenced(self, fence: str) -> DataFrame:
+        """(thread_id, seq) of the accepted operations that were committed as work of ``fence``, in the log since the snapshot in force."""
+        tail = self.ops()
+        mine = written(tail.filter(F.col("fence") == fence).select("thread_id", "seq"), "fenced")
+        threads = mine.select("thread_id").distinct()
+        heads, rows = (f.join(threads, "thread_id", "left_semi") for f in (self._held("heads", _HEADS), tail))
+        return mine.join(self._judged(heads, rows, False).filter("accepted").select("thread_id", "seq"), ["thread_id", "seq"])
+
     def _own(self, thread_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Heads, rows and tail of one thread: its bucket and the commits since."""
         bucket = self.spark.range(1).select(self.bucket(F.lit(thread_id))).first()[0]

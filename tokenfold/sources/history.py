@@ -9,7 +9,7 @@ from __future__ import annotations
 import time
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,6 +95,9 @@ COMMIT = 1 << 32
 #: What a store keeps of each op: when it was written is what a time to live counts from.
 LOGGED = T.StructType([*OPS.fields, T.StructField("ts", T.TimestampType())])
 
+#: Besides, which unit of work a commit belongs to, if its writer says so.
+FENCED = T.StructType([*LOGGED.fields, T.StructField("fence", T.StringType())])
+
 
 @dataclass(frozen=True)
 class FileHistoryStore:
@@ -112,6 +115,11 @@ class FileHistoryStore:
     flavour: str = "monotonic"
     ttl_seconds: int = 0
     patience: float = 10.0
+    fence: str | None = None
+
+    def with_fence(self, fence: str) -> FileHistoryStore:
+        """The store, with commits that are marked as work of ``fence``."""
+        return replace(self, fence=fence)
 
     def _fs(self):
         jvm = self.spark._jvm
@@ -140,6 +148,9 @@ class FileHistoryStore:
         staged = path(f"{self.root}/staged/{uuid.uuid4().hex}")
         fs.mkdirs(staged)
         fs.createNewFile(path(staged, "_VOID"))
+        # A hint for readers, who then ask whether the folder in the log is this one.
+        fs.mkdirs(path(f"{self.root}/void"))
+        fs.createNewFile(path(f"{self.root}/void/{number}"))
         if not fs.exists(path(f"{self.root}/log/commit={number}")):
             fs.rename(staged, path(f"{self.root}/log/commit={number}"))
 
@@ -152,7 +163,7 @@ class FileHistoryStore:
         fs, path = self._fs()
         staged = f"{self.root}/staged/{uuid.uuid4().hex}"
         stamped = ops if "ts" in ops.columns else ops.withColumn("ts", F.current_timestamp())
-        stamped.select(*LOGGED.fieldNames()).write.parquet(staged)
+        stamped.select(*LOGGED.fieldNames(), F.lit(self.fence).cast("string").alias("fence")).write.parquet(staged)
         number = self._claim()
         self._move(staged, number)
         deadline = time.monotonic() + self.patience
@@ -178,13 +189,17 @@ class FileHistoryStore:
             raise ContextError("UNAVAILABLE", f"commit {number} was voided or could not be moved")
 
     def ops(self) -> DataFrame:
-        """All commits that count after ``base``, in one scan of their folders, with ``seq`` in order of commits; void ones have no rows."""
+        """All commits that count after ``base``, in one scan of their folders, with ``seq`` in order of commits."""
         first, last = self.base(), self._settled()
         if first == last:
-            return self.spark.createDataFrame([], LOGGED)
-        rows = self.spark.read.schema(T.StructType([*LOGGED.fields, T.StructField("commit", T.LongType())])).parquet(f"{self.root}/log")
-        counted = rows.filter((F.col("commit") > first) & (F.col("commit") <= last))
-        return counted.withColumn("seq", F.col("commit") * COMMIT + F.col("seq")).drop("commit")
+            return self.spark.createDataFrame([], FENCED)
+        void = {k for k in self._numbers("void") if self._is_void(k)}
+        paths = [f"{self.root}/log/commit={k}" for k in range(first + 1, last + 1) if k not in void]
+        if not paths:
+            return self.spark.createDataFrame([], FENCED)
+        dated = T.StructType([*FENCED.fields, T.StructField("commit", T.LongType())])
+        rows = self.spark.read.schema(dated).option("basePath", f"{self.root}/log").parquet(*paths)
+        return rows.withColumn("seq", F.col("commit") * COMMIT + F.col("seq")).drop("commit")
 
     def state(self) -> DataFrame:
         return replay(self.ops(), self.flavour, self.ttl_seconds)
