@@ -22,7 +22,7 @@ CALL = T.StructType(
         T.StructField("function", T.StructType([T.StructField("name", T.StringType()), T.StructField("arguments", T.StringType())])),
     ]
 )
-#: Metadata is canonical JSON text, so that records compare and group.
+#: Metadata is JSON text in a record and an object in a payload; ``canonical`` makes equal trees equal text.
 MESSAGE = T.StructType(
     [
         T.StructField("Role", T.StringType()),
@@ -89,8 +89,17 @@ def truncated(text: Column, size: int) -> Column:
     return F.when(F.char_length(text) > size, F.concat(F.left(text, F.lit(size)), F.lit("..."))).otherwise(text)
 
 
+def canonical(metadata: Column) -> Column:
+    """Metadata text such that equal trees have equal text: sorted keys, no white space, 1.0 as 1.
+
+    A number in scientific notation is a double and equals doubles only. Text that is no JSON, or has a key
+    twice, stays as it is.
+    """
+    return F.coalesce(F.to_json(F.try_parse_json(metadata)), metadata)
+
+
 def normalised(message: Column) -> Column:
-    """A message whose missing strings and lists are empty; an absent image stays absent."""
+    """A message whose missing strings and lists are empty and whose metadata are canonical; an absent image stays absent."""
     blank = F.lit("")
     parts = F.transform(
         F.coalesce(message["Content"], F.array().cast(T.ArrayType(PART))),
@@ -104,7 +113,7 @@ def normalised(message: Column) -> Column:
         ),
     )
     calls = F.coalesce(message["ToolCalls"], F.array().cast(T.ArrayType(CALL)))
-    metadata = F.coalesce(F.nullif(message["Metadata"], F.lit("{}")), blank)
+    metadata = F.coalesce(F.nullif(canonical(message["Metadata"]), F.lit("{}")), blank)
     return F.struct(
         F.coalesce(message["Role"], blank).alias("Role"), parts.alias("Content"), F.coalesce(message["Name"], blank).alias("Name"),
         calls.alias("ToolCalls"), F.coalesce(message["ToolCallID"], blank).alias("ToolCallID"), metadata.alias("Metadata"),
@@ -128,13 +137,17 @@ def canonical_json(value: object) -> str:
 
 
 def to_payload(message: Column) -> Column:
-    return F.to_json(message)
+    """JSON text of a message, with metadata as an object (text that is no JSON as a string)."""
+    metadata = message["Metadata"]
+    tree = F.coalesce(F.try_parse_json(metadata), metadata.cast("variant"))
+    return F.when(message.isNotNull(), F.to_json(message.withField("Metadata", tree)))
 
 
 def from_payload(payload: Column) -> Column:
-    """The message of a JSON text; one that is no object fails the query."""
+    """The message of a JSON text, with canonical metadata, which may be an object or quoted; text that is no object fails the query."""
     checked = F.when(
         payload.isNotNull() & ~F.startswith(F.ltrim(payload), F.lit("{")),
         F.raise_error(F.concat(F.lit("decode: not a message: "), payload)),
     ).otherwise(payload)
-    return F.from_json(checked, MESSAGE, {"mode": "FAILFAST"})
+    held = F.from_json(checked, MESSAGE, {"mode": "FAILFAST"})
+    return F.when(held.isNotNull(), held.withField("Metadata", canonical(held["Metadata"])))

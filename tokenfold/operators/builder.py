@@ -40,7 +40,7 @@ class BuildFrames:
     ``messages``: build_id, ordinal, block_ord, block_name, pos, message, w of builds without error.
     ``blocks``: build_id, block_ord, block_name, tokens_in, budget, used, n_in, n_kept.
     ``kept``: the messages of each block after eviction, before the formatter.
-    ``status``: build_id, error_code, error_block (null where fine), total_tokens.
+    ``status``: build_id, error_code, error_block (null where fine), total_tokens, error_cause (what a counter or a strategy in Python said).
     """
 
     messages: DataFrame
@@ -86,17 +86,23 @@ class Builder:
         """Build for every distinct ``build_id`` of ``keys``; failed builds are rows of ``status``."""
         if self.max_tokens <= 0 or self.counter is None:
             raise ContextError("INVALID_CONFIG")
+        counter, cause = self.counter, None
+        try:
+            counter.weight(F.lit(None).cast(MESSAGE))
+        except ContextError as error:
+            # A counter that can't count at all fails every build, as one that fails on a message does.
+            counter, cause = _NoCounter(), str(error)
         ids = keys.select("build_id").distinct()
         state = ids.select("build_id", F.lit(self.max_tokens).cast("long").alias("remaining"), *_no_error())
         kept, figures = [], []
         stages = _stages(self.blocks)
         for group in stages:
             # Written once: what follows reads the columns it needs, and the messages only where they are returned.
-            rows = _weighed(group, ids, self.counter)
+            rows = _weighed(group, ids, counter)
             if isinstance(group[0][1].strategy, Custom):
-                out, made, state = _custom_stage(group[0], written(rows, "weighed"), state, self.counter)
+                out, made, state = _custom_stage(group[0], written(rows, "weighed"), state, counter)
             else:
-                out, made, state = _native_stage(group, written(_needs(group, rows), "weighed"), state, self.counter)
+                out, made, state = _native_stage(group, written(_needs(group, rows), "weighed"), state, counter)
             kept.append(out)
             figures.append(made)
         if not kept:
@@ -107,18 +113,20 @@ class Builder:
         if len(stages) > 1 or any(isinstance(g[0][1].strategy, Custom) for g in stages):
             alive = alive.join(state.filter("error_code IS NULL").select("build_id"), "build_id", "left_semi")
         formatted = self.formatter(alive)
-        counted = formatted.withColumn("w", self.counter.weight(F.col("message")))
+        counted = formatted.withColumn("w", counter.weight(F.col("message")))
         totals = counted.groupBy("build_id").agg(F.sum("w").alias("total"), F.max(_bad(F.col("w"))).alias("bad"))
         total = F.coalesce("total", F.lit(0)).cast("long")
         fine = F.col("error_code").isNull()
+        bad = F.coalesce("bad", F.lit(False)) | F.lit(cause is not None)
         status = state.join(totals, "build_id", "left").select(
             "build_id",
-            F.when(fine & F.col("bad"), "TOKEN_COUNT_FAILED")
+            F.when(fine & bad, "TOKEN_COUNT_FAILED")
             .when(fine & (total > self.max_tokens), "FORMATTER_EXCEEDED_BUDGET")
             .otherwise(F.col("error_code"))
             .alias("error_code"),
             "error_block",
-            F.when(fine & F.col("bad"), F.lit(0).cast("long")).otherwise(total).alias("total_tokens"),
+            F.when(fine & bad, F.lit(0).cast("long")).otherwise(total).alias("total_tokens"),
+            F.when((fine & bad) | (F.col("error_code") == "TOKEN_COUNT_FAILED"), F.lit(cause)).otherwise(F.col("error_cause")).alias("error_cause"),
         )
         build = Window.partitionBy("build_id")
         checked = counted.withColumns({"_total": F.sum("w").over(build), "_bad": F.max(_bad(F.col("w"))).over(build)})
@@ -130,7 +138,8 @@ class Builder:
         made = self.build(keys)
         failed = made.status.filter("error_code IS NOT NULL").orderBy("build_id").first()
         if failed:
-            raise ContextError(failed.error_code, f"build {failed.build_id}", failed.error_block)
+            said = f": {failed.error_cause}" if failed.error_cause else ""
+            raise ContextError(failed.error_code, f"build {failed.build_id}{said}", failed.error_block)
         return made
 
 
@@ -146,8 +155,15 @@ def _bad(w: Column) -> Column:
     return w.isNull() | (w < 0)
 
 
+class _NoCounter:
+    """No message has a weight."""
+
+    def weight(self, message: Column) -> Column:
+        return F.lit(None).cast("long")
+
+
 def _no_error() -> list[Column]:
-    return [F.lit(None).cast("string").alias("error_code"), F.lit(None).cast("string").alias("error_block")]
+    return [F.lit(None).cast("string").alias(name) for name in ("error_code", "error_block", "error_cause")]
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -245,7 +261,7 @@ def _native_stage(group, rows: DataFrame, state: DataFrame, counter: TokenCounte
     gathered = state.join(known.groupBy("build_id").agg(F.array_sort(F.collect_list(record)).alias("records")), "build_id", "left")
     start = F.struct(
         F.col("remaining").cast("long").alias("remaining"), F.col("error_code").alias("error_code"), F.col("error_block").alias("error_block"),
-        F.array().cast(_RESULT).alias("done"),
+        F.col("error_cause").alias("error_cause"), F.array().cast(_RESULT).alias("done"),
     )
     folded = gathered.select("build_id", F.aggregate(F.coalesce("records", F.array().cast(_record_type(gathered))), start, _serve).alias("end"))
     folded = written(folded, "served")
@@ -263,7 +279,7 @@ def _native_stage(group, rows: DataFrame, state: DataFrame, counter: TokenCounte
         )
         kept = kept.unionByName(short.withColumnRenamed("summary", "message"))
     figures = served.select("build_id", "block_ord", "block_name", "tokens_in", "budget", "used", "n_in", "n_kept")
-    after = folded.select("build_id", F.col("end.remaining").alias("remaining"), F.col("end.error_code").alias("error_code"), F.col("end.error_block").alias("error_block"))
+    after = folded.select("build_id", F.col("end.remaining").alias("remaining"), F.col("end.error_code").alias("error_code"), F.col("end.error_block").alias("error_block"), F.col("end.error_cause").alias("error_cause"))
     return kept, figures, after
 
 
@@ -298,6 +314,7 @@ def _serve(at: Column, block: Column) -> Column:
         (at["remaining"] - used).cast("long").alias("remaining"),
         F.when(failed, failure).otherwise(at["error_code"]).alias("error_code"),
         F.when(failed, block["name"]).otherwise(at["error_block"]).alias("error_block"),
+        at["error_cause"].alias("error_cause"),
         F.when(at["error_code"].isNull(), F.concat(at["done"], F.array(result))).otherwise(at["done"]).alias("done"),
     )
 
@@ -310,33 +327,32 @@ def _custom_stage(entry: tuple[int, Block], rows: DataFrame, state: DataFrame, c
     sums = rows.groupBy("build_id").agg(F.sum("w").alias("tokens_in"), F.count("*").alias("n_in"), F.max(_bad(F.col("w"))).alias("bad_in"))
     plan = state.join(sums, "build_id").withColumn("budget", limit).filter("error_code IS NULL")
     joined = rows.join(plan.filter("NOT bad_in").select("build_id", "tokens_in", "budget"), "build_id")
-    fitting = joined.filter("tokens_in <= budget").select(*rows.columns, F.lit(None).cast("string").alias("failure"))
+    fitting = joined.filter("tokens_in <= budget").select(*rows.columns, *[F.lit(None).cast("string").alias(n) for n in ("failure", "said")])
     apply = block.strategy.apply
 
     def trim(key, frame):
-        """The strategy's messages; if it raises, one row with the code of the failure."""
+        """The strategy's messages; if it raises, one row with the failure's code, type and text."""
         import pandas as pd
 
         ordered = frame.sort_values("pos")
         try:
             out = apply(ordered[["pos", "message", "w"]], int(ordered["tokens_in"].iloc[0]), int(ordered["budget"].iloc[0]))
-            out = out[["pos", "message"]].assign(failure=None)
-        except ContextError as error:
-            out = pd.DataFrame({"pos": [0], "message": [None], "failure": [error.code]})
-        except Exception:
-            out = pd.DataFrame({"pos": [0], "message": [None], "failure": ["STRATEGY_FAILED"]})
+            out = out[["pos", "message"]].assign(failure=None, said=None)
+        except Exception as error:
+            code = error.code if isinstance(error, ContextError) else "STRATEGY_FAILED"
+            out = pd.DataFrame({"pos": [0], "message": [None], "failure": [code], "said": [f"{type(error).__name__}: {error}"]})
         out.insert(0, "build_id", key[0])
         return out
 
     schema = T.StructType(
-        [rows.schema["build_id"], T.StructField("pos", T.LongType()), T.StructField("message", MESSAGE), T.StructField("failure", T.StringType())]
+        [rows.schema["build_id"], T.StructField("pos", T.LongType()), T.StructField("message", MESSAGE), T.StructField("failure", T.StringType()), T.StructField("said", T.StringType())]
     )
     trimmed = joined.filter("tokens_in > budget").groupBy("build_id").applyInPandas(trim, schema)
     weight = F.when(F.col("failure").isNull(), counter.weight(F.col("message"))).alias("w")
-    again = trimmed.select("build_id", F.lit(k).alias("block_ord"), F.lit(block.name).alias("block_name"), "pos", "message", weight, "failure")
+    again = trimmed.select("build_id", F.lit(k).alias("block_ord"), F.lit(block.name).alias("block_name"), "pos", "message", weight, "failure", "said")
     out = fitting.unionByName(again)
     used = out.groupBy("build_id").agg(
-        F.sum("w").alias("used"), F.count("*").alias("n_kept"), F.max("failure").alias("failure"),
+        F.sum("w").alias("used"), F.count("*").alias("n_kept"), F.max("failure").alias("failure"), F.max("said").alias("said"),
         F.max(F.col("failure").isNull() & _bad(F.col("w"))).alias("bad_out"),
     )
     done = plan.join(used, "build_id", "left").withColumn("used", F.coalesce("used", F.lit(0).cast("long")))
@@ -352,11 +368,12 @@ def _custom_stage(entry: tuple[int, Block], rows: DataFrame, state: DataFrame, c
         F.when(F.col("code").isNull(), F.col("used")).otherwise(F.lit(0).cast("long")).alias("used"), "n_in",
         F.when(F.col("code").isNull(), F.coalesce("n_kept", F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long")).alias("n_kept"),
     )
-    after = state.join(judged.select("build_id", "used", "code"), "build_id", "left").select(
+    after = state.join(judged.select("build_id", "used", "code", "said"), "build_id", "left").select(
         "build_id",
         (F.col("remaining") - F.when(F.col("code").isNull(), F.coalesce("used", F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long"))).alias("remaining"),
         F.coalesce("error_code", "code").alias("error_code"),
         F.when(F.col("error_code").isNull() & F.col("code").isNotNull(), block.name).otherwise(F.col("error_block")).alias("error_block"),
+        F.coalesce("error_cause", F.when(F.col("error_code").isNull(), F.col("said"))).alias("error_cause"),
     )
     after = written(after, "served")
-    return out.filter("failure IS NULL").drop("failure"), figures, after
+    return out.filter("failure IS NULL").drop("failure", "said"), figures, after

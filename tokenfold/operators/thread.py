@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokenfold.errors import ContextError
-from tokenfold.functions.messages import MESSAGE, histories_equal
+from tokenfold.functions.messages import MESSAGE, histories_equal, to_payload
 from tokenfold.operators.builder import Builder, BuildFrames
 from tokenfold.sources.history import MAX_SYNC_ROUNDS, sync_thread
 from tokenfold.sources.shared import written
@@ -70,7 +70,7 @@ def sync(builder: Builder, history_block: str, history: DataFrame, new: DataFram
 
 def write_ops(writes: DataFrame) -> DataFrame:
     """The writes as an op log: thread_id, seq, op, expected_version, payloads."""
-    payloads = F.transform(F.coalesce("messages", F.array().cast(writes.schema["messages"].dataType)), lambda m: F.to_json(m))
+    payloads = F.transform(F.coalesce("messages", F.array().cast(writes.schema["messages"].dataType)), to_payload)
     return writes.filter(F.col("action").isin("append", "save", "save_empty")).select(
         F.col("build_id").cast("string").alias("thread_id"),
         F.lit(0).cast("long").alias("seq"),

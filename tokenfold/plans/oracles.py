@@ -143,6 +143,12 @@ SELECT build_id, error_code, CASE error_code WHEN 'BUDGET_EXCEEDED' THEN 'openin
   WHERE (action = 'append' AND s.newest) OR (action = 'save' AND suf <= 397))
 SELECT build_id::VARCHAR AS thread_id, 1::BIGINT AS version, (row_number() OVER (PARTITION BY build_id ORDER BY pos) - 1)::BIGINT AS pos, text FROM w""",
     "q25_ttl": _replay(False, True),
+    "q29_metadata": """SELECT conv_id AS build_id, turn AS pos, conv_id % 3 <> 0 AS equal, conv_id % 3 <> 0 AS equal_after, true AS unchanged, 1::BIGINT AS x FROM conversations""",
+    "q30_counter_failure": """WITH g AS (SELECT conv_id AS build_id, count(*) AS n FROM conversations GROUP BY 1)
+SELECT 'counter' AS kind, build_id, 'TOKEN_COUNT_FAILED' AS error_code, CASE WHEN build_id % 2 = 0 THEN 'talk' ELSE '' END AS error_block,
+  'INVALID_CHARS_PER_TOKEN' AS cause, 0::BIGINT AS total_tokens FROM g
+UNION ALL SELECT 'strategy', build_id, CASE WHEN n > 3 AND n % 2 = 1 THEN 'STRATEGY_FAILED' ELSE '' END, CASE WHEN n > 3 AND n % 2 = 1 THEN 'own' ELSE '' END,
+  CASE WHEN n > 3 AND n % 2 = 1 THEN 'ValueError: odd' ELSE '' END, CASE WHEN n <= 3 THEN 100 * n WHEN n % 2 = 0 THEN 100 ELSE 0 END FROM g""",
     "q28_replay_hot_thread": _replay(False, ops=_OPS.replace("o AS", "e AS", 1) + ", " + _HOT),
     "q26_other_profile": _assembly("SELECT build_id, 0 AS pos, 5 AS w FROM k", "SELECT build_id, block_name, pos, w::BIGINT AS w FROM m"),
     "q27_middleware": f"""WITH {_T}, s AS (SELECT *, sum(w) OVER (PARTITION BY build_id ORDER BY pos DESC) AS suf FROM t),

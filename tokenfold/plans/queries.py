@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tokenfold.functions.counters import CharCounter, FixedCounter
+from tokenfold.functions.codecs import BASE64, JSON, unpack
 from tokenfold.functions.messages import (
     all_text,
     canonical_json,
@@ -26,7 +27,7 @@ from tokenfold.functions.messages import (
 )
 from tokenfold.operators.builder import Builder, BuildFrames
 from tokenfold.operators.formatter import DefaultFormatter, with_layers
-from tokenfold.operators.strategies import Drop, DropHead, DropTail, Strict, Summarize
+from tokenfold.operators.strategies import Custom, Drop, DropHead, DropTail, Strict, Summarize
 from tokenfold.operators.thread import sync, write_ops
 from tokenfold.sources import chains
 
@@ -306,5 +307,38 @@ def q28_replay_hot_thread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chains.heads(chains.outcomes(ops.withColumns({"thread_id": F.when(hot, "hot").otherwise(F.col("thread_id")), "expected_version": expected})))
 
 
+def q29_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn's metadata against the same tree written otherwise, before and after a round trip as payloads of two codecs."""
+    rows = _table(spark, sf_dir, "conversations")
+    turn, conv = F.col("turn").cast("string"), F.col("conv_id").cast("string")
+    one = F.concat(F.lit('{"k": '), turn, F.lit(', "t": [{"x": 1, "y": null}, "a b", '), conv, F.lit("]}"))
+    other = F.concat(F.lit('{"t":[{"y":null,"x":1.0},"a b",'), conv, F.lit('],"k":'), F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit('"'), turn, F.lit('"'))).otherwise(turn), F.lit("}"))
+    made = rows.select(
+        F.col("conv_id").alias("build_id"), "turn", text_message(F.col("role"), F.col("text"), metadata=one).alias("a"), text_message(F.col("role"), F.col("text"), metadata=other).alias("b")
+    )
+    packed = made.select("*", JSON.pack(F.col("a")).alias("json_a"), BASE64.pack(F.col("b")).alias("base64_b"))
+    a, b = unpack(F.col("json_a")), unpack(F.col("base64_b"))
+    return packed.select(
+        "build_id", F.col("turn").alias("pos"), messages_equal(F.col("a"), F.col("b")).alias("equal"), messages_equal(a, b).alias("equal_after"),
+        (messages_equal(a, F.col("a")) & messages_equal(b, F.col("b"))).alias("unchanged"), F.get_json_object("json_a", "$.Metadata.t[0].x").cast("long").alias("x"),
+    )
+
+
+def q30_counter_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A counter that can't count, and a strategy in Python that fails on some blocks: codes, blocks and causes."""
+
+    def apply(rows, tokens, limit):
+        if len(rows) % 2:
+            raise ValueError("odd")
+        return rows.tail(1)[["pos", "message"]]
+
+    talk = _talk(spark, sf_dir)
+    none = Builder(LIMIT, CharCounter(0)).add_block("talk", Drop(), talk.filter("build_id % 2 = 0")).build(talk).status
+    own = Builder(LIMIT, FixedCounter(100)).add_block("own", Custom(apply), talk).build(talk).status
+    both = none.withColumn("kind", F.lit("counter")).unionByName(own.withColumn("kind", F.lit("strategy")))
+    cause = F.regexp_extract(F.coalesce("error_cause", F.lit("")), "(INVALID_CHARS_PER_TOKEN|ValueError: odd)", 1)
+    return both.select("kind", "build_id", F.coalesce("error_code", F.lit("")).alias("error_code"), F.coalesce("error_block", F.lit("")).alias("error_block"), cause.alias("cause"), "total_tokens")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "q" and name[1:3].isdigit()}

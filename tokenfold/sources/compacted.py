@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenfold.errors import ContextError
-from tokenfold.functions.messages import from_payload
 from tokenfold.sources import chains
 from tokenfold.sources.history import COMMIT, LOGGED, FileHistoryStore
 from tokenfold.sources.shared import written
@@ -116,7 +115,7 @@ class CompactedHistoryStore(FileHistoryStore):
         """(thread_id, version) and (thread_id, version, pos, message) of ``threads`` (thread_id) that were ever written."""
         heads, rows, tail = (f.join(threads, "thread_id", "left_semi") for f in (self._held("heads", _HEADS), self._held("rows", _ROWS), self.ops()))
         ends, messages = self._state(heads, rows, tail)
-        return ends, messages.select("thread_id", "version", "pos", from_payload(F.col("payload")).alias("message"))
+        return ends, messages.select("thread_id", "version", "pos", self.decode(F.col("payload")).alias("message"))
 
     def accepted(self, number: int, threads: DataFrame) -> DataFrame:
         """(thread_id, seq, accepted) of the operations of commit ``number``, on ``threads``."""
@@ -142,7 +141,7 @@ class CompactedHistoryStore(FileHistoryStore):
     def load(self, thread_id: str) -> tuple[list, int]:
         ends, messages = self._state(*self._own(thread_id))
         head = ends.first()
-        found = messages.orderBy("pos").select(from_payload(F.col("payload")).alias("message")).collect()
+        found = messages.orderBy("pos").select(self.decode(F.col("payload")).alias("message")).collect()
         return [r.message for r in found], head.version if head else 0
 
     def _accepts(self, thread_id: str, seq: int) -> bool:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokenfold.errors import Cancelled, ContextError, classify
+from tokenfold.functions.codecs import BASE64, JSON, Codec, unpack
 from tokenfold.functions.messages import MESSAGE, from_payload
 
 OPS = T.StructType(
@@ -83,10 +84,10 @@ def replay(ops: DataFrame, flavour: str = "monotonic", ttl_seconds: int = 0) ->
     return gathered.select("thread_id", F.aggregate("ops", start, _step(flavour, ttl_seconds)).alias("end")).select("thread_id", "end.*")
 
 
-def loaded(replayed: DataFrame) -> DataFrame:
+def loaded(replayed: DataFrame, decode: Callable[[Column], Column] = from_payload) -> DataFrame:
     """History rows (thread_id, version, pos, message) of replayed threads."""
     rows = replayed.select("thread_id", "version", F.posexplode("messages").alias("pos", "payload"))
-    return rows.select("thread_id", "version", F.col("pos").cast("long").alias("pos"), from_payload(F.col("payload")).alias("message"))
+    return rows.select("thread_id", "version", F.col("pos").cast("long").alias("pos"), decode(F.col("payload")).alias("message"))
 
 
 #: Operations of a commit are numbered from the commit's number times this.
@@ -116,6 +117,12 @@ class FileHistoryStore:
     ttl_seconds: int = 0
     patience: float = 10.0
     fence: str | None = None
+    codec: Codec = JSON
+    readable: tuple[Codec, ...] = (JSON, BASE64)
+
+    def decode(self, payload: Column) -> Column:
+        """The message of a payload, by whichever codec it was written."""
+        return unpack(payload, {*self.readable, self.codec})
 
     def with_fence(self, fence: str) -> FileHistoryStore:
         """The store, with commits that are marked as work of ``fence``."""
@@ -213,14 +220,14 @@ class FileHistoryStore:
         if self.ttl_seconds:
             own = own.filter(F.col("written") + F.expr(f"INTERVAL {self.ttl_seconds} SECONDS") > F.current_timestamp())
         head = own.select("version").first()
-        rows = loaded(own).orderBy("pos").select("message").collect()
+        rows = loaded(own, self.decode).orderBy("pos").select("message").collect()
         return [r.message for r in rows], head.version if head else 0
 
     def _write(self, op: str, thread_id: str, expected: int, messages: list) -> None:
         if op == "append" and not messages:
             return
         frame = self.spark.createDataFrame([(m,) for m in messages], T.StructType([T.StructField("message", MESSAGE)]))
-        payloads = [r[0] for r in frame.select(F.to_json("message")).collect()] if messages else []
+        payloads = [r[0] for r in frame.select(self.codec.pack(F.col("message"))).collect()] if messages else []
         number = self.commit(self.spark.createDataFrame([(thread_id, 0, op, expected, payloads)], OPS))
         seq = number * COMMIT
         if not self._accepts(thread_id, seq):
