@@ -149,6 +149,14 @@ SELECT 'counter' AS kind, build_id, 'TOKEN_COUNT_FAILED' AS error_code, CASE WHE
   'INVALID_CHARS_PER_TOKEN' AS cause, 0::BIGINT AS total_tokens FROM g
 UNION ALL SELECT 'strategy', build_id, CASE WHEN n > 3 AND n % 2 = 1 THEN 'STRATEGY_FAILED' ELSE '' END, CASE WHEN n > 3 AND n % 2 = 1 THEN 'own' ELSE '' END,
   CASE WHEN n > 3 AND n % 2 = 1 THEN 'ValueError: odd' ELSE '' END, CASE WHEN n <= 3 THEN 100 * n WHEN n % 2 = 0 THEN 100 ELSE 0 END FROM g""",
+    "q31_batch_sync": f"""WITH {_SYNC}, x AS (SELECT *, action <> 'noop' AND build_id % 3 = 0 AS crossed FROM a),
+c2 AS (SELECT c.build_id, c.pos::DOUBLE AS pos, c.w FROM c JOIN x USING (build_id) UNION ALL SELECT build_id, last - 0.5, 2 FROM x WHERE crossed),
+s2 AS (SELECT *, sum(w) OVER (PARTITION BY build_id ORDER BY pos DESC) AS suf FROM c2),
+g2 AS (SELECT x.build_id, crossed, has_new, count(s2.pos) AS n, count(*) FILTER (suf <= 397) AS kept FROM x LEFT JOIN s2 USING (build_id) GROUP BY ALL),
+z AS (SELECT *, CASE WHEN n = kept THEN CASE WHEN has_new THEN 'append' ELSE 'noop' END WHEN kept = 0 THEN 'save_empty' ELSE 'save' END AS action FROM g2)
+SELECT build_id, action, CASE WHEN crossed THEN 2 ELSE 1 END AS rounds,
+  (1 + CASE WHEN crossed THEN 1 ELSE 0 END + CASE WHEN action = 'noop' THEN 0 ELSE 1 END)::BIGINT AS version, kept::BIGINT AS n_stored FROM z""",
+    "q32_compacted_store": "SELECT thread_id, version, n_messages FROM (" + _replay(False, ops=_OPS.replace("event_id AS seq", "(event_id // 1000) % 3 * 1000000000 + event_id AS seq").replace("ORDER BY event_id) AS i", "ORDER BY (event_id // 1000) % 3, event_id) AS i")) + ")",
     "q28_replay_hot_thread": _replay(False, ops=_OPS.replace("o AS", "e AS", 1) + ", " + _HOT),
     "q26_other_profile": _assembly("SELECT build_id, 0 AS pos, 5 AS w FROM k", "SELECT build_id, block_name, pos, w::BIGINT AS w FROM m"),
     "q27_middleware": f"""WITH {_T}, s AS (SELECT *, sum(w) OVER (PARTITION BY build_id ORDER BY pos DESC) AS suf FROM t),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,8 +29,10 @@ from tokenfold.functions.messages import (
 from tokenfold.operators.builder import Builder, BuildFrames
 from tokenfold.operators.formatter import DefaultFormatter, with_layers
 from tokenfold.operators.strategies import Custom, Drop, DropHead, DropTail, Strict, Summarize
-from tokenfold.operators.thread import sync, write_ops
+from tokenfold.operators.thread import sync, sync_all, write_ops
 from tokenfold.sources import chains
+from tokenfold.sources.compacted import CompactedHistoryStore
+from tokenfold.sources.shared import shared_dir
 
 LIMIT = 300
 CHARS = CharCounter(4)
@@ -340,5 +343,59 @@ def q30_counter_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("kind", "build_id", F.coalesce("error_code", F.lit("")).alias("error_code"), F.coalesce("error_block", F.lit("")).alias("error_block"), cause.alias("cause"), "total_tokens")
 
 
+def _store(spark: SparkSession) -> CompactedHistoryStore:
+    return CompactedHistoryStore(spark, f"{shared_dir(spark)}/tokenfold/store-{uuid.uuid4().hex}")
+
+
+class _Rival:
+    """A store in which, before the first commit counts, another writer appends to every third of its threads."""
+
+    def __init__(self, store: CompactedHistoryStore):
+        self._store, self._first = store, True
+
+    def __getattr__(self, name: str):
+        return getattr(self._store, name)
+
+    def commit(self, ops: DataFrame) -> int:
+        if self._first:
+            other = F.array(to_payload(text_message("user", F.lit("other"))))
+            self._store.commit(ops.filter("cast(thread_id AS bigint) % 3 = 0").withColumns({"op": F.lit("append"), "payloads": other}))
+            self._first = False
+        return self._store.commit(ops)
+
+
+def q31_batch_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation synced with a store at once, its last turn being new; a third of the writes lose their first round."""
+    talk = _talk(spark, sf_dir)
+    marked = talk.join(talk.groupBy("build_id").agg(F.max("pos").alias("last")), "build_id")
+    store = _store(spark)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", to_payload(F.col("message")).alias("payload")))), lambda x: x["payload"])
+    old = marked.filter("pos < last").groupBy("build_id").agg(listed.alias("payloads"))
+    store.commit(old.select(F.col("build_id").cast("string").alias("thread_id"), F.lit(0).alias("seq"), F.lit("append").alias("op"), F.lit(0).alias("expected_version"), "payloads"))
+    store.compact()
+    new = marked.filter("pos = last AND build_id % 5 <> 0").select("build_id", F.lit(0).cast("long").alias("pos"), "message")
+    builder = Builder(400, CHARS).add_block("instructions", Strict(), [text_message("system", "Be brief.")]).add_block("history", DropHead(), [])
+    ids = talk.select("build_id").distinct()
+    done = sync_all(_Rival(store), builder, "history", new, ids).outcomes
+    heads, rows = store.snapshot(ids.select(F.col("build_id").cast("string").alias("thread_id")))
+    counts = rows.groupBy("thread_id").agg(F.count("*").alias("n_stored"))
+    ends = heads.join(counts, "thread_id", "left").select(F.col("thread_id").cast("long").alias("build_id"), "version", F.coalesce("n_stored", F.lit(0)).cast("long").alias("n_stored"))
+    return done.select("build_id", "action", "rounds").join(ends, "build_id")
+
+
+def q32_compacted_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operations in three commits, two of them under a snapshot and their log expired: what the store holds of each thread."""
+    ops, store = _ops(spark, sf_dir), _store(spark)
+    for k in range(3):
+        store.commit(ops.filter(F.pmod(F.floor(F.col("seq") / 1000), F.lit(3)) == k))
+        if k == 1:
+            store.compact()
+            store.expire()
+    stored = ops.select("thread_id").distinct()
+    heads, rows = store.payloads(stored)
+    counts = rows.groupBy("thread_id").agg(F.count("*").alias("n_messages"))
+    return heads.join(counts, "thread_id", "left").select("thread_id", "version", F.coalesce("n_messages", F.lit(0)).cast("long").alias("n_messages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "q" and name[1:3].isdigit()}

@@ -113,10 +113,14 @@ class CompactedHistoryStore(FileHistoryStore):
 
     def snapshot(self, threads: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(thread_id, version) and (thread_id, version, pos, message) of ``threads`` (thread_id) that were ever written."""
-        heads, rows, tail = (f.join(threads, "thread_id", "left_semi") for f in (self._held("heads", _HEADS), self._held("rows", _ROWS), self.ops()))
-        ends, messages = self._state(heads, rows, tail)
+        ends, messages = self.payloads(threads)
         return ends, messages.select("thread_id", "version", "pos", self.decode(F.col("payload")).alias("message"))
 
+    def payloads(self, threads: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """``snapshot`` with the payloads as they are stored."""
+        heads, rows, tail = (f.join(threads, "thread_id", "left_semi") for f in (self._held("heads", _HEADS), self._held("rows", _ROWS), self.ops()))
+        return self._state(heads, rows, tail)
+
     def accepted(self, number: int, threads: DataFrame) -> DataFrame:
         """(thread_id, seq, accepted) of the operations of commit ``number``, on ``threads``."""
         heads, tail = (f.join(threads, "thread_id", "left_semi") for f in (self._held("heads", _HEADS), self.ops()))
