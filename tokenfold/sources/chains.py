@@ -24,6 +24,9 @@ FOLDED = 1000
 #: An operation that stands for what a thread was before the others: the version is the expected one plus one, whatever came before.
 RESTORE = "restore"
 
+#: Columns of an operation's outcome.
+OUTCOMES = ["thread_id", "place", "seq", "op", "payloads", "accepted", "version", "fresh", "empty", "size"]
+
 #: The order of a thread's operations; those of one ``seq`` go by what they are.
 ORDER = ["seq", "op", "expected_version", "payloads", "ts"]
 
@@ -31,7 +34,8 @@ ORDER = ["seq", "op", "expected_version", "payloads", "ts"]
 def _prepared(ops: DataFrame) -> DataFrame:
     """Operations with ``ts``, the number of payloads, whether they write, and whether they leave nothing."""
     ts = F.col("ts").cast("timestamp") if "ts" in ops.columns else F.lit(None).cast("timestamp")
-    rows = ops.select("thread_id", F.col("seq").cast("long").alias("seq"), "op", F.col("expected_version").cast("long").alias("expected_version"), F.coalesce("payloads", F.array().cast("array<string>")).alias("payloads"), ts.alias("ts"))
+    rows = ops.select("thread_id", F.col("seq").cast("long").alias("seq"), "op", F.col("expected_version").cast("long").alias("expected_version"), F.when(F.col("op") != "clear", F.col("payloads")).alias("payloads"), ts.alias("ts"))
+    rows = rows.withColumn("payloads", F.coalesce("payloads", F.array().cast("array<string>")))
     size = F.size("payloads")
     return rows.withColumns({"writes": (F.col("op") != "append") | (size > 0), "empties": (F.col("op") == "clear") | ((F.col("op") == "save") & (size == 0))})
 
@@ -94,20 +98,26 @@ def _by_links(ops: DataFrame, flavour: str, ttl_seconds: int) -> DataFrame:
     gone = F.lit(False) if ttl_seconds <= 0 else F.col("clock") >= F.col("last.clock") + ttl_seconds * 1_000_000
     expired = F.col("last").isNull() | gone
     held = F.when(expired, F.lit(0).cast("long")).otherwise(F.col("last.after"))
-    return judged.select(
-        "thread_id", "place", "seq", "op", "payloads", (~F.col("writes") | F.col("chosen")).alias("accepted"),
+    told = judged.select(
+        "part", "thread_id", "place", "seq", "op", "payloads", (~F.col("writes") | F.col("chosen")).alias("accepted"),
         F.when(F.col("chosen"), F.col("after")).otherwise(held).alias("version"),
         (F.col("chosen") & ((F.col("op") != "append") | expired)).alias("fresh"), (~F.col("chosen") & expired).alias("empty"),
     )
+    # The messages held are those written so far, less those before the history began anew.
+    own = F.when(F.col("accepted"), F.size("payloads")).otherwise(0).cast("long")
+    summed = running(told, ["thread_id"], "upto", "sum", own)
+    dated = running(summed, ["thread_id"], "before", "last", F.when(F.col("fresh"), F.col("upto") - F.size("payloads")))
+    size = F.when(F.col("empty"), F.lit(0).cast("long")).otherwise(F.col("upto") - F.col("before"))
+    return dated.withColumn("size", size).select(*OUTCOMES)
 
 
 def _folded(ops: DataFrame, flavour: str, ttl_seconds: int) -> DataFrame:
     """The same of threads of up to ``FOLDED`` operations, by one pass over an array of each."""
     op = F.struct(*ORDER, "writes", "empties")
     gathered = ops.groupBy("thread_id").agg(F.array_sort(F.collect_list(op)).alias("ops"))
-    outcome = "array<struct<accepted:boolean,version:bigint,fresh:boolean,empty:boolean>>"
+    outcome = "array<struct<accepted:boolean,version:bigint,fresh:boolean,empty:boolean,size:bigint>>"
     start = F.struct(
-        F.lit(0).cast("long").alias("version"), F.lit(False).alias("alive"), F.lit(None).cast("long").alias("written"),
+        F.lit(0).cast("long").alias("version"), F.lit(0).cast("long").alias("size"), F.lit(False).alias("alive"), F.lit(None).cast("long").alias("written"),
         F.lit(None).cast("long").alias("clock"), F.array().cast(outcome).alias("outcomes"),
     )
 
@@ -120,20 +130,23 @@ def _folded(ops: DataFrame, flavour: str, ttl_seconds: int) -> DataFrame:
         bumped = op["expected_version"] + 1
         after = F.when(op["empties"], F.lit(0).cast("long")).otherwise(bumped) if flavour == "reset" else bumped
         now = F.when(chosen, after).otherwise(version)
-        done = F.struct((~op["writes"] | chosen).alias("accepted"), now.alias("version"), (chosen & ((op["op"] != "append") | ~alive)).alias("fresh"), (~chosen & ~alive).alias("empty"))
+        fresh = chosen & ((op["op"] != "append") | ~alive)
+        came = F.size(op["payloads"]).cast("long")
+        size = F.when(fresh, came).when(~chosen & ~alive, F.lit(0).cast("long")).when(chosen, at["size"] + came).otherwise(at["size"])
+        done = F.struct((~op["writes"] | chosen).alias("accepted"), now.alias("version"), fresh.alias("fresh"), (~chosen & ~alive).alias("empty"), size.alias("size"))
         return F.struct(
-            now.alias("version"), (chosen | alive).alias("alive"), F.when(chosen, clock).when(gone, F.lit(None).cast("long")).otherwise(at["written"]).alias("written"),
+            now.alias("version"), size.alias("size"), (chosen | alive).alias("alive"), F.when(chosen, clock).when(gone, F.lit(None).cast("long")).otherwise(at["written"]).alias("written"),
             clock.alias("clock"), F.concat(at["outcomes"], F.array(done)).alias("outcomes"),
         )
 
     folded = gathered.select("thread_id", "ops", F.aggregate("ops", start, step, lambda at: at["outcomes"]).alias("outcomes"))
     zipped = folded.select("thread_id", F.posexplode(F.arrays_zip("ops", "outcomes")).alias("place", "x"))
-    return zipped.select("thread_id", F.col("place").cast("long").alias("place"), "x.ops.seq", "x.ops.op", "x.ops.payloads", "x.outcomes.*")
+    return zipped.select("thread_id", F.col("place").cast("long").alias("place"), "x.ops.seq", "x.ops.op", "x.ops.payloads", "x.outcomes.*").select(*OUTCOMES)
 
 
 def outcomes(ops: DataFrame, flavour: str = "monotonic", ttl_seconds: int = 0, folded: int = FOLDED) -> DataFrame:
     """One row per operation: thread_id, place (rising with the thread's order), seq, op, payloads, accepted, the thread's version after it,
-    ``fresh`` (it starts the history anew) and ``empty`` (the thread has no history just then).
+    ``fresh`` (it starts the history anew), ``empty`` (the thread has no history just then) and ``size``, its messages after it.
 
     Operations are as of ``history.replay``, in order of ``seq``. With ``ttl_seconds`` (0: never) a thread not written for that
     long by ``ts`` has expired; ``ts`` going back counts as standing still. Null payloads are none; repeated rows are operations
@@ -145,21 +158,18 @@ def outcomes(ops: DataFrame, flavour: str = "monotonic", ttl_seconds: int = 0, f
         raise ValueError("the time to live may not be negative")
     rows = _prepared(ops)
     long = rows.groupBy("thread_id").count().filter(F.col("count") > folded).select("thread_id")
-    long = written(long, "long-threads")
     if long.isEmpty():
         return _folded(rows, flavour, ttl_seconds)
+    long = written(long, "long-threads")
     short = _folded(rows.join(long, "thread_id", "left_anti"), flavour, ttl_seconds)
     return short.unionByName(_by_links(rows.join(long, "thread_id", "left_semi"), flavour, ttl_seconds))
 
 
 def heads(judged: DataFrame) -> DataFrame:
     """Per thread of ``outcomes``: version, n_messages, n_accepted, n_ops."""
-    last = judged.groupBy("thread_id").agg(
-        F.max_by("version", "place").alias("version"), F.max_by("empty", "place").alias("empty"), F.max(F.when(F.col("fresh"), F.col("place"))).alias("start"),
-        F.sum(F.col("accepted").cast("long")).alias("n_accepted"), F.count("*").alias("n_ops"),
-    )
-    sizes = judged.join(last.filter("NOT empty").select("thread_id", "start"), "thread_id").filter("accepted AND place >= start").groupBy("thread_id").agg(F.sum(F.size("payloads")).alias("n_messages"))
-    return last.join(sizes, "thread_id", "left").select("thread_id", "version", F.coalesce("n_messages", F.lit(0)).cast("long").alias("n_messages"), "n_accepted", "n_ops")
+    return judged.groupBy("thread_id").agg(
+        F.max_by("version", "place").alias("version"), F.max_by("size", "place").alias("n_messages"), F.sum(F.col("accepted").cast("long")).alias("n_accepted"), F.count("*").alias("n_ops")
+    )
 
 
 def histories(judged: DataFrame) -> DataFrame:
