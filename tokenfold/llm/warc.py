@@ -120,6 +120,10 @@ def _write(folder: str):
     return run
 
 
+#: A digest with more than one of so many rows counts as hot, so that there are fewer hot digests than this.
+HOT = 1000
+
+
 def write(pages: DataFrame, folder: str) -> DataFrame:
     """Archives of ``pages`` in ``folder``; the written table of path, size and records names those that count.
 
@@ -131,10 +135,16 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), payload.alias("payload"))
     known = rows.withColumn("sha", F.sha1("payload"))
-    # Only digests and ids meet by digest, of which one may be a third of all rows; payloads are dealt by page.
-    thin = known.select("page_id", "sha")
-    last = thin.groupBy("sha").agg(F.max("page_id").alias("last"))
-    older = thin.join(last, "sha").filter("page_id < last").select("page_id", "sha", F.col("last").alias("refers_to")).distinct()
+    # Only digests and ids meet by digest; payloads are dealt by page. Digests of one page need no meeting, and
+    # those of a large part of all rows, which would meet in one task, are few: they are broadcast.
+    thin = written(known.select("page_id", "sha"), "digests")
+    counted = written(thin.groupBy("sha").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).filter("n > 1"), "shared-digests")
+    hot = F.col("n") * HOT > thin.count()
+    older = [
+        thin.join(hint(counted.filter(part).select("sha", "last")), "sha").filter("page_id < last").select("page_id", "sha", F.col("last").alias("refers_to")).distinct()
+        for part, hint in ((hot, F.broadcast), (~hot, lambda frame: frame))
+    ]
+    older = older[0].unionByName(older[1])
     joined = known.join(older, ["page_id", "sha"], "left")
     chosen = joined.select("page_id", "url", "payload", F.unhex("sha").alias("sha1"), "refers_to")
     archives = chosen.mapInArrow(releasing(_with_digest(folder)), "path string, size long, records long")
