@@ -1,8 +1,8 @@
 """Token-budgeted assembly of many builds at once.
 
 A build is one context under a hard budget; its blocks are served in order of registration. Each
-message gets its weight and ``need`` by windows, each block becomes one short record, and a fold
-over a build's records carries the budget from block to block. What stays is then a filter.
+message gets its weight and ``need`` by windows; the budget goes from block to block as sums over
+rows of numbers. What stays is then a filter.
 """
 
 from __future__ import annotations
@@ -147,7 +147,6 @@ _KEPT = [
     T.StructField("block_ord", T.IntegerType()), T.StructField("block_name", T.StringType()), T.StructField("pos", T.LongType()),
     T.StructField("message", MESSAGE), T.StructField("w", T.LongType()),
 ]
-_RESULT = "array<struct<block_ord:int,budget:bigint,used:bigint,n_kept:bigint,mode:string>>"
 
 
 def _bad(w: Column) -> Column:
@@ -221,101 +220,102 @@ def _needs(group: list[tuple[int, Block]], rows: DataFrame) -> DataFrame:
 
 
 def _native_stage(group, rows: DataFrame, state: DataFrame, counter: TokenCounter) -> tuple[DataFrame, DataFrame, DataFrame]:
-    summarizer = group[0][1].strategy if isinstance(group[0][1].strategy, Summarize) else None
-    facts = [
-        F.max("total").alias("total"),
-        F.count("*").alias("n"),
-        F.max(_bad(F.col("w"))).alias("bad"),
-        F.array_sort(F.collect_list(F.struct(F.col("need").cast("long").alias("need"), F.col("w").alias("w")))).alias("needs"),
-    ]
-    none = F.lit(None).cast(MESSAGE).alias("summary")
-    if summarizer is None:
-        records = rows.groupBy(*BLOCK).agg(*facts).select("*", none)
-    else:
-        facts.append(F.transform(F.array_sort(F.collect_list(F.struct("pos", "message"))), lambda x: x["message"]).alias("list"))
-        cap = group[0][1].max_tokens
-        limit = F.least(F.col("remaining"), F.lit(cap)) if cap > 0 else F.col("remaining")
-        due = rows.groupBy(*BLOCK).agg(*facts).join(state.filter("error_code IS NULL").select("build_id", limit.alias("limit")), "build_id")
-        over = ~F.col("bad") & (F.col("total") > F.col("limit"))
-        short = due.filter(over).withColumn("summary", summarizer.summarizer(F.col("list")).cast(MESSAGE))
-        records = short.unionByName(due.filter(~over).select("*", none)).drop("list", "limit")
-    weight = F.when(F.col("summary").isNotNull(), counter.weight(F.col("summary")))
-    records = records.withColumn("summary_w", weight)
-    records = records.withColumn("bad", F.col("bad") | (F.col("summary").isNotNull() & _bad(F.col("summary_w"))))
-
-    def constant(of: Callable[[Block], object], kind: str) -> Column:
-        out = F.lit(None).cast(kind)
-        for k, block in group:
-            out = F.when(F.col("block_ord") == k, F.lit(of(block)).cast(kind)).otherwise(out)
-        return out
+    """Blocks whose need is known: the budget goes from block to block as a chain of sums, one a block, of rows of numbers.
 
-    known = records.select(
-        "*",
-        constant(lambda b: b.name, "string").alias("name"),
-        constant(lambda b: max(0, b.max_tokens), "bigint").alias("cap"),
-        constant(lambda b: b.strategy.min_messages if b.strategy else 0, "bigint").alias("least"),
-        constant(lambda b: b.strategy.on_empty if b.strategy else "NIL_STRATEGY", "string").alias("failure"),
-        constant(lambda b: b.strategy is None, "boolean").alias("bare"),
-    )
-    record = F.struct("block_ord", "name", "total", "n", "cap", "least", "failure", "bare", "bad", "needs", F.col("summary_w").alias("sw"))
-    gathered = state.join(known.groupBy("build_id").agg(F.array_sort(F.collect_list(record)).alias("records")), "build_id", "left")
-    start = F.struct(
-        F.col("remaining").cast("long").alias("remaining"), F.col("error_code").alias("error_code"), F.col("error_block").alias("error_block"),
-        F.col("error_cause").alias("error_cause"), F.array().cast(_RESULT).alias("done"),
-    )
-    folded = gathered.select("build_id", F.aggregate(F.coalesce("records", F.array().cast(_record_type(gathered))), start, _serve).alias("end"))
-    folded = written(folded, "served")
-    results = folded.select("build_id", F.inline("end.done"))
-    fine = folded.filter("end.error_code IS NULL").select("build_id", F.inline("end.done"))
-    sizes = known.select("build_id", "block_ord", F.col("name").alias("block_name"), F.col("total").alias("tokens_in"), F.col("n").alias("n_in"), "summary")
-    served = results.join(sizes, BLOCK)
+    A build is never one row: what stays of a block is summed where ``need <= budget``, so a block of any size takes bounded memory.
+    """
+    summarizer = group[0][1].strategy if isinstance(group[0][1].strategy, Summarize) else None
+    at, summaries = state, None
+    if summarizer is not None:
+        summaries = written(_summaries(group[0], rows, state, counter), "summaries")
+        at = at.join(summaries.select("build_id", F.col("summary").isNotNull().alias("shortened"), "summary_w"), "build_id", "left")
+    for k, block in group:
+        at = _serve(at, rows, k, block)
+    results = F.filter(F.array(*[f"r{k}" for k, _ in group]), lambda r: r.isNotNull())
+    folded = written(at.select(*state.columns, results.alias("done")), "served")
+    names = F.element_at(F.create_map(*[F.lit(x) for k, b in group for x in (k, b.name)]), F.col("block_ord"))
+    figures = folded.select("build_id", F.inline("done")).select("build_id", "block_ord", names.alias("block_name"), "tokens_in", "budget", "used", "n_in", "n_kept")
+    fine = folded.filter("error_code IS NULL").select("build_id", F.inline("done")).select(*BLOCK, "budget", "mode", "used")
     kept = rows.join(fine.select(*BLOCK, "budget", "mode"), BLOCK).filter(
         (F.col("mode") == "all") | ((F.col("mode") == "trim") & (F.col("need") <= F.col("budget")))
     )
     kept = kept.select("build_id", "block_ord", "block_name", "pos", "message", "w")
-    if summarizer is not None:
-        short = fine.filter("mode = 'summary'").join(sizes, BLOCK).select(
-            "build_id", "block_ord", "block_name", F.lit(0).cast("long").alias("pos"), "summary", F.col("used").alias("w")
+    if summaries is not None:
+        short = fine.filter("mode = 'summary'").join(summaries, "build_id")
+        kept = kept.unionByName(
+            short.select(*BLOCK, F.lit(group[0][1].name).alias("block_name"), F.lit(0).cast("long").alias("pos"), F.col("summary").alias("message"), F.col("used").alias("w"))
         )
-        kept = kept.unionByName(short.withColumnRenamed("summary", "message"))
-    figures = served.select("build_id", "block_ord", "block_name", "tokens_in", "budget", "used", "n_in", "n_kept")
-    after = folded.select("build_id", F.col("end.remaining").alias("remaining"), F.col("end.error_code").alias("error_code"), F.col("end.error_block").alias("error_block"), F.col("end.error_cause").alias("error_cause"))
-    return kept, figures, after
-
-
-def _record_type(frame: DataFrame) -> T.DataType:
-    return frame.schema["records"].dataType
-
-
-def _serve(at: Column, block: Column) -> Column:
-    """One step of the fold: what a block gets and leaves."""
-    budget = F.when((block["cap"] > 0) & (block["cap"] < at["remaining"]), block["cap"]).otherwise(at["remaining"])
-    fits = block["total"] <= budget
-    staying = F.filter(block["needs"], lambda x: x["need"] <= budget)
-    trimmed = F.aggregate(staying, F.lit(0).cast("long"), lambda held, x: held + x["w"])
-    enough = (F.size(staying) > 0) & (F.size(staying) >= block["least"])
-    short = block["sw"].isNotNull() & (block["sw"] <= budget)
-    mode = (
-        F.when(at["error_code"].isNotNull(), "none")
-        .when(block["bare"] | block["bad"], "none")
-        .when(fits, "all")
+    return kept, figures, folded.drop("done")
+
+
+def limit_of(block: Block) -> Column:
+    """A block's budget: what remains, or its own cap if that is less."""
+    return F.least(F.col("remaining"), F.lit(block.max_tokens).cast("long")) if block.max_tokens > 0 else F.col("remaining")
+
+
+def in_order() -> Column:
+    """A group's messages as an array, in their order."""
+    return F.transform(F.array_sort(F.collect_list(F.struct("pos", "message"))), lambda x: x["message"])
+
+
+def _summaries(entry: tuple[int, Block], rows: DataFrame, state: DataFrame, counter: TokenCounter) -> DataFrame:
+    """The summary of every overfull block; the summarizer sees no other."""
+    block = entry[1]
+    due = state.filter("error_code IS NULL").select("build_id", limit_of(block).alias("limit"))
+    lists = rows.join(due, "build_id").groupBy("build_id").agg(
+        F.max("total").alias("total"), F.max("limit").alias("limit"), F.max(_bad(F.col("w"))).alias("bad"), in_order().alias("list")
+    )
+    made = lists.filter("NOT bad AND total > limit").select("build_id", block.strategy.summarizer(F.col("list")).cast(MESSAGE).alias("summary"))
+    return made.withColumn("summary_w", F.when(F.col("summary").isNotNull(), counter.weight(F.col("summary"))))
+
+
+def _serve(state: DataFrame, rows: DataFrame, k: int, block: Block) -> DataFrame:
+    """``state`` after one more block, with what the block got as ``r<k>`` (null if it has no messages or comes after an error)."""
+    own = rows.filter(F.col("block_ord") == k).select("build_id", "w", "total", "need", F.lit(True).alias("here"))
+    held = state.withColumn("budget", limit_of(block))
+    # All of the state's columns depend on the build: as keys they stay where the join put them.
+    stays = F.col("need") <= F.col("budget")
+    sums = held.join(own, "build_id", "left").groupBy(*held.columns).agg(
+        F.count("here").alias("n_in"),
+        F.max("total").alias("tokens_in"),
+        F.coalesce(F.max(F.col("here") & _bad(F.col("w"))), F.lit(False)).alias("bad"),
+        F.count(F.when(stays, 1)).alias("n_stay"),
+        F.coalesce(F.sum(F.when(stays, F.col("w"))), F.lit(0)).cast("long").alias("w_stay"),
+    )
+    bare, strategy, zero = block.strategy is None, block.strategy, F.lit(0).cast("long")
+    served = F.col("error_code").isNull() & (F.col("n_in") > 0)
+    short = F.lit(False)
+    if "shortened" in state.columns:
+        bad_summary = F.coalesce(F.col("shortened"), F.lit(False)) & _bad(F.col("summary_w"))
+        sums = sums.withColumn("bad", F.col("bad") | bad_summary)
+        short = F.coalesce(F.col("shortened") & (F.col("summary_w") <= F.col("budget")), F.lit(False))
+    enough = (F.col("n_stay") > 0) & (F.col("n_stay") >= (0 if bare else strategy.min_messages))
+    judged = sums.withColumn(
+        "mode",
+        F.when(~served | F.lit(bare) | F.col("bad"), "none")
+        .when(F.col("tokens_in") <= F.col("budget"), "all")
         .when(short, "summary")
         .when(enough, "trim")
-        .otherwise("none")
+        .otherwise("none"),
     )
-    used = F.when(mode == "all", block["total"]).when(mode == "summary", block["sw"]).when(mode == "trim", trimmed).otherwise(F.lit(0).cast("long"))
-    kept = F.when(mode == "all", block["n"]).when(mode == "summary", F.lit(1).cast("long")).when(mode == "trim", F.size(staying).cast("long")).otherwise(F.lit(0).cast("long"))
-    failure = F.when(block["bad"] & ~block["bare"], "TOKEN_COUNT_FAILED").otherwise(block["failure"])
-    failed = at["error_code"].isNull() & (mode == "none") & failure.isNotNull()
-    result = F.struct(
-        block["block_ord"].alias("block_ord"), budget.cast("long").alias("budget"), used.cast("long").alias("used"), kept.cast("long").alias("n_kept"), mode.alias("mode")
-    )
-    return F.struct(
-        (at["remaining"] - used).cast("long").alias("remaining"),
-        F.when(failed, failure).otherwise(at["error_code"]).alias("error_code"),
-        F.when(failed, block["name"]).otherwise(at["error_block"]).alias("error_block"),
-        at["error_cause"].alias("error_cause"),
-        F.when(at["error_code"].isNull(), F.concat(at["done"], F.array(result))).otherwise(at["done"]).alias("done"),
+    mode = F.col("mode")
+    used = F.when(mode == "all", F.col("tokens_in")).when(mode == "trim", F.col("w_stay"))
+    n_kept = F.when(mode == "all", F.col("n_in")).when(mode == "trim", F.col("n_stay")).when(mode == "summary", F.lit(1).cast("long"))
+    if "shortened" in state.columns:
+        used = used.when(mode == "summary", F.col("summary_w"))
+    on_empty = F.lit("NIL_STRATEGY" if bare else strategy.on_empty).cast("string")
+    failure = on_empty if bare else F.when(F.col("bad"), "TOKEN_COUNT_FAILED").otherwise(on_empty)
+    failed = served & (mode == "none") & failure.isNotNull()
+    spent = judged.withColumns({"used": used.otherwise(zero).cast("long"), "n_kept": n_kept.otherwise(zero).cast("long")})
+    result = F.struct(F.lit(k).alias("block_ord"), "tokens_in", "budget", "used", "n_in", "n_kept", "mode")
+    return spent.select(
+        "build_id",
+        (F.col("remaining") - F.col("used")).cast("long").alias("remaining"),
+        F.when(failed, failure).otherwise(F.col("error_code")).alias("error_code"),
+        F.when(failed, F.lit(block.name)).otherwise(F.col("error_block")).alias("error_block"),
+        "error_cause",
+        *[c for c in state.columns if c.startswith("r") and c[1:].isdigit()],
+        F.when(served, result).alias(f"r{k}"),
     )
 
 
