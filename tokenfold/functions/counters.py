@@ -1,4 +1,4 @@
-"""Token counters: a counter is an additive weight of one message, as a Column."""
+"""Token counters: an additive weight of one message, as a Column; or besides it a count of a whole list."""
 
 from __future__ import annotations
 
@@ -20,6 +20,26 @@ class TokenCounter(Protocol):
         """Tokens of a message, a non-negative long; a pandas UDF will do."""
 
 
+class ListCounter(Protocol):
+    """A counter whose tokens of a list need not be the sum of its messages'.
+
+    A build under it counts every block, everything that stays, and the final messages as lists; drop-head
+    goes by the weights, and what it leaves is counted again. ``grows = False`` says that a longer
+    list may have fewer tokens.
+    """
+
+    def weight(self, message: Column) -> Column:
+        """Tokens of a message by itself."""
+
+    def count(self, messages: Column) -> Column:
+        """Tokens of an array of messages, a non-negative long; a pandas UDF will do."""
+
+
+def bad_count(tokens: Column) -> Column:
+    """A number of tokens that no counter may give."""
+    return tokens.isNull() | (tokens < 0)
+
+
 def _total(array: Column, each: Callable[[Column], Column]) -> Column:
     none = F.lit(0).cast("long")
     return F.coalesce(F.aggregate(array, none, lambda held, x: held + F.coalesce(each(x), none)), none)
@@ -73,3 +93,26 @@ class FixedCounter:
         return (
             F.lit(self.per_message) + size(message["Content"]) * self.per_part + size(message["ToolCalls"]) * self.per_call
         ).cast("long")
+
+
+@dataclass(frozen=True)
+class TurnCounter:
+    """The weights of ``each`` and so many tokens where the role differs from the message before; a list
+    that isn't empty has ``per_list`` besides. Counts grow with the list."""
+
+    each: TokenCounter
+    per_turn: int
+    per_list: int = 0
+
+    def weight(self, message: Column) -> Column:
+        return self.each.weight(message)
+
+    def count(self, messages: Column) -> Column:
+        start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(None).cast("string").alias("role"))
+
+        def add(held: Column, message: Column) -> Column:
+            turns = held["role"].isNotNull() & (held["role"] != F.coalesce(message["Role"], F.lit("")))
+            more = self.each.weight(message) + F.when(turns, self.per_turn).otherwise(0)
+            return F.struct((held["sum"] + more).cast("long").alias("sum"), F.coalesce(message["Role"], F.lit("")).alias("role"))
+
+        return F.aggregate(messages, start, add, lambda held: held["sum"]) + F.when(F.size(messages) > 0, self.per_list).otherwise(0)

@@ -16,10 +16,11 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tokenfold.errors import ContextError
-from tokenfold.functions.counters import TokenCounter
+from tokenfold.functions.counters import ListCounter, TokenCounter, bad_count
 from tokenfold.functions.messages import MESSAGE
 from tokenfold.operators.formatter import DefaultFormatter
-from tokenfold.operators.strategies import BLOCK, Custom, Strategy, Summarize
+from tokenfold.operators.prefixes import longest_prefix
+from tokenfold.operators.strategies import BLOCK, Custom, DropHead, DropTail, Strategy, Summarize
 from tokenfold.sources.shared import written
 
 
@@ -95,11 +96,14 @@ class Builder:
         ids = keys.select("build_id").distinct()
         state = ids.select("build_id", F.lit(self.max_tokens).cast("long").alias("remaining"), *_no_error())
         kept, figures = [], []
-        stages = _stages(self.blocks)
+        whole_lists = hasattr(counter, "count")
+        stages = [[entry] for entry in enumerate(self.blocks)] if whole_lists else _stages(self.blocks)
         for group in stages:
             # Written once: what follows reads the columns it needs, and the messages only where they are returned.
             rows = _weighed(group, ids, counter)
-            if isinstance(group[0][1].strategy, Custom):
+            if whole_lists:
+                out, made, state = _listed_stage(group[0], written(_needs(group, rows), "weighed"), state, counter)
+            elif isinstance(group[0][1].strategy, Custom):
                 out, made, state = _custom_stage(group[0], written(rows, "weighed"), state, counter)
             else:
                 out, made, state = _native_stage(group, written(_needs(group, rows), "weighed"), state, counter)
@@ -114,7 +118,10 @@ class Builder:
             alive = alive.join(state.filter("error_code IS NULL").select("build_id"), "build_id", "left_semi")
         formatted = self.formatter(alive)
         counted = formatted.withColumn("w", counter.weight(F.col("message")))
-        totals = counted.groupBy("build_id").agg(F.sum("w").alias("total"), F.max(_bad(F.col("w"))).alias("bad"))
+        if whole_lists:
+            totals = _list_totals(state, counted, counter)
+        else:
+            totals = counted.groupBy("build_id").agg(F.sum("w").alias("total"), F.max(bad_count(F.col("w"))).alias("bad"))
         total = F.coalesce("total", F.lit(0)).cast("long")
         fine = F.col("error_code").isNull()
         bad = F.coalesce("bad", F.lit(False)) | F.lit(cause is not None)
@@ -128,8 +135,11 @@ class Builder:
             F.when(fine & bad, F.lit(0).cast("long")).otherwise(total).alias("total_tokens"),
             F.when((fine & bad) | (F.col("error_code") == "TOKEN_COUNT_FAILED"), F.lit(cause)).otherwise(F.col("error_cause")).alias("error_cause"),
         )
+        if whole_lists:
+            within = totals.filter((F.col("total") <= self.max_tokens) & ~F.col("bad")).select("build_id")
+            return BuildFrames(counted.join(within, "build_id", "left_semi"), _union(figures) if figures else None, alive, status)
         build = Window.partitionBy("build_id")
-        checked = counted.withColumns({"_total": F.sum("w").over(build), "_bad": F.max(_bad(F.col("w"))).over(build)})
+        checked = counted.withColumns({"_total": F.sum("w").over(build), "_bad": F.max(bad_count(F.col("w"))).over(build)})
         messages = checked.filter((F.col("_total") <= self.max_tokens) & ~F.col("_bad")).drop("_total", "_bad")
         return BuildFrames(messages, _union(figures) if figures else None, alive, status)
 
@@ -149,11 +159,6 @@ _KEPT = [
 ]
 
 
-def _bad(w: Column) -> Column:
-    """A weight that no counter may give."""
-    return w.isNull() | (w < 0)
-
-
 class _NoCounter:
     """No message has a weight."""
 
@@ -263,7 +268,7 @@ def _summaries(entry: tuple[int, Block], rows: DataFrame, state: DataFrame, coun
     block = entry[1]
     due = state.filter("error_code IS NULL").select("build_id", limit_of(block).alias("limit"))
     lists = rows.join(due, "build_id").groupBy("build_id").agg(
-        F.max("total").alias("total"), F.max("limit").alias("limit"), F.max(_bad(F.col("w"))).alias("bad"), in_order().alias("list")
+        F.max("total").alias("total"), F.max("limit").alias("limit"), F.max(bad_count(F.col("w"))).alias("bad"), in_order().alias("list")
     )
     made = lists.filter("NOT bad AND total > limit").select("build_id", block.strategy.summarizer(F.col("list")).cast(MESSAGE).alias("summary"))
     return made.withColumn("summary_w", F.when(F.col("summary").isNotNull(), counter.weight(F.col("summary"))))
@@ -278,7 +283,7 @@ def _serve(state: DataFrame, rows: DataFrame, k: int, block: Block) -> DataFrame
     sums = held.join(own, "build_id", "left").groupBy(*held.columns).agg(
         F.count("here").alias("n_in"),
         F.max("total").alias("tokens_in"),
-        F.coalesce(F.max(F.col("here") & _bad(F.col("w"))), F.lit(False)).alias("bad"),
+        F.coalesce(F.max(F.col("here") & bad_count(F.col("w"))), F.lit(False)).alias("bad"),
         F.count(F.when(stays, 1)).alias("n_stay"),
         F.coalesce(F.sum(F.when(stays, F.col("w"))), F.lit(0)).cast("long").alias("w_stay"),
     )
@@ -286,7 +291,7 @@ def _serve(state: DataFrame, rows: DataFrame, k: int, block: Block) -> DataFrame
     served = F.col("error_code").isNull() & (F.col("n_in") > 0)
     short = F.lit(False)
     if "shortened" in state.columns:
-        bad_summary = F.coalesce(F.col("shortened"), F.lit(False)) & _bad(F.col("summary_w"))
+        bad_summary = F.coalesce(F.col("shortened"), F.lit(False)) & bad_count(F.col("summary_w"))
         sums = sums.withColumn("bad", F.col("bad") | bad_summary)
         short = F.coalesce(F.col("shortened") & (F.col("summary_w") <= F.col("budget")), F.lit(False))
     enough = (F.col("n_stay") > 0) & (F.col("n_stay") >= (0 if bare else strategy.min_messages))
@@ -324,36 +329,17 @@ def _custom_stage(entry: tuple[int, Block], rows: DataFrame, state: DataFrame, c
     k, block = entry
     cap = block.max_tokens
     limit = F.least(F.col("remaining"), F.lit(cap)) if cap > 0 else F.col("remaining")
-    sums = rows.groupBy("build_id").agg(F.sum("w").alias("tokens_in"), F.count("*").alias("n_in"), F.max(_bad(F.col("w"))).alias("bad_in"))
+    sums = rows.groupBy("build_id").agg(F.sum("w").alias("tokens_in"), F.count("*").alias("n_in"), F.max(bad_count(F.col("w"))).alias("bad_in"))
     plan = state.join(sums, "build_id").withColumn("budget", limit).filter("error_code IS NULL")
     joined = rows.join(plan.filter("NOT bad_in").select("build_id", "tokens_in", "budget"), "build_id")
     fitting = joined.filter("tokens_in <= budget").select(*rows.columns, *[F.lit(None).cast("string").alias(n) for n in ("failure", "said")])
-    apply = block.strategy.apply
-
-    def trim(key, frame):
-        """The strategy's messages; if it raises, one row with the failure's code, type and text."""
-        import pandas as pd
-
-        ordered = frame.sort_values("pos")
-        try:
-            out = apply(ordered[["pos", "message", "w"]], int(ordered["tokens_in"].iloc[0]), int(ordered["budget"].iloc[0]))
-            out = out[["pos", "message"]].assign(failure=None, said=None)
-        except Exception as error:
-            code = error.code if isinstance(error, ContextError) else "STRATEGY_FAILED"
-            out = pd.DataFrame({"pos": [0], "message": [None], "failure": [code], "said": [f"{type(error).__name__}: {error}"]})
-        out.insert(0, "build_id", key[0])
-        return out
-
-    schema = T.StructType(
-        [rows.schema["build_id"], T.StructField("pos", T.LongType()), T.StructField("message", MESSAGE), T.StructField("failure", T.StringType()), T.StructField("said", T.StringType())]
-    )
-    trimmed = joined.filter("tokens_in > budget").groupBy("build_id").applyInPandas(trim, schema)
+    trimmed = _applied(block.strategy, joined.filter("tokens_in > budget"))
     weight = F.when(F.col("failure").isNull(), counter.weight(F.col("message"))).alias("w")
     again = trimmed.select("build_id", F.lit(k).alias("block_ord"), F.lit(block.name).alias("block_name"), "pos", "message", weight, "failure", "said")
     out = fitting.unionByName(again)
     used = out.groupBy("build_id").agg(
         F.sum("w").alias("used"), F.count("*").alias("n_kept"), F.max("failure").alias("failure"), F.max("said").alias("said"),
-        F.max(F.col("failure").isNull() & _bad(F.col("w"))).alias("bad_out"),
+        F.max(F.col("failure").isNull() & bad_count(F.col("w"))).alias("bad_out"),
     )
     done = plan.join(used, "build_id", "left").withColumn("used", F.coalesce("used", F.lit(0).cast("long")))
     code = (
@@ -377,3 +363,111 @@ def _custom_stage(entry: tuple[int, Block], rows: DataFrame, state: DataFrame, c
     )
     after = written(after, "served")
     return out.filter("failure IS NULL").drop("failure", "said"), figures, after
+
+
+def _applied(strategy: Custom, overfull: DataFrame) -> DataFrame:
+    """What a strategy in Python makes of overfull blocks: build_id, pos, message, failure, said."""
+    apply = strategy.apply
+
+    def trim(key, frame):
+        """The strategy's messages; if it raises, one row with the failure's code, type and text."""
+        import pandas as pd
+
+        ordered = frame.sort_values("pos")
+        try:
+            out = apply(ordered[["pos", "message", "w"]], int(ordered["tokens_in"].iloc[0]), int(ordered["budget"].iloc[0]))
+            out = out[["pos", "message"]].assign(failure=None, said=None)
+        except Exception as error:
+            code = error.code if isinstance(error, ContextError) else "STRATEGY_FAILED"
+            out = pd.DataFrame({"pos": [0], "message": [None], "failure": [code], "said": [f"{type(error).__name__}: {error}"]})
+        out.insert(0, "build_id", key[0])
+        return out
+
+    schema = T.StructType(
+        [overfull.schema["build_id"], T.StructField("pos", T.LongType()), T.StructField("message", MESSAGE), T.StructField("failure", T.StringType()), T.StructField("said", T.StringType())]
+    )
+    return overfull.groupBy("build_id").applyInPandas(trim, schema)
+
+
+def _list_totals(state: DataFrame, counted: DataFrame, counter: ListCounter) -> DataFrame:
+    """(build_id, total, bad) of the final messages, counted as one list a build; a build without any has the count of an empty list."""
+    order = ["ordinal"] if "ordinal" in counted.columns else ["block_ord", "pos"]
+    lists = counted.groupBy("build_id").agg(F.array_sort(F.collect_list(F.struct(*order, "message"))).alias("rows"))
+    fine = state.filter("error_code IS NULL").select("build_id").join(lists, "build_id", "left")
+    messages = F.coalesce(F.transform("rows", lambda x: x["message"]), F.array().cast(T.ArrayType(MESSAGE)))
+    totals = fine.select("build_id", messages.alias("list")).withColumn("total", counter.count(F.col("list")))
+    return written(totals.select("build_id", F.col("total").cast("long").alias("total"), bad_count(F.col("total")).alias("bad")), "totals")
+
+
+def _listed_stage(entry: tuple[int, Block], rows: DataFrame, state: DataFrame, counter: ListCounter) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A block under a counter of whole lists. A block's messages are one array where it is counted, as the counter takes them so."""
+    k, block = entry
+    strategy = block.strategy
+    due = state.filter("error_code IS NULL").select("build_id", limit_of(block).alias("budget"))
+    lists = rows.groupBy("build_id").agg(F.count("*").alias("n_in"), F.max(bad_count(F.col("w"))).alias("bad_w"), in_order().alias("list"))
+    if strategy is None:
+        sized = lists.withColumn("tokens_in", F.lit(0).cast("long"))
+    else:
+        sized = lists.withColumn("tokens_in", counter.count(F.col("list")).cast("long"))
+    sized = written(due.join(sized, "build_id").drop("list"), "sized")
+    over = sized.filter("tokens_in > budget" if strategy is not None else "false")
+    overfull = rows.join(over.filter("NOT bad_w" if isinstance(strategy, DropHead) else "true").select("build_id", "tokens_in", "budget"), "build_id")
+    none = F.lit(None).cast("string")
+    if isinstance(strategy, Custom):
+        trimmed = _applied(strategy, overfull)
+    elif isinstance(strategy, Summarize):
+        made = overfull.groupBy("build_id").agg(F.max("budget").alias("budget"), in_order().alias("list"))
+        made = written(made.select("build_id", "budget", strategy.summarizer(F.col("list")).cast(MESSAGE).alias("message")).filter("message IS NOT NULL"), "summaries")
+        sure = made.withColumn("got", counter.count(F.array("message")))
+        failure = F.when(bad_count(F.col("got")), "TOKEN_COUNT_FAILED")
+        short = sure.select("build_id", F.lit(0).cast("long").alias("pos"), "message", failure.alias("failure"), none.alias("said"), "got", "budget")
+        trimmed = short.filter("failure IS NOT NULL OR got <= budget").drop("got", "budget")
+    elif isinstance(strategy, DropTail):
+        longest = over.agg(F.max("n_in")).first()[0] or 0
+        whole = overfull.groupBy("build_id").agg(F.max("budget").alias("budget"), in_order().alias("list"))
+        found = longest_prefix(whole, counter, longest)
+        place = F.row_number().over(Window.partitionBy("build_id").orderBy("pos", "message"))
+        failure = F.when(F.col("failed"), "TOKEN_COUNT_FAILED")
+        numbered = overfull.withColumn("place", place).join(found, "build_id")
+        trimmed = numbered.filter("failed OR place <= n_stay").select("build_id", "pos", "message", failure.alias("failure"), none.alias("said"))
+    else:
+        trimmed = overfull.filter("need <= budget").select("build_id", "pos", "message", none.alias("failure"), none.alias("said"))
+    trimmed = written(trimmed, "trimmed")
+    left = trimmed.groupBy("build_id").agg(F.count("*").alias("n_left"), F.max("failure").alias("failure"), F.max("said").alias("said"), in_order().alias("list"))
+    least = max(1, strategy.min_messages) if strategy is not None else 1
+    left = left.withColumn("got", F.when(F.col("failure").isNull(), counter.count(F.col("list"))).cast("long")).drop("list")
+    fits, stays = F.col("tokens_in") <= F.col("budget"), F.coalesce("n_left", F.lit(0)) >= least
+    code = (
+        F.when(F.lit(strategy is None), "NIL_STRATEGY")
+        .when(bad_count(F.col("tokens_in")), "TOKEN_COUNT_FAILED")
+        .when(fits, none)
+        .when(F.col("bad_w") & F.lit(isinstance(strategy, DropHead)), "TOKEN_COUNT_FAILED")
+        .when(F.col("failure").isNotNull(), F.col("failure"))
+        .when(~stays, F.lit(None if strategy is None else strategy.on_empty).cast("string"))
+        .when(bad_count(F.col("got")), "TOKEN_COUNT_FAILED")
+        .when(F.col("got") > F.col("budget"), "STRATEGY_EXCEEDED_BUDGET")
+    )
+    zero = F.lit(0).cast("long")
+    judged = sized.join(left, "build_id", "left").withColumns({"code": code, "fits": fits, "trims": ~fits & stays})
+    fine = F.col("code").isNull()
+    judged = written(
+        judged.select(
+            "build_id", "tokens_in", "budget", "n_in", "code", "said", "fits", "trims",
+            F.when(fine & F.col("fits"), F.col("tokens_in")).when(fine & F.col("trims"), F.col("got")).otherwise(zero).alias("used"),
+            F.when(fine & F.col("fits"), F.col("n_in")).when(fine & F.col("trims"), F.col("n_left")).otherwise(zero).alias("n_kept"),
+        ), "judged",
+    )
+    named = [F.lit(k).alias("block_ord"), F.lit(block.name).alias("block_name")]
+    going = judged.filter("code IS NULL")
+    out = rows.join(going.filter("fits").select("build_id"), "build_id", "left_semi").select("build_id", *named, "pos", "message", "w").unionByName(
+        trimmed.join(going.filter("trims").select("build_id"), "build_id", "left_semi").select("build_id", *named, "pos", "message", counter.weight(F.col("message")).alias("w"))
+    )
+    figures = judged.select("build_id", *named, "tokens_in", "budget", "used", "n_in", "n_kept")
+    after = state.join(judged.select("build_id", "used", "code", "said"), "build_id", "left").select(
+        "build_id",
+        (F.col("remaining") - F.coalesce("used", zero)).alias("remaining"),
+        F.coalesce("error_code", "code").alias("error_code"),
+        F.when(F.col("error_code").isNull() & F.col("code").isNotNull(), block.name).otherwise(F.col("error_block")).alias("error_block"),
+        F.coalesce("error_cause", F.when(F.col("error_code").isNull(), F.col("said"))).alias("error_cause"),
+    )
+    return out, figures, written(after, "served")

@@ -82,6 +82,16 @@ g AS (SELECT l.build_id, last, (l.build_id % 5 <> 0) AS has_new, count(s.pos) AS
   coalesce(sum(CASE WHEN suf <= 397 THEN 1 ELSE 0 END), 0) AS kept FROM l LEFT JOIN s USING (build_id) GROUP BY ALL),
 a AS (SELECT *, CASE WHEN n = kept THEN CASE WHEN has_new THEN 'append' ELSE 'noop' END WHEN kept = 0 THEN 'save_empty' ELSE 'save' END AS action FROM g)"""
 
+_LISTS = f"""{_T}, f AS (SELECT *, CASE WHEN coalesce(role, '') <> lag(coalesce(role, '')) OVER (PARTITION BY build_id ORDER BY pos) THEN 4 ELSE 0 END AS turn FROM t),
+s AS (SELECT *, 3 + sum(w + turn) OVER (PARTITION BY build_id ORDER BY pos) AS pre, 3 + sum(w + turn) OVER (PARTITION BY build_id) AS total,
+  sum(w) OVER (PARTITION BY build_id ORDER BY pos DESC) AS suf FROM f)"""
+
+#: A talk's messages at every 2^h-th place, for the smallest h under which they fit.
+_HALVED = f"""WITH {_T}, r AS (SELECT *, row_number() OVER (PARTITION BY build_id ORDER BY pos) - 1 AS place FROM t),
+h AS (SELECT r.*, x.h FROM r, (SELECT unnest(range(0, 40)) AS h) x WHERE place % (1::BIGINT << x.h) = 0),
+n AS (SELECT build_id, h FROM h GROUP BY 1, 2 HAVING sum(w) <= 300), m AS (SELECT build_id, min(h) AS h FROM n GROUP BY 1)
+SELECT build_id, pos, w::BIGINT AS w FROM h JOIN m USING (build_id, h)"""
+
 ORACLES = {
     "q01_char_weights": f"WITH {_T} SELECT build_id, pos, w::BIGINT AS w FROM t",
     "q02_fixed_totals": "SELECT conv_id AS build_id, sum(12 + CASE WHEN turn % 4 = 2 THEN 5 ELSE 0 END)::BIGINT AS total, count(*)::BIGINT AS n FROM conversations GROUP BY 1",
@@ -163,4 +173,13 @@ SELECT build_id, action, CASE WHEN crossed THEN 2 ELSE 1 END AS rounds,
 x AS (SELECT * FROM s WHERE suf <= 300)
 SELECT build_id, count(*)::BIGINT AS n_before, count(*) FILTER (role <> 'system')::BIGINT AS n_after,
   sum(w) FILTER (role <> 'system')::BIGINT AS tokens FROM x GROUP BY 1 HAVING count(*) FILTER (role <> 'system') > 0""",
+    "q33_list_tail": f"WITH {_LISTS} SELECT build_id, pos, w::BIGINT AS w FROM s WHERE total <= 300 OR pre <= 300",
+    "q34_list_head": f"""WITH {_LISTS}, k AS (SELECT * FROM s WHERE total <= 300 OR suf <= 300),
+a AS (SELECT build_id, count(*) AS n, 3 + sum(w + turn) - arg_min(turn, pos) AS used FROM k GROUP BY 1),
+b AS (SELECT build_id, max(total) AS total FROM s GROUP BY 1),
+z AS (SELECT b.*, coalesce(n, 0) AS n, coalesce(used, 0) AS used, coalesce(used, 0) > 300 AS over FROM b LEFT JOIN a USING (build_id))
+SELECT build_id, CASE WHEN over THEN 'STRATEGY_EXCEEDED_BUDGET' ELSE '' END AS error_code, CASE WHEN over THEN 'talk' ELSE '' END AS error_block,
+  CASE WHEN over THEN 0 ELSE used END::BIGINT AS total_tokens, total::BIGINT AS tokens_in, CASE WHEN over THEN 0 ELSE used END::BIGINT AS used,
+  CASE WHEN over THEN 0 ELSE n END::BIGINT AS n_kept FROM z""",
+    "q35_own_strategy": _HALVED,
 }

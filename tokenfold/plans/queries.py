@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tokenfold.functions.counters import CharCounter, FixedCounter
+from tokenfold.functions.counters import CharCounter, FixedCounter, TurnCounter
 from tokenfold.functions.codecs import BASE64, JSON, unpack
 from tokenfold.functions.messages import (
     all_text,
@@ -28,7 +28,7 @@ from tokenfold.functions.messages import (
 )
 from tokenfold.operators.builder import Builder, BuildFrames
 from tokenfold.operators.formatter import DefaultFormatter, with_layers
-from tokenfold.operators.strategies import Custom, Drop, DropHead, DropTail, Strict, Summarize
+from tokenfold.operators.strategies import Custom, Drop, DropHead, DropTail, Strict, Summarize, wrapped
 from tokenfold.operators.thread import sync, sync_all, write_ops
 from tokenfold.sources import chains
 from tokenfold.sources.compacted import CompactedHistoryStore
@@ -397,5 +397,36 @@ def q32_compacted_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heads.join(counts, "thread_id", "left").select("thread_id", "version", F.coalesce("n_messages", F.lit(0)).cast("long").alias("n_messages"))
 
 
+def q33_list_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drop-tail under a counter of whole lists, whose changes of role cost tokens of their own."""
+    talk = _talk(spark, sf_dir)
+    return _kept(Builder(LIMIT, TurnCounter(CHARS, 4, 3)).add_block("talk", DropTail(), talk).build(talk))
+
+
+def q34_list_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drop-head goes by weights; where what it leaves has too many tokens as a list, the build fails."""
+    talk = _talk(spark, sf_dir)
+    made = Builder(LIMIT, TurnCounter(CHARS, 4, 3)).add_block("talk", DropHead(), talk).build(talk)
+    return _status(made).join(made.blocks.select("build_id", "tokens_in", "used", "n_kept"), "build_id")
+
+
+def q35_own_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A strategy in Python that keeps every other message, inside a layer that goes on halving until what stays fits."""
+    talk = _talk(spark, sf_dir)
+
+    def every_other(rows, tokens, limit):
+        return rows.iloc[::2]
+
+    def until_it_fits(inner):
+        def apply(rows, tokens, limit):
+            while len(rows) and rows["w"].sum() > limit:
+                rows = inner(rows, tokens, limit) if len(rows) > 1 else rows.iloc[:0]
+            return rows
+
+        return apply
+
+    return _kept(_build(talk, wrapped(Custom(every_other), until_it_fits)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "q" and name[1:3].isdigit()}
