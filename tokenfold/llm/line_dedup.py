@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tokenfold.llm import sets
 from tokenfold.llm.common import Scratch, written
 
 #: Similarity from which a later line goes, as numerator and denominator.
@@ -42,10 +43,6 @@ MIN_WORDS = 5
 #: As ``min_words``: every line that isn't blank is compared.
 NON_BLANK = 1
 
-#: Counters of the words' frequencies, 8 bytes each. Words share counters; any total order of words
-#: gives the same result, so this number only decides how selective the prefixes are.
-COUNTERS = 1 << 21
-
 #: Flags by which most rows that a small table cannot have are told before a join.
 FLAGS = 1 << 20
 
@@ -61,9 +58,6 @@ HOT_SHARE = 1000
 #: Turns word hashes into other ones, whose smallest and largest are other words.
 OTHER_HASHES = 0x5A5A5A5A5A5A5
 
-_HASH_BITS = 52
-_CHUNK = 4096
-
 PLACE = ["doc_id", "line_no", "mark"]
 
 
@@ -83,33 +77,8 @@ def _words(line: Column) -> Column:
     return F.split(F.lower(spaced), " ")
 
 
-def _hash(word: Column) -> Column:
-    return F.xxhash64(word).bitwiseAND(F.lit((1 << _HASH_BITS) - 1))
-
-
-def _slot(value: Column, size: int) -> Column:
-    """``size`` is a power of two."""
-    return value.bitwiseAND(F.lit(size - 1)).cast("int")
-
-
-def _array_of_counts(values: DataFrame, size: int, of: Callable[[Column], Column] = lambda n: n.cast("int")) -> Column:
-    """One array of ``size`` entries, made of the counts of the slots of the column ``value``, as a scalar for any plan.
-
-    It is put together from chunks, and what the driver and each task hold is ``size`` numbers.
-    """
-    spark = values.sparkSession
-    counted = values.groupBy(_slot(F.col("value"), size).alias("at")).agg(F.count("*").alias("n"))
-    every = spark.range(size).select(F.col("id").cast("int").alias("at"), F.lit(0).cast("long").alias("n"))
-    chunk = F.floor(F.col("at") / _CHUNK).cast("int")
-    filled = counted.unionByName(every).groupBy("at").agg(F.sum("n").alias("n")).withColumn("chunk", chunk)
-    chunks = filled.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("held"))
-    plain = chunks.select("chunk", F.transform("held", lambda x: of(x["n"])).alias("held"))
-    one = plain.agg(F.array_sort(F.collect_list(F.struct("chunk", "held"))).alias("all"))
-    return written(one.select(F.flatten(F.transform("all", lambda x: x["held"])).alias("counts")), "counts").scalar()
-
-
 def _flagged(flags: Column, value: Column) -> Column:
-    return F.get(flags, _slot(value, FLAGS)) > 0
+    return F.get(flags, sets.slot(value, FLAGS)) > 0
 
 
 def _least_joined(similarity: tuple[int, int], min_words: int) -> int:
@@ -118,18 +87,6 @@ def _least_joined(similarity: tuple[int, int], min_words: int) -> int:
     return max(min_words, -(-top // (bottom - top))) if top < bottom else min_words
 
 
-def _prefix(n: Column, similarity: tuple[int, int]) -> Column:
-    """How many of a set's rarest words hold one of any set that matches it."""
-    top, bottom = similarity
-    return n - F.ceil(top * n / bottom) + 1
-
-
-def _short_prefix(n: Column, similarity: tuple[int, int]) -> Column:
-    """The same for sets that are no smaller: these have more words in common with it."""
-    top, bottom = similarity
-    return n - F.ceil(2 * top * n / (top + bottom)) + 1
-
-
 def _described(docs: DataFrame, similarity: tuple[int, int], min_words: int, counters: int) -> DataFrame:
     """Per line with enough words: its place, n, cls and parity of its set, its prefix, and two hashes of its extreme word hashes.
 
@@ -137,13 +94,13 @@ def _described(docs: DataFrame, similarity: tuple[int, int], min_words: int, cou
     small that only equal ones match have no prefix.
     """
     lines = _lines(docs)
-    words = docs.select(F.explode(_words(F.replace(_text(), F.lit("\n"), F.lit(" ")))).alias("word")).select(_hash(F.col("word")).alias("value"))
-    levels = _array_of_counts(words, counters, lambda n: F.shiftleft(F.floor(F.log2(n + F.lit(1.0)) * 60).cast("long"), _HASH_BITS))
-    hashes = F.transform(F.array_remove(_words(F.col("line")), ""), _hash)
-    sets = lines.select(*PLACE, F.array_distinct(hashes).alias("words"))
+    words = docs.select(F.explode(_words(F.replace(_text(), F.lit("\n"), F.lit(" ")))).alias("word")).select(sets.hashed(F.col("word")).alias("value"))
+    levels = sets.levels(words, counters)
+    hashes = F.transform(F.array_remove(_words(F.col("line")), ""), sets.hashed)
+    distinct = lines.select(*PLACE, F.array_distinct(hashes).alias("words"))
     # As a row of an exploded array, a set is not made anew for a filter that is pushed below it.
     chosen = F.when(F.size("words") >= min_words, F.array("words"))
-    exploded = sets.select(*PLACE, F.explode(chosen).alias("words"))
+    exploded = distinct.select(*PLACE, F.explode(chosen).alias("words"))
     other = F.transform("words", lambda w: w.bitwiseXOR(F.lit(OTHER_HASHES)))
     large = exploded.select(
         *PLACE, "words", F.size("words").alias("n"), F.xxhash64(F.array_min("words"), F.array_max("words")).alias("ends"),
@@ -151,25 +108,20 @@ def _described(docs: DataFrame, similarity: tuple[int, int], min_words: int, cou
     )
 
     def key(word: Column) -> Column:
-        return F.get(F.col("levels"), _slot(word, counters)).bitwiseOR(word)
+        return F.get(F.col("levels"), sets.slot(word, counters)).bitwiseOR(word)
 
     # The analyzer takes no scalar inside a lambda; the optimizer puts it there, as one use is left.
     held = large.withColumn("levels", levels)
     keyed = held.select(*PLACE, "n", "ends", "others", F.sort_array(F.transform("words", key)).alias("keys"))
-    parity = F.aggregate("keys", F.lit(0).cast("long"), lambda held, k: held.bitwiseXOR(_one_bit(k)))
+    parity = F.aggregate("keys", F.lit(0).cast("long"), lambda held, k: held.bitwiseXOR(sets.one_bit(k)))
     least = _least_joined(similarity, min_words)
-    length = F.when(F.col("n") >= least, _prefix(F.col("n"), similarity)).otherwise(0).cast("int")
+    length = F.when(F.col("n") >= least, sets.prefix(F.col("n"), similarity)).otherwise(0).cast("int")
     first = keyed.select(*PLACE, "n", "ends", "others", F.xxhash64("keys").alias("cls"), parity.alias("parity"), F.slice("keys", F.lit(1), length).alias("head"))
     alone = F.lit(60 + 1).cast("long")  # the level of a count of one is 60
-    kept = F.filter("head", lambda k: F.shiftright(k, _HASH_BITS) >= alone)
+    kept = F.filter("head", lambda k: F.shiftright(k, sets.HASH_BITS) >= alone)
     return first.withColumn("prefix", kept).withColumn("skipped", F.size("head") - F.size("prefix")).drop("head")
 
 
-def _one_bit(key: Column) -> Column:
-    """A long with one bit set, chosen by the word's hash."""
-    return F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(key, 11).bitwiseAND(F.lit(63)).cast("int"))
-
-
 def _near(a: Callable[[str], Column], b: Callable[[str], Column], similarity: tuple[int, int]) -> Column:
     """Sizes and parities (n, parity) differ by no more than those of matching sets."""
     top, bottom = similarity
@@ -228,7 +180,7 @@ def _joined(classes: DataFrame, similarity: tuple[int, int], flags: Column | Non
     shape = (F.col("n").cast("long") * (1 << 32)) + 2 * pos + F.col("open").cast("int")
     columns = ["parity", shape.alias("shape"), "doc_id", "id"]
     entries = words.select(F.hash("word").alias("key"), *columns)
-    short = words.filter(pos < _short_prefix(F.col("n"), similarity)).select(F.hash("word").alias("key"), *columns)
+    short = words.filter(pos < sets.short_prefix(F.col("n"), similarity)).select(F.hash("word").alias("key"), *columns)
     y = entries.select("key", *[F.col(c).alias(f"y_{c}") for c in entries.columns[1:]])
     x = short.select("key", *[F.col(c).alias(f"x_{c}") for c in entries.columns[1:]])
 
@@ -267,7 +219,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, similarity: tuple[int, int]) ->
     sides = ends.select("pair", *[F.col(f"place.{c}").alias(f"own_{c}") for c in PLACE])
     own = [F.col(f"own_{c}") for c in PLACE]
     marks = sides.select(F.explode(F.array(F.xxhash64(own[0], own[2]), F.xxhash64(*own))).alias("value"))
-    flags = _array_of_counts(marks, FLAGS)
+    flags = sets.array_of_counts(marks, FLAGS)
     some = _lines(docs.filter(_flagged(flags, F.xxhash64("doc_id", F.xxhash64(_text())))))
     found = some.filter(_flagged(flags, F.xxhash64(*PLACE))).groupBy(*PLACE).agg(F.first("line").alias("line"))
     met = sides.join(found, [F.col(c).eqNullSafe(F.col(f"own_{c}")) for c in PLACE])
@@ -307,7 +259,7 @@ def _settled(docs: DataFrame, classes: DataFrame, similarity: tuple[int, int], s
     again = scratch.written(guessed.join(settled, ["cls", "parity"], "left_anti").select("id", "prefix"), "again")
     if again.isEmpty():
         return settled
-    keys = _array_of_counts(again.select(F.explode("prefix").alias("word")).select(F.xxhash64("word").alias("value")), FLAGS)
+    keys = sets.array_of_counts(again.select(F.explode("prefix").alias("word")).select(F.xxhash64("word").alias("value")), FLAGS)
     reopened = guessed.join(again.select("id"), "id").withColumn("open", F.lit(True))
     others = guessed.join(again.select("id"), "id", "left_anti").unionByName(classes.filter("size(likely) = 0")).withColumn("open", F.lit(False))
     pairs = scratch.written(_joined(reopened.unionByName(others), similarity, keys), "pairs")
@@ -318,7 +270,7 @@ def removed_lines(
     docs: DataFrame,
     similarity: tuple[int, int] = SIMILARITY,
     min_words: int = MIN_WORDS,
-    counters: int = COUNTERS,
+    counters: int = sets.COUNTERS,
 ) -> DataFrame:
     """Per text with a line to remove: doc_id, mark (a hash of the text) and ``removed``, the line numbers.
 

@@ -19,7 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tokenfold.llm.common import SPACE_CLASS, releasing, written
+from tokenfold.llm import sets
+from tokenfold.llm.common import SPACE_CLASS, Scratch, releasing, written
 
 SHINGLE = 3
 BUDGET = 2
@@ -32,9 +33,12 @@ COPY_SHINGLE, SIMILARITY = 5, (4, 5)
 #: band with a chance of 1 - (1 - 0.8^5)^24, over 0.9999.
 BANDS, ROWS = 24, 5
 
-#: With which earlier texts of a band's bucket a text is compared: the first one, and those so many places before.
+#: With which earlier texts of a band's bucket a text is compared at first: the first one, and those so many places before.
 BEFORE = (1, 2, 3)
 
+#: Longs of a text's parities, by which most texts that share a shingle only are told apart.
+PARITIES = 8
+
 
 def _words(text: Column) -> Column:
     """The words of a text with A to Z lower-cased."""
@@ -217,13 +221,52 @@ def _similar(texts: DataFrame, pairs: DataFrame, size: int, similarity: tuple[in
     return pairs.join(a, "a").join(b, "b").filter(bottom * shared >= top * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b")
 
 
+def _across(texts: DataFrame, grouped: DataFrame, size: int, similarity: tuple[int, int], scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of ``texts`` of different groups that may match: every pair that does is among them.
+
+    A prefix join of the shingle sets, rare shingles first. ``grouped`` has node and group. A shingle
+    all of whose texts are of one group is left out, so that a group of copies gives no pairs.
+    """
+    top, bottom = similarity
+    own = F.coalesce(_shingles(size), F.array().cast("array<bigint>"))
+    hashed = texts.select("node", _words(F.col("text")).alias("words")).select("node", own.alias("hashes"))
+    levels = sets.levels(hashed.select(F.explode("hashes").alias("value")), sets.COUNTERS)
+    # As a row of an exploded array, a set is made once.
+    whole = hashed.select("node", F.explode(F.array(F.array_distinct(F.transform("hashes", lambda h: h.bitwiseAND(F.lit((1 << sets.HASH_BITS) - 1)))))).alias("items"))
+    held = whole.withColumn("levels", levels)
+    keyed = held.select(
+        "node", F.sort_array(F.transform("items", lambda x: F.get(F.col("levels"), sets.slot(x, sets.COUNTERS)).bitwiseOR(x))).alias("keys")
+    )
+    length = sets.prefix(F.size("keys"), similarity).cast("int")
+    first = keyed.select("node", F.size("keys").alias("n"), sets.parities(F.col("keys"), PARITIES).alias("parities"), F.slice("keys", F.lit(1), length).alias("prefix"))
+    rows = scratch.written(first.join(grouped, "node"), "prefixes")
+    entries = rows.select("node", "group", "n", "parities", F.posexplode("prefix").alias("pos", "key"))
+    spans = entries.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"))
+    mixed = scratch.written(spans.filter("low <> high").select("key"), "mixed")
+    some = scratch.written(entries.join(mixed, "key"), "entries")
+    y = some.select("key", *[F.col(c).alias(f"y_{c}") for c in some.columns[1:]])
+    x = some.filter(F.col("pos") < sets.short_prefix(F.col("n"), similarity)).select("key", *[F.col(c).alias(f"x_{c}") for c in some.columns[1:]])
+    smaller = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_node") < F.col("y_node")))
+    both = F.col("x_n") + F.col("y_n")
+    left = F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos"))
+    met = y.join(x, "key").filter(
+        (F.col("x_group") != F.col("y_group"))
+        & smaller
+        & (bottom * F.col("x_n") >= top * F.col("y_n"))
+        & ((top + bottom) * left >= top * both)
+        & ((top + bottom) * sets.differing(F.col("x_parities"), F.col("y_parities"), PARITIES) <= (bottom - top) * both)
+    )
+    return met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+
+
 def near_copies(docs: DataFrame, size: int = COPY_SHINGLE, similarity: tuple[int, int] = SIMILARITY, budget: int = BUDGET) -> DataFrame:
     """(doc_id, mark, component) per different text and id: mark is the text's hash, component the smallest (doc_id, mark) of its group.
 
-    Texts link if the Jaccard similarity of their shingle sets is at least ``similarity``. Candidates
-    are pairs of fingerprints within ``budget`` differing bits, and texts that share a band of
-    min-hashes; of a bucket of many texts not all pairs are made, but each text meets a few earlier ones.
-    Every link is verified on the whole sets. Rows without doc_id are left out.
+    Texts link if the Jaccard similarity of their shingle sets is at least ``similarity``. Likely pairs
+    come first: fingerprints within ``budget`` differing bits, and texts that share a band of min-hashes;
+    of a bucket of many texts each meets a few earlier ones. An exact join then finds every link between
+    texts that these left in different groups, so none is lost. Every link is verified on the whole sets.
+    Rows without doc_id are left out.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.filter("doc_id IS NOT NULL").select("doc_id", F.xxhash64(text).alias("mark"), text.alias("text"))
@@ -242,5 +285,14 @@ def near_copies(docs: DataFrame, size: int = COPY_SHINGLE, similarity: tuple[int
     banded = met.select(F.explode("earlier").alias("a"), F.col("node").alias("b")).filter("a < b")
     pairs = written(linked(classes, budget).unionByName(equal).unionByName(banded).distinct(), "pairs")
     found = components(_similar(texts, pairs, size, similarity))
-    named = texts.join(found, "node", "left").select(F.col("node.mark").alias("mark"), F.coalesce("component", "node").alias("component"))
+    grouped = written(texts.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "grouped")
+    with Scratch(docs.sparkSession) as scratch:
+        rest = written(_across(texts, grouped.select("node", F.xxhash64("component").alias("group")), size, similarity, scratch), "rest")
+    named = grouped.select(F.col("node.mark").alias("mark"), "component")
+    if not rest.isEmpty():
+        a, b = (grouped.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in "ab")
+        links = _similar(texts, rest, size, similarity).join(a, "a").join(b, "b")
+        merged = components(links.select(F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b")).distinct())
+        joined = named.join(merged.select(F.col("node").alias("component"), F.col("component").alias("merged")), "component", "left")
+        named = joined.select("mark", F.coalesce("merged", "component").alias("component"))
     return places.join(named, "mark").select("doc_id", "mark", "component")
