@@ -36,3 +36,21 @@ def test_thresholds(spark, similarity, min_words):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = line_dedup.removed_lines(docs, similarity=similarity, min_words=min_words).collect()
     assert {x.doc_id: list(x.removed) for x in found} == expected
+
+
+def test_long_lines_are_told_apart_before_they_are_read(spark, monkeypatch):
+    draw = random.Random(6)
+    words = [f"w{i}" for i in range(3000)]
+    lines = [draw.sample(words, 130) for _ in range(300)]
+    lines += [lines[k][:-5] for k in range(3)]
+    docs = spark.createDataFrame([(k, " ".join(line)) for k, line in enumerate(lines)], "doc_id long, text string")
+    read, verified = [], line_dedup._verified
+
+    def counted(docs, pairs, similarity):
+        read.append(pairs.count())
+        return verified(docs, pairs, similarity)
+
+    monkeypatch.setattr(line_dedup, "_verified", counted)
+    found = line_dedup.removed_lines(docs, counters=1 << 10).collect()
+    assert sorted(x.doc_id for x in found) == [300, 301, 302]
+    assert sum(read) <= 10, read

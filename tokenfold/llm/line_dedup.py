@@ -15,9 +15,9 @@ Groups of many variants of one line would still give every pair of the group. Th
 is first held against a few earlier ones of three families: those with the same smallest and largest
 word hash, once for the hashes as they are and once for other ones, and those with the same last two
 words of the prefix, since the words in which variants differ are mostly rarer. The nearest one of
-each family is a likely match, and a class with one is no later side of the join. Should none of its
-likely matches hold, a second, small join takes its turn. Of a class's candidates the nearest one is
-verified first, and all its others only if that one fails.
+each family is a likely match, which is verified at once; a class with one that holds is no later side of
+the join. Sets of more than 64 words have two
+parities, as one says little of them: pairs that share no more than a word would be candidates.
 
 A word's place in the order and 52 bits of its XXH64 hash are one integer. Sets count as equal if a
 64-bit hash of these integers and the 64-bit parity agree.
@@ -25,6 +25,7 @@ A word's place in the order and 52 bits of its XXH64 hash are one integer. Sets
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -55,6 +56,9 @@ PART_LINES = 2_000_000
 #: Classes with more than one of so many lines are joined to the lines by broadcast; they are fewer than this.
 HOT_SHARE = 1000
 
+#: Sets of more words have a second parity, of half of their words; 64 bits say little of them.
+LARGE = 64
+
 #: Turns word hashes into other ones, whose smallest and largest are other words.
 OTHER_HASHES = 0x5A5A5A5A5A5A5
 
@@ -77,6 +81,11 @@ def _words(line: Column) -> Column:
     return F.split(F.lower(spaced), " ")
 
 
+def _flags(values: DataFrame) -> Column:
+    """A flag per slot that a ``value`` falls into."""
+    return sets.array_of_counts(values, FLAGS, lambda n: (n > 0).cast("tinyint"))
+
+
 def _flagged(flags: Column, value: Column) -> Column:
     return F.get(flags, sets.slot(value, FLAGS)) > 0
 
@@ -107,91 +116,90 @@ def _described(docs: DataFrame, similarity: tuple[int, int], min_words: int, cou
         F.xxhash64(F.array_min(other), F.array_max(other)).alias("others"),
     )
 
-    def key(word: Column) -> Column:
-        return F.get(F.col("levels"), sets.slot(word, counters)).bitwiseOR(word)
-
     # The analyzer takes no scalar inside a lambda; the optimizer puts it there, as one use is left.
     held = large.withColumn("levels", levels)
-    keyed = held.select(*PLACE, "n", "ends", "others", F.sort_array(F.transform("words", key)).alias("keys"))
+    keyed = held.select(*PLACE, "n", "ends", "others", F.sort_array(F.transform("words", lambda w: sets.key(F.col("levels"), w, counters))).alias("keys"))
     parity = F.aggregate("keys", F.lit(0).cast("long"), lambda held, k: held.bitwiseXOR(sets.one_bit(k)))
+    one_half = F.filter("keys", lambda k: F.shiftright(k, 17).bitwiseAND(F.lit(1)) == 1)
+    half = F.when(F.col("n") > LARGE, F.aggregate(one_half, F.lit(0).cast("long"), lambda held, k: held.bitwiseXOR(sets.one_bit(k))))
     least = _least_joined(similarity, min_words)
     length = F.when(F.col("n") >= least, sets.prefix(F.col("n"), similarity)).otherwise(0).cast("int")
-    first = keyed.select(*PLACE, "n", "ends", "others", F.xxhash64("keys").alias("cls"), parity.alias("parity"), F.slice("keys", F.lit(1), length).alias("head"))
+    first = keyed.select(*PLACE, "n", "ends", "others", half.alias("half"), F.xxhash64("keys").alias("cls"), parity.alias("parity"), F.slice("keys", F.lit(1), length).alias("head"))
     alone = F.lit(60 + 1).cast("long")  # the level of a count of one is 60
     kept = F.filter("head", lambda k: F.shiftright(k, sets.HASH_BITS) >= alone)
     return first.withColumn("prefix", kept).withColumn("skipped", F.size("head") - F.size("prefix")).drop("head")
 
 
+def _differing(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+    """In how many bits the parities differ; if both sets are large, those of half of their words and those of the others."""
+    whole, half = (a(c).bitwiseXOR(b(c)) for c in ("parity", "half"))
+    return F.coalesce(F.bit_count(half) + F.bit_count(whole.bitwiseXOR(half)), F.bit_count(whole))
+
+
 def _near(a: Callable[[str], Column], b: Callable[[str], Column], similarity: tuple[int, int]) -> Column:
-    """Sizes and parities (n, parity) differ by no more than those of matching sets."""
+    """Sizes and parities (n, parity, half) differ by no more than those of matching sets."""
     top, bottom = similarity
-    differing = F.bit_count(a("parity").bitwiseXOR(b("parity")))
     return (
         (bottom * a("n") >= top * b("n"))
         & (bottom * b("n") >= top * a("n"))
-        & ((bottom + top) * differing <= (bottom - top) * (a("n") + b("n")))
+        & ((bottom + top) * _differing(a, b) <= (bottom - top) * (a("n") + b("n")))
     )
 
 
-def _classes(described: DataFrame, similarity: tuple[int, int], scratch: Scratch) -> DataFrame:
-    """Per class: cls, parity, n, skipped, prefix, ``first`` (the place of its first line), copies, a number ``id``, and ``likely``.
+def _classes(docs: DataFrame, described: DataFrame, similarity: tuple[int, int], scratch: Scratch) -> DataFrame:
+    """Per class: cls, parity, half, n, skipped, prefix, ``first`` (the place of its first line), copies, a number ``id``, and ``open``.
 
-    Those are earlier classes that pass the filters, with the bits in which they differ: of a few of each family, the nearest.
-    The families are dealt without the prefixes, and hardly any class has a likely match, so little of this is shuffled.
+    Open are those of which no likely match holds. Likely matches are earlier classes that pass the filters: of a few of each
+    family, the nearest. The families are dealt without the prefixes, and few classes have a likely match, so little is shuffled.
     """
-    same = [F.first(c).alias(c) for c in ("n", "ends", "others", "skipped", "prefix")]
+    same = [F.first(c).alias(c) for c in ("n", "ends", "others", "half", "skipped", "prefix")]
     grouped = described.groupBy("cls", "parity").agg(F.min(F.struct(*PLACE)).alias("first"), F.count("*").alias("copies"), *same)
     state = scratch.written(grouped.withColumn("id", F.monotonically_increasing_id()), "state")
     parts = 1 + described.count() // PART_LINES
     last = F.xxhash64(*[F.get("prefix", F.size("prefix") - k) for k in (1, 2)])
     # Sets without a prefix match equal ones only.
     some = state.filter("size(prefix) > 0").withColumn("part", F.pmod("cls", F.lit(parts)))
-    thin = some.select("id", "first", "parity", "n", "part", F.posexplode(F.array("ends", "others", last)).alias("family", "key"))
+    thin = some.select("cls", "first", "parity", "half", "n", "part", F.posexplode(F.array("ends", "others", last)).alias("family", "key"))
     order = Window.partitionBy("family", "key", "part").orderBy("first")
-    own = F.struct("first", "parity", "n")
+    own = F.struct("first", "parity", "half", "n")
     earlier = {"e0": F.first_value(own).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))}
     earlier |= {f"e{k}": F.lag(own, k).over(order) for k in BEFORE}
-    met = [
-        F.when(
-            (F.col(f"{e}.first") < F.col("first")) & _near(F.col, lambda c, e=e: F.col(f"{e}.{c}"), similarity),
-            F.struct(F.bit_count(F.col("parity").bitwiseXOR(F.col(f"{e}.parity"))).alias("differing"), F.col(f"{e}.first")),
-        )
-        for e in earlier
-    ]
-    found = thin.withColumns(earlier).select("id", F.least(*met).alias("likely")).filter("likely IS NOT NULL")
-    likely = scratch.written(found.groupBy("id").agg(F.collect_set("likely").alias("likely")), "likely")
-    none = F.array().cast(likely.schema["likely"].dataType)
-    held = state.select("cls", "parity", "n", "skipped", "prefix", "first", "copies", "id").join(likely, "id", "left")
-    return held.withColumn("likely", F.coalesce("likely", none))
-
-
-def _joined(classes: DataFrame, similarity: tuple[int, int], flags: Column | None = None) -> DataFrame:
-    """Pairs of classes that pass the filters, of which the later one, b, is ``open``: first_a, first_b, cls and parity of b, differing.
-
-    With ``flags`` only words that open classes have in their prefix are looked at. Words meet by 32
-    bits, and an entry holds n, pos and open in one number, as these rows are most of what is shuffled.
+    met = []
+    for e in earlier:
+        other = functools.partial(lambda e, c: F.col(f"{e}.{c}"), e)
+        near = (other("first") < F.col("first")) & _near(F.col, other, similarity)
+        met.append(F.when(near, F.struct(_differing(F.col, other).alias("differing"), other("first"))))
+    found = thin.withColumns(earlier).select(F.least(*met)["first"].alias("first_a"), F.col("first").alias("first_b"), "cls", "parity")
+    likely = scratch.written(found.filter("first_a IS NOT NULL").distinct(), "likely")
+    sure = scratch.written(_verified(docs, likely, similarity).withColumn("open", F.lit(False)), "sure")
+    held = state.select("cls", "parity", "half", "n", "skipped", "prefix", "first", "copies", "id").join(sure, ["cls", "parity"], "left")
+    return held.withColumn("open", F.coalesce("open", F.lit(True)))
+
+
+def _joined(classes: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Pairs of classes that pass the filters, of which the later one, b, is ``open``: first_a, first_b, cls and parity of b.
+
+    Words meet by 32 bits, and an entry holds n, pos and open in one number, as these rows are most of what is shuffled.
     """
     top, bottom = similarity
     some = classes.filter("size(prefix) > 0")
-    words = some.select("id", "parity", "n", "skipped", "open", "first.doc_id", F.posexplode("prefix").alias("i", "word"))
-    if flags is not None:
-        words = words.filter(_flagged(flags, F.xxhash64("word")))
+    words = some.select("id", "parity", "half", "n", "skipped", "open", "first.doc_id", F.posexplode("prefix").alias("i", "word"))
     pos = F.col("i") + F.col("skipped")
     shape = (F.col("n").cast("long") * (1 << 32)) + 2 * pos + F.col("open").cast("int")
-    columns = ["parity", shape.alias("shape"), "doc_id", "id"]
+    columns = ["parity", "half", shape.alias("shape"), "doc_id", "id"]
     entries = words.select(F.hash("word").alias("key"), *columns)
-    short = words.filter(pos < sets.short_prefix(F.col("n"), similarity)).select(F.hash("word").alias("key"), *columns)
-    y = entries.select("key", *[F.col(c).alias(f"y_{c}") for c in entries.columns[1:]])
-    x = short.select("key", *[F.col(c).alias(f"x_{c}") for c in entries.columns[1:]])
+    x, y = (entries.select("key", *[F.col(c).alias(f"{side}_{c}") for c in entries.columns[1:]]) for side in "xy")
 
     def of(side: str) -> dict[str, Column]:
         held = F.col(f"{side}_shape")
         low = held.bitwiseAND(F.lit((1 << 32) - 1))
-        return {"n": F.shiftright(held, 32), "pos": F.shiftright(low, 1), "open": low.bitwiseAND(F.lit(1)) == 1, "parity": F.col(f"{side}_parity")}
+        return {"n": F.shiftright(held, 32), "pos": F.shiftright(low, 1), "open": low.bitwiseAND(F.lit(1)) == 1, "parity": F.col(f"{side}_parity"), "half": F.col(f"{side}_half")}
 
     own_x, own_y = of("x"), of("y")
     left = F.least(own_x["n"] - own_x["pos"], own_y["n"] - own_y["pos"])
     smaller = (own_x["n"] < own_y["n"]) | ((own_x["n"] == own_y["n"]) & (F.col("x_id") < F.col("y_id")))
+    # The smaller one's prefix is short. As a test of both sides, this is made in the join, and one shuffle serves both.
+    early = own_x["pos"] < sets.short_prefix(F.least(own_x["n"], own_y["n"]), similarity)
     # Within one document, or without ids, either may be the later.
     later_open = (
         F.when(F.col("x_doc_id") < F.col("y_doc_id"), own_y["open"])
@@ -199,16 +207,13 @@ def _joined(classes: DataFrame, similarity: tuple[int, int], flags: Column | Non
         .otherwise(own_x["open"] | own_y["open"])
     )
     enough = (top + bottom) * left >= top * (own_x["n"] + own_y["n"])
-    met = y.join(x, "key").filter(smaller & _near(own_x.get, own_y.get, similarity) & enough & later_open)
+    met = y.join(x, "key").filter(smaller & early & _near(own_x.get, own_y.get, similarity) & enough & later_open)
     pairs = met.select(F.struct("x_id", "y_id").alias("pair")).distinct()
     ends = pairs.select("pair", F.explode(F.array("pair.x_id", "pair.y_id")).alias("id"))
     named = ends.join(classes.select("id", F.struct("first", "cls", "parity", "open").alias("end")), "id")
     both = named.groupBy("pair").agg(F.sort_array(F.collect_list("end")).alias("ends"))
     a, b = (F.get("ends", F.lit(i)) for i in range(2))
-    differing = F.bit_count(a["parity"].bitwiseXOR(b["parity"])).alias("differing")
-    return both.filter(b["open"]).select(
-        a["first"].alias("first_a"), b["first"].alias("first_b"), b["cls"].alias("cls"), b["parity"].alias("parity"), differing
-    )
+    return both.filter(b["open"]).select(a["first"].alias("first_a"), b["first"].alias("first_b"), b["cls"].alias("cls"), b["parity"].alias("parity"))
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, similarity: tuple[int, int]) -> DataFrame:
@@ -219,7 +224,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, similarity: tuple[int, int]) ->
     sides = ends.select("pair", *[F.col(f"place.{c}").alias(f"own_{c}") for c in PLACE])
     own = [F.col(f"own_{c}") for c in PLACE]
     marks = sides.select(F.explode(F.array(F.xxhash64(own[0], own[2]), F.xxhash64(*own))).alias("value"))
-    flags = sets.array_of_counts(marks, FLAGS)
+    flags = _flags(marks)
     some = _lines(docs.filter(_flagged(flags, F.xxhash64("doc_id", F.xxhash64(_text())))))
     found = some.filter(_flagged(flags, F.xxhash64(*PLACE))).groupBy(*PLACE).agg(F.first("line").alias("line"))
     met = sides.join(found, [F.col(c).eqNullSafe(F.col(f"own_{c}")) for c in PLACE])
@@ -230,42 +235,6 @@ def _verified(docs: DataFrame, pairs: DataFrame, similarity: tuple[int, int]) ->
     return both.filter(alike).select("pair.cls", "pair.parity").distinct()
 
 
-def _matching(docs: DataFrame, candidates: DataFrame, similarity: tuple[int, int], scratch: Scratch) -> DataFrame:
-    """(cls, parity) of classes of which one of the written ``candidates`` holds.
-
-    One match settles a class, so its nearest candidate is verified first, and all its others only if that one fails.
-    """
-    own = ["cls", "parity"]
-    near = candidates.groupBy(*own).agg(F.min(F.struct("differing", "first_a", "first_b")).alias("near"))
-    nearest = scratch.written(near.select(*own, "near.first_a", "near.first_b"), "nearest")
-    settled = scratch.written(_verified(docs, nearest, similarity), "settled")
-    failed = nearest.join(settled, own, "left_anti").select(*own, F.col("first_a").alias("tried"))
-    rest = candidates.join(failed, own).filter(F.col("first_a") != F.col("tried")).select("first_a", "first_b", *own)
-    rest = scratch.written(rest, "rest")
-    if rest.isEmpty():
-        return settled
-    return settled.unionByName(scratch.written(_verified(docs, rest, similarity), "settled"))
-
-
-def _settled(docs: DataFrame, classes: DataFrame, similarity: tuple[int, int], scratch: Scratch) -> DataFrame:
-    """(cls, parity) of classes that an earlier class matches."""
-    guessed = classes.filter("size(likely) > 0")
-    exploded = guessed.select(F.explode("likely").alias("near"), F.col("first").alias("first_b"), "cls", "parity")
-    likely = exploded.select(F.col("near.first").alias("first_a"), "first_b", "cls", "parity", "near.differing")
-    open_ones = classes.select("*", (F.size("likely") == 0).alias("open"))
-    pairs = scratch.written(likely.unionByName(_joined(open_ones, similarity)), "pairs")
-    settled = _matching(docs, pairs, similarity, scratch)
-    # Classes of which no likely match holds are open after all.
-    again = scratch.written(guessed.join(settled, ["cls", "parity"], "left_anti").select("id", "prefix"), "again")
-    if again.isEmpty():
-        return settled
-    keys = sets.array_of_counts(again.select(F.explode("prefix").alias("word")).select(F.xxhash64("word").alias("value")), FLAGS)
-    reopened = guessed.join(again.select("id"), "id").withColumn("open", F.lit(True))
-    others = guessed.join(again.select("id"), "id", "left_anti").unionByName(classes.filter("size(likely) = 0")).withColumn("open", F.lit(False))
-    pairs = scratch.written(_joined(reopened.unionByName(others), similarity, keys), "pairs")
-    return settled.unionByName(_matching(docs, pairs, similarity, scratch))
-
-
 def removed_lines(
     docs: DataFrame,
     similarity: tuple[int, int] = SIMILARITY,
@@ -282,9 +251,10 @@ def removed_lines(
     with Scratch(docs.sparkSession) as scratch:
         with Scratch(docs.sparkSession) as own:
             described = own.written(_described(docs, similarity, min_words, counters), "described")
-            classes = scratch.written(_classes(described, similarity, own), "classes")
+            classes = scratch.written(_classes(docs, described, similarity, own), "classes")
             lines = scratch.written(described.select(*PLACE, "cls", "parity"), "lines")
-        settled = _settled(docs, classes, similarity, scratch)
+        pairs = scratch.written(_joined(classes, similarity), "pairs")
+        settled = classes.filter("NOT open").select("cls", "parity").unionByName(_verified(docs, pairs, similarity))
         repeated = classes.filter("copies > 1").select("cls", "parity", "first", "copies")
         nothing = [F.lit(None).cast(repeated.schema[c].dataType).alias(c) for c in ("first", "copies")]
         merged = repeated.unionByName(settled.select("cls", "parity", *nothing)).groupBy("cls", "parity")

@@ -6,6 +6,8 @@ that hardly any item of a prefix is in many sets.
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tokenfold.llm.common import written
 
-#: Counters of the words' frequencies, 8 bytes each. Words share counters; any total order of words
+#: Counters of the words' frequencies; what is held of them is 2 bytes each. Words share counters; any total order of words
 #: gives the same result, so this number only decides how selective the prefixes are.
 COUNTERS = 1 << 21
 
@@ -49,8 +51,13 @@ def array_of_counts(values: DataFrame, size: int, of: Callable[[Column], Column]
 
 
 def levels(values: DataFrame, counters: int) -> Column:
-    """Per counter the place in the order of the items it counts, above the bits of a hash; the column ``value`` holds all items."""
-    return array_of_counts(values, counters, lambda n: F.shiftleft(F.floor(F.log2(n + F.lit(1.0)) * 60).cast("long"), HASH_BITS))
+    """Per counter the rarity of the items it counts (60 for a count of one); the column ``value`` holds all items."""
+    return array_of_counts(values, counters, lambda n: F.floor(F.log2(n + F.lit(1.0)) * 60).cast("smallint"))
+
+
+def key(levels: Column, item: Column, counters: int) -> Column:
+    """An item's place in the order: its rarity above its hash."""
+    return F.shiftleft(F.get(levels, slot(item, counters)).cast("long"), HASH_BITS).bitwiseOR(item)
 
 
 def prefix(n: Column, similarity: tuple[int, int]) -> Column:
@@ -72,18 +79,14 @@ def one_bit(key: Column) -> Column:
 
 def parities(keys: Column, count: int) -> Column:
     """``count`` longs (a power of two), each of the bits of the words dealt to it; of two sets no more bits differ than words."""
-    return F.array(
-        *[
-            F.aggregate(
-                F.filter(keys, lambda k, i=i: F.shiftright(k, 17).bitwiseAND(F.lit(count - 1)) == i),
-                F.lit(0).cast("long"),
-                lambda held, k: held.bitwiseXOR(one_bit(k)),
-            )
-            for i in range(count)
-        ]
-    )
+
+    def dealt(i: int) -> Column:
+        own = F.filter(keys, lambda k: F.shiftright(k, 17).bitwiseAND(F.lit(count - 1)) == i)
+        return F.aggregate(own, F.lit(0).cast("long"), lambda held, k: held.bitwiseXOR(one_bit(k)))
+
+    return F.array(*[dealt(i) for i in range(count)])
 
 
 def differing(a: Column, b: Column, count: int) -> Column:
-    """In how many bits two such arrays differ."""
-    return sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(1, count)), F.bit_count(F.get(a, F.lit(0)).bitwiseXOR(F.get(b, F.lit(0)))))
+    """In how many bits two such arrays differ; null if one of them is."""
+    return functools.reduce(operator.add, [F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(count)])

@@ -235,7 +235,7 @@ def _across(texts: DataFrame, grouped: DataFrame, size: int, similarity: tuple[i
     whole = hashed.select("node", F.explode(F.array(F.array_distinct(F.transform("hashes", lambda h: h.bitwiseAND(F.lit((1 << sets.HASH_BITS) - 1)))))).alias("items"))
     held = whole.withColumn("levels", levels)
     keyed = held.select(
-        "node", F.sort_array(F.transform("items", lambda x: F.get(F.col("levels"), sets.slot(x, sets.COUNTERS)).bitwiseOR(x))).alias("keys")
+        "node", F.sort_array(F.transform("items", lambda x: sets.key(F.col("levels"), x, sets.COUNTERS))).alias("keys")
     )
     length = sets.prefix(F.size("keys"), similarity).cast("int")
     first = keyed.select("node", F.size("keys").alias("n"), sets.parities(F.col("keys"), PARITIES).alias("parities"), F.slice("keys", F.lit(1), length).alias("prefix"))
