@@ -229,11 +229,12 @@ def _across(texts: DataFrame, grouped: DataFrame, size: int, similarity: tuple[i
     """
     top, bottom = similarity
     own = F.coalesce(_shingles(size), F.array().cast("array<bigint>"))
-    hashed = texts.select("node", _words(F.col("text")).alias("words")).select("node", own.alias("hashes"))
-    levels = sets.levels(hashed.select(F.explode("hashes").alias("value")), sets.COUNTERS)
-    # As a row of an exploded array, a set is made once.
-    whole = hashed.select("node", F.explode(F.array(F.array_distinct(F.transform("hashes", lambda h: h.bitwiseAND(F.lit((1 << sets.HASH_BITS) - 1)))))).alias("items"))
-    held = whole.withColumn("levels", levels)
+    words = texts.select("node", _words(F.col("text")).alias("words"))
+    masked = F.array_distinct(F.transform(own, lambda h: h.bitwiseAND(F.lit((1 << sets.HASH_BITS) - 1))))
+    # Written, as a filter of an explode would be pushed below the shingles and split a text for each of them.
+    shingled = scratch.written(words.select("node", masked.alias("items")), "shingles")
+    levels = sets.levels(shingled.select(F.explode("items").alias("value")), sets.COUNTERS)
+    held = shingled.withColumn("levels", levels)
     keyed = held.select(
         "node", F.sort_array(F.transform("items", lambda x: sets.key(F.col("levels"), x, sets.COUNTERS))).alias("keys")
     )
