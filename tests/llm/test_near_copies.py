@@ -42,3 +42,32 @@ def test_every_link_is_found(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.component.doc_id for r in simhash.near_copies(docs).collect()}
     assert got == {k: root(k) for k in range(len(texts))}
+
+
+def test_only_shared_shingles_are_held_as_entries(spark, monkeypatch):
+    """While entries are written the whole sets are gone, and texts without a shared shingle have no entry."""
+    draw, held, rows = random.Random(12), [], []
+    texts = [" ".join(f"w{draw.random()}" for _ in range(300)) for _ in range(60)]
+    texts[1] = " ".join([*texts[0].split()[:60], *texts[1].split()[60:]])
+    deleted, kept = simhash.Scratch.__exit__, simhash.Scratch.written
+
+    def writing(self, df, name, *more):
+        if name == "entries":
+            rows.append(df.count())
+            held.extend(live)
+        live.append(name)
+        self.names = [*getattr(self, "names", []), name]
+        return kept(self, df, name, *more)
+
+    def leaving(self, *more):
+        for name in getattr(self, "names", []):
+            live.remove(name)
+        return deleted(self, *more)
+
+    live = []
+    monkeypatch.setattr(simhash.Scratch, "written", writing)
+    monkeypatch.setattr(simhash.Scratch, "__exit__", leaving)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.component.doc_id for r in simhash.near_copies(docs).collect()} == set(range(60))
+    assert "prefixes" in held and "shingles" not in held, held
+    assert rows[0] <= 2 * 61 and not live

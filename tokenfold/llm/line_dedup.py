@@ -44,9 +44,6 @@ MIN_WORDS = 5
 #: As ``min_words``: every line that isn't blank is compared.
 NON_BLANK = 1
 
-#: Flags by which most rows that a small table cannot have are told before a join.
-FLAGS = 1 << 20
-
 #: Earlier classes of a family with which a class is compared: the first one, and those so many places before.
 BEFORE = (1, 2, 3, 5, 8)
 
@@ -81,15 +78,6 @@ def _words(line: Column) -> Column:
     return F.split(F.lower(spaced), " ")
 
 
-def _flags(values: DataFrame) -> Column:
-    """A flag per slot that a ``value`` falls into."""
-    return sets.array_of_counts(values, FLAGS, lambda n: (n > 0).cast("tinyint"))
-
-
-def _flagged(flags: Column, value: Column) -> Column:
-    return F.get(flags, sets.slot(value, FLAGS)) > 0
-
-
 def _least_joined(similarity: tuple[int, int], min_words: int) -> int:
     """Words of the smallest sets that can match other sets than equal ones: with one word less than those."""
     top, bottom = similarity
@@ -224,9 +212,9 @@ def _verified(docs: DataFrame, pairs: DataFrame, similarity: tuple[int, int]) ->
     sides = ends.select("pair", *[F.col(f"place.{c}").alias(f"own_{c}") for c in PLACE])
     own = [F.col(f"own_{c}") for c in PLACE]
     marks = sides.select(F.explode(F.array(F.xxhash64(own[0], own[2]), F.xxhash64(*own))).alias("value"))
-    flags = _flags(marks)
-    some = _lines(docs.filter(_flagged(flags, F.xxhash64("doc_id", F.xxhash64(_text())))))
-    found = some.filter(_flagged(flags, F.xxhash64(*PLACE))).groupBy(*PLACE).agg(F.first("line").alias("line"))
+    flags = sets.flags(marks)
+    some = _lines(docs.filter(sets.flagged(flags, F.xxhash64("doc_id", F.xxhash64(_text())))))
+    found = some.filter(sets.flagged(flags, F.xxhash64(*PLACE))).groupBy(*PLACE).agg(F.first("line").alias("line"))
     met = sides.join(found, [F.col(c).eqNullSafe(F.col(f"own_{c}")) for c in PLACE])
     both = met.groupBy("pair").agg(F.collect_list("line").alias("lines")).filter(F.size("lines") == 2)
     a, b = (F.array_remove(_words(F.get("lines", F.lit(i))), "").alias(c) for i, c in enumerate("ab"))

@@ -19,6 +19,9 @@ from tokenfold.llm.common import written
 #: gives the same result, so this number only decides how selective the prefixes are.
 COUNTERS = 1 << 21
 
+#: Flags by which most rows that a small table cannot have are told before a join.
+FLAGS = 1 << 20
+
 #: Bits of an item's hash; its rarity is above them in the same integer.
 HASH_BITS = 52
 
@@ -55,6 +58,15 @@ def levels(values: DataFrame, counters: int) -> Column:
     return array_of_counts(values, counters, lambda n: F.floor(F.log2(n + F.lit(1.0)) * 60).cast("smallint"))
 
 
+def flags(values: DataFrame) -> Column:
+    """A flag per slot that a ``value`` falls into."""
+    return array_of_counts(values, FLAGS, lambda n: (n > 0).cast("tinyint"))
+
+
+def flagged(flags: Column, value: Column) -> Column:
+    return F.get(flags, slot(value, FLAGS)) > 0
+
+
 def key(levels: Column, item: Column, counters: int) -> Column:
     """An item's place in the order: its rarity above its hash."""
     return F.shiftleft(F.get(levels, slot(item, counters)).cast("long"), HASH_BITS).bitwiseOR(item)

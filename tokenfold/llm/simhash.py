@@ -221,43 +221,56 @@ def _similar(texts: DataFrame, pairs: DataFrame, size: int, similarity: tuple[in
     return pairs.join(a, "a").join(b, "b").filter(bottom * shared >= top * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b")
 
 
-def _across(texts: DataFrame, grouped: DataFrame, size: int, similarity: tuple[int, int], scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) of ``texts`` of different groups that may match: every pair that does is among them.
+def _prefixes(texts: DataFrame, size: int, similarity: tuple[int, int], scratch: Scratch) -> DataFrame:
+    """Per text of ``texts`` (mark, text): mark, n, parities, and its rarest shingles (prefix), written for the block of ``scratch``.
 
-    A prefix join of the shingle sets, rare shingles first. ``grouped`` has node and group. A shingle
-    all of whose texts are of one group is left out, so that a group of copies gives no pairs.
+    The whole sets, which take the most disk, are gone when this returns.
     """
-    top, bottom = similarity
     own = F.coalesce(_shingles(size), F.array().cast("array<bigint>"))
-    words = texts.select("node", _words(F.col("text")).alias("words"))
+    words = texts.select("mark", _words(F.col("text")).alias("words"))
     masked = F.array_distinct(F.transform(own, lambda h: h.bitwiseAND(F.lit((1 << sets.HASH_BITS) - 1))))
-    # Written, as a filter of an explode would be pushed below the shingles and split a text for each of them.
-    shingled = scratch.written(words.select("node", masked.alias("items")), "shingles")
-    levels = sets.levels(shingled.select(F.explode("items").alias("value")), sets.COUNTERS)
-    held = shingled.withColumn("levels", levels)
-    keyed = held.select(
-        "node", F.sort_array(F.transform("items", lambda x: sets.key(F.col("levels"), x, sets.COUNTERS))).alias("keys")
-    )
-    length = sets.prefix(F.size("keys"), similarity).cast("int")
-    first = keyed.select("node", F.size("keys").alias("n"), sets.parities(F.col("keys"), PARITIES).alias("parities"), F.slice("keys", F.lit(1), length).alias("prefix"))
-    rows = scratch.written(first.join(grouped, "node"), "prefixes")
-    entries = rows.select("node", "group", "n", "parities", F.posexplode("prefix").alias("pos", "key"))
-    spans = entries.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"))
+    with Scratch(texts.sparkSession) as own_scratch:
+        # Written, as a filter of an explode would be pushed below the shingles and split a text for each of them.
+        shingled = own_scratch.written(words.select("mark", masked.alias("items")), "shingles")
+        levels = sets.levels(shingled.select(F.explode("items").alias("value")), sets.COUNTERS)
+        held = shingled.withColumn("levels", levels)
+        keyed = held.select(
+            "mark", F.sort_array(F.transform("items", lambda x: sets.key(F.col("levels"), x, sets.COUNTERS))).alias("keys")
+        )
+        length = sets.prefix(F.size("keys"), similarity).cast("int")
+        first = keyed.select("mark", F.size("keys").alias("n"), sets.parities(F.col("keys"), PARITIES).alias("parities"), F.slice("keys", F.lit(1), length).alias("prefix"))
+        return scratch.written(first, "prefixes")
+
+
+def _across(rows: DataFrame, grouped: DataFrame, similarity: tuple[int, int], scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of marks of different groups whose texts may match: every pair that does is among them.
+
+    A prefix join of the written ``rows`` of ``_prefixes``, rare shingles first. ``grouped`` has mark and group. A shingle
+    all of whose texts are of one group is left out, so that a group of copies gives no pairs. Such shingles are
+    most of all; they are told by key and group alone, and only the others' entries are shuffled and get sizes and parities.
+    """
+    top, bottom = similarity
+    placed = rows.select("mark", F.posexplode("prefix").alias("pos", "key"))
+    dealt = rows.select("mark", "prefix").join(grouped, "mark").select("group", F.explode("prefix").alias("key"))
+    spans = dealt.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"))
     mixed = scratch.written(spans.filter("low <> high").select("key"), "mixed")
-    some = scratch.written(entries.join(mixed, "key"), "entries")
+    flags = sets.flags(mixed.select(F.col("key").alias("value")))
+    met = placed.filter(sets.flagged(flags, F.col("key"))).join(mixed, "key")
+    shapes = rows.select("mark", "n", "parities").join(grouped, "mark")
+    some = scratch.written(met.join(shapes, "mark").select("key", "mark", "group", "n", "parities", "pos"), "entries")
     y = some.select("key", *[F.col(c).alias(f"y_{c}") for c in some.columns[1:]])
     x = some.filter(F.col("pos") < sets.short_prefix(F.col("n"), similarity)).select("key", *[F.col(c).alias(f"x_{c}") for c in some.columns[1:]])
-    smaller = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_node") < F.col("y_node")))
+    smaller = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_mark") < F.col("y_mark")))
     both = F.col("x_n") + F.col("y_n")
     left = F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos"))
-    met = y.join(x, "key").filter(
+    near = y.join(x, "key").filter(
         (F.col("x_group") != F.col("y_group"))
         & smaller
         & (bottom * F.col("x_n") >= top * F.col("y_n"))
         & ((top + bottom) * left >= top * both)
         & ((top + bottom) * sets.differing(F.col("x_parities"), F.col("y_parities"), PARITIES) <= (bottom - top) * both)
     )
-    return met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+    return near.select(F.least("x_mark", "y_mark").alias("a"), F.greatest("x_mark", "y_mark").alias("b")).distinct()
 
 
 def near_copies(docs: DataFrame, size: int = COPY_SHINGLE, similarity: tuple[int, int] = SIMILARITY, budget: int = BUDGET) -> DataFrame:
@@ -273,27 +286,29 @@ def near_copies(docs: DataFrame, size: int = COPY_SHINGLE, similarity: tuple[int
     rows = docs.filter("doc_id IS NOT NULL").select("doc_id", F.xxhash64(text).alias("mark"), text.alias("text"))
     own = F.struct("doc_id", "mark")
     places = written(rows.select("doc_id", "mark").distinct(), "places")
-    texts = written(rows.groupBy("mark").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text")).select(own.alias("node"), "text"), "texts")
-    prints = written(fingerprints(texts.select(F.col("node").alias("doc_id"), "text"), size).select(F.col("doc_id").alias("node"), "fp"), "fingerprints")
-    classes = written(prints.groupBy("fp").agg(F.min("node").alias("rep")), "classes")
-    equal = prints.join(classes, "fp").filter("node > rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
-    hashed = texts.select("node", _words(F.col("text")).alias("words")).select("node", _shingles(size).alias("hashes"))
-    node_type = texts.schema["node"].dataType.simpleString()
-    entries = hashed.mapInArrow(releasing(_bands), f"node {node_type}, keys array<bigint>").select("node", F.posexplode("keys").alias("band", "key"))
-    order = Window.partitionBy("band", "key").orderBy("node")
-    first = F.first_value("node").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    met = entries.select("node", F.array(first, *[F.lag("node", k).over(order) for k in BEFORE]).alias("earlier"))
-    banded = met.select(F.explode("earlier").alias("a"), F.col("node").alias("b")).filter("a < b")
-    pairs = written(linked(classes, budget).unionByName(equal).unionByName(banded).distinct(), "pairs")
-    found = components(_similar(texts, pairs, size, similarity))
-    grouped = written(texts.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "grouped")
     with Scratch(docs.sparkSession) as scratch:
-        rest = written(_across(texts, grouped.select("node", F.xxhash64("component").alias("group")), size, similarity, scratch), "rest")
-    named = grouped.select(F.col("node.mark").alias("mark"), "component")
-    if not rest.isEmpty():
-        a, b = (grouped.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in "ab")
-        links = _similar(texts, rest, size, similarity).join(a, "a").join(b, "b")
-        merged = components(links.select(F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b")).distinct())
-        joined = named.join(merged.select(F.col("node").alias("component"), F.col("component").alias("merged")), "component", "left")
-        named = joined.select("mark", F.coalesce("merged", "component").alias("component"))
+        texts = scratch.written(rows.groupBy("mark").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text")).select(own.alias("node"), "text"), "texts")
+        prints = scratch.written(fingerprints(texts.select(F.col("node").alias("doc_id"), "text"), size).select(F.col("doc_id").alias("node"), "fp"), "fingerprints")
+        classes = scratch.written(prints.groupBy("fp").agg(F.min("node").alias("rep")), "classes")
+        equal = prints.join(classes, "fp").filter("node > rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+        hashed = texts.select("node", _words(F.col("text")).alias("words")).select("node", _shingles(size).alias("hashes"))
+        node_type = texts.schema["node"].dataType.simpleString()
+        entries = hashed.mapInArrow(releasing(_bands), f"node {node_type}, keys array<bigint>").select("node", F.posexplode("keys").alias("band", "key"))
+        order = Window.partitionBy("band", "key").orderBy("node")
+        first = F.first_value("node").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        met = entries.select("node", F.array(first, *[F.lag("node", k).over(order) for k in BEFORE]).alias("earlier"))
+        banded = met.select(F.explode("earlier").alias("a"), F.col("node").alias("b")).filter("a < b")
+        pairs = scratch.written(linked(classes, budget).unionByName(equal).unionByName(banded).distinct(), "pairs")
+        found = components(_similar(texts, pairs, size, similarity))
+        grouped = written(texts.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "grouped")
+        marked = texts.select(F.col("node.mark").alias("mark"), "text")
+        of_mark = grouped.select(F.col("node.mark").alias("mark"), F.xxhash64("component").alias("group"))
+        rest = scratch.written(_across(_prefixes(marked, size, similarity, scratch), of_mark, similarity, scratch), "rest")
+        named = grouped.select(F.col("node.mark").alias("mark"), "component")
+        if not rest.isEmpty():
+            a, b = (named.select(F.col("mark").alias(c), F.col("component").alias(f"of_{c}")) for c in "ab")
+            links = _similar(marked.withColumnRenamed("mark", "node"), rest, size, similarity).join(a, "a").join(b, "b")
+            merged = components(links.select(F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b")).distinct())
+            joined = named.join(merged.select(F.col("node").alias("component"), F.col("component").alias("merged")), "component", "left")
+            named = joined.select("mark", F.coalesce("merged", "component").alias("component"))
     return places.join(named, "mark").select("doc_id", "mark", "component")
