@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tokenfold.llm import line_dedup
+from tokenfold.llm import line_dedup, sets
 
 
 def _documents():
@@ -54,3 +54,45 @@ def test_long_lines_are_told_apart_before_they_are_read(spark, monkeypatch):
     found = line_dedup.removed_lines(docs, counters=1 << 10).collect()
     assert sorted(x.doc_id for x in found) == [300, 301, 302]
     assert sum(read) <= 10, read
+
+
+def test_words_are_counted_from_written_hashes_once_a_line(spark, monkeypatch):
+    counted, joined = [], []
+    levels, join = sets.levels, line_dedup._joined
+
+    def counting(values, counters):
+        counted.append(values._jdf.queryExecution().optimizedPlan().toString())
+        return levels(values, counters)
+
+    def joining(classes, *options):
+        joined.append({x.n: list(x.prefix) for x in classes.collect()})
+        return join(classes, *options)
+
+    monkeypatch.setattr(sets, "levels", counting)
+    monkeypatch.setattr(line_dedup, "_joined", joining)
+    # No word is in two lines of different sets, however often it is in one.
+    texts = ["a a a b b c d e\nf g h i j k f f", "l m n o p q r l l l"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert line_dedup.removed_lines(docs).collect() == []
+    assert len(counted) == 1 and "split(" not in counted[0]
+    assert joined == [{5: [], 6: [], 7: []}]
+
+
+def test_families_share_a_window(spark, monkeypatch):
+    """Members of a family lie side by side in a window of many families; each is held against its own only."""
+    draw = random.Random(7)
+    words = [f"w{i}" for i in range(2000)]
+    lines = [draw.sample(words, 20) for _ in range(100)]
+    lines += [[*line, f"only{k}"] for k, line in enumerate(lines)]
+    count, join = [], line_dedup._joined
+
+    def joining(classes, sure, similarity):
+        count.append(sure.count())
+        return join(classes, sure, similarity)
+
+    monkeypatch.setattr(line_dedup, "_joined", joining)
+    monkeypatch.setattr(line_dedup, "BUCKET_ROWS", 1_000_000)
+    docs = spark.createDataFrame([(k, " ".join(line)) for k, line in enumerate(lines)], "doc_id long, text string")
+    removed = line_dedup.removed_lines(docs, counters=1 << 12).collect()
+    assert sorted(x.doc_id for x in removed) == list(range(100, 200))
+    assert count[0] >= 90, count

@@ -3,6 +3,7 @@
 A line is the set of its words. Two lines match if their sets' Jaccard similarity is at least
 ``SIMILARITY``; a line goes if an earlier line matches it. Earlier is by doc_id, then line number.
 
+* A text is split and its words are hashed once; what follows reads the written hashes.
 * Lines with equal sets are one class; only classes are joined.
 * Each class orders its words by rarity. Of classes that match, the smaller one has one of its first
   words among the first of the larger one (prefix filter; the smaller one's prefix is the shorter).
@@ -44,12 +45,15 @@ MIN_WORDS = 5
 #: As ``min_words``: every line that isn't blank is compared.
 NON_BLANK = 1
 
-#: Earlier classes of a family with which a class is compared: the first one, and those so many places before.
+#: Earlier classes of a family with which a class is compared: those so many places before.
 BEFORE = (1, 2, 3, 5, 8)
 
 #: A family is dealt to one more part for each so many lines of the corpus.
 PART_LINES = 2_000_000
 
+#: Entries of families that are sorted together on average; most families have one member, too few for a window of their own.
+BUCKET_ROWS = 100
+
 #: Classes with more than one of so many lines are joined to the lines by broadcast; they are fewer than this.
 HOT_SHARE = 1000
 
@@ -84,37 +88,45 @@ def _least_joined(similarity: tuple[int, int], min_words: int) -> int:
     return max(min_words, -(-top // (bottom - top))) if top < bottom else min_words
 
 
-def _described(docs: DataFrame, similarity: tuple[int, int], min_words: int, counters: int) -> DataFrame:
-    """Per line with enough words: its place, n, cls and parity of its set, its prefix, and two hashes of its extreme word hashes.
+def _hashed(docs: DataFrame, min_words: int) -> DataFrame:
+    """Per line with enough words: its place, and ``words``, the hashes of its distinct words."""
+    hashes = F.array_distinct(F.transform(_words(F.col("line")), sets.hashed))
+    distinct = _lines(docs).select(*PLACE, F.array_remove(hashes, sets.hashed(F.lit(""))).alias("words"))
+    # As a row of an exploded array, a set is not made anew for a filter that is pushed below it.
+    chosen = F.when(F.size("words") >= min_words, F.array("words"))
+    return distinct.select(*PLACE, F.explode(chosen).alias("words"))
+
+
+def _one_bit(key: Column) -> Column:
+    """A long with one bit set; of an int, a shift counts the last six bits."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.hash(key))
+
+
+def _parity(keys: Column) -> Column:
+    return F.aggregate(keys, F.lit(0).cast("long"), lambda held, k: held.bitwiseXOR(_one_bit(k)))
+
+
+def _described(hashed: DataFrame, similarity: tuple[int, int], min_words: int, counters: int) -> DataFrame:
+    """Per line of the written ``hashed``: its place, n, cls and parity of its set, its prefix, and two hashes of its extreme word hashes.
 
     ``prefix`` leaves out the leading words that no other line has; ``skipped`` counts them. Sets so
-    small that only equal ones match have no prefix.
+    small that only equal ones match have no prefix. A word is counted once a line.
     """
-    lines = _lines(docs)
-    words = docs.select(F.explode(_words(F.replace(_text(), F.lit("\n"), F.lit(" ")))).alias("word")).select(sets.hashed(F.col("word")).alias("value"))
-    levels = sets.levels(words, counters)
-    hashes = F.transform(F.array_remove(_words(F.col("line")), ""), sets.hashed)
-    distinct = lines.select(*PLACE, F.array_distinct(hashes).alias("words"))
-    # As a row of an exploded array, a set is not made anew for a filter that is pushed below it.
-    chosen = F.when(F.size("words") >= min_words, F.array("words"))
-    exploded = distinct.select(*PLACE, F.explode(chosen).alias("words"))
+    levels = sets.levels(hashed.select(F.explode("words").alias("value")), counters)
     other = F.transform("words", lambda w: w.bitwiseXOR(F.lit(OTHER_HASHES)))
-    large = exploded.select(
-        *PLACE, "words", F.size("words").alias("n"), F.xxhash64(F.array_min("words"), F.array_max("words")).alias("ends"),
-        F.xxhash64(F.array_min(other), F.array_max(other)).alias("others"),
-    )
-
     # The analyzer takes no scalar inside a lambda; the optimizer puts it there, as one use is left.
-    held = large.withColumn("levels", levels)
-    keyed = held.select(*PLACE, "n", "ends", "others", F.sort_array(F.transform("words", lambda w: sets.key(F.col("levels"), w, counters))).alias("keys"))
-    parity = F.aggregate("keys", F.lit(0).cast("long"), lambda held, k: held.bitwiseXOR(sets.one_bit(k)))
-    one_half = F.filter("keys", lambda k: F.shiftright(k, 17).bitwiseAND(F.lit(1)) == 1)
-    half = F.when(F.col("n") > LARGE, F.aggregate(one_half, F.lit(0).cast("long"), lambda held, k: held.bitwiseXOR(sets.one_bit(k))))
+    held = hashed.withColumn("levels", levels)
+    keys = F.sort_array(F.transform("words", lambda w: sets.key(F.col("levels"), w, counters)))
+    keyed = held.select(*PLACE, "words", other.alias("other"), keys.alias("keys"))
+    n = F.size("keys")
+    half = F.when(n > LARGE, _parity(F.filter("keys", lambda k: k.bitwiseAND(F.lit(1 << 17)) > 0)))
     least = _least_joined(similarity, min_words)
-    length = F.when(F.col("n") >= least, sets.prefix(F.col("n"), similarity)).otherwise(0).cast("int")
-    first = keyed.select(*PLACE, "n", "ends", "others", half.alias("half"), F.xxhash64("keys").alias("cls"), parity.alias("parity"), F.slice("keys", F.lit(1), length).alias("head"))
-    alone = F.lit(60 + 1).cast("long")  # the level of a count of one is 60
-    kept = F.filter("head", lambda k: F.shiftright(k, sets.HASH_BITS) >= alone)
+    length = F.when(n >= least, sets.prefix(n, similarity)).otherwise(0).cast("int")
+    ends, others = (F.xxhash64(F.array_min(c), F.array_max(c)).alias(name) for c, name in (("words", "ends"), ("other", "others")))
+    sliced = F.slice("keys", F.lit(1), length).alias("head")
+    first = keyed.select(*PLACE, n.alias("n"), ends, others, half.alias("half"), F.xxhash64("keys").alias("cls"), _parity(F.col("keys")).alias("parity"), sliced)
+    alone = F.lit((60 + 1) << sets.HASH_BITS)  # the level of a count of one is 60
+    kept = F.filter("head", lambda k: k >= alone)
     return first.withColumn("prefix", kept).withColumn("skipped", F.size("head") - F.size("prefix")).drop("head")
 
 
@@ -134,43 +146,48 @@ def _near(a: Callable[[str], Column], b: Callable[[str], Column], similarity: tu
     )
 
 
-def _classes(docs: DataFrame, described: DataFrame, similarity: tuple[int, int], scratch: Scratch) -> DataFrame:
-    """Per class: cls, parity, half, n, skipped, prefix, ``first`` (the place of its first line), copies, a number ``id``, and ``open``.
-
-    Open are those of which no likely match holds. Likely matches are earlier classes that pass the filters: of a few of each
-    family, the nearest. The families are dealt without the prefixes, and few classes have a likely match, so little is shuffled.
-    """
+def _classes(described: DataFrame, scratch: Scratch) -> DataFrame:
+    """Per class: cls, parity, half, n, ends, others, skipped, prefix, ``first`` (the place of its first line), copies, and a number ``id``."""
     same = [F.first(c).alias(c) for c in ("n", "ends", "others", "half", "skipped", "prefix")]
     grouped = described.groupBy("cls", "parity").agg(F.min(F.struct(*PLACE)).alias("first"), F.count("*").alias("copies"), *same)
-    state = scratch.written(grouped.withColumn("id", F.monotonically_increasing_id()), "state")
-    parts = 1 + described.count() // PART_LINES
+    return scratch.written(grouped.withColumn("id", F.monotonically_increasing_id()), "classes")
+
+
+def _sure(docs: DataFrame, classes: DataFrame, lines: int, similarity: tuple[int, int], scratch: Scratch) -> DataFrame:
+    """cls and parity of the classes of which a likely match holds.
+
+    Likely matches are earlier classes that pass the filters: of a few of each family, the nearest. The
+    families are dealt without the prefixes, and few classes have a likely match, so little is shuffled.
+    """
     last = F.xxhash64(*[F.get("prefix", F.size("prefix") - k) for k in (1, 2)])
     # Sets without a prefix match equal ones only.
-    some = state.filter("size(prefix) > 0").withColumn("part", F.pmod("cls", F.lit(parts)))
+    some = classes.filter("size(prefix) > 0").withColumn("part", F.pmod("cls", F.lit(1 + lines // PART_LINES)))
     thin = some.select("cls", "first", "parity", "half", "n", "part", F.posexplode(F.array("ends", "others", last)).alias("family", "key"))
-    order = Window.partitionBy("family", "key", "part").orderBy("first")
-    own = F.struct("first", "parity", "half", "n")
-    earlier = {"e0": F.first_value(own).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))}
-    earlier |= {f"e{k}": F.lag(own, k).over(order) for k in BEFORE}
+    keyed = thin.withColumn("key", F.xxhash64("family", "key", "part")).drop("family", "part")
+    dealt = keyed.withColumn("bucket", F.pmod("key", F.lit(1 + 3 * lines // BUCKET_ROWS)))
+    order = Window.partitionBy("bucket").orderBy("key", "first")
+    beside = dealt.withColumns({"back": F.lag("key").over(order), "ahead": F.lead("key").over(order)})
+    shared = beside.filter((F.col("back") == F.col("key")) | (F.col("ahead") == F.col("key"))).drop("back", "ahead")
+    own = F.struct("key", "first", "parity", "half", "n")
+    earlier = {f"e{k}": F.lag(own, k).over(order) for k in BEFORE}
     met = []
     for e in earlier:
         other = functools.partial(lambda e, c: F.col(f"{e}.{c}"), e)
-        near = (other("first") < F.col("first")) & _near(F.col, other, similarity)
+        near = (other("key") == F.col("key")) & (other("first") < F.col("first")) & _near(F.col, other, similarity)
         met.append(F.when(near, F.struct(_differing(F.col, other).alias("differing"), other("first"))))
-    found = thin.withColumns(earlier).select(F.least(*met)["first"].alias("first_a"), F.col("first").alias("first_b"), "cls", "parity")
+    found = shared.withColumns(earlier).select(F.least(*met)["first"].alias("first_a"), F.col("first").alias("first_b"), "cls", "parity")
     likely = scratch.written(found.filter("first_a IS NOT NULL").distinct(), "likely")
-    sure = scratch.written(_verified(docs, likely, similarity).withColumn("open", F.lit(False)), "sure")
-    held = state.select("cls", "parity", "half", "n", "skipped", "prefix", "first", "copies", "id").join(sure, ["cls", "parity"], "left")
-    return held.withColumn("open", F.coalesce("open", F.lit(True)))
+    return scratch.written(_verified(docs, likely, similarity), "sure")
 
 
-def _joined(classes: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """Pairs of classes that pass the filters, of which the later one, b, is ``open``: first_a, first_b, cls and parity of b.
+def _joined(classes: DataFrame, sure: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Pairs of classes that pass the filters, of which the later one, b, is open, which is not ``sure``: first_a, first_b, cls and parity of b.
 
     Words meet by 32 bits, and an entry holds n, pos and open in one number, as these rows are most of what is shuffled.
     """
     top, bottom = similarity
-    some = classes.filter("size(prefix) > 0")
+    settled = sure.withColumn("open", F.lit(False))
+    some = classes.filter("size(prefix) > 0").join(settled, ["cls", "parity"], "left").withColumn("open", F.col("open").isNull())
     words = some.select("id", "parity", "half", "n", "skipped", "open", "first.doc_id", F.posexplode("prefix").alias("i", "word"))
     pos = F.col("i") + F.col("skipped")
     shape = (F.col("n").cast("long") * (1 << 32)) + 2 * pos + F.col("open").cast("int")
@@ -198,10 +215,11 @@ def _joined(classes: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     met = y.join(x, "key").filter(smaller & early & _near(own_x.get, own_y.get, similarity) & enough & later_open)
     pairs = met.select(F.struct("x_id", "y_id").alias("pair")).distinct()
     ends = pairs.select("pair", F.explode(F.array("pair.x_id", "pair.y_id")).alias("id"))
-    named = ends.join(classes.select("id", F.struct("first", "cls", "parity", "open").alias("end")), "id")
+    named = ends.join(classes.select("id", F.struct("first", "cls", "parity").alias("end")), "id")
     both = named.groupBy("pair").agg(F.sort_array(F.collect_list("end")).alias("ends"))
     a, b = (F.get("ends", F.lit(i)) for i in range(2))
-    return both.filter(b["open"]).select(a["first"].alias("first_a"), b["first"].alias("first_b"), b["cls"].alias("cls"), b["parity"].alias("parity"))
+    named = both.select(a["first"].alias("first_a"), b["first"].alias("first_b"), b["cls"].alias("cls"), b["parity"].alias("parity"))
+    return named.join(sure, ["cls", "parity"], "left_anti")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, similarity: tuple[int, int]) -> DataFrame:
@@ -238,18 +256,22 @@ def removed_lines(
     place = F.struct(*PLACE)
     with Scratch(docs.sparkSession) as scratch:
         with Scratch(docs.sparkSession) as own:
-            described = own.written(_described(docs, similarity, min_words, counters), "described")
-            classes = scratch.written(_classes(docs, described, similarity, own), "classes")
+            with Scratch(docs.sparkSession) as early:
+                hashed = early.written(_hashed(docs, min_words), "hashed")
+                described = own.written(_described(hashed, similarity, min_words, counters), "described")
+            classes = _classes(described, scratch)
             lines = scratch.written(described.select(*PLACE, "cls", "parity"), "lines")
-        pairs = scratch.written(_joined(classes, similarity), "pairs")
-        settled = classes.filter("NOT open").select("cls", "parity").unionByName(_verified(docs, pairs, similarity))
+        many = lines.count()
+        sure = _sure(docs, classes, many, similarity, scratch)
+        pairs = scratch.written(_joined(classes, sure, similarity), "pairs")
+        settled = sure.unionByName(_verified(docs, pairs, similarity))
         repeated = classes.filter("copies > 1").select("cls", "parity", "first", "copies")
         nothing = [F.lit(None).cast(repeated.schema[c].dataType).alias(c) for c in ("first", "copies")]
         merged = repeated.unionByName(settled.select("cls", "parity", *nothing)).groupBy("cls", "parity")
         gone = F.max(F.col("copies").isNull()).alias("gone")
         state = scratch.written(merged.agg(gone, F.max("first").alias("first"), F.max("copies").alias("copies")), "state")
         # A line with very many copies is no hot key of a shuffle.
-        hot = F.coalesce(F.col("copies") > lines.count() / HOT_SHARE, F.lit(False))
+        hot = F.coalesce(F.col("copies") > many / HOT_SHARE, F.lit(False))
         few = F.broadcast(state.filter(hot).select("cls", "parity", F.struct("gone", "first").alias("hot")))
         met = lines.join(few, ["cls", "parity"], "left")
         rest = met.filter("hot IS NULL").drop("hot").join(state.filter(~hot), ["cls", "parity"])
@@ -277,7 +299,7 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
 def summary(docs: DataFrame, **options) -> DataFrame:
     """One row per document row: doc_id, its lines, how many go, and their numbers in order."""
     found = removed_lines(docs, **options).withColumnsRenamed({"doc_id": "found_id", "mark": "found_mark"})
-    own = docs.select("doc_id", F.xxhash64(_text()).alias("mark"), F.size(F.split(_text(), "\n", -1)).cast("long").alias("n_lines"))
+    own = docs.select("doc_id", F.xxhash64(_text()).alias("mark"), (F.octet_length(_text()) - F.octet_length(F.replace(_text(), F.lit("\n"))) + 1).cast("long").alias("n_lines"))
     both = own.join(found, F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("mark") == F.col("found_mark")), "left")
     gone = F.coalesce("removed", F.array().cast("array<int>"))
     return both.select("doc_id", "n_lines", F.size(gone).cast("long").alias("n_removed"), gone.alias("removed"))
